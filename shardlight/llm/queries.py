@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, language, near, packing, quality, secrets, substrings, topk
+from . import decontaminate, html, language, lines, near, packing, quality, secrets, substrings, topk
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))[0]
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.join(table(spark, sf_dir, "documents"))
 
@@ -52,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": decontaminate.ORACLE, "op6_exact_topk_search": topk.ORACLE, "op7_secret_scans": secrets.ORACLE}
+    return {"op3_benchmark_decontamination": decontaminate.ORACLE, "op6_exact_topk_search": topk.ORACLE, "op7_secret_scans": secrets.ORACLE, "op8_line_dedup": lines.ORACLE}
