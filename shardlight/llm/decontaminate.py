@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import docs_of
 
@@ -84,15 +85,28 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_chars: in
 
     block_chars bounds the benchmark text that one broadcast table is built from.
     """
-    spark = docs.sparkSession
+    return _scan(docs_of(docs), benchmark, width, block_chars)
+
+
+def kept(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_chars: int = 1_000_000) -> DataFrame:
+    """The documents without any window, with their own columns."""
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(*docs.columns).alias("row"))
+    return _scan(own, benchmark, width, block_chars).where(~F.col("contaminated")).select("row.*")
+
+
+def _scan(docs: DataFrame, benchmark: DataFrame, width: int, block_chars: int) -> DataFrame:
+    """docs: doc_id, text and columns that are handed through."""
+    spark, carried = docs.sparkSession, docs.columns[2:]
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
     chars = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-chars // block_chars))
-    out = docs_of(docs).withColumns({"at": F.lit(None).cast("array<int>"), "ids": F.lit(None).cast("array<string>")})
+    out = docs.select("doc_id", "text", F.lit(None).cast("array<int>").alias("at"), F.lit(None).cast("array<string>").alias("ids"), *carried)
+    own_schema, more = out.schema, [out.schema[c] for c in carried]
+    result = StructType(StructType.fromDDL(RESULT).fields + more)
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
         found = spark.sparkContext.broadcast(matchers([(r[0], r[1]) for r in own.collect()], width))
-        out = out.mapInArrow(_searched(found, k == blocks - 1), RESULT if k == blocks - 1 else "doc_id long, text string, at array<int>, ids array<string>")
+        out = out.mapInArrow(_searched(found, k == blocks - 1), result if k == blocks - 1 else own_schema)
     return out
 
 
@@ -123,7 +137,8 @@ def _searched(found, last: bool):
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()) if last else (pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.string()))
             names = [c.split()[0] for c in RESULT.split(", ")] if last else ["doc_id", "text", "at", "ids"]
             cols = list(zip(*rows)) or [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+            more = range(4, batch.num_columns)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types)), *map(batch.column, more)], names=[*names, *(batch.schema.names[i] for i in more)])
 
     return run
 
