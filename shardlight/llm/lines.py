@@ -48,10 +48,10 @@ def needed(n: Column, t: int) -> Column:
 
 
 def lines_of(docs: DataFrame, levels: Column, t: int, least: int) -> DataFrame:
-    """doc_id, line, cls, n, prefix of the lines that take part."""
-    each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s")).select("doc_id", "line", token_set(F.col("s"), levels).alias("set"))
+    """doc_id, tag (of the text), line, cls, n, prefix of the lines that take part."""
+    each = docs.select("doc_id", F.xxhash64("text").alias("tag"), F.posexplode(F.split("text", "\n")).alias("line", "s")).select("doc_id", "tag", "line", token_set(F.col("s"), levels).alias("set"))
     n = F.size("set")
-    return each.where(n >= least).select("doc_id", "line", F.xxhash64("set").alias("cls"), n.alias("n"), F.slice("set", F.lit(1), (n - needed(n, t) + 1).cast("int")).alias("prefix"))
+    return each.where(n >= least).select("doc_id", "tag", "line", F.xxhash64("set").alias("cls"), n.alias("n"), F.slice("set", F.lit(1), (n - needed(n, t) + 1).cast("int")).alias("prefix"))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, levels: Column) -> DataFrame:
@@ -75,7 +75,7 @@ def similar(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
 
 
 def later_matches(docs: DataFrame, t: int = 80, least: int = 5) -> DataFrame:
-    """doc_id, lines: the numbers of the lines to remove."""
+    """doc_id, tag (of the text), lines: the numbers of the lines to remove."""
     spark = docs.sparkSession
     levels = rarity(docs)
     lines = written(lines_of(docs, levels, t, least), "lines")
@@ -104,16 +104,16 @@ def later_matches(docs: DataFrame, t: int = 80, least: int = 5) -> DataFrame:
     # Of a class, all lines but the first go, and the first too if an earlier class is similar.
     first = lines.groupBy("cls").agg(place, F.count(F.lit(1)).alias("n_lines"))
     hit = first.join(found.select(F.col("x").alias("cls"), F.lit(True).alias("hit")), "cls", "left").where("n_lines > 1 or hit").select("cls", "first", "hit")
-    gone = lines.select("doc_id", "line", "cls").join(hit, "cls").where(F.col("hit") | (F.struct("doc_id", "line") > F.col("first")))
-    return gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    gone = lines.select("doc_id", "tag", "line", "cls").join(hit, "cls").where(F.col("hit") | (F.struct("doc_id", "line") > F.col("first")))
+    return gone.groupBy("doc_id", "tag").agg(F.collect_set("line").alias("lines"))
 
 
 def deduped(docs: DataFrame, t: int = 80, least: int = 5) -> DataFrame:
     """docs with text less its later matches, and the columns n_lines and n_removed."""
     own = docs.select("doc_id", "text")
-    gone = later_matches(own, t, least).select(F.col("doc_id").alias("gone_id"), "lines")
+    gone = later_matches(own, t, least).select(F.col("doc_id").alias("gone_id"), F.col("tag").alias("gone_tag"), "lines")
     packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    joined = packed.join(gone, packed["doc_id"].eqNullSafe(gone["gone_id"]), "left")
+    joined = packed.join(gone, packed["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(packed["text"]) == gone["gone_tag"]), "left")
     parts = F.split("text", "\n")
     stays = F.filter(parts, lambda s, i: ~F.array_contains("lines", i))
     text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.concat_ws("\n", stays))
