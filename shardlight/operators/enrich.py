@@ -33,13 +33,14 @@ def enriched(chunks: DataFrame, model: Callable[[pd.Series], pd.DataFrame]) -> D
 
     fields = [x.split(" ")[0] for x in ENRICHMENT.split(", ")]
     base = chunks.drop(*fields, "status")
+    columns = [*base.columns, *fields, "status"]
 
     def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in run(frames):
             for f in fields:
                 if f not in frame:
                     frame[f] = None
-            yield frame[[*base.columns, *fields, "status"]]
+            yield frame[columns]
 
     from pyspark.sql.types import StringType, StructField, StructType
 
