@@ -26,7 +26,7 @@ from .common import Powers, docs_of, free_shuffles, mix64, written
 
 GRAM = 32
 #: Starts that are hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Different contexts of an anchor that are sorted together; anchors with more are counted string by string.
 MOST = 512
 FILTER_BITS = 1 << 23
@@ -34,6 +34,13 @@ FIRST, SECOND = Powers(0x9E3779B97F4A7C15), Powers(0xC2B2AE3D27D4EB4F)
 U = np.uint64
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, for what is made of each to be small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def blob_of(raw: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
 
@@ -74,7 +81,7 @@ def anchors(docs: DataFrame, span: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[list[np.ndarray]] = [[], [], [], []]
             for text in batch.column(0).to_pylist():
                 raw = text.encode("utf-8", "surrogatepass")
@@ -232,7 +239,7 @@ def contexts_of(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in sliced(batches):
             blobs, texts = [], []
             for text in batch.column(0).to_pylist():
                 raw = text.encode("utf-8", "surrogatepass")
@@ -245,7 +252,7 @@ def contexts_of(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.int64()), pa.array(texts, pa.binary())], names=["blob", "raw"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for blob, raw, listed in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("blob", "raw", "runs"))):
                 text = raw.as_py()
@@ -279,9 +286,9 @@ def sorted_ranges(contexts: DataFrame, span: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["blob", "start", "end"])
 
         held = None
-        for batch in batches:
+        for batch in sliced(batches):
             held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            if len(held) < 20_000:
+            if len(held) < 4_000:
                 continue
             a = held.column("a").to_numpy()
             cut = int(np.searchsorted(a, a[-1]))  # the last anchor's rows may go on
@@ -298,7 +305,7 @@ def counted_ranges(contexts: DataFrame, span: int) -> DataFrame:
     """The same for anchors with very many contexts: their strings are counted by hash."""
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[list[np.ndarray]] = [[], [], []]
             for blob, first, last, context in zip(*(batch.column(c).to_pylist() for c in range(4))):
                 raw = np.frombuffer(context, np.uint8)
@@ -355,14 +362,14 @@ def remove(docs: DataFrame, span: int = 200, keep_text: bool = True) -> DataFram
     bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(ranges))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             raws = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             blobs = [blob_of(r) for r in raws]
             hit = [len(r) >= span and passes(bits.value, b) for r, b in zip(raws, blobs)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.int64()), pa.array(map(len, raws), pa.int64()), pa.array([r if h or keep_text else None for r, h in zip(raws, hit)], pa.binary()), pa.array([None if h else hashlib.sha256(r).hexdigest() for r, h in zip(raws, hit)], pa.string())], names=["doc_id", "blob", "n_bytes", "raw", "sha"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc_id, n, raw, sha, pairs in zip(*(batch.column(c).to_pylist() for c in range(5))):
                 parts, at, removed, spans = [], 0, 0, 0
