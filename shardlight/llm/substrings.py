@@ -77,10 +77,15 @@ def runs(raw: np.ndarray, span: int) -> Iterator[tuple[np.ndarray, ...]]:
 
 
 def anchors(docs: DataFrame, span: int) -> DataFrame:
-    """a, c, blob, at: the runs of each text. A task emits a text twice at most: more copies change nothing."""
+    """a, c, blob, at, vote: the runs of each text. A task emits a text twice at most: more copies change nothing.
+
+    vote is false where the task has already seen two runs of this anchor and context: such a run surely repeats,
+    and others need not count it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
+        often = np.zeros(0, np.uint64)
         for batch in sliced(batches):
             out: list[list[np.ndarray]] = [[], [], [], []]
             for text in batch.column(0).to_pylist():
@@ -97,9 +102,17 @@ def anchors(docs: DataFrame, span: int) -> DataFrame:
                     for o, v in zip(out, (a, c, np.full(len(a), blob, np.int64), first << 20 | (last - first) << 10 | place - first)):
                         o.append(v)
             cols = [np.concatenate(o) if o else np.zeros(0, np.int64) for o in out]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "c", "blob", "at"])
+            key = mix64(cols[0].view(np.uint64)) ^ cols[1].view(np.uint64)
+            kinds, at, n = np.unique(key, return_inverse=True, return_counts=True)
+            order = np.argsort(at, kind="stable")
+            nth = np.empty(len(key), np.int64)
+            nth[order] = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
+            vote = (nth < 2) & ~np.isin(kinds, often)[at]
+            if len(often) < 200_000:
+                often = np.union1d(often, kinds[n > 1])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(vote)], names=["a", "c", "blob", "at", "vote"])
 
-    return docs.select("text").mapInArrow(run, "a long, c long, blob long, at long")
+    return docs.select("text").mapInArrow(run, "a long, c long, blob long, at long, vote boolean")
 
 
 def hot_anchors(docs: DataFrame, span: int, sample: int = 2000) -> list[int]:
@@ -301,26 +314,46 @@ def sorted_ranges(contexts: DataFrame, span: int) -> DataFrame:
     return contexts.repartition("a").sortWithinPartitions("a").select("a", "blob", "first", "left", "last", "context").mapInArrow(run, "blob long, start long, end long")
 
 
-def counted_ranges(contexts: DataFrame, span: int) -> DataFrame:
-    """The same for anchors with very many contexts: their strings are counted by hash."""
+def counted_ranges(contexts: DataFrame, span: int, stretch: int = 16) -> DataFrame:
+    """The same for anchors with very many contexts: their strings are counted by hash.
+
+    A context is cut where the distance to the anchor is a multiple of stretch. Stretches that repeat go as a
+    whole; one of each kind is taken apart into its strings, and these are counted.
+    """
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            out: list[list[np.ndarray]] = [[], [], []]
-            for blob, first, last, context in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            rows = []
+            for blob, first, left, last, context in zip(*(batch.column(c).to_pylist() for c in range(5))):
                 raw = np.frombuffer(context, np.uint8)
-                s = np.arange(last + 1)
-                value = np.zeros(last + 1, np.uint64)
-                for powers in (FIRST, SECOND):
-                    sums, down = prefix(raw, powers)
-                    value = mix64(value + (sums[s + span] - sums[s]) * down[s])
-                for o, v in zip(out, (value.astype(np.int64), np.full(last + 1, blob, np.int64), first + s)):
-                    o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o) if o else [], pa.int64()) for o in out], names=["h", "blob", "start"])
-
-    each = contexts.select("blob", "first", "last", "context").mapInArrow(strings, "h long, blob long, start long")
-    again = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    return each.join(again, "h", "left_semi").select("blob", "start", (F.col("start") + span).alias("end"))
+                both = [prefix(raw, powers) for powers in (FIRST, SECOND)]
+
+                def of(a: np.ndarray, b: np.ndarray, both=both) -> np.ndarray:
+                    value = np.zeros(len(a), np.uint64)
+                    for sums, down in both:
+                        value = mix64(value + (sums[b] - sums[a]) * down[a])
+                    return value
+
+                start = np.arange(last + 1)
+                h = of(start, start + span).view(np.int64)
+                block = (left - start) // stretch
+                a = np.flatnonzero(np.diff(block, prepend=block[0] + 1))
+                b = np.r_[a[1:], last + 1]
+                name = mix64(of(a, b - 1 + span) ^ mix64((left - a).astype(np.uint64) << U(32) | (b - a).astype(np.uint64))).view(np.int64)
+                rows += [(int(s), blob, first + int(x), int(y - x), h[x:y]) for s, x, y in zip(name, a, b)]
+            cols = list(zip(*rows)) or [[]] * 5
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["s", "blob", "start", "n", "h"])
+
+    each = contexts.select("blob", "first", "left", "last", "context").mapInArrow(strings, "s long, blob long, start long, n int, h array<long>")
+    each = written(each, "stretches")
+    kinds = each.groupBy("s").agg(F.count(F.lit(1)).alias("times"), F.first("blob").alias("blob"), F.first("start").alias("start"), F.first("h").alias("h"))
+    again = each.groupBy("s").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("s")
+    whole = each.join(again, "s", "left_semi").select("blob", "start", (F.col("start") + F.col("n") - 1 + span).alias("end"))
+    single = kinds.select("times", "blob", "start", F.posexplode("h").alias("k", "h"))
+    repeats = single.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
+    at = F.col("start") + F.col("k")
+    return whole.unionByName(single.where("times = 1").join(repeats, "h", "left_semi").select("blob", at.alias("start"), (at + span).alias("end")))
 
 
 def repeated_ranges(docs: DataFrame, span: int = 200) -> DataFrame:
@@ -333,12 +366,15 @@ def repeated_ranges(docs: DataFrame, span: int = 200) -> DataFrame:
         rows = rows.join(F.broadcast(listed), "a", "left").withColumn("salt", F.when(F.col("hot"), F.col("c").bitwiseAND(255)).otherwise(F.lit(0)))
     else:
         rows = rows.withColumns({"hot": F.lit(None).cast("boolean"), "salt": F.lit(0).cast("long")})
-    # Rows of one anchor meet; those of a hot one meet by context only, which is all they need.
+    # Rows of one anchor meet; those of a hot one meet by context only, which is all they need, and those without
+    # a vote, which are known to repeat, are dealt out evenly.
+    rows = rows.withColumn("salt", F.when(F.col("vote"), F.col("salt")).otherwise(F.xxhash64("blob", "at")))
     one, same = Window.partitionBy("a", "salt"), Window.partitionBy("a", "salt", "c")
     known = rows.withColumns({"same": F.count(F.lit(1)).over(same), "nth": F.row_number().over(same.orderBy("blob", "at"))})
     known = known.withColumns({"all": F.count(F.lit(1)).over(one), "kinds": F.sum(F.when(F.col("nth") == 1, 1)).over(one)})
     hot_row = F.coalesce("hot", F.lit(False))
-    known = known.where(hot_row | (F.col("all") > 1)).select("blob", "at", "a", (F.col("same") > 1).alias("whole"), ((F.col("nth") == 1) & (hot_row | (F.col("kinds") > 1))).alias("open"), (hot_row | (F.col("kinds") > MOST)).alias("many"))
+    mute = ~F.col("vote")
+    known = known.where(mute | hot_row | (F.col("all") > 1)).select("blob", "at", "a", (mute | (F.col("same") > 1)).alias("whole"), (F.col("vote") & (F.col("nth") == 1) & (hot_row | (F.col("kinds") > 1))).alias("open"), (hot_row | (F.col("kinds") > MOST)).alias("many"))
     known = written(known, "runs")
     del rows
     free_shuffles(spark)
