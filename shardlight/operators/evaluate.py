@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, tokens
@@ -32,6 +32,19 @@ def exploded(lines: DataFrame) -> DataFrame:
     return lines.select(F.from_json("value", GOLDEN).alias("g")).select("g.query", F.explode("g.relevant_chunk_ids").alias("chunk_id"))
 
 
+def write_golden(sets: DataFrame, path: str) -> None:
+    """A golden set as JSON, one object a line; it is a bounded sample, so one file holds it."""
+    sets.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_golden(spark: SparkSession, path: str) -> DataFrame:
+    """query, relevant_chunk_ids of JSON lines, or of one JSON array over several lines."""
+    lines = spark.read.schema("query string, relevant_chunk_ids array<string>").json(path, mode="PERMISSIVE")
+    if lines.where("query is not null").isEmpty():
+        return spark.read.schema(lines.schema).json(path, multiLine=True)
+    return lines
+
+
 def hits(relevant: DataFrame, retrieved: DataFrame) -> DataFrame:
     """mode, query_id, rank, hit of the retrieved, for the queries that have relevant documents."""
     known = retrieved.join(relevant.select("query_id").distinct(), "query_id", "left_semi")

@@ -146,3 +146,11 @@ def test_missing_source_reads_none(spark):
 def test_strip_takes_all_white_space(spark):
     assert spark.range(1).select(T.strip(F.lit(" \n\tx y\t\n"))).first()[0] == "x y"
     assert spark.range(1).select(T.strip(F.lit(" "))).first()[0] == ""
+
+
+def test_golden_files(spark, tmp_path):
+    sets = spark.createDataFrame([("où est", ["a", "b"]), ("q", ["c"])], "query string, relevant_chunk_ids array<string>")
+    evaluate.write_golden(sets, str(tmp_path / "g"))
+    assert sorted(r.query for r in evaluate.read_golden(spark, str(tmp_path / "g")).collect()) == ["où est", "q"]
+    (tmp_path / "one.json").write_text('[\n {"query": "x",\n  "relevant_chunk_ids": ["1"]}\n]')
+    assert evaluate.read_golden(spark, str(tmp_path / "one.json")).collect()[0].relevant_chunk_ids == ["1"]
