@@ -12,6 +12,7 @@ Null text is empty (one end id); an empty table gives an empty table; repeated r
 from __future__ import annotations
 
 import bisect
+import itertools
 import os
 import re
 import zlib
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import docs_of, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a worker keeps; later unknown words are encoded each time.
-CACHE = 300_000
+#: Parts of words whose ids a worker keeps; later unknown ones are encoded each time.
+CACHE = 800_000
 _WORKER: dict = {}
 
 
@@ -37,56 +38,88 @@ def tokenizer(path: str):
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _WORKER[path] = (t, {}, {})
+        blank = np.zeros(t.get_vocab_size(), bool)
+        blank[[i for piece, i in t.get_vocab().items() if piece.startswith("\u0120")]] = True
+        _WORKER[path] = (t, blank, {}, {})
     return _WORKER[path]
 
 
+def encode_words(t, blank: np.ndarray, words: list[str]) -> list[bytes]:
+    """Ids of each word with a blank before it: one run over all, cut where a piece starts with the blank."""
+    ids = np.asarray(t.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+    starts = np.flatnonzero(blank[ids])
+    if len(starts) != len(words) or len(ids) and starts[0]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in t.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
+    raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+    return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def encode_ids(texts: list[str], path: str) -> list[bytes]:
     """Little-endian uint32 ids of each text, without the end id.
 
-    The vocabulary's pre-tokens start at a single space before a word, so a text without adjacent white space is
-    the concatenation of its space-led words, which are looked up; other texts are encoded whole.
+    The vocabulary's pre-tokens start at a single space before a word, at a single line end and at marks after a
+    letter or digit. So a text without adjacent white space is the concatenation of the ids of its space-led
+    words, and those of the ids of their parts, which a worker keeps; other texts are encoded whole.
     """
-    t, led, first = tokenizer(path)
-
-    def fill(known: dict, words: set, lead: str) -> dict:
-        new = list(words.difference(known))
-        got = {}
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            ids = t.encode_batch_fast([lead + w for w in part], add_special_tokens=False)
-            got.update(zip(part, (np.asarray(e.ids, "<u4").tobytes() for e in ids)))
-        if len(known) + len(got) <= CACHE:
-            known.update(got)
-            return known
-        return _Both(known, got)
-
+    t, blank, led, bare = tokenizer(path)
     out: list[bytes | None] = [None] * len(texts)
-    split = {}
+    split: dict[int, list[str]] = {}
     for i, text in enumerate(texts):
-        if text and _SPACES(text) is None:
+        if not text:
+            out[i] = b""
+        elif _SPACES(text) is None:
             split[i] = text.split(" ")
-        elif text:
-            out[i] = np.asarray(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
         else:
-            out[i] = b""
-    if split:
-        a = fill(first, {w[0] for w in split.values()}, "")
-        b = fill(led, set().union(*(w[1:] for w in split.values())), " ")
-        for i, words in split.items():
-            out[i] = a[words[0]] + b"".join(map(b.__getitem__, words[1:]))
+            out[i] = np.asarray(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+    heads = {w[0] for w in split.values()}
+    words = set().union(*split.values())
+    parts = {w: _parts(w) for w in words}
+    need_led = {p[0] for p in parts.values()}
+    need_bare = {x for p in parts.values() for x in p[1:]}.union(*(parts[w][:1] for w in heads))
+    new_led, new_bare = list(need_led.difference(led)), list(need_bare.difference(bare))
+    led_ids, bare_ids = [], []
+    for k in range(0, len(new_led), 512):
+        led_ids += encode_words(t, blank, new_led[k : k + 512])
+    for k in range(0, len(new_bare), 4096):
+        bare_ids += [np.asarray(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(new_bare[k : k + 4096], add_special_tokens=False)]
+    a, b = _kept(led, dict(zip(new_led, led_ids))), _kept(bare, dict(zip(new_bare, bare_ids)))
+    ids = {w: a[p[0]] if len(p) == 1 else a[p[0]] + b"".join([b[x] for x in p[1:]]) for w, p in parts.items()}
+    for i, ws in split.items():
+        out[i] = b"".join([b[x] for x in parts[ws[0]]]) + b"".join(map(ids.__getitem__, ws[1:]))
     return out
 
 
-class _Both(dict):
-    def __init__(self, known: dict, more: dict):
-        super().__init__(more)
-        self.known = known
+def _parts(word: str) -> tuple[str, ...]:
+    """Cut a word where pre-tokens always end: at line ends, and before marks that follow a letter or digit."""
+    if "\n" in word:
+        out: list[str] = []
+        for k, line in enumerate(word.split("\n")):
+            if k:
+                out.append("\n")
+            if line or not k:
+                out += _parts(line)
+        return tuple(out)
+    stem = word.rstrip(_MARKS)
+    return (stem, word[len(stem) :]) if len(stem) < len(word) and stem and stem[-1].isalnum() else (word,)
+
+
+class _Known(dict):
+    """What is new, before what a worker keeps."""
 
     def __missing__(self, key):
-        return self.known[key]
+        return self.kept[key]
+
+
+def _kept(known: dict, new: dict) -> dict:
+    known.update(itertools.islice(new.items(), max(0, CACHE - len(known))))
+    if len(new) <= len(known) and all(k in known for k in new):
+        return known
+    both = _Known(new)
+    both.kept = known
+    return both
 
 
+_MARKS = ".,;:!?*#$%&|-()[]{}\"/\\+=<>@^_~`"
 _SPACES = re.compile(r"\s\s").search
 
 
