@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,8 +33,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete what written() wrote for frames that nothing reads any more."""
+    for df in frames:
+        for file in df.inputFiles()[:1]:
+            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let the context cleaner drop shuffle files of jobs whose frames are gone."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
@@ -24,7 +24,9 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         large = written(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
+        old = edges
         edges = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "small")
+        discard(old, large)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break

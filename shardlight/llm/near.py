@@ -1,10 +1,11 @@
 """N-gram Jaccard join by parity sketches.
 
 A document is its set of word-shingle hashes; equal sets form a class. Two sets with Jaccard index of at least the
-threshold differ in at most k = (1-t)/(1+t) * (sum of sizes) elements. In each size band a set is XOR-hashed into
-k+1 words of 64 bits, every shingle flipping one bit: the Hamming distance of two sketches is at most the
-difference of the sets, so at least one of the k+1 words is equal (pigeonhole). Classes that share a word of a
-sketch are candidates, verified on the whole sets.
+threshold differ in at most k = (1-t)/(1+t) * (sum of sizes) elements. In each size band a set is dealt to more
+than k parts and XOR-hashed there, every shingle flipping one bit of its part's word: the Hamming distance of two
+sketches is at most the difference of the sets, and so is the number of parts that differ (pigeonhole). Classes
+that share the XOR of all hashes of a part are candidates, verified on the whole sets. Of k+1+2z parts a set skips
+its first z empty ones: 1+2z parts are equal, two sets skip 2z of them at most, and one is left to meet in.
 
 Groups of a shared word are linked without all their pairs: members are compared with the member that shares the
 most words, twice; after each round, members that are already connected need no comparison. What is left is
@@ -17,6 +18,7 @@ one class; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import docs_of, free_shuffles, mix64, word_hashes, written
+from .common import discard, docs_of, free_shuffles, mix64, word_hashes, written
 from .graph import components
 
 SOLID = np.array([c != 32 and not 9 <= c <= 13 for c in range(256)])
@@ -37,7 +39,7 @@ class Measure:
     """Shingle width and threshold as hundredths."""
 
     def __init__(self, width: int = 4, hundredths: int = 85):
-        self.width, self.t = width, hundredths
+        self.width, self.t, self.known = width, hundredths, {}
         self.bounds = [1]
         while self.bounds[-1] < 1 << 40:
             self.bounds.append(-(-self.bounds[-1] * 100 // hundredths) + (self.bounds[-1] * 100 % hundredths == 0))
@@ -64,29 +66,46 @@ class Measure:
         both = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
         return 100 * both >= self.t * (len(a) + len(b) - both)
 
-    def bands(self, n: int) -> list[tuple[int, int]]:
-        """(band, k) where a set of n meets others: its own size band, and the next as the smaller set."""
+    def bands(self, n: int) -> list[tuple[int, int, int]]:
+        """(band, k, z) where a set of n meets others: its own size band, and the next as the smaller set."""
         i = int(np.searchsorted(self.bounds, n, "right")) - 1
-        out = []
-        for g in (i, i + 1):
-            k = (100 - self.t) * 2 * (self.bounds[g + 1] - 1) // (100 + self.t)
-            if k:
-                out.append((g, k))
-        return out
+        return [(g, *self.parts(g)) for g in (i, i + 1) if self.parts(g)[0]]
 
-    def sketch(self, s: np.ndarray, k: int) -> np.ndarray:
-        """k+1 words; each element flips one bit."""
-        part = ((s >> np.uint64(32)) * np.uint64(k + 1) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        starts = np.flatnonzero(np.diff(part[order], prepend=-1))
-        out = np.zeros(k + 1, np.uint64)
-        if len(order):
-            out[part[order][starts]] = np.bitwise_xor.reduceat(np.uint64(1) << (s[order] & np.uint64(63)), starts)
-        return out
+    def parts(self, g: int) -> tuple[int, int]:
+        """k and z of a band; z is what leaves the fewest sets with more than z empty parts."""
+        if g not in self.known:
+            k = (100 - self.t) * 2 * (self.bounds[g + 1] - 1) // (100 + self.t)
 
-    def keys(self, band: int, sketch: np.ndarray) -> np.ndarray:
-        place = np.arange(len(sketch), dtype=np.uint64) + np.uint64(band << 40)
-        return mix64(mix64(sketch) ^ mix64(place + np.uint64(1))).astype(np.int64)
+            def over(z: int) -> float:
+                p = k + 1 + 2 * z
+                mean = p * math.exp(-self.bounds[max(g - 1, 0)] / p)
+                return 1 - sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(z + 1))
+
+            self.known[g] = (k, min(range(9), key=lambda z: (round(over(z), 4), z)))
+        return self.known[g]
+
+    def sketch(self, s: np.ndarray, k: int, z: int) -> np.ndarray:
+        """A word of bits for each part. s ascends, and so do its parts."""
+        p = k + 1 + 2 * z
+        part = ((s >> np.uint64(32)) * np.uint64(p) >> np.uint64(32)).astype(np.int64)
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        bits = np.zeros(p, np.uint64)
+        if len(s):
+            bits[part[starts]] = np.bitwise_xor.reduceat(np.uint64(1) << (s & np.uint64(63)), starts)
+        return bits
+
+    def keys(self, band: int, k: int, z: int, s: np.ndarray) -> np.ndarray:
+        """One key for each part that is not skipped."""
+        p = k + 1 + 2 * z
+        part = ((s >> np.uint64(32)) * np.uint64(p) >> np.uint64(32)).astype(np.int64)
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        full, empty = np.zeros(p, np.uint64), np.ones(p, bool)
+        if len(s):
+            full[part[starts]] = np.bitwise_xor.reduceat(s, starts)
+            empty[part[starts]] = False
+        empty[np.flatnonzero(empty)[z:]] = False
+        place = np.arange(p, dtype=np.uint64) + np.uint64(band << 40)
+        return mix64(full + mix64(place + np.uint64(1)))[~empty].astype(np.int64)
 
 
 def _frame(names: list[str], types: list[pa.DataType], cols: list) -> pa.RecordBatch:
@@ -118,9 +137,9 @@ def keys_of(docs: DataFrame, m: Measure) -> DataFrame:
                     continue
                 if len(seen) < 200_000:
                     seen.add(c)
-                for band, k in m.bands(len(s)):
-                    keys.append(m.keys(band, m.sketch(s, k)))
-                    cls.append(np.full(k + 1, c, np.int64))
+                for band in m.bands(len(s)):
+                    keys.append(m.keys(*band, s))
+                    cls.append(np.full(len(keys[-1]), c, np.int64))
                 if len(keys) >= 2000:
                     yield _frame(["key", "cls"], [pa.int64()] * 2, [np.concatenate(keys), np.concatenate(cls)])
                     keys, cls = [], []
@@ -170,23 +189,30 @@ def verified(pairs: DataFrame, texts: DataFrame, m: Measure) -> DataFrame:
     return pairs.join(own("b"), "b").join(own("a").hint("merge"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def hung(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Pairs (a: the member of its group that shares most words, b: each member of another component)."""
-    weight = groups.groupBy("cls").agg(F.count(F.lit(1)).alias("weight"))
-    g = groups.join(weight, "cls")
-    if labels is not None:
-        g = g.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    else:
-        g = g.withColumn("component", F.col("cls"))
-    lead = g.groupBy("key").agg(F.max(F.struct("weight", "cls", "component")).alias("lead"))
-    return g.join(lead, "key").where(F.col("component") != F.col("lead.component")).select(F.col("lead.cls").alias("a"), F.col("cls").alias("b")).distinct()
+def labelled(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """groups with the component of each class: that of labels, or itself."""
+    if labels is None:
+        return groups.withColumn("component", F.col("cls"))
+    return groups.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+
+
+def leaders(members: DataFrame) -> DataFrame:
+    """key, lead, own: of each group (key, cls, component) the member that shares most words, and its component."""
+    weight = members.groupBy("cls").agg(F.count(F.lit(1)).alias("weight"))
+    best = members.join(weight, "cls").groupBy("key").agg(F.max(F.struct("weight", "cls", "component")).alias("best"))
+    return best.select("key", F.col("best.cls").alias("lead"), F.col("best.component").alias("own"))
 
 
-def unsettled(groups: DataFrame, labels: DataFrame) -> DataFrame:
+def hung(members: DataFrame, lead: DataFrame) -> DataFrame:
+    """Pairs (a < b) of a leader and each member of another component."""
+    pairs = members.join(lead, "key").where("component <> own")
+    return pairs.select(F.least("lead", "cls").alias("a"), F.greatest("lead", "cls").alias("b")).distinct()
+
+
+def unsettled(members: DataFrame) -> DataFrame:
     """Members of the groups that still hold more than one component."""
-    g = groups.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    mixed = g.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    return g.join(mixed, "key", "left_semi")
+    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return members.join(mixed, "key", "left_semi")
 
 
 def crossed(rest: DataFrame, texts: DataFrame, m: Measure) -> DataFrame:
@@ -203,13 +229,12 @@ def crossed(rest: DataFrame, texts: DataFrame, m: Measure) -> DataFrame:
         k, i, j = (x.as_py() for x in key)
         cls, own, comp = (group.column(c).to_numpy() for c in ("cls", "own", "component"))
         sets = [m.shingles(t) for t in group.column("text").to_pylist()]
-        at = next(((g, d) for s in sets[:1] for g, d in m.bands(len(s)) if k in m.keys(g, m.sketch(s, d))), None)
+        band = next((g for s in sets[:1] for g in m.bands(len(s)) if k in m.keys(*g, s)), None)
         a, b = [], []
-        if at:
-            band, d = at
-            sketches = np.stack([m.sketch(s, d) for s in sets])
+        if band:
+            sketches = np.stack([m.sketch(s, *band[1:]) for s in sets])
+            keyed = [set(m.keys(*band, s).tolist()) for s in sets]
             n = np.array([len(s) for s in sets])
-            spot = int(np.flatnonzero(m.keys(band, sketches[0]) == k)[0])
             for x in range(len(cls)):
                 others = np.flatnonzero((cls > cls[x]) & (comp != comp[x]) & ((own == own[x]) if i == j else (own != own[x])))
                 others = others[(100 * np.minimum(n[others], n[x]) >= m.t * np.maximum(n[others], n[x]))]
@@ -217,10 +242,10 @@ def crossed(rest: DataFrame, texts: DataFrame, m: Measure) -> DataFrame:
                     continue
                 apart = sketches[others] ^ sketches[x]
                 near = np.bitwise_count(apart).sum(1) * (100 + m.t) <= (100 - m.t) * (n[others] + n[x])
-                first = (apart == 0).argmax(1) == spot
-                for y in others[near & first]:
-                    a.append(cls[x])
-                    b.append(cls[y])
+                for y in others[near]:
+                    if min(keyed[x] & keyed[y]) == k:  # of the groups that two share, one compares them
+                        a.append(cls[x])
+                        b.append(cls[y])
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
@@ -239,18 +264,24 @@ def join(docs: DataFrame, width: int = 4, hundredths: int = 85) -> DataFrame:
     wanted = sets.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(groups.select("cls").distinct(), "cls", "left_semi")
     texts = written(texts_of(docs, wanted, m), "texts")
     links = tested = labels = None
-    rest = groups
+    rest = labelled(groups, None)
     for _ in range(2):
-        pairs = hung(rest.select("key", "cls"), labels).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        lead = written(leaders(rest), "leaders")
+        pairs = hung(rest, lead)
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = written(verified(pairs, texts, m), "links")
         links = found if links is None else links.unionByName(found)
         labels = written(components(links), "labels")
-        rest = written(unsettled(groups, labels), "rest")
+        # A leader has met its whole group, and the others go on without it.
+        left = rest.join(lead.select("key", F.col("lead").alias("cls")), ["key", "cls"], "left_anti").select("key", "cls")
+        rest = written(unsettled(labelled(left, labels)), "rest")
+        free_shuffles(spark)
     last = crossed(rest, texts, m).join(tested, ["a", "b"], "left_anti")
     links = links.unionByName(written(verified(written(last, "crossed"), texts, m), "links"))
-    labels = components(links)
+    labels = written(components(links), "labels")
+    discard(texts, groups)
+    free_shuffles(spark)
     least = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first")).join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     first = least.groupBy("component").agg(F.min("first").alias("component_id"))
     names = least.select("cls", "component").join(first, "component").select("cls", "component_id")
