@@ -2,15 +2,15 @@
 
 A document is its set of word-shingle hashes; equal sets form a class. Two sets with Jaccard index of at least the
 threshold differ in at most k = (1-t)/(1+t) * (sum of sizes) elements. In each size band a set is dealt to more
-than k parts and XOR-hashed there, every shingle flipping one bit of its part's word: the Hamming distance of two
-sketches is at most the difference of the sets, and so is the number of parts that differ (pigeonhole). Classes
-that share the XOR of all hashes of a part are candidates, verified on the whole sets. Of k+1+2z parts a set skips
-its first z empty ones: 1+2z parts are equal, two sets skip 2z of them at most, and one is left to meet in.
+than k parts and XOR-hashed there: at most k parts differ (pigeonhole), and classes that share the XOR of a part
+are candidates. Of k+1+2z parts a set skips its first z empty ones: 1+2z parts are equal, two sets skip 2z of them
+at most, and one is left to meet in. A parity sketch of fixed size, in which every shingle flips one bit, sifts the
+candidates, as its Hamming distance is at most the difference of the sets; the rest is verified on whole sets.
 
 Groups of a shared word are linked without all their pairs: members are compared with the member that shares the
 most words, twice; after each round, members that are already connected need no comparison. What is left is
-compared in blocks of bounded size by the Hamming distance of sketches, each pair once, and the pairs within the
-bound are verified. No link between different components is lost.
+compared in blocks of bounded size by the Hamming distance of sketches, and the pairs within the bound are
+verified. No link between different components is lost.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing; repeated rows are
 one class; an empty table gives an empty table.
@@ -33,6 +33,8 @@ SOLID = np.array([c != 32 and not 9 <= c <= 13 for c in range(256)])
 #: Bits of the filter that picks candidate documents in the scan; more candidates make it pass more, never less.
 FILTER_BITS = 1 << 23
 BLOCK = 512
+#: Words of the parity sketch by which pairs are sifted before their texts meet.
+SKETCH = 16
 
 
 class Measure:
@@ -84,15 +86,10 @@ class Measure:
             self.known[g] = (k, min(range(9), key=lambda z: (round(over(z), 4), z)))
         return self.known[g]
 
-    def sketch(self, s: np.ndarray, k: int, z: int) -> np.ndarray:
-        """A word of bits for each part. s ascends, and so do its parts."""
-        p = k + 1 + 2 * z
-        part = ((s >> np.uint64(32)) * np.uint64(p) >> np.uint64(32)).astype(np.int64)
-        starts = np.flatnonzero(np.diff(part, prepend=-1))
-        bits = np.zeros(p, np.uint64)
-        if len(s):
-            bits[part[starts]] = np.bitwise_xor.reduceat(np.uint64(1) << (s & np.uint64(63)), starts)
-        return bits
+    def sketch(self, s: np.ndarray) -> np.ndarray:
+        """SKETCH words of parity bits; each element flips one bit."""
+        bits = np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+        return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
 
     def keys(self, band: int, k: int, z: int, s: np.ndarray) -> np.ndarray:
         """One key for each part that is not skipped."""
@@ -113,14 +110,15 @@ def _frame(names: list[str], types: list[pa.DataType], cols: list) -> pa.RecordB
 
 
 def sets_of(docs: DataFrame, m: Measure) -> DataFrame:
-    """doc_id, cls, n of every row."""
+    """doc_id, cls, n, sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(m.name(s), len(s)) for s in map(m.shingles, batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=["doc_id", "cls", "n"])
+            got = [(m.name(s), len(s), m.sketch(s).view(np.int64)) for s in map(m.shingles, batch.column(1).to_pylist())]
+            cols = [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "cls", "n", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, cls long, n long")
+    return docs.mapInArrow(run, "doc_id long, cls long, n long, sketch array<long>")
 
 
 def keys_of(docs: DataFrame, m: Measure) -> DataFrame:
@@ -215,38 +213,36 @@ def unsettled(members: DataFrame) -> DataFrame:
     return members.join(mixed, "key", "left_semi")
 
 
-def crossed(rest: DataFrame, texts: DataFrame, m: Measure) -> DataFrame:
-    """Pairs of different components in the same group whose sketches are within the bound, each once.
+def sifted(pairs: DataFrame, sketches: DataFrame, m: Measure) -> DataFrame:
+    """The pairs whose sizes and Hamming distance allow a link."""
+    own = lambda c: sketches.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    met = pairs.join(own("a"), "a").join(own("b"), "b")
+    return met.where((100 * F.least("n_a", "n_b") >= m.t * F.greatest("n_a", "n_b")) & (apart * (100 + m.t) <= (100 - m.t) * (F.col("n_a") + F.col("n_b")))).select("a", "b")
+
+
+def crossed(rest: DataFrame, sketches: DataFrame, m: Measure) -> DataFrame:
+    """Pairs of different components in the same group whose sketches are within the bound.
 
     Members are dealt to blocks by hash, and each pair of blocks of a group is a group of its own.
     """
-    sized = rest.join(rest.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key").join(texts, "cls")
+    sized = rest.join(rest.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key").join(sketches, "cls")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     dealt = sized.withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "component", "text")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "component", "n", "sketch")
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        k, i, j = (x.as_py() for x in key)
-        cls, own, comp = (group.column(c).to_numpy() for c in ("cls", "own", "component"))
-        sets = [m.shingles(t) for t in group.column("text").to_pylist()]
-        band = next((g for s in sets[:1] for g in m.bands(len(s)) if k in m.keys(*g, s)), None)
+        _, i, j = (x.as_py() for x in key)
+        cls, own, comp, n = (group.column(c).to_numpy() for c in ("cls", "own", "component", "n"))
+        sketch = group.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(cls), SKETCH)
         a, b = [], []
-        if band:
-            sketches = np.stack([m.sketch(s, *band[1:]) for s in sets])
-            keyed = [set(m.keys(*band, s).tolist()) for s in sets]
-            n = np.array([len(s) for s in sets])
-            for x in range(len(cls)):
-                others = np.flatnonzero((cls > cls[x]) & (comp != comp[x]) & ((own == own[x]) if i == j else (own != own[x])))
-                others = others[(100 * np.minimum(n[others], n[x]) >= m.t * np.maximum(n[others], n[x]))]
-                if not len(others):
-                    continue
-                apart = sketches[others] ^ sketches[x]
-                near = np.bitwise_count(apart).sum(1) * (100 + m.t) <= (100 - m.t) * (n[others] + n[x])
-                for y in others[near]:
-                    if min(keyed[x] & keyed[y]) == k:  # of the groups that two share, one compares them
-                        a.append(cls[x])
-                        b.append(cls[y])
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for x in range(len(cls)):
+            others = np.flatnonzero((cls > cls[x]) & (comp != comp[x]) & ((own == own[x]) if i == j else (own != own[x])) & (100 * np.minimum(n, n[x]) >= m.t * np.maximum(n, n[x])))
+            apart = np.bitwise_count(sketch[others] ^ sketch[x]).sum(1, dtype=np.int64)
+            near = others[apart * (100 + m.t) <= (100 - m.t) * (n[others] + n[x])]
+            a.append(np.full(len(near), cls[x]))
+            b.append(cls[near])
+        return pa.table([pa.array(np.concatenate(c), pa.int64()) for c in (a, b)], names=["a", "b"])
 
     return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
@@ -263,6 +259,8 @@ def join(docs: DataFrame, width: int = 4, hundredths: int = 85) -> DataFrame:
     free_shuffles(spark)
     wanted = sets.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(groups.select("cls").distinct(), "cls", "left_semi")
     texts = written(texts_of(docs, wanted, m), "texts")
+    sketches = sets.where("n > 0").join(groups.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "n", "sketch")
+    sketches = written(sketches, "sketches")
     links = tested = labels = None
     rest = labelled(groups, None)
     for _ in range(2):
@@ -270,14 +268,14 @@ def join(docs: DataFrame, width: int = 4, hundredths: int = 85) -> DataFrame:
         pairs = hung(rest, lead)
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = written(verified(pairs, texts, m), "links")
+        found = written(verified(sifted(pairs, sketches, m), texts, m), "links")
         links = found if links is None else links.unionByName(found)
         labels = written(components(links), "labels")
         # A leader has met its whole group, and the others go on without it.
         left = rest.join(lead.select("key", F.col("lead").alias("cls")), ["key", "cls"], "left_anti").select("key", "cls")
         rest = written(unsettled(labelled(left, labels)), "rest")
         free_shuffles(spark)
-    last = crossed(rest, texts, m).join(tested, ["a", "b"], "left_anti")
+    last = crossed(rest, sketches, m).join(tested, ["a", "b"], "left_anti")
     links = links.unionByName(written(verified(written(last, "crossed"), texts, m), "links"))
     labels = written(components(links), "labels")
     discard(texts, groups)
@@ -285,8 +283,8 @@ def join(docs: DataFrame, width: int = 4, hundredths: int = 85) -> DataFrame:
     least = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first")).join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     first = least.groupBy("component").agg(F.min("first").alias("component_id"))
     names = least.select("cls", "component").join(first, "component").select("cls", "component_id")
-    named = sets.where("n > 0").join(names, "cls")
-    empty = sets.where("n = 0").withColumn("component_id", F.col("doc_id"))
+    named = sets.where("n > 0").select("doc_id", "cls", "n").join(names, "cls")
+    empty = sets.where("n = 0").select("doc_id", "cls", "n").withColumn("component_id", F.col("doc_id"))
     return named.unionByName(empty.select(named.columns)).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
