@@ -27,7 +27,9 @@ from .common import docs_of, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Parts of words whose ids a worker keeps; later unknown ones are encoded each time.
-CACHE = 800_000
+CACHE = 500_000
+#: Documents that are encoded together; what is made of their words is dropped after them.
+SLICE = 2000
 _WORKER: dict = {}
 
 
@@ -128,7 +130,7 @@ def pieces_of(docs: DataFrame, path: str, seq_len: int = 2048, end_id: int = 0)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.asarray([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode_ids(batch.column(1).to_pylist(), path)):
                 ids += end
