@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import free_shuffles, written
 
-LEVELS = 8192
+LEVELS = 1 << 16
 FILTER_BITS = 1 << 23
 
 
@@ -29,9 +29,11 @@ def words(line: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """An array of levels, by hash of a word: the logarithm of how often words of that hash occur in the table."""
+    """An array of levels, by hash of a word: the logarithm of how often the most frequent word of that hash occurs
+    in the table. Words that share an entry may look more frequent than they are, which only costs candidates."""
     each = docs.select(F.explode(F.split(F.lower("text"), "[ \\t\\n\\x0B\\f\\r]+")).alias("w"))
-    counts = each.groupBy(F.pmod(F.xxhash64("w"), F.lit(LEVELS)).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    words_ = each.groupBy(F.xxhash64("w").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    counts = words_.groupBy(F.pmod("w", F.lit(LEVELS)).alias("h")).agg(F.max("n").alias("n"))
     level = {r["h"]: r["n"].bit_length() for r in counts.collect()}
     return F.expr("cast(split('" + ",".join(str(level.get(h, 0)) for h in range(LEVELS)) + "', ',') as array<int>)")
 
