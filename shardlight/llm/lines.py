@@ -3,8 +3,8 @@
 A line is the set of its lower-cased words; a later line goes if an earlier one, in the order of (doc_id, line
 number) over the whole table, has a Jaccard index of at least the threshold with it. Words are 64-bit hashes led
 by their rarity (the level of a hashed count over all words), so that a sorted set begins with its rarest words.
-Two similar sets share a word of their prefixes, have near lengths, and find the word at near positions; what
-passes these filters is verified on whole sets. DataFrame functions only.
+Two similar sets share a word of their prefixes, have near lengths, and find the word at near positions; two
+parities of 64 bits sift what passes these filters, and the rest is verified on whole sets. DataFrame functions only.
 
 Lines of equal sets are one class, so copies are never paired. Each group of a prefix word is compared with its
 earliest class first; only classes that found no earlier match then meet the other earlier ones.
@@ -18,14 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, written
+from .common import discard, free_shuffles, written
 
 LEVELS = 1 << 16
 FILTER_BITS = 1 << 23
+LOW = (1 << 56) - 1
 
 
 def words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), "[ \\t\\x0B\\f\\r]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(line), "[ \\t\\x0B\\f\\r]+"), "")
 
 
 def rarity(docs: DataFrame) -> Column:
@@ -40,8 +41,9 @@ def rarity(docs: DataFrame) -> Column:
 
 def token_set(line: Column, levels: Column) -> Column:
     """The distinct words of a line as numbers, rarest first."""
-    number = lambda w: F.shiftleft(F.element_at(levels, (F.pmod(F.xxhash64(w), F.lit(LEVELS)) + 1).cast("int")).cast("long"), 56).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << 56) - 1)))
-    return F.sort_array(F.array_distinct(F.transform(words(line), number)))
+    level = lambda h: F.element_at(levels, (h.bitwiseAND(F.lit(LEVELS - 1)) + 1).cast("int")).cast("long")
+    hashes = F.transform(words(line), lambda w: F.xxhash64(w))
+    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(level(h), 56).bitwiseOR(h.bitwiseAND(F.lit(LOW))))))
 
 
 def needed(n: Column, t: int) -> Column:
@@ -49,11 +51,18 @@ def needed(n: Column, t: int) -> Column:
     return F.floor((n * t + 99) / 100)
 
 
+def parity(set_: Column, shift: int) -> Column:
+    """64 bits, of which each element flips one: two sets differ in at least as many elements as bits."""
+    flip = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, shift).bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(set_, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(flip(h)))
+
+
 def lines_of(docs: DataFrame, levels: Column, t: int, least: int) -> DataFrame:
-    """doc_id, tag (of the text), line, cls, n, prefix of the lines that take part."""
+    """doc_id, tag (of the text), line, cls, n, two parities and prefix of the lines that take part."""
     each = docs.select("doc_id", F.xxhash64("text").alias("tag"), F.posexplode(F.split("text", "\n")).alias("line", "s")).select("doc_id", "tag", "line", token_set(F.col("s"), levels).alias("set"))
     n = F.size("set")
-    return each.where(n >= least).select("doc_id", "tag", "line", F.xxhash64("set").alias("cls"), n.alias("n"), F.slice("set", F.lit(1), (n - needed(n, t) + 1).cast("int")).alias("prefix"))
+    prefix = F.slice("set", F.lit(1), (n - needed(n, t) + 1).cast("int"))
+    return each.where(n >= least).select("doc_id", "tag", "line", F.xxhash64("set").alias("cls"), n.alias("n"), parity(F.col("set"), 0).alias("p"), parity(F.col("set"), 20).alias("q"), prefix.alias("prefix"))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, levels: Column) -> DataFrame:
@@ -68,12 +77,16 @@ def sets_of(docs: DataFrame, wanted: DataFrame, levels: Column) -> DataFrame:
     return found.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 
-def similar(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """The x of pairs (x, y) whose sets are similar, once each."""
+def similar(pairs: DataFrame, docs: DataFrame, levels: Column, t: int) -> DataFrame:
+    """The x of pairs (x, y, first_x, first_y) whose sets, read again from their first places, are similar."""
+    ends = [pairs.select(F.col(c).alias("cls"), F.col(f"first_{c}.doc_id").alias("doc_id"), F.col(f"first_{c}.line").alias("line")) for c in "xy"]
+    sets = written(sets_of(docs, ends[0].unionByName(ends[1]).distinct(), levels), "line-sets")
     own = lambda c: sets.select(F.col("cls").alias(c), F.col("set").alias(f"set_{c}"))
     both = F.size(F.array_intersect("set_x", "set_y"))
-    joined = pairs.join(own("y"), "y").join(own("x"), "x")
-    return joined.where(100 * both >= t * (F.size("set_x") + F.size("set_y") - both)).select("x").distinct()
+    joined = pairs.select("x", "y").join(own("y"), "y").join(own("x"), "x")
+    found = written(joined.where(100 * both >= t * (F.size("set_x") + F.size("set_y") - both)).select("x").distinct(), "line-found")
+    discard(sets)
+    return found
 
 
 def later_matches(docs: DataFrame, t: int = 80, least: int = 5) -> DataFrame:
@@ -81,40 +94,47 @@ def later_matches(docs: DataFrame, t: int = 80, least: int = 5) -> DataFrame:
     spark = docs.sparkSession
     levels = rarity(docs)
     lines = written(lines_of(docs, levels, t, least), "lines")
+    earliest = F.min(F.struct("doc_id", "line", "n", "p", "q", "prefix")).alias("m")
+    grouped = lines.groupBy("cls").agg(earliest, F.count(F.lit(1)).alias("n_lines"))
+    classes = written(grouped.select("cls", F.struct("m.doc_id", "m.line").alias("first"), "m.n", "m.p", "m.q", "m.prefix", "n_lines"), "classes")
     whole = Window.partitionBy("token")
-    posted = lines.select(F.explode("prefix").alias("token"), "cls").withColumns({"lo": F.min("cls").over(whole), "hi": F.max("cls").over(whole)})
-    groups = written(posted.where("lo <> hi").select("token", "cls").distinct(), "tokens")
-    del posted
+    posted = classes.select(F.posexplode("prefix").alias("at", "token"), "cls").withColumns({"lo": F.min("cls").over(whole), "hi": F.max("cls").over(whole)})
+    groups = written(posted.where("lo <> hi").select("token", "cls", "at"), "tokens")
+    del posted, grouped
     free_shuffles(spark)
-    place = F.min(F.struct("doc_id", "line")).alias("first")
-    shared = groups.select("cls").distinct()
-    classes = written(lines.join(shared, "cls", "left_semi").groupBy("cls").agg(place, F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
-    sets = written(sets_of(docs, classes.select("first.doc_id", "first.line", "cls"), levels), "line-sets")
+    member = written(groups.join(classes.select("cls", "first", "n", "p", "q"), "cls"), "members")
+    discard(groups)
     free_shuffles(spark)
-    member = groups.join(classes, "cls").select("token", "cls", "first", "n", (F.array_position("prefix", F.col("token")) - 1).alias("at"))
-    member = written(member, "members")
-    x, y = (member.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "first", "n", "at"))) for s in "xy")
+    own = ("cls", "first", "n", "at", "p", "q")
+    x, y = (member.select("token", *(F.col(c).alias(f"{c}_{s}") for c in own)) for s in "xy")
+    total = F.col("n_x") + F.col("n_y")
     overlap = F.least("at_x", "at_y") + 1 + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) - 1
-    near = (100 * F.least("n_x", "n_y") >= t * F.greatest("n_x", "n_y")) & (overlap * (100 + t) >= t * (F.col("n_x") + F.col("n_y")))
-    as_pairs = lambda df: df.where(near).select(F.col("cls_x").alias("x"), F.col("cls_y").alias("y")).distinct()
-    lead = member.groupBy("token").agg(F.min(F.struct(F.col("first").alias("first_y"), F.col("cls").alias("cls_y"), F.col("n").alias("n_y"), F.col("at").alias("at_y"))).alias("lead")).select("token", "lead.*")
+    near = (100 * F.least("n_x", "n_y") >= t * F.greatest("n_x", "n_y")) & (overlap * (100 + t) >= t * total)
+    for c in "pq":
+        near &= F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) * (100 + t) <= (100 - t) * total
+    as_pairs = lambda df: df.where(near).select(F.col("cls_x").alias("x"), F.col("cls_y").alias("y"), "first_x", "first_y").dropDuplicates(["x", "y"])
+    lead = member.groupBy("token").agg(F.min(F.struct("first", "cls", "n", "at", "p", "q")).alias("lead")).select("token", *(F.col(f"lead.{c}").alias(f"{c}_y") for c in own))
     tested = written(as_pairs(x.join(lead, "token").where("first_y < first_x")), "line-pairs")
-    found = written(similar(tested, sets, t), "line-found")
+    found = similar(tested, docs, levels, t)
     open_ = x.join(found.select(F.col("x").alias("cls_x")), "cls_x", "left_anti")
-    more = as_pairs(open_.join(y, "token").where("first_y < first_x")).join(tested, ["x", "y"], "left_anti")
-    found = found.unionByName(written(similar(more, sets, t), "line-more"))
+    more = as_pairs(open_.join(y, "token").where("first_y < first_x")).join(tested.select("x", "y"), ["x", "y"], "left_anti")
+    free_shuffles(spark)
+    found = found.unionByName(similar(written(more, "line-pairs"), docs, levels, t))
+    discard(member, tested)
     # Of a class, all lines but the first go, and the first too if an earlier class is similar.
-    first = lines.groupBy("cls").agg(place, F.count(F.lit(1)).alias("n_lines"))
-    hit = first.join(found.select(F.col("x").alias("cls"), F.lit(True).alias("hit")), "cls", "left").where("n_lines > 1 or hit").select("cls", "first", "hit")
+    hit = classes.join(found.select(F.col("x").alias("cls"), F.lit(True).alias("hit")), "cls", "left").where("n_lines > 1 or hit").select("cls", "first", "hit")
     gone = lines.select("doc_id", "tag", "line", "cls").join(hit, "cls").where(F.col("hit") | (F.struct("doc_id", "line") > F.col("first")))
-    return gone.groupBy("doc_id", "tag").agg(F.collect_set("line").alias("lines"))
+    gone = written(gone.groupBy("doc_id", "tag").agg(F.collect_set("line").alias("lines")), "line-gone")
+    discard(lines, classes)
+    free_shuffles(spark)
+    return gone
 
 
 def deduped(docs: DataFrame, t: int = 80, least: int = 5) -> DataFrame:
     """docs with text less its later matches, and the columns n_lines and n_removed."""
     own = docs.select("doc_id", "text")
     gone = later_matches(own, t, least).select(F.col("doc_id").alias("gone_id"), F.col("tag").alias("gone_tag"), "lines")
-    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    packed = docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("row"))
     joined = packed.join(gone, packed["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(packed["text"]) == gone["gone_tag"]), "left")
     parts = F.split("text", "\n")
     stays = F.filter(parts, lambda s, i: ~F.array_contains("lines", i))
