@@ -46,6 +46,11 @@ def token_set(line: Column, levels: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(level(h), 56).bitwiseOR(h.bitwiseAND(F.lit(LOW))))))
 
 
+def once(c: Column) -> Column:
+    """c as the output of a generator: a filter on it is not moved below, where c would be worked out again."""
+    return F.explode(F.array(c))
+
+
 def needed(n: Column, t: int) -> Column:
     """The least overlap of a set of n with one at least as similar as t hundredths: ceil(t * n / 100)."""
     return F.floor((n * t + 99) / 100)
@@ -59,7 +64,7 @@ def parity(set_: Column, shift: int) -> Column:
 
 def lines_of(docs: DataFrame, levels: Column, t: int, least: int) -> DataFrame:
     """doc_id, tag (of the text), line, cls, n, two parities and prefix of the lines that take part."""
-    each = docs.select("doc_id", F.xxhash64("text").alias("tag"), F.posexplode(F.split("text", "\n")).alias("line", "s")).select("doc_id", "tag", "line", token_set(F.col("s"), levels).alias("set"))
+    each = docs.select("doc_id", F.xxhash64("text").alias("tag"), F.posexplode(F.split("text", "\n")).alias("line", "s")).select("doc_id", "tag", "line", once(token_set(F.col("s"), levels)).alias("set"))
     n = F.size("set")
     prefix = F.slice("set", F.lit(1), (n - needed(n, t) + 1).cast("int"))
     return each.where(n >= least).select("doc_id", "tag", "line", F.xxhash64("set").alias("cls"), n.alias("n"), parity(F.col("set"), 0).alias("p"), parity(F.col("set"), 20).alias("q"), prefix.alias("prefix"))
@@ -73,7 +78,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, levels: Column) -> DataFrame:
     some = docs.withColumn("p", spot).withColumn("w", F.shiftright("p", 6)).join(F.broadcast(bitmap), "w").where(F.expr("shiftright(bits, cast(p & 63 as int)) & 1") == 1)
     each = some.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s"))
     there = each.join(wanted, each["doc_id"].eqNullSafe(wanted["doc_id"]) & (each["line"] == wanted["line"]), "left_semi")
-    found = there.select(token_set(F.col("s"), levels).alias("set")).select(F.xxhash64("set").alias("cls"), "set")
+    found = there.select(once(token_set(F.col("s"), levels)).alias("set")).select(F.xxhash64("set").alias("cls"), "set")
     return found.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 
