@@ -9,7 +9,8 @@ parities of 64 bits sift what passes these filters, and the rest is verified on
 Lines of equal sets are one class, so copies are never paired. Each group of a prefix word is compared with its
 earliest class first; only classes that found no earlier match then meet the other earlier ones.
 
-Lines of fewer than ``least`` different words stay. Null text stays null; repeated rows have the same place and
+Every line with a word takes part (or, if ``least`` is given, with that many different words); lines without words
+stay. Sets too small to match any but equal ones, under four words at 0.8, are in no pairs. Null text stays null; repeated rows have the same place and
 don't remove each other; documents without doc_id come first; an empty table gives an empty table.
 """
 
@@ -66,7 +67,9 @@ def lines_of(docs: DataFrame, levels: Column, t: int, least: int) -> DataFrame:
     """doc_id, tag (of the text), line, cls, n, two parities and prefix of the lines that take part."""
     each = docs.select("doc_id", F.xxhash64("text").alias("tag"), F.posexplode(F.split("text", "\n")).alias("line", "s")).select("doc_id", "tag", "line", once(token_set(F.col("s"), levels)).alias("set"))
     n = F.size("set")
-    prefix = F.slice("set", F.lit(1), (n - needed(n, t) + 1).cast("int"))
+    # So few words that one word more or less is below the threshold: only equal sets match, and these are one class.
+    alone = n * (100 - t) < t
+    prefix = F.slice("set", F.lit(1), F.when(alone, 0).otherwise(n - needed(n, t) + 1).cast("int"))
     return each.where(n >= least).select("doc_id", "tag", "line", F.xxhash64("set").alias("cls"), n.alias("n"), parity(F.col("set"), 0).alias("p"), parity(F.col("set"), 20).alias("q"), prefix.alias("prefix"))
 
 
@@ -94,7 +97,7 @@ def similar(pairs: DataFrame, docs: DataFrame, levels: Column, t: int) -> DataFr
     return found
 
 
-def later_matches(docs: DataFrame, t: int = 80, least: int = 5) -> DataFrame:
+def later_matches(docs: DataFrame, t: int = 80, least: int = 1) -> DataFrame:
     """doc_id, tag (of the text), lines: the numbers of the lines to remove."""
     spark = docs.sparkSession
     levels = rarity(docs)
@@ -135,7 +138,7 @@ def later_matches(docs: DataFrame, t: int = 80, least: int = 5) -> DataFrame:
     return gone
 
 
-def deduped(docs: DataFrame, t: int = 80, least: int = 5) -> DataFrame:
+def deduped(docs: DataFrame, t: int = 80, least: int = 1) -> DataFrame:
     """docs with text less its later matches, and the columns n_lines and n_removed."""
     own = docs.select("doc_id", "text")
     gone = later_matches(own, t, least).select(F.col("doc_id").alias("gone_id"), F.col("tag").alias("gone_tag"), "lines")
@@ -147,12 +150,12 @@ def deduped(docs: DataFrame, t: int = 80, least: int = 5) -> DataFrame:
     return joined.select("row", text.alias("text"), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"))
 
 
-def report(docs: DataFrame, t: int = 80, least: int = 5) -> DataFrame:
+def report(docs: DataFrame, t: int = 80, least: int = 1) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 of every row."""
     return deduped(docs, t, least).select("row.doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"), F.greatest("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def kept(docs: DataFrame, t: int = 80, least: int = 5) -> DataFrame:
+def kept(docs: DataFrame, t: int = 80, least: int = 1) -> DataFrame:
     """The documents with what is left of them, in their own columns; those that lost all their text go."""
     out = deduped(docs, t, least).where((F.col("n_removed") <= 0) | (F.regexp_replace("text", "\\s+", "") != ""))
     replace = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}

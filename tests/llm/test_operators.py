@@ -5,12 +5,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shardlight.llm import decontaminate, html, language, lines, near, packing, quality, secrets, substrings, topk
+from shardlight.llm import decontaminate, html, language, lines, near, packing, quality, queries, secrets, substrings, topk
 from shardlight.llm.labelled_pages import Page
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -290,6 +292,22 @@ def test_lines(spark, odd, none):
     assert kept.columns == odd.columns and kept.where("n_chars <> length(text)").count() == 0
 
 
+def test_lines_of_few_words(spark, tmp_path):
+    few = ["Les.", "les.", "one two", "two ONE two", "a b c", "a b c d", "d c b a e", "a b c d f", "x y z w v", "w z y x", "ha " * 12, "HA", "\u3053\u3093\u306b\u3061\u306f\u4e16\u754c", "", " ", "p q r", "p q r s"]
+    rng = np.random.default_rng(6)
+    rows = [(i, "\n".join(few[k] for k in rng.integers(0, len(few), 3))) for i in range(60)] + [(None, "Les.\nx y z w"), (70, None), (71, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    gone = brute_lines(rows, 80, 1)
+    assert sum(map(len, gone)) > 100
+    texts = [(x or "").split("\n") for _, x in rows]
+    left = ["\n".join(s for i, s in enumerate(own) if i not in g) for own, g in zip(texts, gone)]
+    want = [repr((d, 0 if x is None else len(own), len(g), hashlib.sha256(s.encode()).hexdigest())) for (d, x), own, g, s in zip(rows, texts, gone, left)]
+    assert plain(queries.op8_line_dedup(spark, str(tmp_path))) == sorted(want)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("n_chars", F.length("text").cast("long"))
+    stays = [(d, None if x is None else s) for (d, x), g, s in zip(rows, gone, left) if not g or s.strip()]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()))) == sorted(map(repr, stays))
+
+
 # Near copies
 
 
