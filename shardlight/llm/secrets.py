@@ -1,7 +1,8 @@
 """Secret scans: an incremental ledger of content-addressed blobs.
 
 Every version of a text is a blob named by its SHA-256. A rule version scans only the blobs that the ledger does
-not yet hold for it; findings are kept by blob and joined back to all paths (documents) that hold the blob.
+not yet hold for it; the ledger keeps findings by blob and rule version, and those of earlier and of new scans are
+joined back to all paths (documents) that hold the blob.
 DataFrame functions only. The place of a match is the length of the text between the matches before it, which
 split() gives, plus the lengths of those matches, summed by a window over the matches of one blob and rule.
 
@@ -25,6 +26,8 @@ RULES = {
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 1, 0, ".eyJ"),
 }
 BASE = ("assign", "access", "hex")
+#: What the ledger keeps of a match.
+MATCH = ("kind", "rank", "start", "end")
 
 
 def paths_of(docs: DataFrame) -> DataFrame:
@@ -64,11 +67,27 @@ def report(paths: DataFrame, found: DataFrame) -> DataFrame:
     return joined.select("doc_id", *(F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in BASE), F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
+def recorded(fresh: DataFrame, found: DataFrame, version: str) -> DataFrame:
+    """The ledger's rows for the blobs of fresh: blob, rule_version, found (an array of matches, empty if clean)."""
+    own = found.groupBy("blob").agg(F.collect_list(F.struct(*MATCH)).alias("found"))
+    return fresh.select("blob").join(own, "blob", "left").select("blob", F.lit(version).alias("rule_version"), F.coalesce("found", F.array().cast(own.schema["found"].dataType)).alias("found"))
+
+
+def stored(ledger: DataFrame, paths: DataFrame, version: str) -> DataFrame:
+    """The ledger's findings for the rule version in the blobs of paths, in the columns of findings()."""
+    own = ledger.where(F.col("rule_version") == version).join(paths.select("blob"), "blob", "left_semi").dropDuplicates(["blob"])
+    return own.select("blob", F.explode("found").alias("f")).select("blob", *(f"f.{c}" for c in MATCH))
+
+
 def scan(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """(the report on docs from newly scanned blobs, the rows to append to the ledger: blob, rule_version)."""
+    """(the report on all docs, from newly scanned blobs and from the ledger; the rows to append to the ledger: blob,
+    rule_version, found). Blobs that the ledger holds without findings (null, or no such column) are scanned again."""
     paths = paths_of(docs)
+    ledger = None if ledger is None or "found" not in ledger.columns else ledger.where("found is not null")
     fresh = unseen(paths, ledger, version)
-    return report(paths, findings(fresh)), fresh.select("blob", F.lit(version).alias("rule_version"))
+    new = findings(fresh)
+    every = new if ledger is None else new.unionByName(stored(ledger, paths, version))
+    return report(paths, every), recorded(fresh, new, version)
 
 
 def _oracle() -> str:
