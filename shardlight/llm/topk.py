@@ -8,7 +8,9 @@ rows that tie at the boundary are taken in the order of vec_id. Blocks of rows m
 equi-join on a grid, and the best of each block are merged by rank.
 
 Vectors that are null, or hold nulls or non-finite components, take no part, nor do rows without vec_id; shorter
-vectors count as padded with zeros; rows that share the query's vec_id are its own; an empty table gives no rows.
+vectors count as padded with zeros; rows that share the query's vec_id are its own; an empty table gives no rows. A repeated query row is one query, and
+query rows that share a vec_id with other vectors are queries of their own, each with its ranks from 1 to k; other
+repeated rows count each.
 """
 
 from __future__ import annotations
@@ -23,14 +25,14 @@ from pyspark.sql import functions as F
 from .common import written
 
 ROWS, QUERIES = 8192, 2048
-PACKED = "cell int, n int, dims int, ids binary, ints binary"
+PACKED = "cell int, n int, dims int, ids binary, ints binary, copies binary"
 
 
 def packed(vectors: DataFrame, parts: int, most: int, scale: int) -> DataFrame:
-    """Blocks of most rows at most, sorted by vec_id; cell: the partition, below parts."""
+    """Blocks of most rows (vec_id, embedding, copy) at most, sorted by vec_id; cell: the partition, below parts."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rows, cell = [], [], 0
+        ids, rows, copies, cell = [], [], [], 0
 
         def block() -> pa.RecordBatch:
             order = np.argsort(np.array(ids, np.int64), kind="stable")
@@ -38,26 +40,27 @@ def packed(vectors: DataFrame, parts: int, most: int, scale: int) -> DataFrame:
             m = np.zeros((len(rows), dims), np.int64)
             for k, at in enumerate(order):
                 m[k, : len(rows[at])] = rows[at]
-            cols = [[cell], [len(rows)], [dims], [np.array(ids, np.int64)[order].tobytes()], [m.tobytes()]]
-            types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["cell", "n", "dims", "ids", "ints"])
+            cols = [[cell], [len(rows)], [dims], [np.array(ids, np.int64)[order].tobytes()], [m.tobytes()], [np.array(copies, np.int32)[order].tobytes()]]
+            types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["cell", "n", "dims", "ids", "ints", "copies"])
 
         for batch in batches:
-            cells = batch.column(2).to_pylist()
+            cells, own = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             lists = batch.column(1)
             flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
             whole = np.floor(flat.astype(np.float64) * scale).astype(np.int64)
             for i, vec_id in enumerate(batch.column(0).to_pylist()):
                 ids.append(vec_id)
                 rows.append(whole[ends[i - 1] if i else 0 : ends[i]])
+                copies.append(own[i])
                 cell = cells[i]
                 if len(ids) == most:
                     yield block()
-                    ids, rows = [], []
+                    ids, rows, copies = [], [], []
         if ids:
             yield block()
 
-    return vectors.repartition(parts).select("vec_id", "embedding", F.spark_partition_id().alias("cell")).mapInArrow(pack, PACKED)
+    return vectors.repartition(parts).select("vec_id", "embedding", F.spark_partition_id().alias("cell"), "copy").mapInArrow(pack, PACKED)
 
 
 def slices(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -168,10 +171,13 @@ def search(embeddings: DataFrame, every: int = 50, k: int = 5, scale: int = 256)
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     vectors = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(good)
     asked = F.col("vec_id") % every == 0
+    # Queries that share a vec_id are told apart by copy.
+    same = Window.partitionBy("vec_id").orderBy("embedding")
+    queried = vectors.where(asked).dropDuplicates(["vec_id", "embedding"]).withColumn("copy", F.row_number().over(same))
     n, m = vectors.agg(F.count(F.lit(1)), F.count(F.when(asked, 1))).first()
     parts, chunks = max(1, -(-n // ROWS)), max(1, -(-m // QUERIES))
-    rows = written(packed(vectors, parts, ROWS, scale), "slices").select(F.col("cell").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("h"), "n", "dims", "ids", "ints")
-    queries = written(packed(vectors.where(asked), chunks, QUERIES, scale), "queries").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("g"), F.col("cell").alias("h"), F.col("n").alias("m"), F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("ints").alias("q_ints"))
+    rows = written(packed(vectors.withColumn("copy", F.lit(0)), parts, ROWS, scale), "slices").select(F.col("cell").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("h"), "n", "dims", "ids", "ints")
+    queries = written(packed(queried, chunks, QUERIES, scale), "queries").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("g"), F.col("cell").alias("h"), F.col("n").alias("m"), F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("ints").alias("q_ints"), F.col("copies").alias("q_copies"))
     cells = min(4096, parts * chunks)
     grid = rows.repartition(cells, "g", "h").join(queries.repartition(cells, "g", "h").hint("merge"), ["g", "h"])
 
@@ -184,11 +190,14 @@ def search(embeddings: DataFrame, every: int = 50, k: int = 5, scale: int = 256)
                 values, asked = (np.pad(x, ((0, 0), (0, dims - x.shape[1]))) for x in (values, asked))
                 if not dims:
                     values, asked = np.zeros((r["n"], 1), np.int64), np.zeros((r["m"], 1), np.int64)
-                for got in top_of_block(values, np.frombuffer(r["ids"], np.int64), asked, np.frombuffer(r["q_ids"], np.int64), k):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in got], names=["query_id", "vec_id", "score"])
-
-    found = grid.mapInArrow(score, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                ids, q_ids, copies = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_copies"], np.int32)
+                for copy in np.unique(copies):
+                    for got in top_of_block(values, ids, asked[copies == copy], q_ids[copies == copy], k):
+                        cols = [*got, np.full(len(got[0]), copy)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score", "copy"])
+
+    found = grid.mapInArrow(score, "query_id long, vec_id long, score long, copy long")
+    order = Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

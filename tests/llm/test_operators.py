@@ -218,6 +218,19 @@ def test_search(spark):
     assert topk.search(df.limit(0)).count() == 0
 
 
+def test_search_with_repeated_queries(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 5) / 7]) for i in range(160)]
+    rows += [rows[50], rows[50], (100, rows[33][1]), rows[7]]
+    ok = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows]
+    want = []
+    for q, v in sorted({(i, tuple(v)) for i, v in rows if i % 50 == 0}):
+        x = np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)
+        best = sorted((-int(x @ y), i) for i, y in ok if i != q)[:5]
+        want += [repr((q, rank, i, -s)) for rank, (s, i) in enumerate(best, 1)]
+    assert plain(topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))) == sorted(want)
+
+
 # Secrets
 
 
