@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, docs_of, free_shuffles, mix64, word_hashes, written
+from .common import discard, free_shuffles, mix64, word_hashes, written
 from .graph import components
 
 SOLID = np.array([c != 32 and not 9 <= c <= 13 for c in range(256)])
@@ -110,15 +110,15 @@ def _frame(names: list[str], types: list[pa.DataType], cols: list) -> pa.RecordB
 
 
 def sets_of(docs: DataFrame, m: Measure) -> DataFrame:
-    """doc_id, cls, n, sketch of every row."""
+    """doc_id, cls, n, sketch, tag of every row of (doc_id, text, tag)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [(m.name(s), len(s), m.sketch(s).view(np.int64)) for s in map(m.shingles, batch.column(1).to_pylist())]
             cols = [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "cls", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, batch.column(2)], names=["doc_id", "cls", "n", "sketch", "tag"])
 
-    return docs.mapInArrow(run, "doc_id long, cls long, n long, sketch array<long>")
+    return docs.mapInArrow(run, "doc_id long, cls long, n long, sketch array<long>, tag long")
 
 
 def keys_of(docs: DataFrame, m: Measure) -> DataFrame:
@@ -247,10 +247,11 @@ def crossed(rest: DataFrame, sketches: DataFrame, m: Measure) -> DataFrame:
     return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, width: int = 4, hundredths: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row."""
+def components_of(docs: DataFrame, width: int, hundredths: int) -> DataFrame:
+    """doc_id, tag (of the text), cls, n, component, component_id (its smallest doc_id) of every row; rows with an
+    empty set have no component."""
     m, spark = Measure(width, hundredths), docs.sparkSession
-    docs = docs_of(docs)
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tag"))
     sets = written(sets_of(docs, m), "sets")
     ends = Window.partitionBy("key")
     shared = keys_of(docs, m).withColumns({"lo": F.min("cls").over(ends), "hi": F.max("cls").over(ends)}).where("lo <> hi").select("key", "cls").distinct()
@@ -282,18 +283,31 @@ def join(docs: DataFrame, width: int = 4, hundredths: int = 85) -> DataFrame:
     free_shuffles(spark)
     least = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first")).join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     first = least.groupBy("component").agg(F.min("first").alias("component_id"))
-    names = least.select("cls", "component").join(first, "component").select("cls", "component_id")
-    named = sets.where("n > 0").select("doc_id", "cls", "n").join(names, "cls")
-    empty = sets.where("n = 0").select("doc_id", "cls", "n").withColumn("component_id", F.col("doc_id"))
-    return named.unionByName(empty.select(named.columns)).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    names = least.select("cls", "component").join(first, "component").select("cls", "component", "component_id")
+    named = sets.where("n > 0").select("doc_id", "tag", "cls", "n").join(names, "cls")
+    empty = sets.where("n = 0").select("doc_id", "tag", "cls", "n").withColumns({"component": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
+    return named.unionByName(empty.select(named.columns))
+
+
+def join(docs: DataFrame, width: int = 4, hundredths: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row."""
+    return components_of(docs, width, hundredths).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def kept(docs: DataFrame, width: int = 4, hundredths: int = 85) -> DataFrame:
-    """One document of each component, the one of smallest doc_id, with its own columns. Repeated rows count once."""
-    named = written(join(docs.select("doc_id", "text"), width, hundredths), "named")
-    keep = named.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    again = keep.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = docs.join(keep.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    if again.isEmpty():
-        return once
-    return once.join(again, "doc_id", "left_anti").unionByName(once.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """One document of each component, the one of smallest doc_id (one without doc_id only if none has any), with its
+    own columns; documents are told apart by doc_id and text. Repeated rows count once, but rows without doc_id and
+    words all stay."""
+    named = written(components_of(docs.select("doc_id", "text"), width, hundredths), "named")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "cls", "tag")
+    leads = named.where("n > 0").groupBy("component").agg(F.min(order).alias("lead")).select(F.col("lead.doc_id").alias("keep_id"), F.col("lead.tag").alias("keep_tag"))
+    empty = named.where("n = 0").select(F.col("doc_id").alias("keep_id"), F.col("tag").alias("keep_tag")).distinct()
+    keep = written(leads.unionByName(empty), "keep")
+    tagged = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].alias("own_id"), F.xxhash64(docs["text"]).alias("own_tag"), F.trim(F.regexp_replace(F.coalesce(docs["text"], F.lit("")), "[\\t-\\r]", "")).alias("words"))
+    once = tagged.join(keep, tagged["own_id"].eqNullSafe(keep["keep_id"]) & (tagged["own_tag"] == keep["keep_tag"]), "left_semi")
+    bare = F.col("own_id").isNull() & (F.col("words") == "")
+    again = once.where(~bare).groupBy("own_id", "own_tag").count().where("count > 1").select(F.col("own_id").alias("again_id"), F.col("own_tag").alias("again_tag"))
+    if not again.isEmpty():
+        more = once["own_id"].eqNullSafe(again["again_id"]) & (once["own_tag"] == again["again_tag"]) & ~bare
+        once = once.join(again, more, "left_anti").unionByName(once.join(again, more, "left_semi").dropDuplicates(["own_id", "own_tag"]))
+    return once.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -386,6 +386,13 @@ def test_near_copies(spark, odd, none, monkeypatch, block):
         assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
+def test_near_kept_where_texts_share_a_doc_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, a + " end"), (2, b), (3, c), (3, b + " end"), (3, "d " * 3 + "e"), (3, "d " * 3 + "e"), (4, None), (4, ""), (4, ""), (None, "f g h i j k"), (None, "f g h i j k"), (None, ""), (None, "")]
+    got = near.kept(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 80)
+    assert plain(got) == sorted(map(repr, [(1, a), (2, b), (3, c), (3, "d " * 3 + "e"), (4, None), (4, ""), (None, "f g h i j k"), (None, ""), (None, "")]))
+
+
 def test_sketch_distance_bounds_the_difference():
     m, rng = near.Measure(), np.random.default_rng(1)
     for _ in range(50):
