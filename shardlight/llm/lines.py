@@ -2,16 +2,19 @@
 
 A line is the set of its lower-cased words; a later line goes if an earlier one, in the order of (doc_id, line
 number) over the whole table, has a Jaccard index of at least the threshold with it. Words are 64-bit hashes led
-by their rarity (the level of a hashed count over all words), so that a sorted set begins with its rarest words.
-Two similar sets share a word of their prefixes, have near lengths, and find the word at near positions; two
-parities of 64 bits sift what passes these filters, and the rest is verified on whole sets. DataFrame functions only.
+by their rarity, so that a sorted set begins with its rarest words. Two similar sets share a word of their prefixes;
+the first word they share leaves both enough words for the overlap they need, which bounds places and lengths at
+once; a parity sketch of 64 to 256 bits sifts what is left inside the join, and whole sets verify it. DataFrame
+functions only.
 
-Lines of equal sets are one class, so copies are never paired. Each group of a prefix word is compared with its
-earliest class first; only classes that found no earlier match then meet the other earlier ones.
+Lines of equal sets are one class, named by its first place, so copies are never paired. Each group of a prefix word
+meets its earliest class first; only classes that found no match there then meet the other earlier ones.
 
 Every line with a word takes part (or, if ``least`` is given, with that many different words); lines without words
-stay. Sets too small to match any but equal ones, under four words at 0.8, are in no pairs. Null text stays null; repeated rows have the same place and
-don't remove each other; documents without doc_id come first; an empty table gives an empty table.
+stay. Sets too small to match any but equal ones, under four words at 0.8, are in no pairs. Null text stays null; of
+repeated rows the first one counts as earlier, so the others lose every line with a word; rows that share a doc_id
+are ordered by line number and then by a hash of their text; documents without doc_id come first; an empty table
+gives an empty table; very long lines and texts are treated whole.
 """
 
 from __future__ import annotations
@@ -21,28 +24,40 @@ from pyspark.sql import functions as F
 
 from .common import discard, free_shuffles, written
 
-LEVELS = 1 << 16
+#: Bytes of the table of levels, and how many of them may be above 0.
+ENTRIES, FREQUENT = 1 << 19, 1 << 16
 FILTER_BITS = 1 << 23
 LOW = (1 << 56) - 1
+#: Sets of more words than these have sketches of two and of four words.
+WIDE, WIDER = 48, 192
+SKETCH = ("a", "b", "c", "d")
+BLANKS = "[ \\t\\x0B\\f\\r]+"
 
 
 def words(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), "[ \\t\\x0B\\f\\r]+"), "")
+    return F.array_remove(F.split(F.lower(line), BLANKS), "")
 
 
 def rarity(docs: DataFrame) -> Column:
-    """An array of levels, by hash of a word: the logarithm of how often the most frequent word of that hash occurs
-    in the table. Words that share an entry may look more frequent than they are, which only costs candidates."""
+    """A table of levels by hash of a word, one byte each, as many bits as the level: 0 for all but the most frequent
+    words, whose number is bounded, and then one more for each factor of four. A rare word that shares an entry
+    with a frequent one looks frequent, which only costs candidates."""
     each = docs.select(F.explode(F.split(F.lower("text"), "[ \\t\\n\\x0B\\f\\r]+")).alias("w"))
-    words_ = each.groupBy(F.xxhash64("w").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    counts = words_.groupBy(F.pmod("w", F.lit(LEVELS)).alias("h")).agg(F.max("n").alias("n"))
-    level = {r["h"]: r["n"].bit_length() for r in counts.collect()}
-    return F.expr("cast(split('" + ",".join(str(level.get(h, 0)) for h in range(LEVELS)) + "', ',') as array<int>)")
+    counted = each.groupBy(F.xxhash64("w").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    most = counted.groupBy(F.col("w").bitwiseAND(F.lit(ENTRIES - 1)).cast("int").alias("h")).agg(F.max("n").alias("n"))
+    most = written(most.select("h", F.length(F.bin("n")).alias("b")), "levels")
+    sizes = {r["b"]: r["count"] for r in most.groupBy("b").count().collect()}
+    base = next(b for b in range(66) if sum(n for c, n in sizes.items() if c >= b) <= FREQUENT)
+    table = bytearray(ENTRIES)
+    for r in most.where(F.col("b") >= base).collect():
+        table[r["h"]] = (1 << min(8, 1 + (r["b"] - base) // 2)) - 1
+    discard(most)
+    return F.lit(bytes(table))
 
 
 def token_set(line: Column, levels: Column) -> Column:
     """The distinct words of a line as numbers, rarest first."""
-    level = lambda h: F.element_at(levels, (h.bitwiseAND(F.lit(LEVELS - 1)) + 1).cast("int")).cast("long")
+    level = lambda h: F.bitmap_count(F.substring(levels, h.bitwiseAND(F.lit(ENTRIES - 1)).cast("int") + 1, F.lit(1)))
     hashes = F.transform(words(line), lambda w: F.xxhash64(w))
     return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(level(h), 56).bitwiseOR(h.bitwiseAND(F.lit(LOW))))))
 
@@ -57,102 +72,168 @@ def needed(n: Column, t: int) -> Column:
     return F.floor((n * t + 99) / 100)
 
 
-def parity(set_: Column, shift: int) -> Column:
-    """64 bits, of which each element flips one: two sets differ in at least as many elements as bits."""
-    flip = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, shift).bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(set_, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(flip(h)))
+def sketch(set_: Column, n: Column) -> list[Column]:
+    """Four words of parity bits, of which each element flips one: two sets differ in at least as many elements as
+    bits. Small sets use fewer words, the others are 0; XOR of the words folds a sketch to a smaller one."""
+    flip = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    spot = lambda h, of: F.shiftright(h, 6).bitwiseAND(F.lit(of - 1))
+
+    def word(k: int, of: int) -> Column:
+        own = flip if of == 1 else lambda h: F.when(spot(h, of) == k, flip(h)).otherwise(F.lit(0).cast("long"))
+        return F.aggregate(set_, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(own(h)))
+
+    none = F.lit(0).cast("long")
+    return [F.when(n > WIDER, word(k, 4)).when(n > WIDE, word(k, 2) if k < 2 else none).otherwise(word(0, 1) if k == 0 else none).alias(c) for k, c in enumerate(SKETCH)]
+
+
+def apart(x: str, y: str) -> Column:
+    """The Hamming distance of two sketches, at the smaller of their sizes."""
+    bits = lambda *of: F.bit_count(_xor([F.col(f"{c}_{s}") for c in of for s in (x, y)]))
+    less = F.least(f"n_{x}", f"n_{y}")
+    return F.when(less > WIDER, bits("a") + bits("b") + bits("c") + bits("d")).when(less > WIDE, bits("a", "c") + bits("b", "d")).otherwise(bits(*SKETCH))
+
+
+def _xor(cols: list[Column]) -> Column:
+    out = cols[0]
+    for c in cols[1:]:
+        out = out.bitwiseXOR(c)
+    return out
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """doc, tag, text: the document's place in the order and a hash of its text; no doc_id comes first."""
+    return docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.hash("text").alias("tag"), "text")
+
+
+def split_lines(docs: DataFrame) -> DataFrame:
+    """doc, spot, s of each line of placed(): spot is the line number and then the tag."""
+    each = docs.select("doc", "tag", F.posexplode(F.split("text", "\n")).alias("line", "s"))
+    return each.select("doc", F.shiftleft(F.col("line").cast("long"), 32).bitwiseOR(F.col("tag").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("spot"), "s")
 
 
 def lines_of(docs: DataFrame, levels: Column, t: int, least: int) -> DataFrame:
-    """doc_id, tag (of the text), line, cls, n, two parities and prefix of the lines that take part."""
-    each = docs.select("doc_id", F.xxhash64("text").alias("tag"), F.posexplode(F.split("text", "\n")).alias("line", "s")).select("doc_id", "tag", "line", once(token_set(F.col("s"), levels)).alias("set"))
+    """doc, spot, cls, n, sketch words and prefix of the lines that take part."""
+    each = split_lines(docs).select("doc", "spot", once(token_set(F.col("s"), levels)).alias("set"))
     n = F.size("set")
     # So few words that one word more or less is below the threshold: only equal sets match, and these are one class.
     alone = n * (100 - t) < t
     prefix = F.slice("set", F.lit(1), F.when(alone, 0).otherwise(n - needed(n, t) + 1).cast("int"))
-    return each.where(n >= least).select("doc_id", "tag", "line", F.xxhash64("set").alias("cls"), n.alias("n"), parity(F.col("set"), 0).alias("p"), parity(F.col("set"), 20).alias("q"), prefix.alias("prefix"))
+    return each.where(n >= least).select("doc", "spot", F.xxhash64("set").alias("cls"), n.alias("n"), *sketch(F.col("set"), n), prefix.alias("prefix"))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, levels: Column) -> DataFrame:
-    """cls, set for each place (doc_id, line, cls) of wanted. A bitmap of fixed size, joined by its words, drops
-    documents without such a place before their lines are read."""
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    """doc, spot, set of each place of wanted. A bitmap of fixed size, joined by its words, drops documents without
+    such a place before their lines are read."""
+    spot = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
     bitmap = wanted.select(spot.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
     some = docs.withColumn("p", spot).withColumn("w", F.shiftright("p", 6)).join(F.broadcast(bitmap), "w").where(F.expr("shiftright(bits, cast(p & 63 as int)) & 1") == 1)
-    each = some.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s"))
-    there = each.join(wanted, each["doc_id"].eqNullSafe(wanted["doc_id"]) & (each["line"] == wanted["line"]), "left_semi")
-    found = there.select(once(token_set(F.col("s"), levels)).alias("set")).select(F.xxhash64("set").alias("cls"), "set")
-    return found.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    there = split_lines(some.select("doc", "tag", "text")).join(wanted, ["doc", "spot"], "left_semi")
+    return there.dropDuplicates(["doc", "spot"]).select("doc", "spot", token_set(F.col("s"), levels).alias("set"))
 
 
 def similar(pairs: DataFrame, docs: DataFrame, levels: Column, t: int) -> DataFrame:
-    """The x of pairs (x, y, first_x, first_y) whose sets, read again from their first places, are similar."""
-    ends = [pairs.select(F.col(c).alias("cls"), F.col(f"first_{c}.doc_id").alias("doc_id"), F.col(f"first_{c}.line").alias("line")) for c in "xy"]
+    """doc, spot: the x of pairs (doc_x, spot_x, doc_y, spot_y) whose sets, read again, are similar."""
+    ends = [pairs.select(F.col(f"doc_{c}").alias("doc"), F.col(f"spot_{c}").alias("spot")) for c in "xy"]
     sets = written(sets_of(docs, ends[0].unionByName(ends[1]).distinct(), levels), "line-sets")
-    own = lambda c: sets.select(F.col("cls").alias(c), F.col("set").alias(f"set_{c}"))
+    own = lambda c: sets.select(*(F.col(k).alias(f"{k}_{c}") for k in ("doc", "spot", "set")))
     both = F.size(F.array_intersect("set_x", "set_y"))
-    joined = pairs.select("x", "y").join(own("y"), "y").join(own("x"), "x")
-    found = written(joined.where(100 * both >= t * (F.size("set_x") + F.size("set_y") - both)).select("x").distinct(), "line-found")
+    joined = pairs.join(own("y"), ["doc_y", "spot_y"]).join(own("x"), ["doc_x", "spot_x"])
+    alike = joined.where(100 * both >= t * (F.size("set_x") + F.size("set_y") - both))
+    found = written(alike.select(F.col("doc_x").alias("doc"), F.col("spot_x").alias("spot")).distinct(), "line-found")
     discard(sets)
     return found
 
 
+#: What a posting says of its class; at is below 0 where the class needs no more partners.
+POSTED = ("doc", "spot", "n", "at", *SKETCH)
+PAIR = ("doc_x", "spot_x", "doc_y", "spot_y")
+
+
+def earlier() -> Column:
+    """Whether y stands before x."""
+    return (F.col("doc_y") < F.col("doc_x")) | ((F.col("doc_y") == F.col("doc_x")) & (F.col("spot_y") < F.col("spot_x")))
+
+
+def possible(t: int) -> Column:
+    """Whether x, if it is open, and y can be similar when the shared word is the first they share."""
+    total = F.col("n_x") + F.col("n_y")
+    at_y = F.when(F.col("at_y") < 0, -1 - F.col("at_y")).otherwise(F.col("at_y"))
+    overlap = F.when(F.col("at_x") < 0, 0).otherwise(F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - at_y))
+    return (overlap.cast("long") * (100 + t) >= t * total.cast("long")) & (apart("x", "y").cast("long") * (100 + t) <= (100 - t) * total.cast("long"))
+
+
 def later_matches(docs: DataFrame, t: int = 80, least: int = 1) -> DataFrame:
-    """doc_id, tag (of the text), lines: the numbers of the lines to remove."""
+    """doc, tag, lines: the numbers of the lines to remove. docs: doc, tag, text."""
     spark = docs.sparkSession
     levels = rarity(docs)
     lines = written(lines_of(docs, levels, t, least), "lines")
-    earliest = F.min(F.struct("doc_id", "line", "n", "p", "q", "prefix")).alias("m")
-    grouped = lines.groupBy("cls").agg(earliest, F.count(F.lit(1)).alias("n_lines"))
-    classes = written(grouped.select("cls", F.struct("m.doc_id", "m.line").alias("first"), "m.n", "m.p", "m.q", "m.prefix", "n_lines"), "classes")
-    whole = Window.partitionBy("token")
-    posted = classes.select(F.posexplode("prefix").alias("at", "token"), "cls").withColumns({"lo": F.min("cls").over(whole), "hi": F.max("cls").over(whole)})
-    groups = written(posted.where("lo <> hi").select("token", "cls", "at"), "tokens")
-    del posted, grouped
+    own = lines.where(F.size("prefix") > 0).groupBy("cls").agg(F.min(F.struct("doc", "spot", "n", *SKETCH, "prefix")).alias("m"))
+    classes = written(own.select("m.*", F.lit(False).alias("shut")), "classes")
+    del own
     free_shuffles(spark)
-    member = written(groups.join(classes.select("cls", "first", "n", "p", "q"), "cls"), "members")
-    discard(groups)
+
+    def posted(own: DataFrame) -> DataFrame:
+        each = own.select("doc", "spot", "n", *SKETCH, "shut", F.posexplode("prefix").alias("at", "token"))
+        return each.select("token", *(F.when(F.col("shut"), -1 - F.col("at")).otherwise(F.col("at")).alias("at") if c == "at" else c for c in POSTED))
+
+    run = Window.partitionBy("token").orderBy("doc", "spot").rowsBetween(Window.unboundedPreceding, 0)
+    led = posted(classes).withColumn("lead", F.first(F.struct(*POSTED)).over(run))
+    led = led.select(*(F.col(c).alias(f"{c}_x") for c in POSTED), *(F.col(f"lead.{c}").alias(f"{c}_y") for c in POSTED))
+    tested = written(led.where(earlier() & possible(t)).select(*PAIR).distinct(), "line-pairs")
+    del led
     free_shuffles(spark)
-    own = ("cls", "first", "n", "at", "p", "q")
-    x, y = (member.select("token", *(F.col(c).alias(f"{c}_{s}") for c in own)) for s in "xy")
-    total = F.col("n_x") + F.col("n_y")
-    overlap = F.least("at_x", "at_y") + 1 + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) - 1
-    near = (100 * F.least("n_x", "n_y") >= t * F.greatest("n_x", "n_y")) & (overlap * (100 + t) >= t * total)
-    for c in "pq":
-        near &= F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) * (100 + t) <= (100 - t) * total
-    as_pairs = lambda df: df.where(near).select(F.col("cls_x").alias("x"), F.col("cls_y").alias("y"), "first_x", "first_y").dropDuplicates(["x", "y"])
-    lead = member.groupBy("token").agg(F.min(F.struct("first", "cls", "n", "at", "p", "q")).alias("lead")).select("token", *(F.col(f"lead.{c}").alias(f"{c}_y") for c in own))
-    tested = written(as_pairs(x.join(lead, "token").where("first_y < first_x")), "line-pairs")
     found = similar(tested, docs, levels, t)
-    open_ = x.join(found.select(F.col("x").alias("cls_x")), "cls_x", "left_anti")
-    more = as_pairs(open_.join(y, "token").where("first_y < first_x")).join(tested.select("x", "y"), ["x", "y"], "left_anti")
+    discard(tested)
+    shut = found.withColumn("hit", F.lit(True))
+    left = written(classes.drop("shut").join(shut, ["doc", "spot"], "left").select("doc", "spot", "n", *SKETCH, "prefix", F.coalesce("hit", F.lit(False)).alias("shut")), "classes")
+    discard(classes)
+    free_shuffles(spark)
+    x, y = (posted(left).select("token", *(F.col(c).alias(f"{c}_{s}") for c in POSTED)) for s in "xy")
+    tested = written(x.join(y.hint("merge"), "token").where(earlier() & possible(t)).select(*PAIR).distinct(), "line-pairs")
+    del x, y
+    discard(left)
     free_shuffles(spark)
-    found = found.unionByName(similar(written(more, "line-pairs"), docs, levels, t))
-    discard(member, tested)
+    more = similar(tested, docs, levels, t)
+    discard(tested)
     # Of a class, all lines but the first go, and the first too if an earlier class is similar.
-    hit = classes.join(found.select(F.col("x").alias("cls"), F.lit(True).alias("hit")), "cls", "left").where("n_lines > 1 or hit").select("cls", "first", "hit")
-    gone = lines.select("doc_id", "tag", "line", "cls").join(hit, "cls").where(F.col("hit") | (F.struct("doc_id", "line") > F.col("first")))
-    gone = written(gone.groupBy("doc_id", "tag").agg(F.collect_set("line").alias("lines")), "line-gone")
-    discard(lines, classes)
+    slim = lines.select("doc", "spot", "cls")
+    hit = found.unionByName(more).distinct().select(F.struct("doc", "spot").alias("first"), F.lit(True).alias("hit"))
+    firsts = slim.groupBy("cls").agg(F.min(F.struct("doc", "spot")).alias("first"), F.count(F.lit(1)).alias("n_lines"))
+    firsts = firsts.join(hit, "first", "left").where("n_lines > 1 or hit").select("cls", "first", "hit")
+    gone = slim.join(firsts, "cls").where(F.col("hit") | (F.struct("doc", "spot") > F.col("first")))
+    number = F.shiftright("spot", 32).cast("int").alias("line")
+    low = F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF))
+    tag = F.when(low >= 1 << 31, low - (1 << 32)).otherwise(low).cast("int").alias("tag")
+    gone = written(gone.select("doc", tag, number).groupBy("doc", "tag").agg(F.collect_set("line").alias("lines")), "line-gone")
+    discard(lines, found, more)
     free_shuffles(spark)
     return gone
 
 
 def deduped(docs: DataFrame, t: int = 80, least: int = 1) -> DataFrame:
     """docs with text less its later matches, and the columns n_lines and n_removed."""
-    own = docs.select("doc_id", "text")
-    gone = later_matches(own, t, least).select(F.col("doc_id").alias("gone_id"), F.col("tag").alias("gone_tag"), "lines")
-    packed = docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("row"))
-    joined = packed.join(gone, packed["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(packed["text"]) == gone["gone_tag"]), "left")
+    own = placed(docs)
+    gone = later_matches(own, t, least).select(F.col("doc").alias("gone_doc"), F.col("tag").alias("gone_tag"), "lines")
+    packed = docs.select("text", F.struct(*(c for c in docs.columns if c != "text")).alias("row"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.hash("text").alias("tag"), F.lit(False).alias("again"))
+    often = own.groupBy("doc", "tag").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("doc", "tag")
+    if not often.isEmpty():
+        alike = Window.partitionBy("doc", "tag").orderBy(F.lit(0))
+        numbered = packed.join(often, ["doc", "tag"], "left_semi").withColumn("again", F.row_number().over(alike) > 1)
+        packed = packed.join(often, ["doc", "tag"], "left_anti").unionByName(numbered)
+    joined = packed.join(gone, (packed["doc"] == gone["gone_doc"]) & (packed["tag"] == gone["gone_tag"]), "left")
     parts = F.split("text", "\n")
-    stays = F.filter(parts, lambda s, i: ~F.array_contains("lines", i))
-    text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.concat_ws("\n", stays))
-    return joined.select("row", text.alias("text"), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"))
+    goes = lambda s, i: F.when(F.col("again"), F.size(F.array_distinct(words(s))) >= least).otherwise(F.coalesce(F.array_contains("lines", i), F.lit(False)))
+    stays = F.filter(parts, lambda s, i: ~goes(s, i))
+    touched = F.col("again") | F.col("lines").isNotNull()
+    text = F.when(touched & F.col("text").isNotNull(), F.concat_ws("\n", stays)).otherwise(F.col("text"))
+    n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size(parts)), F.lit(0))
+    removed = F.when(F.col("again"), F.size(parts) - F.size(stays)).otherwise(F.size("lines"))
+    return joined.select("row", text.alias("text"), n_lines.cast("long").alias("n_lines"), F.greatest(F.coalesce(removed, F.lit(0)), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def report(docs: DataFrame, t: int = 80, least: int = 1) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 of every row."""
-    return deduped(docs, t, least).select("row.doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"), F.greatest("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return deduped(docs, t, least).select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def kept(docs: DataFrame, t: int = 80, least: int = 1) -> DataFrame:
@@ -166,7 +247,7 @@ ORACLE = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
 l AS (SELECT rid, doc_id, i AS line, list_distinct(list_filter(regexp_split_to_array(lower(parts[i]), '[ \\t\\x0B\\f\\r]+'), lambda w: w <> '')) AS ws
   FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM d)),
-k AS (SELECT *, len(ws) AS n, row_number() OVER (ORDER BY doc_id NULLS FIRST, line) AS pl FROM l WHERE len(ws) >= 5),
+k AS (SELECT *, len(ws) AS n, row_number() OVER (ORDER BY doc_id NULLS FIRST, line) AS pl FROM l WHERE len(ws) >= 1),
 w AS (SELECT first, n, unnest(ws) AS word FROM (SELECT list_sort(ws) AS ws, n, min(pl) AS first FROM k GROUP BY 1, 2)),
 f AS (SELECT word, count(*) AS df FROM w GROUP BY word),
 p AS (SELECT first, n, word, row_number() OVER (PARTITION BY first ORDER BY df, word) AS r FROM w JOIN f USING (word)),

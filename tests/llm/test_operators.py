@@ -284,7 +284,7 @@ def test_report_with_a_ledger_covers_every_path(spark, tmp_path):
 # Lines
 
 
-def brute_lines(rows, t=80, least=5):
+def brute_lines(rows, t=80, least=1):
     """rows: (doc_id, text) -> for each row the numbers of lines to remove."""
     order = lambda d: -1 if d is None else d
     every = [(order(d), i, frozenset(w for w in re.split("[ \t\x0b\f\r]+", s.lower()) if w)) for d, x in rows if x is not None for i, s in enumerate(x.split("\n"))]
