@@ -29,37 +29,44 @@ ENTRIES, FREQUENT = 1 << 19, 1 << 16
 FILTER_BITS = 1 << 23
 LOW = (1 << 56) - 1
 #: Sets of more words than these have sketches of two and of four words.
-WIDE, WIDER = 48, 192
+WIDE, WIDER = 64, 224
+#: Words of a prefix by which classes meet the earliest of a group first.
+LEADING = 3
 SKETCH = ("a", "b", "c", "d")
 BLANKS = "[ \\t\\x0B\\f\\r]+"
 
 
 def words(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), BLANKS), "")
+    """The words of a line, in lower case. Splitting at a single blank needs no pattern; few lines hold other ones."""
+    low = F.lower(line)
+    return F.array_remove(F.when(line.rlike("[\\t\\x0B\\f\\r]"), F.split(low, BLANKS)).otherwise(F.split(low, " ")), "")
+
+
+def entry(word: Column) -> Column:
+    return F.hash(word).bitwiseAND(F.lit(ENTRIES - 1))
 
 
 def rarity(docs: DataFrame) -> Column:
-    """A table of levels by hash of a word, one byte each, as many bits as the level: 0 for all but the most frequent
-    words, whose number is bounded, and then one more for each factor of four. A rare word that shares an entry
-    with a frequent one looks frequent, which only costs candidates."""
-    each = docs.select(F.explode(F.split(F.lower("text"), "[ \\t\\n\\x0B\\f\\r]+")).alias("w"))
-    counted = each.groupBy(F.xxhash64("w").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    most = counted.groupBy(F.col("w").bitwiseAND(F.lit(ENTRIES - 1)).cast("int").alias("h")).agg(F.max("n").alias("n"))
-    most = written(most.select("h", F.length(F.bin("n")).alias("b")), "levels")
+    """The leading bits of a word's number, by entry(): 0 for all but the most frequent words, whose number is bounded,
+    and then a level for each factor of four. A rare word that shares an entry with a frequent one looks frequent,
+    and words beside rare blanks are counted with them, which only costs candidates."""
+    lines = docs.select(F.explode(F.split(F.lower("text"), "\n")).alias("s"))
+    each = lines.select(F.explode(F.split("s", " ")).alias("w"))
+    counted = each.groupBy(F.xxhash64("w"), entry(F.col("w")).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    most = written(counted.groupBy("h").agg(F.max("n").alias("n")).select("h", F.length(F.bin("n")).alias("b")), "levels")
     sizes = {r["b"]: r["count"] for r in most.groupBy("b").count().collect()}
     base = next(b for b in range(66) if sum(n for c, n in sizes.items() if c >= b) <= FREQUENT)
-    table = bytearray(ENTRIES)
+    table = ["0"] * ENTRIES
     for r in most.where(F.col("b") >= base).collect():
-        table[r["h"]] = (1 << min(8, 1 + (r["b"] - base) // 2)) - 1
+        table[r["h"]] = str(1 + (r["b"] - base) // 2 << 56)
     discard(most)
-    return F.lit(bytes(table))
+    return F.split(F.lit(",".join(table)), ",").cast("array<bigint>")
 
 
 def token_set(line: Column, levels: Column) -> Column:
     """The distinct words of a line as numbers, rarest first."""
-    level = lambda h: F.bitmap_count(F.substring(levels, h.bitwiseAND(F.lit(ENTRIES - 1)).cast("int") + 1, F.lit(1)))
-    hashes = F.transform(words(line), lambda w: F.xxhash64(w))
-    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(level(h), 56).bitwiseOR(h.bitwiseAND(F.lit(LOW))))))
+    number = lambda w: F.get(levels, entry(w)).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(LOW)))
+    return F.sort_array(F.array_distinct(F.transform(words(line), number)))
 
 
 def once(c: Column) -> Column:
@@ -73,24 +80,25 @@ def needed(n: Column, t: int) -> Column:
 
 
 def sketch(set_: Column, n: Column) -> list[Column]:
-    """Four words of parity bits, of which each element flips one: two sets differ in at least as many elements as
-    bits. Small sets use fewer words, the others are 0; XOR of the words folds a sketch to a smaller one."""
-    flip = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-    spot = lambda h, of: F.shiftright(h, 6).bitwiseAND(F.lit(of - 1))
-
-    def word(k: int, of: int) -> Column:
-        own = flip if of == 1 else lambda h: F.when(spot(h, of) == k, flip(h)).otherwise(F.lit(0).cast("long"))
-        return F.aggregate(set_, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(own(h)))
-
+    """Parities of a set in 64 bits: of all elements, each of which flips one bit; of those with a certain bit set, for
+    sets over WIDE; and of those with another bit, and with both, for sets over WIDER. Sums (XOR) of these are the
+    words of a sketch of 64, 128 or 256 bits: two sets differ in at least as many elements as bits."""
+    place = lambda h: h.bitwiseAND(F.lit(63)).cast("int")
+    flip = lambda one, h: F.call_function("shiftleft", one, place(h))
+    parity = lambda one: F.aggregate(set_, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(flip(one(h), h)))
+    bit = lambda k: lambda h: F.shiftright(h, k).bitwiseAND(F.lit(1))
+    both = lambda h: F.shiftright(h, 6).bitwiseAND(F.shiftright(h, 7)).bitwiseAND(F.lit(1))
     none = F.lit(0).cast("long")
-    return [F.when(n > WIDER, word(k, 4)).when(n > WIDE, word(k, 2) if k < 2 else none).otherwise(word(0, 1) if k == 0 else none).alias(c) for k, c in enumerate(SKETCH)]
+    over = lambda most, c: F.when(n > most, c).otherwise(none)
+    return [c.alias(k) for k, c in zip(SKETCH, (parity(lambda h: F.lit(1).cast("long")), over(WIDE, parity(bit(6))), over(WIDER, parity(bit(7))), over(WIDER, parity(both))))]
 
 
 def apart(x: str, y: str) -> Column:
     """The Hamming distance of two sketches, at the smaller of their sizes."""
     bits = lambda *of: F.bit_count(_xor([F.col(f"{c}_{s}") for c in of for s in (x, y)]))
     less = F.least(f"n_{x}", f"n_{y}")
-    return F.when(less > WIDER, bits("a") + bits("b") + bits("c") + bits("d")).when(less > WIDE, bits("a", "c") + bits("b", "d")).otherwise(bits(*SKETCH))
+    wider = bits("d") + bits("b", "d") + bits("c", "d") + bits(*SKETCH)
+    return F.when(less > WIDER, wider).when(less > WIDE, bits("b") + bits("a", "b")).otherwise(bits("a"))
 
 
 def _xor(cols: list[Column]) -> Column:
@@ -149,73 +157,66 @@ POSTED = ("doc", "spot", "n", "at", *SKETCH)
 PAIR = ("doc_x", "spot_x", "doc_y", "spot_y")
 
 
-def earlier() -> Column:
-    """Whether y stands before x."""
-    return (F.col("doc_y") < F.col("doc_x")) | ((F.col("doc_y") == F.col("doc_x")) & (F.col("spot_y") < F.col("spot_x")))
-
-
 def possible(t: int) -> Column:
-    """Whether x, if it is open, and y can be similar when the shared word is the first they share."""
+    """Whether x, if it is open, and y, an earlier class, can be similar when the shared word is the first they share."""
     total = F.col("n_x") + F.col("n_y")
     at_y = F.when(F.col("at_y") < 0, -1 - F.col("at_y")).otherwise(F.col("at_y"))
     overlap = F.when(F.col("at_x") < 0, 0).otherwise(F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - at_y))
-    return (overlap.cast("long") * (100 + t) >= t * total.cast("long")) & (apart("x", "y").cast("long") * (100 + t) <= (100 - t) * total.cast("long"))
+    before = (F.col("doc_y") < F.col("doc_x")) | ((F.col("doc_y") == F.col("doc_x")) & (F.col("spot_y") < F.col("spot_x")))
+    return (overlap.cast("long") * (100 + t) >= t * total.cast("long")) & before & (apart("x", "y").cast("long") * (100 + t) <= (100 - t) * total.cast("long"))
 
 
-def later_matches(docs: DataFrame, t: int = 80, least: int = 1) -> DataFrame:
-    """doc, tag, lines: the numbers of the lines to remove. docs: doc, tag, text."""
+def later_matches(docs: DataFrame, t: int = 80, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(doc, tag, lines: the numbers of the lines to remove; doc, tag of repeated rows). docs: doc, tag, text."""
     spark = docs.sparkSession
     levels = rarity(docs)
-    lines = written(lines_of(docs, levels, t, least), "lines")
-    own = lines.where(F.size("prefix") > 0).groupBy("cls").agg(F.min(F.struct("doc", "spot", "n", *SKETCH, "prefix")).alias("m"))
-    classes = written(own.select("m.*", F.lit(False).alias("shut")), "classes")
-    del own
     free_shuffles(spark)
-
-    def posted(own: DataFrame) -> DataFrame:
-        each = own.select("doc", "spot", "n", *SKETCH, "shut", F.posexplode("prefix").alias("at", "token"))
+    lines = written(lines_of(docs, levels, t, least), "lines")
+    slim = lines.select("doc", "spot", "cls")
+    firsts = slim.groupBy("cls").agg(F.min(F.struct("doc", "spot")).alias("first"), F.count(F.lit(1)).alias("n_lines"))
+    repeats = written(firsts.where("n_lines > 1").select("cls", "first"), "line-repeats")
+    place = F.struct("doc", "spot")
+
+    def posted(shut: DataFrame | None, most: int) -> DataFrame:
+        """A row for each of the first most words of the prefix of each class, which its first place stands for."""
+        own = lines.where(F.size("prefix") > 0).join(repeats, "cls", "left").where(F.col("first").isNull() | (F.col("first") == place))
+        own = own.withColumn("shut", F.lit(False)) if shut is None else own.join(shut.withColumn("shut", F.lit(True)), ["doc", "spot"], "left")
+        each = own.select("doc", "spot", "n", *SKETCH, "shut", F.posexplode(F.slice("prefix", 1, most)).alias("at", "token"))
         return each.select("token", *(F.when(F.col("shut"), -1 - F.col("at")).otherwise(F.col("at")).alias("at") if c == "at" else c for c in POSTED))
 
     run = Window.partitionBy("token").orderBy("doc", "spot").rowsBetween(Window.unboundedPreceding, 0)
-    led = posted(classes).withColumn("lead", F.first(F.struct(*POSTED)).over(run))
+    led = posted(None, LEADING).withColumn("lead", F.first(F.struct(*POSTED)).over(run))
     led = led.select(*(F.col(c).alias(f"{c}_x") for c in POSTED), *(F.col(f"lead.{c}").alias(f"{c}_y") for c in POSTED))
-    tested = written(led.where(earlier() & possible(t)).select(*PAIR).distinct(), "line-pairs")
-    del led
+    tested = written(led.where(possible(t)).select(*PAIR).distinct(), "line-pairs")
+    del led, firsts
     free_shuffles(spark)
     found = similar(tested, docs, levels, t)
     discard(tested)
-    shut = found.withColumn("hit", F.lit(True))
-    left = written(classes.drop("shut").join(shut, ["doc", "spot"], "left").select("doc", "spot", "n", *SKETCH, "prefix", F.coalesce("hit", F.lit(False)).alias("shut")), "classes")
-    discard(classes)
-    free_shuffles(spark)
-    x, y = (posted(left).select("token", *(F.col(c).alias(f"{c}_{s}") for c in POSTED)) for s in "xy")
-    tested = written(x.join(y.hint("merge"), "token").where(earlier() & possible(t)).select(*PAIR).distinct(), "line-pairs")
+    x, y = (posted(found, 1 << 30).select("token", *(F.col(c).alias(f"{c}_{s}") for c in POSTED)) for s in "xy")
+    tested = written(x.join(y.hint("merge"), "token").where(possible(t)).select(*PAIR).distinct(), "line-pairs")
     del x, y
-    discard(left)
     free_shuffles(spark)
     more = similar(tested, docs, levels, t)
     discard(tested)
     # Of a class, all lines but the first go, and the first too if an earlier class is similar.
-    slim = lines.select("doc", "spot", "cls")
-    hit = found.unionByName(more).distinct().select(F.struct("doc", "spot").alias("first"), F.lit(True).alias("hit"))
-    firsts = slim.groupBy("cls").agg(F.min(F.struct("doc", "spot")).alias("first"), F.count(F.lit(1)).alias("n_lines"))
-    firsts = firsts.join(hit, "first", "left").where("n_lines > 1 or hit").select("cls", "first", "hit")
-    gone = slim.join(firsts, "cls").where(F.col("hit") | (F.struct("doc", "spot") > F.col("first")))
     number = F.shiftright("spot", 32).cast("int").alias("line")
     low = F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF))
     tag = F.when(low >= 1 << 31, low - (1 << 32)).otherwise(low).cast("int").alias("tag")
+    again = slim.join(repeats, "cls")
+    gone = again.where(place > F.col("first")).select("doc", "spot").unionByName(found).unionByName(more)
     gone = written(gone.select("doc", tag, number).groupBy("doc", "tag").agg(F.collect_set("line").alias("lines")), "line-gone")
-    discard(lines, found, more)
+    often = again.groupBy("doc", "spot").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("doc", tag).distinct()
+    often = written(often, "line-often")
+    discard(lines, repeats, found, more)
     free_shuffles(spark)
-    return gone
+    return gone, often
 
 
 def deduped(docs: DataFrame, t: int = 80, least: int = 1) -> DataFrame:
     """docs with text less its later matches, and the columns n_lines and n_removed."""
-    own = placed(docs)
-    gone = later_matches(own, t, least).select(F.col("doc").alias("gone_doc"), F.col("tag").alias("gone_tag"), "lines")
+    gone, often = later_matches(placed(docs), t, least)
+    gone = gone.select(F.col("doc").alias("gone_doc"), F.col("tag").alias("gone_tag"), "lines")
     packed = docs.select("text", F.struct(*(c for c in docs.columns if c != "text")).alias("row"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.hash("text").alias("tag"), F.lit(False).alias("again"))
-    often = own.groupBy("doc", "tag").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("doc", "tag")
     if not often.isEmpty():
         alike = Window.partitionBy("doc", "tag").orderBy(F.lit(0))
         numbered = packed.join(often, ["doc", "tag"], "left_semi").withColumn("again", F.row_number().over(alike) > 1)
