@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, free_shuffles, written
 
-#: Bytes of the table of levels, and how many of them may be above 0.
-ENTRIES, FREQUENT = 1 << 19, 1 << 16
+#: Entries of the table of levels, and how many of them may be above 0.
+ENTRIES, FREQUENT = 1 << 18, 1 << 15
 FILTER_BITS = 1 << 23
 LOW = (1 << 56) - 1
 #: Sets of more words than these have sketches of two and of four words.
@@ -175,39 +175,50 @@ def later_matches(docs: DataFrame, t: int = 80, least: int = 1) -> tuple[DataFra
     slim = lines.select("doc", "spot", "cls")
     firsts = slim.groupBy("cls").agg(F.min(F.struct("doc", "spot")).alias("first"), F.count(F.lit(1)).alias("n_lines"))
     repeats = written(firsts.where("n_lines > 1").select("cls", "first"), "line-repeats")
+    del firsts
     place = F.struct("doc", "spot")
+    low = F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF))
+    tag = F.when(low >= 1 << 31, low - (1 << 32)).otherwise(low).cast("int").alias("tag")
+    again = slim.join(repeats.hint("merge"), "cls")
+    copies = written(again.where(place > F.col("first")).select("doc", "spot"), "line-copies")
+    often = again.groupBy("doc", "spot").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc", tag).distinct()
+    often = written(often, "line-often")
+    # Each class goes on as its first line; the others are gone already. Joins here are by sorting at any size.
+    own = lines.where(F.size("prefix") > 0).join(repeats.hint("merge"), "cls", "left").where(F.col("first").isNull() | (F.col("first") == place))
+    classes = written(own.select("doc", "spot", "n", *SKETCH, "prefix", F.lit(False).alias("shut")), "classes")
+    discard(lines, repeats)
+    del slim, again, own
+    free_shuffles(spark)
 
-    def posted(shut: DataFrame | None, most: int) -> DataFrame:
-        """A row for each of the first most words of the prefix of each class, which its first place stands for."""
-        own = lines.where(F.size("prefix") > 0).join(repeats, "cls", "left").where(F.col("first").isNull() | (F.col("first") == place))
-        own = own.withColumn("shut", F.lit(False)) if shut is None else own.join(shut.withColumn("shut", F.lit(True)), ["doc", "spot"], "left")
+    def posted(own: DataFrame, most: int) -> DataFrame:
+        """A row for each of the first most words of the prefix of each class."""
         each = own.select("doc", "spot", "n", *SKETCH, "shut", F.posexplode(F.slice("prefix", 1, most)).alias("at", "token"))
         return each.select("token", *(F.when(F.col("shut"), -1 - F.col("at")).otherwise(F.col("at")).alias("at") if c == "at" else c for c in POSTED))
 
     run = Window.partitionBy("token").orderBy("doc", "spot").rowsBetween(Window.unboundedPreceding, 0)
-    led = posted(None, LEADING).withColumn("lead", F.first(F.struct(*POSTED)).over(run))
+    led = posted(classes, LEADING).withColumn("lead", F.first(F.struct(*POSTED)).over(run))
     led = led.select(*(F.col(c).alias(f"{c}_x") for c in POSTED), *(F.col(f"lead.{c}").alias(f"{c}_y") for c in POSTED))
     tested = written(led.where(possible(t)).select(*PAIR).distinct(), "line-pairs")
-    del led, firsts
+    del led
     free_shuffles(spark)
     found = similar(tested, docs, levels, t)
     discard(tested)
-    x, y = (posted(found, 1 << 30).select("token", *(F.col(c).alias(f"{c}_{s}") for c in POSTED)) for s in "xy")
+    shut = found.select("doc", "spot", F.lit(True).alias("hit")).hint("merge")
+    open_ = classes.join(shut, ["doc", "spot"], "left").withColumn("shut", F.coalesce("hit", F.lit(False)))
+    open_ = written(open_.select(classes.columns), "classes")
+    discard(classes)
+    free_shuffles(spark)
+    x, y = (posted(open_, 1 << 30).select("token", *(F.col(c).alias(f"{c}_{s}") for c in POSTED)) for s in "xy")
     tested = written(x.join(y.hint("merge"), "token").where(possible(t)).select(*PAIR).distinct(), "line-pairs")
+    discard(open_)
     del x, y
     free_shuffles(spark)
     more = similar(tested, docs, levels, t)
     discard(tested)
     # Of a class, all lines but the first go, and the first too if an earlier class is similar.
-    number = F.shiftright("spot", 32).cast("int").alias("line")
-    low = F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF))
-    tag = F.when(low >= 1 << 31, low - (1 << 32)).otherwise(low).cast("int").alias("tag")
-    again = slim.join(repeats, "cls")
-    gone = again.where(place > F.col("first")).select("doc", "spot").unionByName(found).unionByName(more)
-    gone = written(gone.select("doc", tag, number).groupBy("doc", "tag").agg(F.collect_set("line").alias("lines")), "line-gone")
-    often = again.groupBy("doc", "spot").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("doc", tag).distinct()
-    often = written(often, "line-often")
-    discard(lines, repeats, found, more)
+    gone = copies.unionByName(found).unionByName(more).select("doc", tag, F.shiftright("spot", 32).cast("int").alias("line"))
+    gone = written(gone.groupBy("doc", "tag").agg(F.collect_set("line").alias("lines")), "line-gone")
+    discard(copies, found, more)
     free_shuffles(spark)
     return gone, often
 
