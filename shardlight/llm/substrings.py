@@ -5,8 +5,10 @@ place. A document's starts are cut into runs of one anchor; a run's context is t
 are matched by (anchor, context) hashes: equal contexts repeat as a whole. Of the other runs of a repeated anchor
 the contexts are sorted from the anchor rightward and leftward by a hash-compared suffix sort (a merge sort whose
 comparisons find the common extension by binary search on prefix polynomial hashes, verified on the bytes); two
-strings are equal where they share both extensions. Anchors with very many different contexts are not gathered:
-their strings are counted by hash instead.
+strings are equal where they share both extensions. An anchor with very many different contexts is not gathered but
+split: strings whose distances to the anchor fall in one block share the bytes that all of the block have in common,
+which make the block an anchor of its own, with contexts that are shorter and repeat more often. What is still large
+is split into smaller blocks, of one string at last; the sort is the same at every level.
 
 Text is taken as UTF-8, null as empty. Strings are judged on the input; documents under ``span`` bytes lose
 nothing; repeated rows repeat each other; an empty table gives an empty table.
@@ -22,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Powers, docs_of, free_shuffles, mix64, written
+from .common import Powers, discard, docs_of, free_shuffles, mix64, written
 
 GRAM = 32
 #: Starts that are hashed at once.
 CHUNK = 1 << 18
-#: Different contexts of an anchor that are sorted together; anchors with more are counted string by string.
-MOST = 512
+#: Different contexts of an anchor that are sorted in one task; an anchor with more is split into blocks of distances.
+MOST = 8192
+BLOCKS = (32, 8, 2, 1)
 FILTER_BITS = 1 << 23
 FIRST, SECOND = Powers(0x9E3779B97F4A7C15), Powers(0xC2B2AE3D27D4EB4F)
 U = np.uint64
@@ -246,8 +249,17 @@ def _ranges(blob: int, starts: np.ndarray, span: int) -> list[tuple[int, int, in
     return [(blob, int(a), int(b) + span) for a, b in zip(np.r_[starts[:1], starts[cut + 1]], np.r_[starts[cut], starts[-1:]])]
 
 
+CONTEXTS = "a long, blob long, first long, left int, last int, context binary"
+
+
+def _contexts(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [[]] * 6
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[c.split()[0] for c in CONTEXTS.split(", ")])
+
+
 def contexts_of(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """a, many, blob, first, left, last, context: of the runs listed in wanted (blob, runs)."""
+    """a, blob, first, left, last, context: of the runs listed in wanted (blob, runs)."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,18 +283,16 @@ def contexts_of(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
                 text = raw.as_py()
                 for r in listed.as_py():
                     first, last, left = r["at"] >> 20, r["at"] >> 10 & 1023, r["at"] & 1023
-                    rows.append((r["a"], r["many"], blob.as_py(), first, left, last, text[first : first + last + span]))
-            cols = list(zip(*rows)) or [[]] * 7
-            types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["a", "many", "blob", "first", "left", "last", "context"])
+                    rows.append((r["a"], blob.as_py(), first, left, last, text[first : first + last + span]))
+            yield _contexts(rows)
 
     texts = docs.select("text").mapInArrow(scan, "blob long, raw binary")
     once = texts.join(wanted.hint("merge"), "blob")
-    return once.mapInArrow(fetch, "a long, many boolean, blob long, first long, left int, last int, context binary")
+    return once.mapInArrow(fetch, CONTEXTS)
 
 
 def sorted_ranges(contexts: DataFrame, span: int) -> DataFrame:
-    """blob, start, end: the ranges that repeated strings cover, from contexts with few others at their anchor."""
+    """blob, start, end: the ranges that repeated strings cover, from contexts that are few at each anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(t: pa.Table) -> pa.RecordBatch:
@@ -314,50 +324,48 @@ def sorted_ranges(contexts: DataFrame, span: int) -> DataFrame:
     return contexts.repartition("a").sortWithinPartitions("a").select("a", "blob", "first", "left", "last", "context").mapInArrow(run, "blob long, start long, end long")
 
 
-def counted_ranges(contexts: DataFrame, span: int, stretch: int = 16) -> DataFrame:
-    """The same for anchors with very many contexts: their strings are counted by hash.
+def blocks_of(contexts: DataFrame, span: int, width: int) -> DataFrame:
+    """The same contexts by blocks of width distances; a block's anchor is named by its old one and the bytes that
+    all its strings hold."""
 
-    A context is cut where the distance to the anchor is a multiple of stretch. Stretches that repeat go as a
-    whole; one of each kind is taken apart into its strings, and these are counted.
-    """
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             rows = []
-            for blob, first, left, last, context in zip(*(batch.column(c).to_pylist() for c in range(5))):
-                raw = np.frombuffer(context, np.uint8)
-                both = [prefix(raw, powers) for powers in (FIRST, SECOND)]
-
-                def of(a: np.ndarray, b: np.ndarray, both=both) -> np.ndarray:
-                    value = np.zeros(len(a), np.uint64)
-                    for sums, down in both:
-                        value = mix64(value + (sums[b] - sums[a]) * down[a])
-                    return value
-
-                start = np.arange(last + 1)
-                h = of(start, start + span).view(np.int64)
-                block = (left - start) // stretch
-                a = np.flatnonzero(np.diff(block, prepend=block[0] + 1))
-                b = np.r_[a[1:], last + 1]
-                name = mix64(of(a, b - 1 + span) ^ mix64((left - a).astype(np.uint64) << U(32) | (b - a).astype(np.uint64))).view(np.int64)
-                rows += [(int(s), blob, first + int(x), int(y - x), h[x:y]) for s, x, y in zip(name, a, b)]
-            cols = list(zip(*rows)) or [[]] * 5
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["s", "blob", "start", "n", "h"])
-
-    each = contexts.select("blob", "first", "left", "last", "context").mapInArrow(strings, "s long, blob long, start long, n int, h array<long>")
-    each = written(each, "stretches")
-    kinds = each.groupBy("s").agg(F.count(F.lit(1)).alias("times"), F.first("blob").alias("blob"), F.first("start").alias("start"), F.first("h").alias("h"))
-    again = each.groupBy("s").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("s")
-    whole = each.join(again, "s", "left_semi").select("blob", "start", (F.col("start") + F.col("n") - 1 + span).alias("end"))
-    single = kinds.select("times", "blob", "start", F.posexplode("h").alias("k", "h"))
-    repeats = single.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
-    at = F.col("start") + F.col("k")
-    return whole.unionByName(single.where("times = 1").join(repeats, "h", "left_semi").select("blob", at.alias("start"), (at + span).alias("end")))
+            for a, blob, first, left, last, context in zip(*(batch.column(c).to_pylist() for c in range(6))):
+                for k in range((left - last) // width, left // width + 1):
+                    low, high = max(left - last, k * width), min(left, (k + 1) * width - 1)
+                    core = context[left - k * width : left + span - (k + 1) * width + 1]
+                    name = blob_of(a.to_bytes(8, "little", signed=True) + k.to_bytes(2, "little") + core)
+                    rows.append((name, blob, first + left - high, high, high - low, context[left - high : left - low + span]))
+            yield _contexts(rows)
+
+    return contexts.select("a", "blob", "first", "left", "last", "context").mapInArrow(run, CONTEXTS)
+
+
+def context_ranges(contexts: DataFrame, span: int) -> DataFrame:
+    """blob, start, end: the ranges that repeated strings cover, from the different contexts of anchors."""
+    found, whole = None, F.struct("blob", "first")
+    for width in BLOCKS:
+        heavy = contexts.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > MOST).select("a")
+        heavy = written(heavy, "heavy")
+        some = not heavy.isEmpty()
+        own = sorted_ranges(contexts.join(heavy, "a", "left_anti") if some else contexts, span)
+        found = own if found is None else found.unionByName(own)
+        if not some:
+            return found
+        split = written(blocks_of(contexts.join(heavy, "a", "left_semi"), span, width), "blocks")
+        same = split.groupBy("a", "left", "last", "context").agg(F.min(whole).alias("one"), F.count(F.lit(1)).alias("times"))
+        same = written(same, "kinds")
+        again = split.join(same.where("times > 1").select("a", "left", "last", "context"), ["a", "left", "last", "context"], "left_semi")
+        found = found.unionByName(again.select("blob", F.col("first").alias("start"), (F.col("first") + F.col("last") + span).alias("end")))
+        contexts = same.select("a", "one.blob", "one.first", "left", "last", "context")
+    return found  # blocks of one string: what is equal is one kind
 
 
 def repeated_ranges(docs: DataFrame, span: int = 200) -> DataFrame:
     """blob, start, end: byte ranges (they may overlap) of texts, which are named by blob, that are to go."""
+    if not GRAM <= span <= 1000:
+        raise ValueError(f"span must be from {GRAM} to 1000")
     spark = docs.sparkSession
     hot = hot_anchors(docs, span)
     rows = anchors(docs, span)
@@ -374,18 +382,21 @@ def repeated_ranges(docs: DataFrame, span: int = 200) -> DataFrame:
     known = known.withColumns({"all": F.count(F.lit(1)).over(one), "kinds": F.sum(F.when(F.col("nth") == 1, 1)).over(one)})
     hot_row = F.coalesce("hot", F.lit(False))
     mute = ~F.col("vote")
-    known = known.where(mute | hot_row | (F.col("all") > 1)).select("blob", "at", "a", (mute | (F.col("same") > 1)).alias("whole"), (F.col("vote") & (F.col("nth") == 1) & (hot_row | (F.col("kinds") > 1))).alias("open"), (hot_row | (F.col("kinds") > MOST)).alias("many"))
+    known = known.where(mute | hot_row | (F.col("all") > 1)).select("blob", "at", "a", (mute | (F.col("same") > 1)).alias("whole"), (F.col("vote") & (F.col("nth") == 1) & (hot_row | (F.col("kinds") > 1))).alias("open"))
     known = written(known, "runs")
     del rows
     free_shuffles(spark)
     first = F.shiftright("at", 20)
     whole = known.where("whole").select("blob", first.alias("start"), (first + F.shiftright("at", 10).bitwiseAND(1023) + span).alias("end"))
-    wanted = known.where("open").groupBy("blob").agg(F.collect_list(F.struct("a", "many", "at")).alias("runs"))
+    wanted = known.where("open").groupBy("blob").agg(F.collect_list(F.struct("a", "at")).alias("runs"))
     contexts = written(contexts_of(docs, wanted, span), "contexts")
     del wanted
     free_shuffles(spark)
-    found = sorted_ranges(contexts.where("not many"), span).unionByName(counted_ranges(contexts.where("many"), span))
-    return written(whole.unionByName(found).distinct(), "ranges")
+    found = context_ranges(contexts, span)
+    ranges = written(whole.unionByName(found).distinct(), "ranges")
+    discard(known, contexts)
+    free_shuffles(spark)
+    return ranges
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"

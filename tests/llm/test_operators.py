@@ -125,9 +125,20 @@ def test_decontamination(spark, odd, none, chars):
 # Substrings
 
 
-@pytest.mark.parametrize("most", [512, 1])
-def test_substrings(odd, none, monkeypatch, most):
+@pytest.mark.parametrize("most", [8192, 1])
+def test_substrings(spark, odd, none, monkeypatch, most):
     monkeypatch.setattr(substrings, "MOST", most)
+    rng = np.random.default_rng(12)
+    any_text = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage = any_text(320)  # a heavy anchor: one passage in many texts, cut and changed at many places
+    more = []
+    for k in range(60):
+        a, b = rng.integers(0, 90), rng.integers(230, 321)
+        own = list(passage[a:b])
+        if k % 4 == 0:
+            own[rng.integers(len(own))] = "!"
+        more.append((2000 + k, any_text(rng.integers(0, 150)) + "".join(own) + any_text(rng.integers(0, 150))))
+    odd = odd.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string").repartition(3))
     texts = [(r.doc_id, (r.text or "").encode()) for r in odd.collect()]
     count = Counter(b[s : s + 200] for _, b in texts for s in range(len(b) - 199))
     want = []
@@ -287,13 +298,13 @@ def test_report_with_a_ledger_covers_every_path(spark, tmp_path):
 def brute_lines(rows, t=80, least=1):
     """rows: (doc_id, text) -> for each row the numbers of lines to remove."""
     order = lambda d: -1 if d is None else d
-    every = [(order(d), i, frozenset(w for w in re.split("[ \t\x0b\f\r]+", s.lower()) if w)) for d, x in rows if x is not None for i, s in enumerate(x.split("\n"))]
+    every = [(order(d), i, r, frozenset(w for w in re.split("[ \t\x0b\f\r]+", s.lower()) if w)) for r, (d, x) in enumerate(rows) if x is not None for i, s in enumerate(x.split("\n"))]
     out = []
-    for d, x in rows:
+    for r, (d, x) in enumerate(rows):
         gone = set()
         for i, s in enumerate((x or "").split("\n") if x is not None else []):
             a = frozenset(w for w in re.split("[ \t\x0b\f\r]+", s.lower()) if w)
-            if len(a) >= least and any((e, j) < (order(d), i) and len(b) >= least and 100 * len(a & b) >= t * len(a | b) for e, j, b in every):
+            if len(a) >= least and any((e, j, q) < (order(d), i, r) and len(b) >= least and 100 * len(a & b) >= t * len(a | b) for e, j, q, b in every):
                 gone.add(i)
         out.append(gone)
     return out
