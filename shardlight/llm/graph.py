@@ -9,7 +9,7 @@ from .common import discard, written
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
-    """(node, component) of every node in links (a, b); component: its smallest node. No links: no rows.
+    """(node, component) of every node in links (a, b), written; component: its smallest node. No links: no rows.
 
     Each node's neighbours are hung on the smallest of them, larger neighbours first, then smaller ones, until
     nothing changes; the rounds grow with the logarithm of the longest path. Nothing is gathered in one task: the
@@ -34,4 +34,6 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    named = written(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "labels")
+    discard(edges)
+    return named

@@ -13,7 +13,8 @@ compared in blocks of bounded size by the Hamming distance of sketches, and the
 verified. No link between different components is lost.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing; repeated rows are
-one class; an empty table gives an empty table.
+one class; rows without doc_id link others as any row does, and their component_id is the smallest doc_id that is
+known, or null; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -148,8 +149,9 @@ def keys_of(docs: DataFrame, m: Measure) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, m: Measure) -> DataFrame:
-    """(cls, text) of the classes of wanted (doc_id, cls), which are picked in the scan by a bitmap of fixed size."""
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    """(cls, text) of the classes of wanted (cls, tag of one of its texts), which are picked in the scan by a bitmap of
+    fixed size; a task reads copies of a text once."""
+    spot = F.pmod("tag", F.lit(FILTER_BITS))
     words = wanted.select(spot.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
     bitmap = np.zeros(FILTER_BITS // 64, np.int64)
     for r in words.collect():
@@ -157,15 +159,21 @@ def texts_of(docs: DataFrame, wanted: DataFrame, m: Measure) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            p = batch.column(2).to_numpy(zero_copy_only=False)
-            hit = np.flatnonzero((bits.value[p >> 6] >> (p & 63)) & 1)
-            own = batch.take(pa.array(hit))
+            p, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 0))
+            hit = []
+            for i in np.flatnonzero((bits.value[p >> 6] >> (p & 63)) & 1):
+                if tags[i] not in seen:
+                    hit.append(i)
+                    if len(seen) < 200_000:
+                        seen.add(tags[i])
+            own = batch.take(pa.array(hit, pa.int64()))
             cls = [m.name(m.shingles(t)) for t in own.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([own.column(0), pa.array(cls, pa.int64()), own.column(1)], names=["doc_id", "cls", "text"])
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array(cls, pa.int64()), own.column(1)], names=["tag", "cls", "text"])
 
-    picked = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", spot.alias("p")).mapInArrow(run, "doc_id long, cls long, text string")
-    return picked.join(wanted, ["doc_id", "cls"], "left_semi").dropDuplicates(["cls"]).select("cls", "text")
+    picked = docs.select("tag", "text", spot.alias("p")).mapInArrow(run, "tag long, cls long, text string")
+    return picked.join(wanted, ["tag", "cls"], "left_semi").dropDuplicates(["cls"]).select("cls", "text")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, m: Measure) -> DataFrame:
@@ -247,62 +255,76 @@ def crossed(rest: DataFrame, sketches: DataFrame, m: Measure) -> DataFrame:
     return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def components_of(docs: DataFrame, width: int, hundredths: int) -> DataFrame:
+def components_of(docs: DataFrame, width: int, hundredths: int) -> tuple[DataFrame, list[DataFrame]]:
     """doc_id, tag (of the text), cls, n, component, component_id (its smallest doc_id) of every row; rows with an
-    empty set have no component."""
+    empty set have no component. And the written tables that it reads."""
     m, spark = Measure(width, hundredths), docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tag"))
+    free_shuffles(spark)
     sets = written(sets_of(docs, m), "sets")
     ends = Window.partitionBy("key")
     shared = keys_of(docs, m).withColumns({"lo": F.min("cls").over(ends), "hi": F.max("cls").over(ends)}).where("lo <> hi").select("key", "cls").distinct()
     groups = written(shared, "groups")
     del shared
     free_shuffles(spark)
-    wanted = sets.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(groups.select("cls").distinct(), "cls", "left_semi")
+    met = written(groups.select("cls").distinct(), "met")
+    wanted = sets.where("n > 0").groupBy("cls").agg(F.min("tag").alias("tag")).join(met, "cls", "left_semi")
     texts = written(texts_of(docs, wanted, m), "texts")
-    sketches = sets.where("n > 0").join(groups.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "n", "sketch")
+    sketches = sets.where("n > 0").join(met, "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "n", "sketch")
     sketches = written(sketches, "sketches")
+    discard(met)
+    del wanted
     links = tested = labels = None
-    rest = labelled(groups, None)
+    used, rest, before = [], labelled(groups, None), groups
     for _ in range(2):
+        free_shuffles(spark)
         lead = written(leaders(rest), "leaders")
         pairs = hung(rest, lead)
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = written(verified(sifted(pairs, sketches, m), texts, m), "links")
+        used += [pairs, found]
         links = found if links is None else links.unionByName(found)
-        labels = written(components(links), "labels")
+        old, labels = labels, components(links)
         # A leader has met its whole group, and the others go on without it.
         left = rest.join(lead.select("key", F.col("lead").alias("cls")), ["key", "cls"], "left_anti").select("key", "cls")
         rest = written(unsettled(labelled(left, labels)), "rest")
-        free_shuffles(spark)
-    last = crossed(rest, sketches, m).join(tested, ["a", "b"], "left_anti")
-    links = links.unionByName(written(verified(written(last, "crossed"), texts, m), "links"))
-    labels = written(components(links), "labels")
-    discard(texts, groups)
+        discard(lead, before, *([] if old is None else [old]))
+        before = rest
+    free_shuffles(spark)
+    last = written(crossed(rest, sketches, m).join(tested, ["a", "b"], "left_anti"), "crossed")
+    found = written(verified(last, texts, m), "links")
+    old, labels = labels, components(links.unionByName(found))
+    discard(old, last, found, texts, sketches, rest, *used)
+    del links, tested, rest, left, pairs
     free_shuffles(spark)
     least = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first")).join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     first = least.groupBy("component").agg(F.min("first").alias("component_id"))
     names = least.select("cls", "component").join(first, "component").select("cls", "component", "component_id")
     named = sets.where("n > 0").select("doc_id", "tag", "cls", "n").join(names, "cls")
     empty = sets.where("n = 0").select("doc_id", "tag", "cls", "n").withColumns({"component": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
-    return named.unionByName(empty.select(named.columns))
+    return named.unionByName(empty.select(named.columns)), [sets, labels]
 
 
 def join(docs: DataFrame, width: int = 4, hundredths: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row."""
-    return components_of(docs, width, hundredths).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return components_of(docs, width, hundredths)[0].select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def kept(docs: DataFrame, width: int = 4, hundredths: int = 85) -> DataFrame:
     """One document of each component, the one of smallest doc_id (one without doc_id only if none has any), with its
     own columns; documents are told apart by doc_id and text. Repeated rows count once, but rows without doc_id and
     words all stay."""
-    named = written(components_of(docs.select("doc_id", "text"), width, hundredths), "named")
+    found, read = components_of(docs.select("doc_id", "text"), width, hundredths)
+    named = written(found, "named")
+    discard(*read)
+    del found
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "cls", "tag")
     leads = named.where("n > 0").groupBy("component").agg(F.min(order).alias("lead")).select(F.col("lead.doc_id").alias("keep_id"), F.col("lead.tag").alias("keep_tag"))
     empty = named.where("n = 0").select(F.col("doc_id").alias("keep_id"), F.col("tag").alias("keep_tag")).distinct()
     keep = written(leads.unionByName(empty), "keep")
+    discard(named)
+    free_shuffles(named.sparkSession)
     tagged = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].alias("own_id"), F.xxhash64(docs["text"]).alias("own_tag"), F.trim(F.regexp_replace(F.coalesce(docs["text"], F.lit("")), "[\\t-\\r]", "")).alias("words"))
     once = tagged.join(keep, tagged["own_id"].eqNullSafe(keep["keep_id"]) & (tagged["own_tag"] == keep["keep_tag"]), "left_semi")
     bare = F.col("own_id").isNull() & (F.col("words") == "")
