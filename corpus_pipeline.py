@@ -1,6 +1,9 @@
 """The training-data pipeline: quality, line dedup, near-duplicate join, decontamination, packing.
 
-Each stage works on all that its predecessor kept and, but for the last, returns the columns of documents.
+Each stage works on all that its predecessor kept and, but for the last, returns the columns of documents. Null and
+empty texts are scored like others, have no lines, shingles or windows, and are packed as one end id if they are
+kept; repeated rows count once after the near-duplicate stage; extra columns are handed through up to the last stage;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from shardlight.llm import decontaminate, lines, near, packing, quality
-from shardlight.llm.common import written
+from shardlight.llm.common import discard, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; what each stage keeps is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage; what each stage keeps is written to the shared folder and read again, and dropped
+    as soon as the next stage has written what it keeps. The last table stays for the caller to read the result."""
+    docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, name)
+            if old is not None:
+                discard(old)
+            old = docs
     return docs
