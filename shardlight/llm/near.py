@@ -7,9 +7,9 @@ are candidates. Of k+1+2z parts a set skips its first z empty ones: 1+2z parts a
 at most, and one is left to meet in. A parity sketch of fixed size, in which every shingle flips one bit, sifts the
 candidates, as its Hamming distance is at most the difference of the sets; the rest is verified on whole sets.
 
-Groups of a shared word are linked without all their pairs: members are compared with the member that shares the
-most words, twice; after each round, members that are already connected need no comparison. What is left is
-compared in blocks of bounded size by the Hamming distance of sketches, and the pairs within the bound are
+Groups of a shared word are linked without all their pairs: a member is compared with the leader, the member that
+shares the most words, of one of its groups, then of another, and then with those of all its groups, twice; after
+each round, members that are already connected need no comparison. What is left is compared in blocks of bounded size by the Hamming distance of sketches, and the pairs within the bound are
 verified. No link between different components is lost.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing; repeated rows are
@@ -36,6 +36,8 @@ FILTER_BITS = 1 << 23
 BLOCK = 512
 #: Words of the parity sketch by which pairs are sifted before their texts meet.
 SKETCH = 16
+#: Whether a member meets the leader of one of its groups only, round by round.
+ROUNDS = (True, True, False, False)
 
 
 class Measure:
@@ -203,15 +205,18 @@ def labelled(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def leaders(members: DataFrame) -> DataFrame:
-    """key, lead, own: of each group (key, cls, component) the member that shares most words, and its component."""
+    """key, lead, own, weight: of each group (key, cls, component) the member that shares most words, its component, and
+    how many groups it is in."""
     weight = members.groupBy("cls").agg(F.count(F.lit(1)).alias("weight"))
     best = members.join(weight, "cls").groupBy("key").agg(F.max(F.struct("weight", "cls", "component")).alias("best"))
-    return best.select("key", F.col("best.cls").alias("lead"), F.col("best.component").alias("own"))
+    return best.select("key", F.col("best.cls").alias("lead"), F.col("best.component").alias("own"), F.col("best.weight").alias("weight"))
 
 
-def hung(members: DataFrame, lead: DataFrame) -> DataFrame:
-    """Pairs (a < b) of a leader and each member of another component."""
+def hung(members: DataFrame, lead: DataFrame, once: bool) -> DataFrame:
+    """Pairs (a < b) of a leader and each member of another component; if once, of each member with one leader."""
     pairs = members.join(lead, "key").where("component <> own")
+    if once:
+        pairs = pairs.groupBy("cls").agg(F.max(F.struct("weight", "lead")).alias("best")).select("cls", "best.lead")
     return pairs.select(F.least("lead", "cls").alias("a"), F.greatest("lead", "cls").alias("b")).distinct()
 
 
@@ -276,20 +281,24 @@ def components_of(docs: DataFrame, width: int, hundredths: int) -> tuple[DataFra
     del wanted
     links = tested = labels = None
     used, rest, before = [], labelled(groups, None), groups
-    for _ in range(2):
+    for once in ROUNDS:
         free_shuffles(spark)
         lead = written(leaders(rest), "leaders")
-        pairs = hung(rest, lead)
+        pairs = hung(rest, lead, once)
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = written(verified(sifted(pairs, sketches, m), texts, m), "links")
+        near = written(sifted(pairs, sketches, m), "near")
+        free_shuffles(spark)
+        found = written(verified(near, texts, m), "links")
         used += [pairs, found]
         links = found if links is None else links.unionByName(found)
+        free_shuffles(spark)
         old, labels = labels, components(links)
-        # A leader has met its whole group, and the others go on without it.
-        left = rest.join(lead.select("key", F.col("lead").alias("cls")), ["key", "cls"], "left_anti").select("key", "cls")
+        left = rest.select("key", "cls")
+        if not once:  # a leader has met its whole group, and the others go on without it
+            left = left.join(lead.select("key", F.col("lead").alias("cls")), ["key", "cls"], "left_anti")
         rest = written(unsettled(labelled(left, labels)), "rest")
-        discard(lead, before, *([] if old is None else [old]))
+        discard(lead, near, before, *([] if old is None else [old]))
         before = rest
     free_shuffles(spark)
     last = written(crossed(rest, sketches, m).join(tested, ["a", "b"], "left_anti"), "crossed")
