@@ -4,8 +4,8 @@ A document is its set of word-shingle hashes; equal sets form a class. Two sets
 threshold differ in at most k = (1-t)/(1+t) * (sum of sizes) elements. In each size band a set is dealt to more
 than k parts and XOR-hashed there: at most k parts differ (pigeonhole), and classes that share the XOR of a part
 are candidates. Of k+1+2z parts a set skips its first z empty ones: 1+2z parts are equal, two sets skip 2z of them
-at most, and one is left to meet in. A parity sketch of fixed size, in which every shingle flips one bit, sifts the
-candidates, as its Hamming distance is at most the difference of the sets; the rest is verified on whole sets.
+at most, and one is left to meet in. A parity sketch, in which every shingle flips one bit, sifts the
+candidates, as its Hamming distance is at most the difference of the sets (it grows with the set); the rest is verified on whole sets.
 
 Groups of a shared word are linked without all their pairs: a member is compared with the leader, the member that
 shares the most words, of one of its groups, then of another, and then with those of all its groups, twice; after
@@ -34,10 +34,11 @@ SOLID = np.array([c != 32 and not 9 <= c <= 13 for c in range(256)])
 #: Bits of the filter that picks candidate documents in the scan; more candidates make it pass more, never less.
 FILTER_BITS = 1 << 23
 BLOCK = 512
-#: Words of the parity sketch by which pairs are sifted before their texts meet.
-SKETCH = 16
+#: Least and most bits (powers of two) of the parity sketch by which pairs are sifted before their texts meet; between
+#: them a set has two bits for each shingle or more.
+LEAST_BITS, MOST_BITS = 1 << 10, 1 << 17
 #: Whether a member meets the leader of one of its groups only, round by round.
-ROUNDS = (True, True, False, False)
+ROUNDS = (True, False)
 
 
 class Measure:
@@ -89,10 +90,11 @@ class Measure:
             self.known[g] = (k, min(range(9), key=lambda z: (round(over(z), 4), z)))
         return self.known[g]
 
-    def sketch(self, s: np.ndarray) -> np.ndarray:
-        """SKETCH words of parity bits; each element flips one bit."""
-        bits = np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-        return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
+    def sketch(self, s: np.ndarray) -> bytes:
+        """Parity bits; each element flips one bit. A sketch folds to one of half its size by XOR of its halves."""
+        size = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(s) - 1).bit_length()))
+        bits = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+        return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
     def keys(self, band: int, k: int, z: int, s: np.ndarray) -> np.ndarray:
         """One key for each part that is not skipped."""
@@ -117,11 +119,11 @@ def sets_of(docs: DataFrame, m: Measure) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(m.name(s), len(s), m.sketch(s).view(np.int64)) for s in map(m.shingles, batch.column(1).to_pylist())]
-            cols = [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))]
+            got = [(m.name(s), len(s), m.sketch(s)) for s in map(m.shingles, batch.column(1).to_pylist())]
+            cols = [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols, batch.column(2)], names=["doc_id", "cls", "n", "sketch", "tag"])
 
-    return docs.mapInArrow(run, "doc_id long, cls long, n long, sketch array<long>, tag long")
+    return docs.mapInArrow(run, "doc_id long, cls long, n long, sketch binary, tag long")
 
 
 def keys_of(docs: DataFrame, m: Measure) -> DataFrame:
@@ -226,12 +228,29 @@ def unsettled(members: DataFrame) -> DataFrame:
     return members.join(mixed, "key", "left_semi")
 
 
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """The sketch as words, folded to size bytes."""
+    w = np.frombuffer(sketch, np.uint64)
+    while 8 * len(w) > size:
+        w = w[: len(w) // 2] ^ w[len(w) // 2 :]
+    return w
+
+
 def sifted(pairs: DataFrame, sketches: DataFrame, m: Measure) -> DataFrame:
     """The pairs whose sizes and Hamming distance allow a link."""
     own = lambda c: sketches.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    met = pairs.join(own("a"), "a").join(own("b"), "b")
-    return met.where((100 * F.least("n_a", "n_b") >= m.t * F.greatest("n_a", "n_b")) & (apart * (100 + m.t) <= (100 - m.t) * (F.col("n_a") + F.col("n_b")))).select("a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (n, x, y) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))):
+                size = min(len(x), len(y))
+                if int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) * (100 + m.t) <= (100 - m.t) * n:
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)], names=["a", "b"])
+
+    met = pairs.join(own("a"), "a").join(own("b"), "b").where(100 * F.least("n_a", "n_b") >= m.t * F.greatest("n_a", "n_b"))
+    return met.select("a", "b", F.col("n_a") + F.col("n_b"), "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
 def crossed(rest: DataFrame, sketches: DataFrame, m: Measure) -> DataFrame:
@@ -247,7 +266,9 @@ def crossed(rest: DataFrame, sketches: DataFrame, m: Measure) -> DataFrame:
     def run(key: tuple, group: pa.Table) -> pa.Table:
         _, i, j = (x.as_py() for x in key)
         cls, own, comp, n = (group.column(c).to_numpy() for c in ("cls", "own", "component", "n"))
-        sketch = group.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(cls), SKETCH)
+        own_sketch = group.column("sketch").to_pylist()
+        size = min(map(len, own_sketch))
+        sketch = np.array([folded(x, size) for x in own_sketch])
         a, b = [], []
         for x in range(len(cls)):
             others = np.flatnonzero((cls > cls[x]) & (comp != comp[x]) & ((own == own[x]) if i == j else (own != own[x])) & (100 * np.minimum(n, n[x]) >= m.t * np.maximum(n, n[x])))
