@@ -129,20 +129,20 @@ def lines_of(docs: DataFrame, levels: Column, t: int, least: int) -> DataFrame:
     return each.where(n >= least).select("doc", "spot", F.xxhash64("set").alias("cls"), n.alias("n"), *sketch(F.col("set"), n), prefix.alias("prefix"))
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, levels: Column) -> DataFrame:
-    """doc, spot, set of each place of wanted. A bitmap of fixed size, joined by its words, drops documents without
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc, spot, set (of word hashes, in no order) of each place of wanted. A bitmap of fixed size, joined by its words, drops documents without
     such a place before their lines are read."""
     spot = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
     bitmap = wanted.select(spot.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
     some = docs.withColumn("p", spot).withColumn("w", F.shiftright("p", 6)).join(F.broadcast(bitmap), "w").where(F.expr("shiftright(bits, cast(p & 63 as int)) & 1") == 1)
     there = split_lines(some.select("doc", "tag", "text")).join(wanted, ["doc", "spot"], "left_semi")
-    return there.dropDuplicates(["doc", "spot"]).select("doc", "spot", token_set(F.col("s"), levels).alias("set"))
+    return there.dropDuplicates(["doc", "spot"]).select("doc", "spot", F.array_distinct(F.transform(words(F.col("s")), lambda w: F.xxhash64(w))).alias("set"))
 
 
-def similar(pairs: DataFrame, docs: DataFrame, levels: Column, t: int) -> DataFrame:
+def similar(pairs: DataFrame, docs: DataFrame, t: int) -> DataFrame:
     """doc, spot: the x of pairs (doc_x, spot_x, doc_y, spot_y) whose sets, read again, are similar."""
     ends = [pairs.select(F.col(f"doc_{c}").alias("doc"), F.col(f"spot_{c}").alias("spot")) for c in "xy"]
-    sets = written(sets_of(docs, ends[0].unionByName(ends[1]).distinct(), levels), "line-sets")
+    sets = written(sets_of(docs, ends[0].unionByName(ends[1]).distinct()), "line-sets")
     own = lambda c: sets.select(*(F.col(k).alias(f"{k}_{c}") for k in ("doc", "spot", "set")))
     both = F.size(F.array_intersect("set_x", "set_y"))
     joined = pairs.join(own("y"), ["doc_y", "spot_y"]).join(own("x"), ["doc_x", "spot_x"])
@@ -201,7 +201,7 @@ def later_matches(docs: DataFrame, t: int = 80, least: int = 1) -> tuple[DataFra
     tested = written(led.where(possible(t)).select(*PAIR).distinct(), "line-pairs")
     del led
     free_shuffles(spark)
-    found = similar(tested, docs, levels, t)
+    found = similar(tested, docs, t)
     discard(tested)
     shut = found.select("doc", "spot", F.lit(True).alias("hit")).hint("merge")
     open_ = classes.join(shut, ["doc", "spot"], "left").withColumn("shut", F.coalesce("hit", F.lit(False)))
@@ -213,7 +213,7 @@ def later_matches(docs: DataFrame, t: int = 80, least: int = 1) -> tuple[DataFra
     discard(open_)
     del x, y
     free_shuffles(spark)
-    more = similar(tested, docs, levels, t)
+    more = similar(tested, docs, t)
     discard(tested)
     # Of a class, all lines but the first go, and the first too if an earlier class is similar.
     gone = copies.unionByName(found).unionByName(more).select("doc", tag, F.shiftright("spot", 32).cast("int").alias("line"))

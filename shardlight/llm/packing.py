@@ -2,8 +2,8 @@
 
 The corpus enters the program only as counts of piece lengths, at most ``seq_len`` numbers. Multiplicative
 weights solve the covering program min sum(x_c), sum(a_cl x_c) >= n_l; each step prices configurations with a
-knapsack dynamic program. The solution is rounded to whole sequences, and what rounding leaves over is placed by
-best fit into the gaps and new sequences, still on counts. Pieces then find their place by their rank among
+knapsack dynamic program. Its full configurations are rounded to whole sequences, and what is left over is placed
+by best fit, still on counts; of plans that take more or less of the program the best is kept. Pieces then find their place by their rank among
 pieces of their length: arithmetic on intervals of ranks, with no group of pieces in one task.
 
 Null text is empty (one end id); an empty table gives an empty table; repeated rows are packed each.
@@ -39,10 +39,11 @@ def tokenizer(path: str):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+        special = [a.content for a in t.get_added_tokens_decoder().values()]
         blank = np.zeros(t.get_vocab_size(), bool)
         blank[[i for piece, i in t.get_vocab().items() if piece.startswith("\u0120")]] = True
-        _WORKER[path] = (t, blank, {}, {})
+        added = re.compile("|".join(map(re.escape, special)) or r"(?!)").search
+        _WORKER[path] = (t, blank, {}, {}, added)
     return _WORKER[path]
 
 
@@ -60,16 +61,16 @@ def encode_ids(texts: list[str], path: str) -> list[bytes]:
     """Little-endian uint32 ids of each text, without the end id.
 
     The vocabulary's pre-tokens start at a single space before a word, at a single line end and at marks after a
-    letter or digit. So a text without adjacent white space is the concatenation of the ids of its space-led
+    letter or digit. So a text without adjacent white space and without special tokens is the concatenation of the ids of its space-led
     words, and those of the ids of their parts, which a worker keeps; other texts are encoded whole.
     """
-    t, blank, led, bare = tokenizer(path)
+    t, blank, led, bare, added = tokenizer(path)
     out: list[bytes | None] = [None] * len(texts)
     split: dict[int, list[str]] = {}
     for i, text in enumerate(texts):
         if not text:
             out[i] = b""
-        elif _SPACES(text) is None:
+        elif _SPACES(text) is None and added(text) is None:
             split[i] = text.split(" ")
         else:
             out[i] = np.asarray(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
@@ -161,62 +162,71 @@ def priced(value: np.ndarray, lengths: np.ndarray, cap: int) -> tuple[np.ndarray
     return best, last
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, cap: int, rounds: int = 160, columns: int = 24, step: float = 0.5, eta: float = 6.0) -> dict[tuple, float]:
-    """Multiplicative weights on the covering program; configuration -> how often. A configuration: (item, copies) pairs."""
+def solve(lengths: np.ndarray, counts: np.ndarray, cap: int, rounds: int = 60, columns: int = 24, step: float = 0.5, eta: float = 4.0) -> dict[tuple, float]:
+    """Multiplicative weights on the covering program; configuration -> how often. A configuration: (item, copies) pairs.
+
+    An item's price is its length, times a weight that falls with the share of its pieces that is covered; a round
+    prices once and takes the best configurations that hold each of the least covered items.
+    """
     covered = np.zeros(len(lengths))
     x: dict[tuple, float] = {}
     for _ in range(rounds):
-        low = covered.min()
-        if low >= 1:
+        if covered.min() >= 1:
             break
-        weight = np.exp(-eta * (covered - low)) / counts
-        best, last = priced(weight, lengths, cap)
-        seeds = [-1, *np.argsort(covered, kind="stable")[:columns]]
-        for seed in seeds:
-            c, config = cap, {}
-            if seed >= 0:
-                config[int(seed)] = 1
-                c -= int(lengths[seed])
+        value = lengths * np.exp(-eta * (covered - covered.mean())) * (covered < 1.5)
+        _, last = priced(value, lengths, cap)
+        for seed in np.argsort(covered, kind="stable")[:columns]:
+            c, config = cap - int(lengths[seed]), {int(seed): 1}
             while c > 0:
                 j = int(last[c])
                 if j < 0:
                     c -= 1
                     continue
+                if config.get(j, 0) >= counts[j]:
+                    break
                 config[j] = config.get(j, 0) + 1
                 c -= int(lengths[j])
-            if not config:
-                continue
             take = step * min(counts[j] / a for j, a in config.items())
             for j, a in config.items():
                 covered[j] += take * a / counts[j]
             key = tuple(sorted(config.items()))
             x[key] = x.get(key, 0.0) + take
-    scale = max(1e-9, min(1.0, covered.min())) if len(covered) else 1.0
-    return {k: v / max(scale, 0.5) for k, v in x.items()}
+    return x
 
 
-def plan(histogram: dict[int, int], cap: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Groups of equal sequences: (how many, [(length, copies), ...]). Every piece of the histogram has a place."""
-    left = {int(k): int(v) for k, v in histogram.items() if v > 0}
+def rounded(histogram: dict[int, int], cap: int, dives: int = 4) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Whole sequences from the program: its full configurations, most used first, as often as it says or the pieces
+    allow; then the same on the pieces that are left. Half of the pieces under an eighth of cap stay out, as what is
+    not full needs them."""
+    left = {n: k if 8 * n >= cap else k // 2 for n, k in histogram.items()}
     groups: list[tuple[int, list[tuple[int, int]]]] = []
-    if left.get(cap):
-        groups.append((left.pop(cap), [(cap, 1)]))
-    if not left:
-        return groups
-    lengths = np.array(sorted(left))
-    counts = np.array([left[int(k)] for k in lengths], float)
-    x = solve(lengths, counts, cap)
-    full = lambda c: sum(int(lengths[j]) * a for j, a in c)
+    for _ in range(dives):
+        lengths = np.array(sorted(n for n, k in left.items() if k > 0), np.int64)
+        if len(lengths) < 2:
+            break
+        x = solve(lengths, np.array([left[int(n)] for n in lengths], float), cap)
+        for config, v in sorted(x.items(), key=lambda kv: (-kv[1], kv[0])):
+            items = [(int(lengths[j]), a) for j, a in config]
+            take = min(int(np.ceil(v)), *(left[n] // a for n, a in items))
+            if take > 0 and sum(n * a for n, a in items) == cap:
+                for n, a in items:
+                    left[n] -= take * a
+                groups.append((take, items))
+    return groups
+
+
+def fitted(left: dict[int, int], groups: list[tuple[int, list[tuple[int, int]]]], cap: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """groups and, by best fit of the longest first, sequences for what is left."""
     open_: dict[int, list[tuple[int, list]]] = {}
-    for config, v in sorted(x.items(), key=lambda kv: (-full(kv[0]), -kv[1])):
-        take = min(int(np.ceil(v)), *(left[int(lengths[j])] // a for j, a in config))
-        if take > 0 and full(config) >= cap - 8:
-            for j, a in config:
-                left[int(lengths[j])] -= take * a
-            open_.setdefault(cap - full(config), []).append((take, [(int(lengths[j]), a) for j, a in config]))
-    spaces = sorted(open_)
-    put = lambda space, g: (open_.setdefault(space, []).append(g), None if space in spaces else bisect.insort(spaces, space))
-    for length in sorted(left, reverse=True):
+    spaces: list[int] = []
+
+    def put(space: int, group: tuple[int, list]) -> None:
+        if space not in open_:
+            open_[space] = []
+            bisect.insort(spaces, space)
+        open_[space].append(group)
+
+    for length in sorted((n for n, k in left.items() if k), reverse=True):
         k = left[length]
         while k:
             at = bisect.bisect_left(spaces, length)
@@ -240,6 +250,41 @@ def plan(histogram: dict[int, int], cap: int) -> list[tuple[int, list[tuple[int,
     return groups + [g for s in sorted(open_) for g in open_[s]]
 
 
+#: Shares of the program's sequences that a plan may take; the last is best fit alone.
+SHARES = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1, 0.0)
+
+
+def plan(histogram: dict[int, int], cap: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Groups of equal sequences: (how many, [(length, copies), ...]). Every piece of the histogram has a place.
+
+    Of the plans that take more or less of the rounded program, the first of the fewest sequences, so that none is
+    worse than best fit alone.
+    """
+    left = {int(k): int(v) for k, v in histogram.items() if v > 0}
+    whole = [(left.pop(cap), [(cap, 1)])] if left.get(cap) else []
+    if not left:
+        return whole
+    program, best, fewest = rounded(left, cap), None, 0
+    total = sum(many for many, _ in program)
+    bound = -(-sum(n * k for n, k in left.items()) // cap)
+    for share in SHARES:
+        own, rest, room = [], dict(left), int(np.ceil(share * total))
+        for many, items in program:
+            take = min(many, room)
+            if take:
+                own.append((take, items))
+                room -= take
+                for n, a in items:
+                    rest[n] -= take * a
+        tried = fitted(rest, own, cap)
+        size = sum(many for many, _ in tried)
+        if best is None or size < fewest:
+            best, fewest = tried, size
+        if fewest == bound:
+            break
+    return whole + best
+
+
 def places(groups: list[tuple[int, list[tuple[int, int]]]]) -> tuple[np.ndarray, ...]:
     """Intervals of ranks: key (length and first rank), first rank, copies, first sequence, offset; sorted by key."""
     rows, rank, sequence = [], {}, 0

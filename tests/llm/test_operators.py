@@ -33,7 +33,6 @@ def lowered(text):
 def test_packing_places_every_id_once(odd, size):
     got = packing.pack(odd, BPE, size).toPandas()
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
     want = Counter()
     for r in odd.collect():
         ids = np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -64,6 +63,17 @@ def test_packing_plan_meets_the_histogram_and_nears_the_bound():
     assert sum(m for m, _ in packing.plan({683: 3, 1365: 3}, 2048)) == 3
 
 
+def test_packing_plan_comes_from_the_program_and_is_never_worse_than_best_fit():
+    for seed in range(3):
+        lengths = np.random.default_rng(seed).integers(1, 2048, 4000)
+        histogram = {int(k): int(v) for k, v in Counter(lengths.tolist()).items()}
+        program = packing.rounded(histogram, 2048)
+        assert all(sum(n * a for n, a in items) == 2048 for _, items in program)
+        alone = sum(m for m, _ in packing.fitted(dict(histogram), [], 2048))
+        assert sum(m for m, _ in packing.plan(histogram, 2048)) <= alone
+        assert sum(m * sum(a for _, a in items) for m, items in program) > 0.4 * len(lengths)
+
+
 def test_packing_empty(none):
     assert packing.pack(none, BPE).count() == 0
 
