@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import docs_of
+from .common import discard, docs_of, written
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 #: Words are runs of digits, letters and non-ASCII; A-Z are lower-cased.
@@ -106,7 +106,12 @@ def _scan(docs: DataFrame, benchmark: DataFrame, width: int, block_chars: int) -
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
         found = spark.sparkContext.broadcast(matchers([(r[0], r[1]) for r in own.collect()], width))
-        out = out.mapInArrow(_searched(found, k == blocks - 1), result if k == blocks - 1 else own_schema)
+        before, out = out, out.mapInArrow(_searched(found, k == blocks - 1), result if k == blocks - 1 else own_schema)
+        if k < blocks - 1:
+            out = written(out, "searched")
+            found.unpersist()
+            if k:
+                discard(before)
     return out
 
 

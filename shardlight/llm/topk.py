@@ -25,7 +25,13 @@ from pyspark.sql import functions as F
 from .common import written
 
 ROWS, QUERIES = 8192, 2048
-PACKED = "cell int, n int, dims int, ids binary, ints binary, copies binary"
+PACKED = "cell int, n int, dims int, width int, ids binary, ints binary, copies binary"
+WIDTHS = {2: np.int16, 4: np.int32, 8: np.int64}
+
+
+def width_of(m: np.ndarray) -> int:
+    """Bytes of the smallest integers that hold the values."""
+    return next(w for w, t in WIDTHS.items() if w == 8 or (np.iinfo(t).min <= m.min(initial=0) and m.max(initial=0) <= np.iinfo(t).max))
 
 
 def packed(vectors: DataFrame, parts: int, most: int, scale: int) -> DataFrame:
@@ -40,9 +46,10 @@ def packed(vectors: DataFrame, parts: int, most: int, scale: int) -> DataFrame:
             m = np.zeros((len(rows), dims), np.int64)
             for k, at in enumerate(order):
                 m[k, : len(rows[at])] = rows[at]
-            cols = [[cell], [len(rows)], [dims], [np.array(ids, np.int64)[order].tobytes()], [m.tobytes()], [np.array(copies, np.int32)[order].tobytes()]]
-            types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["cell", "n", "dims", "ids", "ints", "copies"])
+            width = width_of(m)
+            cols = [[cell], [len(rows)], [dims], [width], [np.array(ids, np.int64)[order].tobytes()], [m.astype(WIDTHS[width]).tobytes()], [np.array(copies, np.int32)[order].tobytes()]]
+            types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["cell", "n", "dims", "width", "ids", "ints", "copies"])
 
         for batch in batches:
             cells, own = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -176,16 +183,16 @@ def search(embeddings: DataFrame, every: int = 50, k: int = 5, scale: int = 256)
     queried = vectors.where(asked).dropDuplicates(["vec_id", "embedding"]).withColumn("copy", F.row_number().over(same))
     n, m = vectors.agg(F.count(F.lit(1)), F.count(F.when(asked, 1))).first()
     parts, chunks = max(1, -(-n // ROWS)), max(1, -(-m // QUERIES))
-    rows = written(packed(vectors.withColumn("copy", F.lit(0)), parts, ROWS, scale), "slices").select(F.col("cell").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("h"), "n", "dims", "ids", "ints")
-    queries = written(packed(queried, chunks, QUERIES, scale), "queries").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("g"), F.col("cell").alias("h"), F.col("n").alias("m"), F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("ints").alias("q_ints"), F.col("copies").alias("q_copies"))
+    rows = written(packed(vectors.withColumn("copy", F.lit(0)), parts, ROWS, scale), "slices").select(F.col("cell").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("h"), "n", "dims", "width", "ids", "ints")
+    queries = written(packed(queried, chunks, QUERIES, scale), "queries").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("g"), F.col("cell").alias("h"), F.col("n").alias("m"), F.col("dims").alias("q_dims"), F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("ints").alias("q_ints"), F.col("copies").alias("q_copies"))
     cells = min(4096, parts * chunks)
     grid = rows.repartition(cells, "g", "h").join(queries.repartition(cells, "g", "h").hint("merge"), ["g", "h"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                values = np.frombuffer(r["ints"], np.int64).reshape(r["n"], r["dims"])
-                asked = np.frombuffer(r["q_ints"], np.int64).reshape(r["m"], r["q_dims"])
+                values = np.frombuffer(r["ints"], WIDTHS[r["width"]]).astype(np.int64).reshape(r["n"], r["dims"])
+                asked = np.frombuffer(r["q_ints"], WIDTHS[r["q_width"]]).astype(np.int64).reshape(r["m"], r["q_dims"])
                 dims = max(r["dims"], r["q_dims"])
                 values, asked = (np.pad(x, ((0, 0), (0, dims - x.shape[1]))) for x in (values, asked))
                 if not dims:
