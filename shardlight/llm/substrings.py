@@ -30,7 +30,7 @@ GRAM = 32
 #: Starts that are hashed at once.
 CHUNK = 1 << 18
 #: Different contexts of an anchor that are sorted in one task; an anchor with more is split into blocks of distances.
-MOST = 8192
+MOST = 4096
 BLOCKS = (32, 8, 2, 1)
 FILTER_BITS = 1 << 23
 FIRST, SECOND = Powers(0x9E3779B97F4A7C15), Powers(0xC2B2AE3D27D4EB4F)
@@ -200,8 +200,8 @@ def suffix_order(text: Text, group: np.ndarray, start: np.ndarray, size: np.ndar
     most = np.where(group[x] == group[y], np.minimum(size[x], size[y]), 0)
     shared = text.common(start[x], start[y], most)
     longest = int(shared.max(initial=0))
-    for at in range(0, n - 1, 16384):
-        s = slice(at, at + 16384)
+    for at in range(0, n - 1, 1024):
+        s = slice(at, at + 1024)
         step = np.arange(longest)
         inside = step < shared[s, None]
         bad = inside & (text.raw[start[x[s], None] + step * inside] != text.raw[start[y[s], None] + step * inside])

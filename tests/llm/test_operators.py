@@ -135,7 +135,7 @@ def test_decontamination(spark, odd, none, chars):
 # Substrings
 
 
-@pytest.mark.parametrize("most", [8192, 1])
+@pytest.mark.parametrize("most", [4096, 1])
 def test_substrings(spark, odd, none, monkeypatch, most):
     monkeypatch.setattr(substrings, "MOST", most)
     rng = np.random.default_rng(12)
