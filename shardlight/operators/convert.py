@@ -1,16 +1,22 @@
-"""Conversion of pages and texts into labelled items, packing of items into chunks, and the derived chunk table."""
+"""Conversion of pages, texts and files into labelled items, and structure-aware packing of items into chunks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..functions.text import ENTITY, chunk_id, tokens
+from ..functions.text import tokens
 
 #: Elements that hold no article text.
-DROPPED = ("script", "style", "nav", "footer", "head")
-ITEM = r"<(h1|h2|h3|p|li)(?:\s[^>]*)?>([^<]*(?:</?(?:b|i|em|strong|a|span|br)(?:\s[^>]*)?>[^<]*)*)"
-LABELS = {"p": "text", "li": "list_item"}
+DROPPED = ("script", "style", "nav", "footer", "aside", "form", "head")
+ITEM = r"<(h[1-6]|p|li|td|th|blockquote|pre|dt|dd|figcaption)(?:\s[^>]*)?>([^<]*(?:</?(?:b|i|em|strong|a|span|br|code|sub|sup|u|q|cite)(?:\s[^>]*)?>[^<]*)*)"
+LABELS = {"p": "text", "li": "list_item", "td": "table", "th": "table", "blockquote": "text", "pre": "code", "dt": "list_item", "dd": "list_item", "figcaption": "caption"}
+REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&copy;", "©"), ("&amp;", "&"))
 
 
 def html_items(pages: DataFrame) -> DataFrame:
@@ -22,10 +28,10 @@ def html_items(pages: DataFrame) -> DataFrame:
     found = pages.select("page_id", html.alias("html")).select("page_id", F.regexp_extract_all("html", F.lit(ITEM), F.lit(1)).alias("tags"), F.regexp_extract_all("html", F.lit(ITEM), F.lit(2)).alias("texts"))
     each = found.select("page_id", F.posexplode(F.arrays_zip("tags", "texts")).alias("item_no", "item"))
     text = F.regexp_replace("item.texts", r"<[^>]*>", " ")
-    for ref, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for ref, char in REFERENCES:
         text = F.replace(text, F.lit(ref), F.lit(char))
     text = F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
-    label = F.coalesce(*(F.when(F.col("item.tags") == t, v) for t, v in LABELS.items()), F.lit("section_header"))
+    label = F.coalesce(*(F.when(F.col("item.tags") == t, v) for t, v in LABELS.items()), F.concat(F.lit("section_header_"), F.substring("item.tags", 2, 1)))
     return each.select("page_id", "item_no", label.alias("label"), text.alias("text")).where("text <> ''")
 
 
@@ -34,42 +40,99 @@ def text_items(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("item_no", "text")).select("doc_id", "item_no", F.lit("text").alias("label"), "text")
 
 
-def packed(docs: DataFrame, limit: int = 128) -> DataFrame:
-    """doc_id, chunk_index, total_chunks, n_tokens, first_item, last_item, content: lines packed greedily up to
-    limit tokens; a longer line stands alone."""
-    parts = docs.select("doc_id", F.split("text", "\n").alias("lines"))
-    sizes = F.transform("lines", lambda s: F.size(tokens(s)))
-    start = F.struct(F.lit(-1).alias("chunk"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("of"))
-
-    def step(a, n):
-        new = (a["chunk"] < 0) | (a["used"] + n > limit)
-        chunk = F.when(new, a["chunk"] + 1).otherwise(a["chunk"])
-        return F.struct(chunk.alias("chunk"), F.when(new, n).otherwise(a["used"] + n).alias("used"), F.array_append(a["of"], chunk).alias("of"))
-
-    placed = parts.withColumn("sizes", sizes).withColumn("of", F.aggregate("sizes", start, step, lambda a: a["of"]))
-    each = placed.select("doc_id", F.posexplode(F.arrays_zip("lines", "sizes", "of")).alias("item", "x"))
-    chunks = each.groupBy("doc_id", F.col("x.of").alias("chunk_index")).agg(
-        F.sum("x.sizes").cast("long").alias("n_tokens"), F.min("item").alias("first_item"), F.max("item").alias("last_item"), F.array_sort(F.collect_list(F.struct("item", F.col("x.lines").alias("line")))).alias("s")
-    )
-    total = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("total_chunks"))
-    return chunks.join(total, "doc_id").select("doc_id", "chunk_index", "total_chunks", "n_tokens", "first_item", "last_item", F.concat_ws("\n", F.transform("s", lambda x: x["line"])).alias("content"))
-
-
-ENTITY_FIELDS = ("ent_persons", "ent_organizations", "ent_products", "ent_locations")
-
-
-def line_chunks(docs: DataFrame) -> DataFrame:
-    """The chunk table with one chunk per line and derived metadata that exercises every predicate."""
-    lines = docs.select("doc_id", "lang", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source"), F.size(F.split("text", "\n")).alias("total_chunks"), F.posexplode(F.split("text", "\n")).alias("chunk_index", "content"))
-    return described(lines).withColumn("id", chunk_id(F.col("source"), F.col("chunk_index"), F.col("content")))
-
-
-def described(rows: DataFrame) -> DataFrame:
-    """Metadata of rows with doc_id, lang, chunk_index and content."""
-    ents = rows.withColumn("ents", F.array_distinct(F.regexp_extract_all("content", F.lit(ENTITY), F.lit(0))))
-    of = lambda k: F.array_sort(F.filter("ents", lambda x: F.length(x) % 4 == k))
-    kinds = {f: of(k) for k, f in enumerate(ENTITY_FIELDS)}
-    stamp = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(doc_id % 90 as int), 23, 59, 59 + ((doc_id div 90) % 2) * 0.5)")
-    dates = F.expr("case doc_id % 3 when 0 then cast(array() as array<string>) when 1 then array(cast(date_add(date'2024-01-01', cast(doc_id % 365 as int)) as string)) else array('2019-01-01', '2030-01-01') end")
-    types = F.when(F.col("chunk_index") % 7 == 0, F.array(F.lit("table"), F.lit("text"))).otherwise(F.array(F.lit("text")))
-    return ents.withColumns({"headings": F.array("lang"), "page_number": F.floor(F.col("chunk_index") / 5).cast("int"), "content_types": types, "modified_at": stamp, "dates": dates, "keywords": F.array_sort("ents"), **kinds})
+#: An item of a converted document: its label, text and pages. section_header_N is a heading of level N.
+ITEMS = "array<struct<label: string, text: string, pages: array<int>>>"
+TREE = f"struct<items: {ITEMS}>"
+
+
+def converted(files: DataFrame, converter: Callable[[pd.Series], pd.Series]) -> DataFrame:
+    """files with status and tree: what the converter (contents of a batch -> JSON documents) answers. A batch that
+    fails is tried file by file, and a file that fails says so in its status and doesn't end the job."""
+
+    def answers(contents: pd.Series) -> list[tuple[str | None, str]]:
+        try:
+            return [(x, "ok") for x in converter(contents)]
+        except Exception as e:  # noqa: BLE001
+            if len(contents) == 1:
+                return [(None, f"failed: {e}")]
+            return [y for i in range(len(contents)) for y in answers(contents.iloc[i : i + 1])]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                got = answers(frame["content"])
+                yield frame.assign(tree=[g[0] for g in got], status=[g[1] for g in got])
+
+    base = files.drop("tree", "status")
+    return base.mapInPandas(run, StructType([*base.schema.fields, *StructType.fromDDL("tree string, status string").fields]))
+
+
+def tree_items(trees: DataFrame, tree: str = "tree") -> DataFrame:
+    """The rows with their items, parsed from the JSON of a converted document; null if it is none."""
+    return trees.withColumn("items", F.from_json(tree, TREE, {"mode": "PERMISSIVE"})["items"])
+
+
+def collected(items: DataFrame, key: str) -> DataFrame:
+    """key, items: the items (key, item_no, label, text) of each document as one array, in their order."""
+    own = F.array_sort(F.collect_list(F.struct("item_no", "label", "text")))
+    return items.groupBy(key).agg(F.transform(own, lambda x: F.struct(x["label"].alias("label"), x["text"].alias("text"), F.array().cast("array<int>").alias("pages"))).alias("items"))
+
+
+def lines_as_items(text: Column) -> Column:
+    return F.transform(F.split(text, "\n"), lambda s: F.struct(F.lit("text").alias("label"), s.alias("text"), F.array().cast("array<int>").alias("pages")))
+
+
+CHUNK = "chunk_index int, total_chunks int, n_tokens long, first_item int, last_item int, headings array<string>, content_types array<string>, page_number int, content string"
+
+
+def chunked(docs: DataFrame, limit: int = 128) -> DataFrame:
+    """docs (with items) as chunks: their other columns, and those of CHUNK. Items are packed greedily up to limit
+    tokens and a longer item stands alone; a heading begins a chunk, and the chunk's headings are the path of those
+    above it. Work on each document is its own: nothing is shuffled. Null items make no chunk."""
+    other = [c for c in docs.columns if c != "items"]
+    sized = docs.select(*other, "items", F.transform("items", lambda x: F.size(tokens(F.coalesce(x["text"], F.lit("")))).cast("long")).alias("_sizes"))
+    schema = StructType([*docs.select(*other).schema.fields, *StructType.fromDDL(CHUNK).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, at = [], []
+            items, sizes = (batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))
+            for i, (own, size) in enumerate(zip(items, sizes)):
+                done = _packed(own or [], size or [], limit)
+                rows += [(k, len(done), *c) for k, c in enumerate(done)]
+                at += [i] * len(done)
+            cols = list(zip(*rows)) or [[]] * 9
+            types = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int32(), pa.string())
+            kept = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(len(other))]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, t in zip(cols, types))], names=schema.names)
+
+    return sized.mapInArrow(run, schema)
+
+
+def _packed(items: list[dict], sizes: list[int], limit: int) -> list[tuple]:
+    """(tokens, first item, last item, headings, content types, first page, content) of each chunk."""
+    out, path, own, used = [], [], [], 0
+
+    def close() -> None:
+        if own:
+            pages = [p for k in own for p in items[k]["pages"] or () if p is not None]
+            labels = sorted({"section_header" if (items[k]["label"] or "").startswith("section_header") else items[k]["label"] or "text" for k in own})
+            out.append((used, own[0], own[-1], headings, labels, min(pages, default=None), "\n".join(items[k]["text"] or "" for k in own)))
+
+    headings: list[str] = []
+    for k, item in enumerate(items):
+        label = item["label"] or "text"
+        level = int(label[15:]) if label.startswith("section_header_") and label[15:].isdigit() else 0
+        if own and (used + sizes[k] > limit or level):
+            close()
+            own, used = [], 0
+        if level:
+            path = [x for x in path if x[0] < level]
+        if not own:
+            headings = [x[1] for x in path]
+        if level:
+            path.append((level, item["text"] or ""))
+        own.append(k)
+        used += sizes[k]
+    close()
+    return out

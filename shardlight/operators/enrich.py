@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.text import tokens
 
@@ -48,6 +50,17 @@ def enriched(chunks: DataFrame, model: Callable[[pd.Series], pd.DataFrame]) -> D
     return base.mapInPandas(whole, schema)
 
 
+def structured(rows: DataFrame, response: str = "response") -> DataFrame:
+    """rows with the fields of ENRICHMENT, parsed from a model's JSON answer, and status: ok, or failed if the answer is
+    missing, is no JSON object or lacks a context. Lists that are missing are empty."""
+    names = [x.split(" ")[0] for x in ENRICHMENT.split(", ")]
+    answer = F.from_json(response, ENRICHMENT, {"mode": "PERMISSIVE"})
+    found = rows.drop(*names, "status").withColumn("_answer", answer)
+    fields = [F.col("_answer.context").alias("context"), *(F.coalesce(F.col(f"_answer.{n}"), F.array().cast("array<string>")).alias(n) for n in names[1:])]
+    status = F.when(F.col("_answer.context").isNotNull(), F.lit("ok")).otherwise(F.lit("failed")).alias("status")
+    return found.select(*(c for c in found.columns if c != "_answer"), *fields, status)
+
+
 def split_failures(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(what goes on to be embedded and written, what is only counted)."""
     ok = F.coalesce(F.col("status") == "ok", F.lit(False))
@@ -79,17 +92,27 @@ def keywords(chunks: DataFrame, k: int = 5) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "term", "weight")
 
 
-def hashed_vectors(docs: DataFrame, id_: str = "doc_id", dims: int = 64) -> DataFrame:
-    """id, dim, weight: signed MD5 feature hashing of tokens, scaled to unit length."""
-    each = docs.select(id_, F.explode(tokens(F.col("text"))).alias("term")).groupBy(id_, "term").agg(F.count(F.lit(1)).alias("tf"))
-    h = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long")
-    dim = each.select(id_, (h % dims).cast("int").alias("dim"), F.when(F.floor(h / dims) % 2 == 0, F.col("tf")).otherwise(-F.col("tf")).alias("w"))
-    summed = dim.groupBy(id_, "dim").agg(F.sum("w").alias("w")).where("w <> 0")
-    norm = summed.groupBy(id_).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return summed.join(norm, id_).select(id_, "dim", (F.col("w") / F.col("norm")).alias("weight"))
+@F.pandas_udf(ArrayType(DoubleType()))
+def _bundled(hashes: pd.Series, dims: pd.Series) -> pd.Series:
+    out = []
+    for h, d in zip(hashes, dims):
+        h = np.zeros(0, np.int64) if h is None else np.asarray(h, np.int64)
+        v = np.bincount(h % d, np.where(h // d % 2 == 0, 1.0, -1.0), d)
+        norm = np.sqrt((v * v).sum())
+        out.append(v / norm if norm else None)
+    return pd.Series(out)
+
+
+def hashed_vector(text: Column, dims: int = 64) -> Column:
+    """Signed MD5 feature hashing of tokens, scaled to unit length; null where nothing is left. The offline embedder."""
+    hashes = F.transform(tokens(F.coalesce(text, F.lit(""))), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"))
+    return _bundled(hashes, F.lit(dims))
+
+
+#: text column -> vector column; a model back end is a pandas_udf with this shape.
+Embedder = Callable[[Column], Column]
 
 
-def dense_vectors(vectors: DataFrame, id_: str = "doc_id", dims: int = 64) -> DataFrame:
-    """id, embedding of (id, dim, weight)."""
-    m = F.map_from_entries(F.collect_list(F.struct("dim", "weight")))
-    return vectors.groupBy(id_).agg(m.alias("m")).select(id_, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.element_at("m", d), F.lit(0.0))).alias("embedding"))
+def vector_weights(vectors: DataFrame, id_: str = "doc_id") -> DataFrame:
+    """id, dim, weight: the parts of (id, embedding) that are not 0."""
+    return vectors.select(id_, F.posexplode("embedding").alias("dim", "weight")).where("weight <> 0")

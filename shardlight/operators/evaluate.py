@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, tokens
@@ -18,9 +20,15 @@ def sample(docs: DataFrame, n: int = 50, seed: int = 42) -> DataFrame:
     return docs.withColumn("draw", F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")))).orderBy("draw", "doc_id").limit(n)
 
 
-def golden(docs: DataFrame, words: int = 3) -> DataFrame:
-    """query, relevant_chunk_ids: the first words of each document as its question; blank questions are dropped."""
-    q = F.array_join(F.slice(tokens(F.col("text")), 1, words), " ")
+def first_words(text: Column, words: int = 3) -> Column:
+    """The offline question about a text: its first words."""
+    return F.array_join(F.slice(tokens(text), 1, words), " ")
+
+
+def golden(docs: DataFrame, ask: Callable[[Column], Column] = first_words) -> DataFrame:
+    """query, relevant_chunk_ids: a question about each document's text, asked by ask (a model is a pandas_udf), without
+    white space at its ends; blank questions are dropped."""
+    q = strip(ask(F.col("text")))
     return docs.select(q.alias("query"), F.array(F.col("doc_id").cast("string")).alias("relevant_chunk_ids")).where("query <> ''")
 
 
@@ -45,19 +53,19 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
     return lines
 
 
-def hits(relevant: DataFrame, retrieved: DataFrame) -> DataFrame:
+def hits(relevant: DataFrame, retrieved: DataFrame, id_: str = "doc_id") -> DataFrame:
     """mode, query_id, rank, hit of the retrieved, for the queries that have relevant documents."""
     known = retrieved.join(relevant.select("query_id").distinct(), "query_id", "left_semi")
-    marked = known.join(relevant.select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
+    marked = known.join(relevant.select("query_id", id_, F.lit(1).alias("hit")), ["query_id", id_], "left")
     return marked.select("mode", "query_id", "rank", F.coalesce("hit", F.lit(0)).alias("hit"))
 
 
-def metrics(relevant: DataFrame, retrieved: DataFrame, modes: list[str]) -> DataFrame:
+def metrics(relevant: DataFrame, retrieved: DataFrame, modes: list[str], id_: str = "doc_id") -> DataFrame:
     """mode, metric, score: recall with one hit and with all, MRR, and MAP over the relevant that were retrieved."""
     spark = relevant.sparkSession
     every = relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).join(spark.createDataFrame([(m,) for m in modes], "mode string"))
     run = Window.partitionBy("mode", "query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    seen = hits(relevant, retrieved).withColumn("so_far", F.sum("hit").over(run))
+    seen = hits(relevant, retrieved, id_).withColumn("so_far", F.sum("hit").over(run))
     by_query = seen.groupBy("mode", "query_id").agg(
         F.max("hit").alias("any"), F.sum("hit").alias("got"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"), F.avg(F.when(F.col("hit") == 1, F.col("so_far") / F.col("rank"))).alias("ap")
     )

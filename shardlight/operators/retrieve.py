@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .convert import ENTITY_FIELDS
+from .filters import ENTITY_FIELDS
 
 K1, B = 1.2, 0.75
 #: Queries whose vectors are broadcast at once.
@@ -23,33 +23,44 @@ def ranked(scored: DataFrame, k: int, by: str = "query_id", id_: str = "doc_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def usable(embedding: Column, dims: int | None = None) -> Column:
+    """Whether a vector can be scored: no null or non-finite parts and, if given, of so many dimensions."""
+    fine = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size(embedding) > 0)
+    return F.coalesce(fine if dims is None else fine & (F.size(embedding) == dims), F.lit(False))
+
+
 def dense(base: DataFrame, queries: DataFrame, k: int, id_: str = "doc_id") -> DataFrame:
     """query_id, id, score, rank by inner product. base: id, embedding; queries: query_id, embedding.
 
-    Queries go out in blocks of bounded size, and each task keeps its own k best of each query before the merge.
+    Queries go out in blocks of bounded size, and each task keeps its own k best of each query before the merge. The
+    number of dimensions is that of the first usable query; vectors that are null, hold nulls or non-finite parts, or
+    have other dimensions take no part. Query ids are numbers.
     """
     spark = base.sparkSession
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("e")).where(usable(F.col("e"))).persist()
+    first, n = asked.first(), asked.count()
+    dims = len(first["e"]) if first else 0
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    own = base.select(id_, F.col("embedding").cast("array<double>").alias("e")).where(usable(F.col("e"), dims))
     found = []
     for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", F.col("embedding").cast("array<double>").alias("e")).collect()
-        sent = spark.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["e"] for r in rows])))
+        rows = asked.where((F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) & (F.size("e") == dims)).collect()
+        sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], np.int64), np.array([r["e"] for r in rows]).reshape(len(rows), dims)))
 
         def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, q = sent.value
             for batch in batches:
                 if not len(names) or not batch.num_rows:
                     continue
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
                 flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-                s = np.round(q @ flat.reshape(len(ids), -1).T, 6)
-                keep = min(k, len(ids))
+                s = np.round(q @ flat.reshape(batch.num_rows, -1).T, 6)
+                keep = min(k, batch.num_rows)
                 cut = -np.partition(-s, keep - 1, axis=1)[:, keep - 1 : keep]
                 qi, di = np.nonzero(s >= cut)
-                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(names)[qi], pa.int64()), pa.array(ids[di]), pa.array(s[qi, di])], names=["query_id", id_, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[qi], pa.int64()), batch.column(0).take(pa.array(di)), pa.array(s[qi, di])], names=["query_id", id_, "score"])
 
-        own = base.select(id_, F.col("embedding").cast("array<double>").alias("e")).where(F.col("e").isNotNull())
         found.append(own.mapInArrow(score, f"query_id long, {id_} {dict(base.dtypes)[id_]}, score double"))
+    asked.unpersist()
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -61,14 +72,18 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
 
 
-def sparse(posted: DataFrame, idf: DataFrame, size: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None, id_: str = "doc_id") -> DataFrame:
-    """query_id, id, score, rank by BM25; idf and lengths are of the whole collection, allowed are the ids a filter leaves."""
-    hits = posted.join(query_terms(queries), "term").join(idf.select("term", "idf"), "term").join(F.broadcast(size))
+def bm25(average: float) -> Column:
+    """The weight of a posting (tf, dl, idf), where the collection's documents have so many tokens on average."""
+    return F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(average)))
+
+
+def sparse(posted: DataFrame, terms: DataFrame, k: int, allowed: DataFrame | None = None, id_: str = "doc_id") -> DataFrame:
+    """query_id, id, score, rank by BM25. posted: bucket, term, id, weight; terms: query_id, bucket, term. Weights are of
+    the whole collection, allowed are the ids a filter leaves."""
+    hits = posted.select("bucket", "term", id_, "weight").join(terms, ["bucket", "term"])
     if allowed is not None:
         hits = hits.join(allowed.select(id_), id_, "left_semi")
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query_id", id_).agg(F.round(F.sum(F.col("idf") * tf), 6).alias("score"))
-    return ranked(scored, k, id_=id_)
+    return ranked(hits.groupBy("query_id", id_).agg(F.round(F.sum("weight"), 6).alias("score")), k, id_=id_)
 
 
 def hybrid(dense_hits: DataFrame, sparse_hits: DataFrame, id_: str = "doc_id") -> DataFrame:
@@ -78,12 +93,14 @@ def hybrid(dense_hits: DataFrame, sparse_hits: DataFrame, id_: str = "doc_id") -
     return d.unionByName(s).groupBy("query_id", id_).agg(F.max("from_dense").alias("from_dense"), F.max("from_sparse").alias("from_sparse"))
 
 
-def rerank(candidates: DataFrame, posted: DataFrame, idf: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, id_: str = "doc_id") -> DataFrame:
-    """query_id, id, score, rank: the share of the query's idf that a candidate's terms cover, k best, at least threshold."""
-    terms = query_terms(queries).join(idf.select("term", "idf"), "term", "left").withColumn("idf", F.coalesce("idf", F.lit(0.0)))
-    whole = terms.groupBy("query_id").agg(F.sum("idf").alias("whole"))
-    held = candidates.select("query_id", id_).join(terms, "query_id").join(posted.select(id_, "term", F.lit(1).alias("has")), [id_, "term"], "left")
-    scored = held.groupBy("query_id", id_).agg(F.sum(F.when(F.col("has") == 1, F.col("idf")).otherwise(0.0)).alias("part")).join(whole, "query_id")
+def rerank(candidates: DataFrame, posted: DataFrame, idf: DataFrame, terms: DataFrame, k: int, threshold: float | None = None, id_: str = "doc_id") -> DataFrame:
+    """query_id, id, score, rank: the share of the query's idf that a candidate's terms cover, k best, at least threshold.
+    terms: query_id, bucket, term; only their buckets are read."""
+    known = idf.join(terms, ["bucket", "term"])
+    whole = known.groupBy("query_id").agg(F.sum("idf").alias("whole"))
+    held = posted.select("bucket", "term", id_, "idf").join(terms, ["bucket", "term"]).join(candidates.select("query_id", id_), ["query_id", id_])
+    part = held.groupBy("query_id", id_).agg(F.sum("idf").alias("part"))
+    scored = candidates.select("query_id", id_).join(part, ["query_id", id_], "left").join(whole, "query_id", "left")
     scored = scored.select("query_id", id_, F.round(F.coalesce(F.try_divide("part", "whole"), F.lit(0.0)), 6).alias("score"))
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)

@@ -1,16 +1,21 @@
-"""The seven read-only tools over one indexed collection of documents (doc_id, text and metadata)."""
+"""A stored collection of chunks and the seven read-only tools over it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import signed_url, snippet, source_url
+from ..functions.text import embed_text, signed_url, snippet, source_url
+from ..session import SETTINGS, Settings
 from . import enrich, retrieve
-from .convert import described, line_chunks
-from .filters import compiled, conditions
+from .filters import Filter
+
+#: What a chunk has to have; context may be missing.
+META = ("headings", "keywords", "dates")
+BUCKETS = 32
 
 
 def within(name: str, value: int, low: int, high: int) -> int:
@@ -19,89 +24,127 @@ def within(name: str, value: int, low: int, high: int) -> int:
     return value
 
 
-class Collection:
-    """Documents with their vectors, postings and statistics. Plans are built once and used by every search."""
+def term_bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
-    def __init__(self, docs: DataFrame, threshold: float = 0.5):
-        self.docs, self.threshold = docs, threshold
 
-    @cached_property
-    def meta(self) -> DataFrame:
-        own = self.docs.select("doc_id", "lang", F.col("source").alias("source"), F.col("text").alias("content"), F.col("doc_id").alias("chunk_index"))
-        return described(own)
+def index(chunks: DataFrame, path: str, embed: enrich.Embedder | None = None, settings: Settings = SETTINGS) -> None:
+    """Write the search index of chunks: the chunks by id, vectors, postings in buckets by term with their BM25
+    weight, and the collection's statistics. The chunk's metadata and content are embedded, as what a search compares with."""
+    spark, embed = chunks.sparkSession, embed or (lambda text: enrich.hashed_vector(text, settings.embedding_dim))
+    own = chunks if "context" in chunks.columns else chunks.withColumn("context", F.lit(None).cast("string"))
+    own.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/chunks")
+    texts = spark.read.parquet(f"{path}/chunks").select("id", embed_text([F.col(c) for c in META], F.col("content")).alias("text"))
+    texts.select("id", embed(F.col("text")).alias("embedding")).write.mode("overwrite").parquet(f"{path}/vectors")
+    enrich.postings(texts, "id").write.mode("overwrite").parquet(f"{path}/raw")
+    raw = spark.read.parquet(f"{path}/raw")
+    idf, size = enrich.statistics(raw, "id")
+    size.write.mode("overwrite").parquet(f"{path}/size")
+    average = size.first()["avgdl"] or 1.0
+    by_term = raw.join(idf, "term").withColumns({"bucket": term_bucket(F.col("term")), "weight": retrieve.bm25(average)})
+    by_term.repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    idf.withColumn("bucket", term_bucket(F.col("term"))).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/idf")
+
+
+#: (query, content of a candidate) -> score; a cross-encoder is a pandas_udf with this shape.
+Reranker = Callable[[Column, Column], Column]
+
+
+class Collection:
+    """The index that was written to path. Searches read only the buckets of their terms, the vectors, and the chunks
+    they return; hits are (query_id, rank, id, score) with what hit() shows, and their ids are what the reading tools
+    take."""
+
+    def __init__(self, spark: SparkSession, path: str, embed: enrich.Embedder | None = None, rerank: Reranker | None = None, settings: Settings = SETTINGS):
+        self.spark, self.path, self.settings, self.rerank = spark, path, settings, rerank
+        self.embed = embed or (lambda text: enrich.hashed_vector(text, settings.embedding_dim))
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return line_chunks(self.docs)
+        return self.spark.read.parquet(f"{self.path}/chunks")
 
     @cached_property
     def postings(self) -> DataFrame:
-        return enrich.postings(self.docs)
+        return self.spark.read.parquet(f"{self.path}/postings")
 
     @cached_property
     def idf(self) -> DataFrame:
-        return enrich.statistics(self.postings)[0]
+        return self.spark.read.parquet(f"{self.path}/idf")
 
     @cached_property
     def size(self) -> DataFrame:
-        return enrich.statistics(self.postings)[1]
+        return self.spark.read.parquet(f"{self.path}/size")
 
     @cached_property
     def vectors(self) -> DataFrame:
-        return enrich.dense_vectors(enrich.hashed_vectors(self.docs))
+        return self.spark.read.parquet(f"{self.path}/vectors")
 
-    def _dense(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-        own = queries.select(F.col("query_id").alias("doc_id"), F.col("query").alias("text"))
-        asked = enrich.dense_vectors(enrich.hashed_vectors(own)).withColumnRenamed("doc_id", "query_id")
-        base = self.vectors if allowed is None else self.vectors.join(allowed.select("doc_id"), "doc_id", "left_semi")
-        return retrieve.dense(base, asked, k)
+    def dense(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+        asked = queries.select("query_id", self.embed(F.col("query")).alias("embedding"))
+        base = self.vectors if allowed is None else self.vectors.join(allowed.select("id"), "id", "left_semi")
+        return retrieve.dense(base, asked, k, "id")
 
-    def _sparse(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-        return retrieve.sparse(self.postings, self.idf, self.size, queries, k, allowed)
+    def sparse(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+        return retrieve.sparse(self.postings, self._terms(queries), k, allowed, "id")
+
+    def _terms(self, queries: DataFrame) -> DataFrame:
+        return retrieve.query_terms(queries).withColumn("bucket", term_bucket(F.col("term")))
 
     def candidates(self, queries: DataFrame, before: int = 30, allowed: DataFrame | None = None) -> DataFrame:
-        return retrieve.hybrid(self._dense(queries, before, allowed), self._sparse(queries, before, allowed))
+        return retrieve.hybrid(self.dense(queries, before, allowed), self.sparse(queries, before, allowed), "id")
 
     def reranked(self, candidates: DataFrame, queries: DataFrame, after: int = 5, threshold: float | None = None) -> DataFrame:
-        return retrieve.rerank(candidates, self.postings, self.idf, queries, after, threshold)
+        """query_id, id, score, rank by the reranker, or by the share of the query's idf that the chunk's terms cover."""
+        if self.rerank is None:
+            return retrieve.rerank(candidates, self.postings, self.idf, self._terms(queries), after, threshold, "id")
+        pairs = candidates.select("query_id", "id").join(queries.select("query_id", "query"), "query_id").join(self.chunks.select("id", "content"), "id")
+        scored = pairs.select("query_id", "id", F.round(self.rerank(F.col("query"), F.col("content")), 6).alias("score"))
+        return retrieve.ranked(scored if threshold is None else scored.where(F.col("score") >= threshold), after, id_="id")
 
     def _found(self, candidates: DataFrame, queries: DataFrame, after: int) -> DataFrame:
-        return self.reranked(candidates, queries, within("top_k_after", after, 3, 10), self.threshold)
+        best = self.reranked(candidates, queries, within("top_k_after", after, 3, 10), self.settings.rerank_threshold)
+        return best.join(hit(self.chunks, self.settings), "id").select("query_id", "rank", "id", "score", *HIT[1:])
 
     def keyword_and_semantic_search(self, queries: DataFrame, before: int = 30, after: int = 5) -> DataFrame:
         return self._found(self.candidates(queries, within("top_k_before", before, 20, 60)), queries, after)
 
     def semantic_search(self, queries: DataFrame, before: int = 30, after: int = 5) -> DataFrame:
-        return self._found(self._dense(queries, within("top_k_before", before, 20, 60)), queries, after)
+        return self._found(self.dense(queries, within("top_k_before", before, 20, 60)), queries, after)
 
     def keyword_search(self, queries: DataFrame, before: int = 30, after: int = 5) -> DataFrame:
-        return self._found(self._sparse(queries, within("top_k_before", before, 20, 60)), queries, after)
+        return self._found(self.sparse(queries, within("top_k_before", before, 20, 60)), queries, after)
 
-    def filtered_search(self, queries: DataFrame, before: int = 30, after: int = 5, **supplied) -> DataFrame:
+    def filtered_search(self, queries: DataFrame, filter_: Filter, before: int = 30, after: int = 5) -> DataFrame:
         """The filter holds in both branches, before their top-k."""
-        allowed = self.meta.where(compiled(conditions(**supplied))).select("doc_id")
+        allowed = self.chunks.where(filter_.predicate()).select("id")
         return self._found(self.candidates(queries, within("top_k_before", before, 20, 60), allowed), queries, after)
 
     def find_related(self, seeds: DataFrame, queries: DataFrame, before: int = 30, after: int = 5) -> DataFrame:
-        """Dense search among documents that share an entity with the seeds (id), which are left out."""
-        chunks = self.meta.withColumn("id", F.col("doc_id"))
-        allowed = retrieve.related(chunks, seeds).withColumnRenamed("id", "doc_id")
-        return self._found(self._dense(queries, within("top_k_before", before, 20, 60), allowed), queries, after)
+        """Dense search among chunks that share an entity with the seeds (id), which are left out."""
+        allowed = retrieve.related(self.chunks, seeds)
+        return self._found(self.dense(queries, within("top_k_before", before, 20, 60), allowed), queries, after)
 
     def read_chunk(self, ids: DataFrame) -> DataFrame:
-        return content(self.chunks.join(ids.select("id"), "id", "left_semi"))
+        return content(self.chunks.join(ids.select("id"), "id", "left_semi"), self.settings)
 
     def read_neighbors(self, ids: DataFrame, window: int = 1) -> DataFrame:
-        return retrieve.neighbours(self.chunks, ids, within("window", window, 1, 10)).orderBy(F.coalesce("source", F.lit("")), F.coalesce("chunk_index", F.lit(0)))
+        near = retrieve.neighbours(self.chunks, ids, within("window", window, 1, 10))
+        return content(near, self.settings, "chunk_index").orderBy(F.coalesce("source", F.lit("")), F.coalesce("chunk_index", F.lit(0)))
+
+
+HIT = ("id", "source", "url", "page", "headings", "snippet")
+
+
+def _url(settings: Settings) -> Column:
+    return source_url(signed_url(settings.url_prefix, F.col("source"), settings.url_seconds), F.col("page_number")).alias("url")
 
 
-def hit(chunks: DataFrame, prefix: str = "https://files.local/") -> DataFrame:
-    """id, source, url, page, headings, snippet of chunks."""
-    url = source_url(signed_url(prefix, F.col("source")), F.col("page_number"))
-    return chunks.select("id", "source", url.alias("url"), F.col("page_number").alias("page"), F.array_join("headings", " > ").alias("headings"), snippet(F.lit(""), F.col("content")).alias("snippet"))
+def hit(chunks: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
+    """id, source, url, page, headings, snippet of chunks: its context, or else the first characters of its content."""
+    context = F.col("context") if "context" in chunks.columns else F.lit("")
+    return chunks.select("id", "source", _url(settings), F.col("page_number").alias("page"), F.array_join("headings", " > ").alias("headings"), snippet(context, F.col("content"), settings.snippet_chars).alias("snippet"))
 
 
-def content(chunks: DataFrame, prefix: str = "https://files.local/") -> DataFrame:
+def content(chunks: DataFrame, settings: Settings = SETTINGS, *more: str) -> DataFrame:
     """id, source, url, page, content of chunks."""
-    url = source_url(signed_url(prefix, F.col("source")), F.col("page_number"))
-    return chunks.select("id", "source", url.alias("url"), F.col("page_number").alias("page"), "content")
+    return chunks.select("id", "source", _url(settings), F.col("page_number").alias("page"), "content", *more)

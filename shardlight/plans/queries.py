@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import convert, enrich, evaluate, filters, retrieve, tools
-from ..session import SETTINGS, table
+from ..session import SETTINGS, table, workspace
 from ..sources import documents as src
+from . import fixture
 
 MODES = ["sparse", "dense", "hybrid"]
 
@@ -20,22 +22,22 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return convert.line_chunks(_docs(spark, d))
+    return fixture.line_chunks(_docs(spark, d))
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items as queries: their first three tokens."""
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.tokens(F.col("text")), 1, 3), " ").alias("query"))
+    """Benchmark items as queries, with their whole texts."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _seeds(spark: SparkSession, d: str) -> DataFrame:
-    """The caller's ids: the first 20 chunk ids, one of them twice, and one that does not exist."""
-    first = src.smallest(_chunks(spark, d).select("id"), F.col("id"), 20)
+    """The caller's ids: the first chunk of each twentieth document, one of them twice, and one that does not exist."""
+    first = _chunks(spark, d).where("doc_id % 20 = 0 and chunk_index = 0").select("id")
     return first.unionByName(first.agg(F.min("id").alias("id"))).unionByName(spark.createDataFrame([("unknown",)], "id string"))
 
 
 def _collection(spark: SparkSession, d: str) -> tools.Collection:
-    return tools.Collection(_docs(spark, d), SETTINGS.rerank_threshold)
+    return fixture.collection(spark, d)
 
 
 # Sources and sinks
@@ -62,14 +64,17 @@ def scan_all(spark, d):
 
 
 def scan_by_id(spark, d):
-    return src.by_ids(_chunks(spark, d), _seeds(spark, d)).select("id", "source", "chunk_index")
+    return src.by_ids(_collection(spark, d).chunks, _seeds(spark, d)).select("id", "source", "chunk_index")
 
 
 def sink_upsert(spark, d):
-    """The chunks, then those of every third document again with another page number."""
+    """A store after two upserts: the chunks, then those of every third document again with another page number."""
+    store = src.Store(spark, f"{workspace(spark)}/shardlight-store/{uuid.uuid4().hex}", SETTINGS.store_buckets)
     chunks = _chunks(spark, d).select("id", "doc_id", "page_number")
-    again = chunks.where("doc_id % 3 = 0").select("id", "doc_id", (F.col("page_number") + 100).alias("page_number"), F.lit(1).alias("batch"))
-    return src.latest(chunks.withColumn("batch", F.lit(0)).unionByName(again)).select("id", "page_number", "batch")
+    store.upsert(chunks.withColumn("batch", F.lit(0)))
+    store.upsert(chunks.where("doc_id % 3 = 0").select("id", "doc_id", (F.col("page_number") + 100).alias("page_number"), F.lit(1).alias("batch")))
+    store.vacuum()
+    return store.read().select("id", "page_number", "batch")
 
 
 # Conversion and chunks
@@ -83,8 +88,24 @@ def conv_text_items(spark, d):
     return convert.text_items(_docs(spark, d))
 
 
+def conv_tree_items(spark, d):
+    """Documents as JSON trees, as a converter answers them, parsed again; each tenth tree is broken and has no items."""
+    tree = F.to_json(F.struct(convert.lines_as_items(F.col("text")).alias("items")))
+    trees = _docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 10 == 7, F.substring(tree, 1, 11)).otherwise(tree).alias("tree"))
+    return convert.tree_items(trees).select("doc_id", F.posexplode("items").alias("item_no", "x")).select("doc_id", "item_no", "x.label", "x.text")
+
+
+def conv_html_chunks(spark, d):
+    """Pages as chunks under their headings."""
+    items = convert.collected(convert.html_items(table(spark, d, "pages")), "page_id")
+    return convert.chunked(items, SETTINGS.chunk_max_tokens)
+
+
 def _packed(spark, d):
-    return convert.packed(_docs(spark, d), SETTINGS.chunk_max_tokens)
+    """Documents as chunks of lines. Five lines make a page, but documents of the last batch have no provenance; every
+    seventh line counts as a table."""
+    own = F.transform(F.split("text", "\n"), lambda s, i: F.struct(F.when(i % 7 == 0, F.lit("table")).otherwise(F.lit("text")).alias("label"), s.alias("text"), F.when(F.col("doc_id") % 10 == 9, F.array().cast("array<int>")).otherwise(F.array(F.floor(i / 5).cast("int"))).alias("pages")))
+    return convert.chunked(_docs(spark, d).select("doc_id", own.alias("items")), SETTINGS.chunk_max_tokens)
 
 
 def chunk_pack(spark, d):
@@ -100,15 +121,11 @@ def chunk_contextualize(spark, d):
 
 
 def chunk_page_min(spark, d):
-    """The first page of each packed chunk; five lines make a page, and chunks of the last batch have no provenance."""
-    pages = F.when(F.col("doc_id") % 10 == 9, F.array().cast("array<int>")).otherwise(F.transform(F.sequence("first_item", "last_item"), lambda i: F.floor(i / 5).cast("int")))
-    return _packed(spark, d).select("doc_id", "chunk_index", F.array_min(pages).alias("page_number"))
+    return _packed(spark, d).select("doc_id", "chunk_index", "page_number")
 
 
 def chunk_content_types(spark, d):
-    """The sorted distinct labels of each packed chunk; every seventh line counts as a table."""
-    labels = F.transform(F.sequence("first_item", "last_item"), lambda i: F.when(i % 7 == 0, F.lit("table")).otherwise(F.lit("text")))
-    return _packed(spark, d).select("doc_id", "chunk_index", F.array_join(F.array_sort(F.array_distinct(labels)), ",").alias("content_types"))
+    return _packed(spark, d).select("doc_id", "chunk_index", F.array_join("content_types", ",").alias("content_types"))
 
 
 def chunk_id(spark, d):
@@ -129,7 +146,14 @@ def enrich_keywords(spark, d):
 
 
 def enrich_entities(spark, d):
-    return _chunks(spark, d).select("id", *(F.array_join(f, ",").alias(f) for f in convert.ENTITY_FIELDS))
+    return _chunks(spark, d).select("id", *(F.array_join(f, ",").alias(f) for f in filters.ENTITY_FIELDS))
+
+
+def enrich_structured(spark, d):
+    """A model's JSON answers as fields; of three answers one is broken and one has no keywords."""
+    good = F.to_json(F.struct(F.concat(F.lit("About "), "source").alias("context"), F.when(F.col("doc_id") % 3 == 1, F.col("keywords")).alias("keywords")))
+    answered = _chunks(spark, d).select("id", "doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit("{broken")).otherwise(good).alias("response"))
+    return enrich.structured(answered).select("id", "status", "context", F.array_join("keywords", ",").alias("keywords"))
 
 
 def _statuses(spark, d):
@@ -147,7 +171,7 @@ def embed_text(spark, d):
 
 
 def embed_dense_hash(spark, d):
-    return enrich.hashed_vectors(_docs(spark, d)).select("doc_id", "dim", F.round("weight", 6).alias("weight"))
+    return enrich.vector_weights(_docs(spark, d).select("doc_id", enrich.hashed_vector(F.col("text"), SETTINGS.embedding_dim).alias("embedding"))).select("doc_id", "dim", F.round("weight", 6).alias("weight"))
 
 
 def sparse_postings(spark, d):
@@ -173,7 +197,7 @@ FILTERS = {
 
 def _filtered(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark, d):
-        return _chunks(spark, d).where(filters.compiled(filters.conditions(**FILTERS[name]))).select("id", "source", "chunk_index")
+        return _chunks(spark, d).where(filters.Filter(**FILTERS[name]).predicate()).select("id", "source", "chunk_index")
 
     return query
 
@@ -189,46 +213,49 @@ def search_semantic(spark, d):
 
 
 def search_keyword(spark, d):
-    return _collection(spark, d)._sparse(_queries(spark, d), 5).select("query_id", "doc_id", "score", "rank")
+    """BM25 alone, before any reranking."""
+    return _collection(spark, d).sparse(_queries(spark, d), 5).select("query_id", "id", "score", "rank")
 
 
 def hybrid_candidates(spark, d):
-    return _collection(spark, d).candidates(_queries(spark, d)).select("query_id", "doc_id", "from_dense", "from_sparse")
+    return _collection(spark, d).candidates(_queries(spark, d)).select("query_id", "id", "from_dense", "from_sparse")
 
 
 def search_hybrid(spark, d):
-    return _collection(spark, d).keyword_and_semantic_search(_queries(spark, d)).select("query_id", "doc_id", "score", "rank")
+    return _collection(spark, d).keyword_and_semantic_search(_queries(spark, d))
+
+
+def semantic_search(spark, d):
+    return _collection(spark, d).semantic_search(_queries(spark, d))
+
+
+def keyword_search(spark, d):
+    return _collection(spark, d).keyword_search(_queries(spark, d))
 
 
 FILTERED = {"date_from": "2024-02-01", "date_to": "2024-06-01", "modified_to": "2024-02-15"}
 
 
 def filtered_search(spark, d):
-    return _collection(spark, d).filtered_search(_queries(spark, d), **FILTERED).select("query_id", "doc_id", "score", "rank")
+    return _collection(spark, d).filtered_search(_queries(spark, d), filters.Filter(**FILTERED))
 
 
 def rerank_topk(spark, d):
     c, q = _collection(spark, d), _queries(spark, d)
-    return c.reranked(c._sparse(q, 30), q, 5).select("query_id", "doc_id", "score", "rank")
+    return c.reranked(c.sparse(q, 30), q, 5).select("query_id", "id", "score", "rank")
 
 
 def rerank_threshold(spark, d):
     c, q = _collection(spark, d), _queries(spark, d)
-    return c.reranked(c._sparse(q, 30), q, 10, SETTINGS.rerank_threshold).select("query_id", "doc_id", "score", "rank")
-
-
-def _doc_seeds(spark, d):
-    """The caller's ids: the first five documents that hold an entity."""
-    own = _collection(spark, d).meta.where(F.size("ents") > 0)
-    return src.smallest(own.select(F.col("doc_id").alias("id")), F.col("id"), 5)
+    return c.reranked(c.sparse(q, 30), q, 10, SETTINGS.rerank_threshold).select("query_id", "id", "score", "rank")
 
 
 def find_related(spark, d):
-    return _collection(spark, d).find_related(_doc_seeds(spark, d), _queries(spark, d)).select("query_id", "doc_id", "score", "rank")
+    return _collection(spark, d).find_related(_seeds(spark, d), _queries(spark, d))
 
 
 def agg_seed_entities(spark, d):
-    return retrieve.entities_of(_collection(spark, d).meta.withColumn("id", F.col("doc_id")), _doc_seeds(spark, d))
+    return retrieve.entities_of(_collection(spark, d).chunks, _seeds(spark, d))
 
 
 # Reads and projections
@@ -239,15 +266,15 @@ def read_chunk(spark, d):
 
 
 def read_neighbors(spark, d):
-    return _collection(spark, d).read_neighbors(_seeds(spark, d)).select("id", "source", "chunk_index")
+    return _collection(spark, d).read_neighbors(_seeds(spark, d))
 
 
 def read_neighbors_window(spark, d):
-    return retrieve.neighbours_by_window(_chunks(spark, d), _seeds(spark, d)).select("id", "source", "chunk_index")
+    return retrieve.neighbours_by_window(_collection(spark, d).chunks, _seeds(spark, d)).select("id", "source", "chunk_index")
 
 
 def prj_search_hit(spark, d):
-    return tools.hit(_chunks(spark, d), SETTINGS.url_prefix)
+    return tools.hit(_chunks(spark, d))
 
 
 def prj_snippet(spark, d):
@@ -262,7 +289,7 @@ def prj_source_url(spark, d):
 
 def prj_hint(spark, d):
     q = _queries(spark, d)
-    n = _collection(spark, d)._sparse(q, 30).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    n = _collection(spark, d).sparse(q, 30).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     return q.join(n, "query_id", "left").select("query_id", retrieve.hint(F.coalesce("n", F.lit(0))).alias("hint"))
 
 
@@ -290,30 +317,28 @@ def golden_build(spark, d):
 
 
 def _relevant(spark, d):
-    """query_id, doc_id of documents that hold a benchmark text; candidates share the text's rarest token."""
+    """query_id, id of chunks that hold a benchmark text; candidates share the text's rarest token."""
     c, items = _collection(spark, d), table(spark, d, "benchmark").where("text is not null")
-    terms = items.select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).join(c.idf, "term")
-    rarest = terms.groupBy("item_id").agg(F.min(F.struct("df", "term")).alias("r")).select("item_id", "r.term")
-    near = c.postings.join(rarest, "term").select("item_id", "doc_id").join(items, "item_id").join(_docs(spark, d).select("doc_id", F.col("text").alias("whole")), "doc_id")
-    return near.where(F.col("whole").contains(F.col("text"))).select(F.col("item_id").alias("query_id"), "doc_id")
+    terms = items.select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).withColumn("bucket", tools.term_bucket(F.col("term"))).join(c.idf, ["bucket", "term"])
+    rarest = terms.groupBy("item_id").agg(F.min(F.struct("df", "bucket", "term")).alias("r")).select("item_id", "r.bucket", "r.term")
+    near = c.postings.select("bucket", "term", "id").join(rarest, ["bucket", "term"]).select("item_id", "id").join(items.select("item_id", "text"), "item_id").join(c.chunks.select("id", "content"), "id")
+    return near.where(F.col("content").contains(F.col("text"))).select(F.col("item_id").alias("query_id"), "id")
 
 
 def golden_explode(spark, d):
     """The golden set as JSON lines, parsed and exploded."""
-    sets = _relevant(spark, d).groupBy("query_id").agg(F.array_sort(F.collect_list(F.col("doc_id").cast("string"))).alias("relevant_chunk_ids")).join(_queries(spark, d), "query_id")
+    sets = _relevant(spark, d).groupBy("query_id").agg(F.array_sort(F.collect_list("id")).alias("relevant_chunk_ids")).join(_queries(spark, d), "query_id")
     return evaluate.exploded(sets.select(F.to_json(F.struct("query", "relevant_chunk_ids")).alias("value")))
 
 
 def _retrieved(spark, d):
     c, q = _collection(spark, d), _queries(spark, d)
-    sparse, dense = c._sparse(q, 5), c._dense(q, 5)
-    hybrid = c.reranked(c.candidates(q), q, 5)
-    of = lambda df, mode: df.select(F.lit(mode).alias("mode"), "query_id", "doc_id", "rank")
-    return of(sparse, "sparse").unionByName(of(dense, "dense")).unionByName(of(hybrid, "hybrid"))
+    of = lambda df, mode: df.select(F.lit(mode).alias("mode"), "query_id", "id", "rank")
+    return of(c.sparse(q, 5), "sparse").unionByName(of(c.dense(q, 5), "dense")).unionByName(of(c.reranked(c.candidates(q), q, 5), "hybrid"))
 
 
 def _metrics(spark, d):
-    return evaluate.metrics(_relevant(spark, d), _retrieved(spark, d), MODES)
+    return evaluate.metrics(_relevant(spark, d), _retrieved(spark, d), MODES, "id")
 
 
 def _metric(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -337,8 +362,8 @@ def svc_rate_window(spark, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
-        src_documents, src_batches, src_modified_at, src_basename, scan_all, scan_by_id, sink_upsert, conv_html_items, conv_text_items, chunk_pack, chunk_ordinals, chunk_contextualize, chunk_page_min, chunk_content_types, chunk_id, agg_chunk_counts,
-        enrich_keywords, enrich_entities, enrich_failure_split, embed_text, embed_dense_hash, sparse_postings, sparse_idf, search_semantic, search_keyword, hybrid_candidates, search_hybrid, filtered_search, rerank_topk, rerank_threshold, find_related, agg_seed_entities,
+        src_documents, src_batches, src_modified_at, src_basename, scan_all, scan_by_id, sink_upsert, conv_html_items, conv_html_chunks, conv_text_items, conv_tree_items, chunk_pack, chunk_ordinals, chunk_contextualize, chunk_page_min, chunk_content_types, chunk_id, agg_chunk_counts,
+        enrich_keywords, enrich_entities, enrich_structured, enrich_failure_split, embed_text, embed_dense_hash, sparse_postings, sparse_idf, search_semantic, search_keyword, hybrid_candidates, search_hybrid, semantic_search, keyword_search, filtered_search, rerank_topk, rerank_threshold, find_related, agg_seed_entities,
         read_chunk, read_neighbors, read_neighbors_window, prj_search_hit, prj_snippet, prj_source_url, prj_hint, fn_scalars, golden_min_chars, golden_sample, golden_build, golden_explode, eval_report, agg_batch_summary, svc_rate_window,
     ]
     found = {f.__name__: f for f in named}

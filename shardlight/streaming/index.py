@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.convert import line_chunks
 from ..sources.documents import Store
 
 
-def index_stream(docs: DataFrame, store: Store, checkpoint: str, replace_source: bool = False) -> StreamingQuery:
-    """Each micro-batch is chunked and upserted by id: a batch that runs again changes nothing."""
+def index_stream(docs: DataFrame, store: Store, checkpoint: str, chunk: Callable[[DataFrame], DataFrame], status: str, replace_source: bool = False) -> StreamingQuery:
+    """Each micro-batch is chunked (chunk: documents -> chunks with id and source) and upserted by id: a batch that runs
+    again changes nothing. A batch that fails leaves the store as it was and doesn't end the stream; what became of
+    each batch is appended to the table status: batch, status (ok or failed), documents, error."""
 
-    def upsert(batch: DataFrame, _: int) -> None:
-        store.upsert(line_chunks(batch), "id", replace_source)
+    def upsert(batch: DataFrame, number: int) -> None:
+        error = None
+        try:
+            store.upsert(chunk(batch), "id", replace_source)
+        except Exception as e:  # noqa: BLE001
+            error = str(e)[:1000]
+        said = batch.agg(F.count(F.lit(1)).alias("documents"))
+        said.select(F.lit(number).cast("long").alias("batch"), F.lit("failed" if error else "ok").alias("status"), "documents", F.lit(error).cast("string").alias("error")).write.mode("append").parquet(status)
 
     return docs.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def batch_states(rows: DataFrame) -> DataFrame:
+    """batch, status, documents, error of a status table: the last word on each batch, as one that ran again says it twice."""
+    return rows.groupBy("batch").agg(F.min_by(F.struct("status", "documents", "error"), F.when(F.col("status") == "ok", 0).otherwise(1)).alias("x")).select("batch", "x.*")

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from shardlight.functions import text as T
-from shardlight.operators import enrich, evaluate, filters, retrieve, tools
+from shardlight.operators import convert, enrich, evaluate, filters, retrieve, tools
+from shardlight.plans import fixture
 from shardlight.sources import documents as src
 
 
@@ -24,7 +25,7 @@ def chunk(spark, *rows):
 
 
 def kept(df, **supplied):
-    return ids(df.where(filters.compiled(filters.conditions(**supplied))))
+    return ids(df.where(filters.Filter(**supplied).predicate()))
 
 
 def test_array_filters_do_not_yield_null(spark):
@@ -48,10 +49,10 @@ def test_last_day_ends_before_its_last_second_is_over(spark):
     assert kept(df, modified_to="2024-02-01T00:00:00") == ["a", "b", "c"]
 
 
-def test_not_in_keeps_unknown_values_out_of_the_way(spark):
-    df = chunk(spark, {"id": "a"}, {"id": "b"})
-    assert ids(df.where(filters.compiled({"field": "id", "operator": "not in", "value": ["b", "zz"]}))) == ["a"]
-    assert ids(df.where(filters.compiled({"operator": "OR", "conditions": [{"field": "id", "operator": "==", "value": "a"}, {"field": "id", "operator": "in", "value": ["b"]}]}))) == ["a", "b"]
+def test_none_of_keeps_unknown_values_out_of_the_way(spark):
+    df = chunk(spark, {"id": "a"}, {"id": "b"}, {"id": None})
+    assert [r.id for r in df.where(filters.none_of("id", ["b", "zz"])).collect()] == ["a", None]
+    assert df.where(filters.none_of("id", [])).count() == 3
 
 
 def test_page_anchor_and_snippet(spark):
@@ -82,11 +83,12 @@ def test_seeds_without_entities_are_related_to_nothing(spark):
 
 
 def test_threshold_is_inclusive_and_failures_stop(spark):
-    posted = spark.createDataFrame([(1, "a", 1, 2), (1, "b", 1, 2), (2, "a", 1, 1)], "doc_id long, term string, tf long, dl long")
-    idf = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "term string, idf double")
-    q = spark.createDataFrame([(7, "a b")], "query_id long, query string")
-    c = spark.createDataFrame([(7, 1), (7, 2)], "query_id long, doc_id long")
+    posted = spark.createDataFrame([(0, "a", 1, 1.0), (0, "b", 1, 1.0), (0, "a", 2, 1.0)], "bucket int, term string, doc_id long, idf double")
+    idf = spark.createDataFrame([(0, "a", 1.0), (0, "b", 1.0)], "bucket int, term string, idf double")
+    q = spark.createDataFrame([(7, 0, "a"), (7, 0, "b")], "query_id long, bucket int, term string")
+    c = spark.createDataFrame([(7, 1), (7, 2), (7, 3)], "query_id long, doc_id long")
     assert [r.doc_id for r in retrieve.rerank(c, posted, idf, q, 5, 0.5).orderBy("rank").collect()] == [1, 2]
+    assert [r.score for r in retrieve.rerank(c, posted, idf, q, 5).orderBy("rank").collect()] == [1.0, 0.5, 0.0]
     chunks = spark.createDataFrame([("x", "fine"), ("y", "bad")], "id string, content string").repartition(2, "id")
 
     def model(s):
@@ -98,6 +100,59 @@ def test_threshold_is_inclusive_and_failures_stop(spark):
     assert [r.keywords for r in ok.collect()] == [["k"]] and [r.id for r in failed.collect()] == ["y"]
 
 
+def test_structured_answers(spark):
+    rows = [("a", '{"context": "c", "keywords": ["k"], "dates": null}'), ("b", "no json"), ("c", None), ("d", '{"keywords": ["k"]}'), ("e", '{"context": "c", "keywords": 3}')]
+    got = {r.id: r for r in enrich.structured(spark.createDataFrame(rows, "id string, response string")).collect()}
+    assert {k: r.status for k, r in got.items()} == {"a": "ok", "b": "failed", "c": "failed", "d": "failed", "e": "ok"}
+    assert got["a"].keywords == ["k"] and got["a"].dates == [] and got["e"].keywords == []
+
+
+def test_dense_takes_no_broken_vectors(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [0.5, None]), ("c", None), ("d", [1.0]), ("e", [float("nan"), 1.0]), ("f", [0.2, 3.0])]
+    base = spark.createDataFrame(rows, "id string, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 1.0]), (2, None)], "query_id long, embedding array<double>")
+    got = retrieve.dense(base, asked, 5, "id").orderBy("rank").collect()
+    assert [(r.query_id, r.id, r.score) for r in got] == [(1, "f", 3.2), (1, "a", 1.0)]
+    assert retrieve.dense(base, asked.where("query_id = 2"), 5, "id").count() == 0
+
+
+def test_conversion_fails_file_by_file(spark):
+    def convert_(contents):
+        if contents.str.contains("bad").any():
+            raise ValueError("no")
+        return '{"items": [{"label": "text", "text": "' + contents + '", "pages": [2, 1]}]}'
+
+    files = spark.createDataFrame([("x", "fine"), ("y", "bad"), ("z", "good")], "source string, content string").coalesce(1)
+    got = {r.source: r for r in convert.tree_items(convert.converted(files, convert_)).collect()}
+    assert got["x"]["items"][0].text == "fine" and got["z"].status == "ok" and got["y"].status == "failed: no" and got["y"]["items"] is None
+
+
+def test_chunks_follow_headings(spark):
+    items = [("section_header_1", "Top"), ("text", "a b c"), ("text", "d e"), ("section_header_2", "Sub"), ("list_item", "f"), ("section_header_2", "Next"), ("text", "g h i j k l m"), ("text", "n"), ("section_header_1", "End")]
+    rows = [(1, "kept", [(label, text, [k + 1]) for k, (label, text) in enumerate(items)]), (2, None, None), (3, None, [])]
+    docs = spark.createDataFrame(rows, f"doc_id long, lang string, items {convert.ITEMS}")
+    got = convert.chunked(docs, 5).orderBy("chunk_index").collect()
+    assert [(r.content, r.headings, r.n_tokens, r.page_number) for r in got] == [
+        ("Top\na b c", [], 4, 1), ("d e", ["Top"], 2, 3), ("Sub\nf", ["Top"], 2, 4), ("Next", ["Top"], 1, 6), ("g h i j k l m", ["Top", "Next"], 7, 7), ("n", ["Top", "Next"], 1, 8), ("End", [], 1, 9)]
+    assert {r.total_chunks for r in got} == {7} and {r.lang for r in got} == {"kept"} and got[2].content_types == ["list_item", "section_header"]
+
+
+def test_search_read_and_widen(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "en", "s", f"line about Zebracrossing number {i}\nplain words here\nanother {'tiger' if i == 3 else 'lion'} line") for i in range(6)], "doc_id long, lang string, source string, text string")
+    tools.index(fixture.line_chunks(docs), str(tmp_path / "i"))
+    c = tools.Collection(spark, str(tmp_path / "i"))
+    q = spark.createDataFrame([(1, "the tiger")], "query_id long, query string")
+    best = c.keyword_search(q).where("rank = 1")
+    assert best.columns == ["query_id", "rank", "id", "score", "source", "url", "page", "headings", "snippet"]
+    assert c.read_chunk(best).first().content == "another tiger line"
+    assert [r.content for r in c.read_neighbors(best).collect()] == ["plain words here", "another tiger line"]
+    assert {r.snippet for r in c.find_related(best, q).collect()} <= {r.content for r in c.chunks.collect()}
+    assert all(r.source == "s/3" for r in c.filtered_search(q, filters.Filter(modified_from="2024-01-04", modified_to="2024-01-04")).collect())
+    scored = tools.Collection(spark, str(tmp_path / "i"), rerank=lambda query, content: F.length(content).cast("double"))
+    got = scored.keyword_and_semantic_search(q).orderBy("rank").collect()
+    assert [r.score for r in got] == sorted((r.score for r in got), reverse=True) and got[0].score == len("line about Zebracrossing number 0")
+
+
 def test_metrics_tell_mrr_from_map(spark):
     rel = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (2, 20)], "query_id long, doc_id long")
     got = spark.createDataFrame([("m", 1, 10, 1), ("m", 1, 99, 2), ("m", 1, 11, 3), ("m", 2, 98, 1), ("m", 3, 10, 1)], "mode string, query_id long, doc_id long, rank int")
@@ -106,27 +161,72 @@ def test_metrics_tell_mrr_from_map(spark):
 
 
 def test_upsert_twice_is_upsert_once(spark, tmp_path):
-    store = src.Store(spark, str(tmp_path / "store"))
+    store = src.Store(spark, str(tmp_path / "store"), 4, dims=8)
+    assert store.read() is None
     one = spark.createDataFrame([("a", "s", 1), ("b", "s", 1)], "id string, source string, v int")
     store.upsert(one)
     store.upsert(one)
     assert store.read().count() == 2
     store.upsert(spark.createDataFrame([("a", "s", 2)], one.schema))
     assert {(r.id, r.v) for r in store.read().collect()} == {("a", 2), ("b", 1)}
+    store.upsert(spark.createDataFrame([("a", "s", 5), ("a", "s", 4), ("a", "s", 3)], one.schema), order="v")
+    store.vacuum()
+    assert {(r.id, r.v) for r in src.Store(spark, str(tmp_path / "store"), dims=8).read().collect()} == {("a", 5), ("b", 1)}
     store.upsert(spark.createDataFrame([("c", "s", 3)], one.schema), replace_source=True)
     assert ids(store.read()) == ["c"]
+    with pytest.raises(ValueError):
+        src.Store(spark, str(tmp_path / "store"), dims=9)
+
+
+def test_a_crash_before_the_commit_changes_nothing(spark, tmp_path, monkeypatch):
+    store = src.Store(spark, str(tmp_path / "store"), 2)
+    one = spark.createDataFrame([("a", "s", 1)], "id string, source string, v int")
+    store.upsert(one)
+    monkeypatch.setattr(src.Store, "_write", lambda *_: (_ for _ in ()).throw(RuntimeError("crash")))
+    with pytest.raises(RuntimeError):
+        store.upsert(spark.createDataFrame([("a", "s", 2)], one.schema))
+    monkeypatch.undo()
+    assert [r.v for r in store.read().collect()] == [1] and store.version() == 1
+    stale = src.Store(spark, str(tmp_path / "store"), 2)
+    monkeypatch.setattr(stale, "version", lambda: 0)
+    with pytest.raises(RuntimeError, match="took version"):
+        stale.upsert(one)
 
 
 def test_stream_indexes_once(spark, tmp_path):
-    from shardlight.streaming.index import index_stream
+    from shardlight.streaming.index import batch_states, index_stream
 
     docs = spark.createDataFrame([(1, "en", "s", "one line\nEnststung here"), (2, "fr", "s", "une ligne")], "doc_id long, lang string, source string, text string")
     docs.write.parquet(str(tmp_path / "in"))
     store = src.Store(spark, str(tmp_path / "store"))
     stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
     for _ in range(2):
-        index_stream(stream, store, str(tmp_path / "at")).awaitTermination()
+        index_stream(stream, store, str(tmp_path / "at"), fixture.line_chunks, str(tmp_path / "status")).awaitTermination()
+    assert store.read().count() == 3
+
+    def failing(batch):
+        raise ValueError("no chunks")
+
+    index_stream(stream, store, str(tmp_path / "at2"), failing, str(tmp_path / "status2")).awaitTermination()
     assert store.read().count() == 3
+    ok, failed = (batch_states(spark.read.parquet(str(tmp_path / p))).collect() for p in ("status", "status2"))
+    assert {r.status for r in ok} == {"ok"} and sum(r.documents for r in ok) == 2
+    assert {(r.status, r.error) for r in failed} == {("failed", "no chunks")}
+
+
+def test_settings_from_the_environment():
+    from shardlight.session import Settings
+
+    got = Settings.from_environment("X_", {"X_BATCH_SIZE": "7", "X_RERANK_THRESHOLD": "0.4", "OTHER": "1"})
+    assert got.batch_size == 7 and got.rerank_threshold == 0.4 and got.language == "English"
+    with pytest.raises(ValueError):
+        Settings.from_environment("X_", {"X_BATCH_SIZE": "many"})
+
+
+def test_ordinals_over_wide_ranges(spark):
+    keys = [3, 1, 1 << 40, -5, 90_000, 90_001, 17_000_000]
+    got = src.numbered(spark.createDataFrame([(k,) for k in keys], "k long"), "k", width=16).collect()
+    assert {r.k: r.ordinal for r in got} == {k: i for i, k in enumerate(sorted(keys))}
 
 
 def test_files_are_documents(spark, tmp_path):
