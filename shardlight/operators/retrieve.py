@@ -98,7 +98,8 @@ def rerank(candidates: DataFrame, posted: DataFrame, idf: DataFrame, terms: Data
     terms: query_id, bucket, term; only their buckets are read."""
     known = idf.join(terms, ["bucket", "term"])
     whole = known.groupBy("query_id").agg(F.sum("idf").alias("whole"))
-    held = posted.select("bucket", "term", id_, "idf").join(terms, ["bucket", "term"]).join(candidates.select("query_id", id_), ["query_id", id_])
+    asked = posted.select("bucket", "term", id_, "idf").join(terms.select("bucket", "term"), ["bucket", "term"], "left_semi")
+    held = asked.join(candidates.select("query_id", id_), id_).join(terms, ["query_id", "bucket", "term"])
     part = held.groupBy("query_id", id_).agg(F.sum("idf").alias("part"))
     scored = candidates.select("query_id", id_).join(part, ["query_id", id_], "left").join(whole, "query_id", "left")
     scored = scored.select("query_id", id_, F.round(F.coalesce(F.try_divide("part", "whole"), F.lit(0.0)), 6).alias("score"))

@@ -29,16 +29,17 @@ def term_bucket(term: Column) -> Column:
 
 
 def index(chunks: DataFrame, path: str, embed: enrich.Embedder | None = None, settings: Settings = SETTINGS) -> None:
-    """Write the search index of chunks: the chunks by id, vectors, postings in buckets by term with their BM25
+    """Write the search index of chunks: the chunks by id, numbered in that order (no), and by number their vectors, postings in buckets by term with their BM25
     weight, and the collection's statistics. The chunk's metadata and content are embedded, as what a search compares with."""
     spark, embed = chunks.sparkSession, embed or (lambda text: enrich.hashed_vector(text, settings.embedding_dim))
     own = chunks if "context" in chunks.columns else chunks.withColumn("context", F.lit(None).cast("string"))
-    own.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/chunks")
-    texts = spark.read.parquet(f"{path}/chunks").select("id", embed_text([F.col(c) for c in META], F.col("content")).alias("text"))
-    texts.select("id", embed(F.col("text")).alias("embedding")).write.mode("overwrite").parquet(f"{path}/vectors")
-    enrich.postings(texts, "id").write.mode("overwrite").parquet(f"{path}/raw")
+    numbered = own.drop("no").repartitionByRange("id").sortWithinPartitions("id").withColumn("no", F.monotonically_increasing_id())
+    numbered.write.mode("overwrite").parquet(f"{path}/chunks")
+    texts = spark.read.parquet(f"{path}/chunks").select("no", embed_text([F.col(c) for c in META], F.col("content")).alias("text"))
+    texts.select("no", embed(F.col("text")).alias("embedding")).write.mode("overwrite").parquet(f"{path}/vectors")
+    enrich.postings(texts, "no").write.mode("overwrite").parquet(f"{path}/raw")
     raw = spark.read.parquet(f"{path}/raw")
-    idf, size = enrich.statistics(raw, "id")
+    idf, size = enrich.statistics(raw, "no")
     size.write.mode("overwrite").parquet(f"{path}/size")
     average = size.first()["avgdl"] or 1.0
     by_term = raw.join(idf, "term").withColumns({"bucket": term_bucket(F.col("term")), "weight": retrieve.bm25(average)})
@@ -79,27 +80,33 @@ class Collection:
     def vectors(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/vectors")
 
+    def _named(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.chunks.select("no", "id"), "no")
+
     def dense(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+        """query_id, no, id, score, rank; allowed (no): the chunks that a filter leaves."""
         asked = queries.select("query_id", self.embed(F.col("query")).alias("embedding"))
-        base = self.vectors if allowed is None else self.vectors.join(allowed.select("id"), "id", "left_semi")
-        return retrieve.dense(base, asked, k, "id")
+        base = self.vectors if allowed is None else self.vectors.join(allowed, "no", "left_semi")
+        return self._named(retrieve.dense(base, asked, k, "no"))
 
     def sparse(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-        return retrieve.sparse(self.postings, self._terms(queries), k, allowed, "id")
+        """The same by BM25."""
+        return self._named(retrieve.sparse(self.postings, self._terms(queries), k, allowed, "no"))
 
     def _terms(self, queries: DataFrame) -> DataFrame:
         return retrieve.query_terms(queries).withColumn("bucket", term_bucket(F.col("term")))
 
     def candidates(self, queries: DataFrame, before: int = 30, allowed: DataFrame | None = None) -> DataFrame:
-        return retrieve.hybrid(self.dense(queries, before, allowed), self.sparse(queries, before, allowed), "id")
+        """query_id, no, id, from_dense, from_sparse."""
+        return self._named(retrieve.hybrid(self.dense(queries, before, allowed), self.sparse(queries, before, allowed), "no"))
 
     def reranked(self, candidates: DataFrame, queries: DataFrame, after: int = 5, threshold: float | None = None) -> DataFrame:
-        """query_id, id, score, rank by the reranker, or by the share of the query's idf that the chunk's terms cover."""
+        """query_id, no, id, score, rank by the reranker, or by the share of the query's idf that the chunk's terms cover."""
         if self.rerank is None:
-            return retrieve.rerank(candidates, self.postings, self.idf, self._terms(queries), after, threshold, "id")
-        pairs = candidates.select("query_id", "id").join(queries.select("query_id", "query"), "query_id").join(self.chunks.select("id", "content"), "id")
-        scored = pairs.select("query_id", "id", F.round(self.rerank(F.col("query"), F.col("content")), 6).alias("score"))
-        return retrieve.ranked(scored if threshold is None else scored.where(F.col("score") >= threshold), after, id_="id")
+            return self._named(retrieve.rerank(candidates, self.postings, self.idf, self._terms(queries), after, threshold, "no"))
+        pairs = candidates.select("query_id", "no").join(queries.select("query_id", "query"), "query_id").join(self.chunks.select("no", "content"), "no")
+        scored = pairs.select("query_id", "no", F.round(self.rerank(F.col("query"), F.col("content")), 6).alias("score"))
+        return self._named(retrieve.ranked(scored if threshold is None else scored.where(F.col("score") >= threshold), after, id_="no"))
 
     def _found(self, candidates: DataFrame, queries: DataFrame, after: int) -> DataFrame:
         best = self.reranked(candidates, queries, within("top_k_after", after, 3, 10), self.settings.rerank_threshold)
@@ -116,12 +123,12 @@ class Collection:
 
     def filtered_search(self, queries: DataFrame, filter_: Filter, before: int = 30, after: int = 5) -> DataFrame:
         """The filter holds in both branches, before their top-k."""
-        allowed = self.chunks.where(filter_.predicate()).select("id")
+        allowed = self.chunks.where(filter_.predicate()).select("no")
         return self._found(self.candidates(queries, within("top_k_before", before, 20, 60), allowed), queries, after)
 
     def find_related(self, seeds: DataFrame, queries: DataFrame, before: int = 30, after: int = 5) -> DataFrame:
         """Dense search among chunks that share an entity with the seeds (id), which are left out."""
-        allowed = retrieve.related(self.chunks, seeds)
+        allowed = self.chunks.join(retrieve.related(self.chunks, seeds), "id", "left_semi").select("no")
         return self._found(self.dense(queries, within("top_k_before", before, 20, 60), allowed), queries, after)
 
     def read_chunk(self, ids: DataFrame) -> DataFrame:

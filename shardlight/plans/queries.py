@@ -321,7 +321,7 @@ def _relevant(spark, d):
     c, items = _collection(spark, d), table(spark, d, "benchmark").where("text is not null")
     terms = items.select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).withColumn("bucket", tools.term_bucket(F.col("term"))).join(c.idf, ["bucket", "term"])
     rarest = terms.groupBy("item_id").agg(F.min(F.struct("df", "bucket", "term")).alias("r")).select("item_id", "r.bucket", "r.term")
-    near = c.postings.select("bucket", "term", "id").join(rarest, ["bucket", "term"]).select("item_id", "id").join(items.select("item_id", "text"), "item_id").join(c.chunks.select("id", "content"), "id")
+    near = c.postings.select("bucket", "term", "no").join(rarest, ["bucket", "term"]).select("item_id", "no").join(items.select("item_id", "text"), "item_id").join(c.chunks.select("no", "id", "content"), "no")
     return near.where(F.col("content").contains(F.col("text"))).select(F.col("item_id").alias("query_id"), "id")
 
 
