@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import discard, free_shuffles, written
 
 #: Entries of the table of levels, and how many of them may be above 0.
-ENTRIES, FREQUENT = 1 << 18, 1 << 15
+ENTRIES, FREQUENT = 1 << 17, 1 << 14
 FILTER_BITS = 1 << 23
 LOW = (1 << 56) - 1
 #: Sets of more words than these have sketches of two and of four words.
