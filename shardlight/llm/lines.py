@@ -30,8 +30,6 @@ FILTER_BITS = 1 << 23
 LOW = (1 << 56) - 1
 #: Sets of more words than these have sketches of two and of four words.
 WIDE, WIDER = 64, 224
-#: Words of a prefix by which classes meet the earliest of a group first.
-LEADING = 3
 SKETCH = ("a", "b", "c", "d")
 BLANKS = "[ \\t\\x0B\\f\\r]+"
 
@@ -190,13 +188,13 @@ def later_matches(docs: DataFrame, t: int = 80, least: int = 1) -> tuple[DataFra
     del slim, again, own
     free_shuffles(spark)
 
-    def posted(own: DataFrame, most: int) -> DataFrame:
-        """A row for each of the first most words of the prefix of each class."""
-        each = own.select("doc", "spot", "n", *SKETCH, "shut", F.posexplode(F.slice("prefix", 1, most)).alias("at", "token"))
+    def posted(own: DataFrame) -> DataFrame:
+        """A row for each word of the prefix of each class."""
+        each = own.select("doc", "spot", "n", *SKETCH, "shut", F.posexplode("prefix").alias("at", "token"))
         return each.select("token", *(F.when(F.col("shut"), -1 - F.col("at")).otherwise(F.col("at")).alias("at") if c == "at" else c for c in POSTED))
 
     run = Window.partitionBy("token").orderBy("doc", "spot").rowsBetween(Window.unboundedPreceding, 0)
-    led = posted(classes, LEADING).withColumn("lead", F.first(F.struct(*POSTED)).over(run))
+    led = posted(classes).withColumn("lead", F.first(F.struct(*POSTED)).over(run))
     led = led.select(*(F.col(c).alias(f"{c}_x") for c in POSTED), *(F.col(f"lead.{c}").alias(f"{c}_y") for c in POSTED))
     tested = written(led.where(possible(t)).select(*PAIR).distinct(), "line-pairs")
     del led
@@ -208,7 +206,7 @@ def later_matches(docs: DataFrame, t: int = 80, least: int = 1) -> tuple[DataFra
     open_ = written(open_.select(classes.columns), "classes")
     discard(classes)
     free_shuffles(spark)
-    x, y = (posted(open_, 1 << 30).select("token", *(F.col(c).alias(f"{c}_{s}") for c in POSTED)) for s in "xy")
+    x, y = (posted(open_).select("token", *(F.col(c).alias(f"{c}_{s}") for c in POSTED)) for s in "xy")
     tested = written(x.join(y.hint("merge"), "token").where(possible(t)).select(*PAIR).distinct(), "line-pairs")
     discard(open_)
     del x, y
