@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, free_shuffles, written
 
-#: Entries of the table of levels, and how many of them may be above 0.
-ENTRIES, FREQUENT = 1 << 17, 1 << 14
+#: Entries of the table of levels.
+ENTRIES = 1 << 17
 FILTER_BITS = 1 << 23
 LOW = (1 << 56) - 1
 #: Sets of more words than these have sketches of two and of four words.
@@ -40,31 +40,28 @@ def words(line: Column) -> Column:
     return F.array_remove(F.when(line.rlike("[\\t\\x0B\\f\\r]"), F.split(low, BLANKS)).otherwise(F.split(low, " ")), "")
 
 
-def entry(word: Column) -> Column:
-    return F.hash(word).bitwiseAND(F.lit(ENTRIES - 1))
+def entry(number: Column) -> Column:
+    return number.bitwiseAND(F.lit(ENTRIES - 1)).cast("int")
 
 
 def rarity(docs: DataFrame) -> Column:
-    """The leading bits of a word's number, by entry(): 0 for all but the most frequent words, whose number is bounded,
-    and then a level for each factor of four. A rare word that shares an entry with a frequent one looks frequent,
-    and words beside rare blanks are counted with them, which only costs candidates."""
-    lines = docs.select(F.explode(F.split(F.lower("text"), "\n")).alias("s"))
-    each = lines.select(F.explode(F.split("s", " ")).alias("w"))
-    counted = each.groupBy(F.xxhash64("w"), entry(F.col("w")).alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    most = written(counted.groupBy("h").agg(F.max("n").alias("n")).select("h", F.length(F.bin("n")).alias("b")), "levels")
-    sizes = {r["b"]: r["count"] for r in most.groupBy("b").count().collect()}
-    base = next(b for b in range(66) if sum(n for c, n in sizes.items() if c >= b) <= FREQUENT)
+    """The leading bits of a word's number, by entry(): how many binary digits the count of all words of the entry has.
+    A rare word that shares an entry with a frequent one looks frequent, and words beside rare blanks are counted with
+    them, which only costs candidates. Counts meet by entry, so a task sends at most as many as there are entries."""
+    each = docs.select(F.explode(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    counted = each.groupBy(entry(F.xxhash64("w")).alias("h")).agg(F.length(F.bin(F.count(F.lit(1)))).alias("b"))
     table = ["0"] * ENTRIES
-    for r in most.where(F.col("b") >= base).collect():
-        table[r["h"]] = str(1 + (r["b"] - base) // 2 << 56)
-    discard(most)
+    for r in counted.groupBy("b").agg(F.collect_list("h").alias("hs")).collect():
+        for h in r["hs"]:
+            table[h] = str(r["b"])
     return F.split(F.lit(",".join(table)), ",").cast("array<bigint>")
 
 
 def token_set(line: Column, levels: Column) -> Column:
-    """The distinct words of a line as numbers, rarest first."""
-    number = lambda w: F.get(levels, entry(w)).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(LOW)))
-    return F.sort_array(F.array_distinct(F.transform(words(line), number)))
+    """The distinct words of a line as numbers, rarest first. Without possible nulls they are sorted as plain longs."""
+    level = lambda h: F.coalesce(F.get(levels, entry(h)), F.lit(0).cast("long"))
+    number = lambda h: F.shiftleft(level(h), 56).bitwiseOR(h.bitwiseAND(F.lit(LOW)))
+    return F.sort_array(F.array_distinct(F.transform(F.transform(words(line), lambda w: F.xxhash64(w)), number)))
 
 
 def once(c: Column) -> Column:
