@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,6 +55,16 @@ def docs_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def integers(embeddings: DataFrame, scale: int, *more: Column) -> DataFrame:
+    """vec_id, more, ints (each component times scale, rounded down), square (their squared length) of vectors that
+    are there with all components finite; not of those whose squared length is over 2**56, as products of these need
+    not be longs."""
+    fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    ints = embeddings.where(fine).select("vec_id", *more, F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("ints"))
+    square = F.aggregate("ints", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return ints.withColumn("square", square).where(F.col("square") <= 2.0**56)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, so that nearby sums give unrelated keys."""
     x = x.astype(np.uint64, copy=True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, language, lines, near, packing, quality, secrets, substrings, topk
+from . import decontaminate, html, language, lines, near, negatives, packing, quality, secrets, substrings, topk
 from .common import table
 
 
@@ -51,9 +51,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return negatives.mine(e, label=negatives.noisy(e))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": decontaminate.ORACLE, "op6_exact_topk_search": topk.ORACLE, "op7_secret_scans": secrets.ORACLE, "op8_line_dedup": lines.ORACLE}
+    return {"op3_benchmark_decontamination": decontaminate.ORACLE, "op6_exact_topk_search": topk.ORACLE, "op7_secret_scans": secrets.ORACLE, "op8_line_dedup": lines.ORACLE, "op11_hard_negative_mining": negatives.ORACLE}
