@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,16 +56,29 @@ def docs_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def integers(embeddings: DataFrame, scale: int, *more: Column) -> DataFrame:
+def integers(embeddings: DataFrame, scale: int, *more: Column, keyed: bool = True) -> DataFrame:
     """vec_id, more, ints (each component times scale, rounded down), square (their squared length) of vectors that
     are there with all components finite; not of those whose squared length is over 2**56, as products of these need
-    not be longs."""
-    fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    not be longs; if keyed, not of those without vec_id either."""
+    fine = (F.col("vec_id").isNotNull() | F.lit(not keyed)) & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     ints = embeddings.where(fine).select("vec_id", *more, F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("ints"))
     square = F.aggregate("ints", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     return ints.withColumn("square", square).where(F.col("square") <= 2.0**56)
 
 
+def matrix(lists: pa.ListArray, dims: int) -> np.ndarray:
+    """The integers of lists as rows of one width, padded with zeros."""
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(lists), dims), np.int64)
+    out[np.repeat(np.arange(len(lists)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def smallest_type(m: np.ndarray) -> np.dtype:
+    """The smallest of the signed integers of two bytes or more that holds the values."""
+    return next(np.dtype(t) for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= m.min(initial=0) and m.max(initial=0) <= np.iinfo(t).max)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, so that nearby sums give unrelated keys."""
     x = x.astype(np.uint64, copy=True)

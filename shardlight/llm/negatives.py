@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import integers, written
+from .common import integers, matrix, written
 
 #: Rows of a block; integers of the anchors of a pass; coordinates that are cut from the lists.
 ROWS, PASS, FOCUS = 8192, 1 << 20, 3
@@ -68,14 +68,6 @@ def index(vectors: DataFrame, dims: int, buckets: int) -> DataFrame:
     return dealt.select("vec_id", F.col("label").cast("long").alias("label"), "ints", F.spark_partition_id().alias("bucket")).mapInArrow(pack, BLOCK)
 
 
-def matrix(lists: pa.ListArray, dims: int) -> np.ndarray:
-    """The integers of lists as rows of one width, padded with zeros."""
-    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    out = np.zeros((len(lists), dims), np.int64)
-    out[np.repeat(np.arange(len(lists)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = lists.flatten().to_numpy(zero_copy_only=False)
-    return out
-
-
 def directions(m: np.ndarray) -> np.ndarray:
     """The rows of m at unit length; zero rows stay."""
     x = m.astype(np.float64)

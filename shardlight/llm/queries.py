@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, language, lines, near, negatives, packing, quality, secrets, substrings, topk
+from . import automata, codes, decontaminate, html, language, lines, near, negatives, packing, quality, secrets, substrings, topk
 from .common import table
 
 
@@ -56,9 +56,17 @@ def op11_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(e, label=negatives.noisy(e))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automata.remove(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+def op13_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": decontaminate.ORACLE, "op6_exact_topk_search": topk.ORACLE, "op7_secret_scans": secrets.ORACLE, "op8_line_dedup": lines.ORACLE, "op11_hard_negative_mining": negatives.ORACLE}
+    return {"op3_benchmark_decontamination": decontaminate.ORACLE, "op6_exact_topk_search": topk.ORACLE, "op7_secret_scans": secrets.ORACLE, "op8_line_dedup": lines.ORACLE, "op11_hard_negative_mining": negatives.ORACLE, "op12_substring_dedup": automata.ORACLE, "op13_vector_code_compression": codes.ORACLE}
