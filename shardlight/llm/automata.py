@@ -164,7 +164,8 @@ def described(docs: DataFrame, window: int) -> DataFrame:
 
 
 def windows_of(shared: DataFrame, window: int) -> DataFrame:
-    """doc, part, at, anchor, hash: the windows of documents (doc, part, text, shared anchors) under these anchors."""
+    """doc, part, anchor, hash, at (places): the different windows of documents (doc, part, text, shared anchors) under
+    these anchors."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,23 +173,29 @@ def windows_of(shared: DataFrame, window: int) -> DataFrame:
                 words = word_hashes(batch.column(2)[k].as_py(), ~SPACES)
                 anchor = anchors(words, window)
                 at = np.flatnonzero(np.isin(anchor, batch.column(3)[k].values.to_numpy(zero_copy_only=False).view(np.uint64)))
-                one = np.ones(len(at), np.int64)
-                cols = [one * batch.column(0)[k].as_py(), one * batch.column(1)[k].as_py(), at.astype(np.int32), anchor[at].view(np.int64), of_runs(words, window, _ODD[1])[at].view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc", "part", "at", "anchor", "hash"])
+                own = of_runs(words, window, _ODD[1])[at]
+                order = np.lexsort((own, anchor[at]))
+                at, own = at[order], own[order]
+                new = np.flatnonzero(np.r_[True, (np.diff(own) != 0) | (np.diff(anchor[at]) != 0)][: len(at)])
+                one = np.ones(len(new), np.int64)
+                cols = [one * batch.column(0)[k].as_py(), one * batch.column(1)[k].as_py(), anchor[at[new]].view(np.int64), own[new].view(np.int64)]
+                places = pa.ListArray.from_arrays(pa.array(np.r_[new, len(at)], pa.int32()), pa.array(at, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), places], names=["doc", "part", "anchor", "hash", "at"])
 
-    return shared.select("doc", "part", "text", "anchors").mapInArrow(make, "doc long, part long, at int, anchor long, hash long")
+    return shared.select("doc", "part", "text", "anchors").mapInArrow(make, "doc long, part long, anchor long, hash long, at array<int>")
 
 
 def runs_of(named: DataFrame, window: int) -> DataFrame:
     """reference, query (false: of the reference itself), doc, part, first, words (joined): maximal runs of windows
-    with one reference, from documents (doc, part, text, at, reference: arrays by window)."""
+    with one reference, from documents (doc, part, text, and by window its places, at, and its reference, to)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 doc, part, raw = (batch.column(c)[k].as_py() for c in range(3))
                 words = raw.split()
-                at, to = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (3, 4))
+                places, to = batch.column(3)[k].values, batch.column(4)[k].values.to_numpy(zero_copy_only=False)
+                at, to = places.flatten().to_numpy(zero_copy_only=False), np.repeat(to, places.value_lengths().to_numpy(zero_copy_only=False))
                 order = np.argsort(at, kind="stable")
                 at, to = at[order], to[order]
                 edge = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(to) != 0), True])
@@ -261,9 +268,11 @@ def remove(docs: DataFrame, window: int = 50, keep_text: bool = True) -> DataFra
     # Windows of two documents, and their references.
     windows = written(windows_of(shared, window), "windows")
     names = windows.groupBy("anchor", "hash").agg(F.min("doc").alias("to"), F.max("doc").alias("b")).where("to < b").select("anchor", "hash", "to")
+    names = written(names, "names")  # so that the join can split a window of very many documents
     named = windows.join(names, ["anchor", "hash"]).groupBy("doc", "part").agg(F.collect_list("at").alias("at"), F.collect_list("to").alias("to"))
     cut = written(runs_of(shared.select("doc", "part", "text").join(named, ["doc", "part"]), window), "runs")
     discard(windows)
+    discard(names)
     free_shuffles(spark)
 
     # Shards meet the runs that name them.
@@ -294,9 +303,9 @@ def remove(docs: DataFrame, window: int = 50, keep_text: bool = True) -> DataFra
 
 ORACLE = r"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-p AS MATERIALIZED (SELECT r, doc_id, at, md5(array_to_string(w[at:at + 49], ' ')) AS h FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS at FROM d WHERE len(w) >= 50 AND doc_id IS NOT NULL)),
+p AS MATERIALIZED (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50 AND doc_id IS NOT NULL)),
 f AS (SELECT h, min(doc_id) AS least FROM p GROUP BY h),
-g AS MATERIALIZED (SELECT DISTINCT r, unnest(range(at, at + 50)) AS at FROM p JOIN f USING (h) WHERE least < doc_id),
-k AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY at) AS kept FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM d) ANTI JOIN g USING (r, at) GROUP BY r)
+g AS MATERIALIZED (SELECT DISTINCT r, unnest(range(i, i + 50)) AS i FROM p JOIN f USING (h) WHERE least < doc_id),
+k AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d) ANTI JOIN g USING (r, i) GROUP BY r)
 SELECT doc_id, len(w)::bigint AS n_words, (len(w) - coalesce(n, 0))::bigint AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
 """
