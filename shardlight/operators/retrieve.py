@@ -30,7 +30,12 @@ def usable(embedding: Column, dims: int | None = None) -> Column:
 
 
 def dense(base: DataFrame, queries: DataFrame, k: int, id_: str = "doc_id") -> DataFrame:
-    """query_id, id, score, rank by inner product. base: id, embedding; queries: query_id, embedding.
+    """query_id, id, score, rank by inner product. base: id, embedding; queries: query_id, embedding."""
+    return ranked(dense_hits(base, queries, k, id_), k, id_=id_)
+
+
+def dense_hits(base: DataFrame, queries: DataFrame, k: int, id_: str = "doc_id") -> DataFrame:
+    """query_id, id, score: the k best of each task, and what ties with them.
 
     Queries go out in blocks of bounded size, and each task keeps its own k best of each query before the merge. The
     number of dimensions is that of the first usable query; vectors that are null, hold nulls or non-finite parts, or
@@ -64,7 +69,7 @@ def dense(base: DataFrame, queries: DataFrame, k: int, id_: str = "doc_id") -> D
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return ranked(out.withColumn("score", F.round("score", 6)), k, id_=id_)
+    return out.withColumn("score", F.round("score", 6))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -86,11 +91,11 @@ def sparse(posted: DataFrame, terms: DataFrame, k: int, allowed: DataFrame | Non
     return ranked(hits.groupBy("query_id", id_).agg(F.round(F.sum("weight"), 6).alias("score")), k, id_=id_)
 
 
-def hybrid(dense_hits: DataFrame, sparse_hits: DataFrame, id_: str = "doc_id") -> DataFrame:
-    """query_id, id, from_dense, from_sparse: both candidate lists, one row per id; their scores are not combined."""
-    d = dense_hits.select("query_id", id_, F.lit(True).alias("from_dense"), F.lit(False).alias("from_sparse"))
-    s = sparse_hits.select("query_id", id_, F.lit(False).alias("from_dense"), F.lit(True).alias("from_sparse"))
-    return d.unionByName(s).groupBy("query_id", id_).agg(F.max("from_dense").alias("from_dense"), F.max("from_sparse").alias("from_sparse"))
+def hybrid(dense_hits: DataFrame, sparse_hits: DataFrame, *ids: str) -> DataFrame:
+    """query_id, ids, from_dense, from_sparse: both candidate lists, one row per id; their scores are not combined."""
+    d = dense_hits.select("query_id", *ids, F.lit(True).alias("from_dense"), F.lit(False).alias("from_sparse"))
+    s = sparse_hits.select("query_id", *ids, F.lit(False).alias("from_dense"), F.lit(True).alias("from_sparse"))
+    return d.unionByName(s).groupBy("query_id", *ids).agg(F.max("from_dense").alias("from_dense"), F.max("from_sparse").alias("from_sparse"))
 
 
 def rerank(candidates: DataFrame, posted: DataFrame, idf: DataFrame, terms: DataFrame, k: int, threshold: float | None = None, id_: str = "doc_id") -> DataFrame:

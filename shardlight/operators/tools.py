@@ -8,15 +8,12 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import embed_text, signed_url, snippet, source_url
+from ..functions.text import embed_text, signed_url, snippet, source_url, tokens
 from ..session import SETTINGS, Settings
-from . import enrich, retrieve
+from ..sources.segments import META, Index, weighed
+from . import blockmax, enrich, retrieve
 from .filters import Filter
 
-#: What a chunk has to have; context may be missing.
-META = ("headings", "keywords", "dates")
-BUCKETS = 32
-
 
 def within(name: str, value: int, low: int, high: int) -> int:
     if not low <= value <= high:
@@ -24,27 +21,10 @@ def within(name: str, value: int, low: int, high: int) -> int:
     return value
 
 
-def term_bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
-
-
 def index(chunks: DataFrame, path: str, embed: enrich.Embedder | None = None, settings: Settings = SETTINGS) -> None:
-    """Write the search index of chunks: the chunks by id, numbered in that order (no), and by number their vectors, postings in buckets by term with their BM25
-    weight, and the collection's statistics. The chunk's metadata and content are embedded, as what a search compares with."""
-    spark, embed = chunks.sparkSession, embed or (lambda text: enrich.hashed_vector(text, settings.embedding_dim))
-    own = chunks if "context" in chunks.columns else chunks.withColumn("context", F.lit(None).cast("string"))
-    numbered = own.drop("no").repartitionByRange("id").sortWithinPartitions("id").withColumn("no", F.monotonically_increasing_id())
-    numbered.write.mode("overwrite").parquet(f"{path}/chunks")
-    texts = spark.read.parquet(f"{path}/chunks").select("no", embed_text([F.col(c) for c in META], F.col("content")).alias("text"))
-    texts.select("no", embed(F.col("text")).alias("embedding")).write.mode("overwrite").parquet(f"{path}/vectors")
-    enrich.postings(texts, "no").write.mode("overwrite").parquet(f"{path}/raw")
-    raw = spark.read.parquet(f"{path}/raw")
-    idf, size = enrich.statistics(raw, "no")
-    size.write.mode("overwrite").parquet(f"{path}/size")
-    average = size.first()["avgdl"] or 1.0
-    by_term = raw.join(idf, "term").withColumns({"bucket": term_bucket(F.col("term")), "weight": retrieve.bm25(average)})
-    by_term.repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    idf.withColumn("bucket", term_bucket(F.col("term"))).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/idf")
+    """Make the index at path one of these chunks alone. The chunk's metadata and content are embedded, as what a search
+    compares with. Index.upsert adds to what is there."""
+    Index(chunks.sparkSession, path, embed, settings).replace(chunks)
 
 
 #: (query, content of a candidate) -> score; a cross-encoder is a pandas_udf with this shape.
@@ -52,84 +32,92 @@ Reranker = Callable[[Column, Column], Column]
 
 
 class Collection:
-    """The index that was written to path. Searches read only the buckets of their terms, the vectors, and the chunks
-    they return; hits are (query_id, rank, id, score) with what hit() shows, and their ids are what the reading tools
-    take."""
+    """The index at path as its last commit has it, or as an earlier version. Searches read the blocks of their terms,
+    the vectors, and the chunks they rank; hits are (query_id, rank, id, score) with what hit() shows, and their ids are
+    what the reading tools take."""
 
-    def __init__(self, spark: SparkSession, path: str, embed: enrich.Embedder | None = None, rerank: Reranker | None = None, settings: Settings = SETTINGS):
+    def __init__(self, spark: SparkSession, path: str, embed: enrich.Embedder | None = None, rerank: Reranker | None = None, settings: Settings = SETTINGS, version: int | None = None):
         self.spark, self.path, self.settings, self.rerank = spark, path, settings, rerank
         self.embed = embed or (lambda text: enrich.hashed_vector(text, settings.embedding_dim))
+        self.state = Index(spark, path, embed, settings).snapshot(version)
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/chunks")
+        return self.state.chunks()
 
-    @cached_property
-    def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings")
+    def _top(self, hits: DataFrame, k: int) -> DataFrame:
+        """query_id, no, score, rank: the k best by score and then id, of hits that hold all that tie with the k-th.
+        In a segment numbers follow ids."""
+        if len(self.state.commit["segments"]) < 2:
+            return retrieve.ranked(hits.select("query_id", "no", "score"), k, id_="no")
+        return retrieve.ranked(hits.join(self.state.ids(), "no").select("query_id", "no", "id", "score"), k, id_="id").drop("id")
 
-    @cached_property
-    def idf(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/idf")
-
-    @cached_property
-    def size(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/size")
+    def _dense(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+        asked = queries.select("query_id", self.embed(F.col("query")).alias("embedding"))
+        base = self.state.vectors() if allowed is None else self.state.vectors().join(allowed, "no", "left_semi")
+        return self._top(blockmax.best(retrieve.dense_hits(base, asked, k, "no"), k), k)
 
-    @cached_property
-    def vectors(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/vectors")
+    def _sparse(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+        return self._top(self.state.sparse(retrieve.query_terms(queries), k, allowed)[0], k)
 
-    def _named(self, rows: DataFrame) -> DataFrame:
-        return rows.join(self.chunks.select("no", "id"), "no")
+    def _candidates(self, queries: DataFrame, before: int, allowed: DataFrame | None = None) -> DataFrame:
+        return retrieve.hybrid(self._dense(queries, before, allowed), self._sparse(queries, before, allowed), "no")
 
     def dense(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
         """query_id, no, id, score, rank; allowed (no): the chunks that a filter leaves."""
-        asked = queries.select("query_id", self.embed(F.col("query")).alias("embedding"))
-        base = self.vectors if allowed is None else self.vectors.join(allowed, "no", "left_semi")
-        return self._named(retrieve.dense(base, asked, k, "no"))
+        return self._dense(queries, k, allowed).join(self.state.ids(), "no")
 
     def sparse(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
         """The same by BM25."""
-        return self._named(retrieve.sparse(self.postings, self._terms(queries), k, allowed, "no"))
+        return self._sparse(queries, k, allowed).join(self.state.ids(), "no")
 
-    def _terms(self, queries: DataFrame) -> DataFrame:
-        return retrieve.query_terms(queries).withColumn("bucket", term_bucket(F.col("term")))
+    def reads(self, queries: DataFrame, k: int) -> DataFrame:
+        """query_id, held, read: the postings of the query's terms, and how many of them a search for k reads."""
+        return self.state.sparse(retrieve.query_terms(queries), k)[1]
 
     def candidates(self, queries: DataFrame, before: int = 30, allowed: DataFrame | None = None) -> DataFrame:
         """query_id, no, id, from_dense, from_sparse."""
-        return self._named(retrieve.hybrid(self.dense(queries, before, allowed), self.sparse(queries, before, allowed), "no"))
+        return self._candidates(queries, before, allowed).join(self.state.ids(), "no")
+
+    def _reranked(self, candidates: DataFrame, queries: DataFrame, after: int, threshold: float | None) -> DataFrame:
+        """The chunks of the best candidates with query_id, score, rank."""
+        rows = candidates.select("query_id", "no").join(self.chunks, "no")
+        if self.rerank is None:
+            asked = weighed(retrieve.query_terms(queries), self.state)
+            own = tokens(embed_text([F.col(c) for c in META], F.col("content")))
+            add = lambda a, x: a + x["idf"]
+            share = F.try_divide(F.aggregate(F.filter("terms", lambda x: F.array_contains("_own", x["term"])), F.lit(0.0), add), F.aggregate("terms", F.lit(0.0), add))
+            scored = rows.withColumn("_own", F.array_distinct(own)).join(asked, "query_id", "left").withColumn("score", F.round(F.coalesce(share, F.lit(0.0)), 6)).drop("_own", "terms")
+        else:
+            scored = rows.join(queries.select("query_id", "query"), "query_id").withColumn("score", F.round(self.rerank(F.col("query"), F.col("content")), 6)).drop("query")
+        return retrieve.ranked(scored if threshold is None else scored.where(F.col("score") >= threshold), after, id_="id")
 
     def reranked(self, candidates: DataFrame, queries: DataFrame, after: int = 5, threshold: float | None = None) -> DataFrame:
         """query_id, no, id, score, rank by the reranker, or by the share of the query's idf that the chunk's terms cover."""
-        if self.rerank is None:
-            return self._named(retrieve.rerank(candidates, self.postings, self.idf, self._terms(queries), after, threshold, "no"))
-        pairs = candidates.select("query_id", "no").join(queries.select("query_id", "query"), "query_id").join(self.chunks.select("no", "content"), "no")
-        scored = pairs.select("query_id", "no", F.round(self.rerank(F.col("query"), F.col("content")), 6).alias("score"))
-        return self._named(retrieve.ranked(scored if threshold is None else scored.where(F.col("score") >= threshold), after, id_="no"))
+        return self._reranked(candidates, queries, after, threshold).select("query_id", "no", "id", "score", "rank")
 
     def _found(self, candidates: DataFrame, queries: DataFrame, after: int) -> DataFrame:
-        best = self.reranked(candidates, queries, within("top_k_after", after, 3, 10), self.settings.rerank_threshold)
-        return best.join(hit(self.chunks, self.settings), "id").select("query_id", "rank", "id", "score", *HIT[1:])
+        best = self._reranked(candidates, queries, within("top_k_after", after, 3, 10), self.settings.rerank_threshold)
+        return hit(best, self.settings, "query_id", "rank", "score").select("query_id", "rank", "id", "score", *HIT[1:])
 
     def keyword_and_semantic_search(self, queries: DataFrame, before: int = 30, after: int = 5) -> DataFrame:
-        return self._found(self.candidates(queries, within("top_k_before", before, 20, 60)), queries, after)
+        return self._found(self._candidates(queries, within("top_k_before", before, 20, 60)), queries, after)
 
     def semantic_search(self, queries: DataFrame, before: int = 30, after: int = 5) -> DataFrame:
-        return self._found(self.dense(queries, within("top_k_before", before, 20, 60)), queries, after)
+        return self._found(self._dense(queries, within("top_k_before", before, 20, 60)), queries, after)
 
     def keyword_search(self, queries: DataFrame, before: int = 30, after: int = 5) -> DataFrame:
-        return self._found(self.sparse(queries, within("top_k_before", before, 20, 60)), queries, after)
+        return self._found(self._sparse(queries, within("top_k_before", before, 20, 60)), queries, after)
 
     def filtered_search(self, queries: DataFrame, filter_: Filter, before: int = 30, after: int = 5) -> DataFrame:
         """The filter holds in both branches, before their top-k."""
         allowed = self.chunks.where(filter_.predicate()).select("no")
-        return self._found(self.candidates(queries, within("top_k_before", before, 20, 60), allowed), queries, after)
+        return self._found(self._candidates(queries, within("top_k_before", before, 20, 60), allowed), queries, after)
 
     def find_related(self, seeds: DataFrame, queries: DataFrame, before: int = 30, after: int = 5) -> DataFrame:
         """Dense search among chunks that share an entity with the seeds (id), which are left out."""
         allowed = self.chunks.join(retrieve.related(self.chunks, seeds), "id", "left_semi").select("no")
-        return self._found(self.dense(queries, within("top_k_before", before, 20, 60), allowed), queries, after)
+        return self._found(self._dense(queries, within("top_k_before", before, 20, 60), allowed), queries, after)
 
     def read_chunk(self, ids: DataFrame) -> DataFrame:
         return content(self.chunks.join(ids.select("id"), "id", "left_semi"), self.settings)
@@ -146,10 +134,10 @@ def _url(settings: Settings) -> Column:
     return source_url(signed_url(settings.url_prefix, F.col("source"), settings.url_seconds), F.col("page_number")).alias("url")
 
 
-def hit(chunks: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
+def hit(chunks: DataFrame, settings: Settings = SETTINGS, *more: str) -> DataFrame:
     """id, source, url, page, headings, snippet of chunks: its context, or else the first characters of its content."""
     context = F.col("context") if "context" in chunks.columns else F.lit("")
-    return chunks.select("id", "source", _url(settings), F.col("page_number").alias("page"), F.array_join("headings", " > ").alias("headings"), snippet(context, F.col("content"), settings.snippet_chars).alias("snippet"))
+    return chunks.select("id", "source", _url(settings), F.col("page_number").alias("page"), F.array_join("headings", " > ").alias("headings"), snippet(context, F.col("content"), settings.snippet_chars).alias("snippet"), *more)
 
 
 def content(chunks: DataFrame, settings: Settings = SETTINGS, *more: str) -> DataFrame:

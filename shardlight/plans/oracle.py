@@ -247,6 +247,7 @@ w AS (SELECT id, term, round(tf * idf, 6) AS weight FROM k JOIN f USING (term))
         "search_semantic": """WITH s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda z: z[1]::double * z[2]::double)), 6) AS score FROM embeddings q CROSS JOIN embeddings d WHERE q.vec_id % 20 = 0)
 SELECT query_id, doc_id, score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::int AS rank FROM s) WHERE rank <= 5""",
         "search_keyword": f"{BASE}, {sparse(5)} {HIT} sp",
+        "index_increment": f"{BASE}, {sparse(5)} {HIT} sp",
         "hybrid_candidates": f"{BASE}, {DENSE_BASE}, {sparse(30)}, {dense(30)}, {HYBRID} SELECT * FROM hy",
         "search_hybrid": f"{BASE}, {DENSE_BASE}, {sparse(30)}, {dense(30)}, {HYBRID}, {rerank('hy', 5, T)} {SHOWN}",
         "semantic_search": f"{BASE}, {DENSE_BASE}, {dense(30)}, {rerank('de', 5, T)} {SHOWN}",

@@ -12,6 +12,8 @@ from ..functions import text as T
 from ..operators import convert, enrich, evaluate, filters, retrieve, tools
 from ..session import SETTINGS, table, workspace
 from ..sources import documents as src
+from ..sources.segments import Index
+from ..streaming.index import index_stream
 from . import fixture
 
 MODES = ["sparse", "dense", "hybrid"]
@@ -217,6 +219,21 @@ def search_keyword(spark, d):
     return _collection(spark, d).sparse(_queries(spark, d), 5).select("query_id", "id", "score", "rank")
 
 
+def index_increment(spark, d):
+    """Keyword search in an index that grew by a stream: first came all documents, of every fifth an older version with
+    another last line, then these again as they are now."""
+    at = f"{workspace(spark)}/shardlight-increment/{uuid.uuid4().hex}"
+    docs = _docs(spark, d).select("doc_id", "lang", "source", "text")
+    changed = F.col("doc_id") % 5 == 0
+    old = F.when(changed, F.concat(F.regexp_replace("text", r"\n[^\n]*$", ""), F.lit("\nwords that are no longer there"))).otherwise(F.col("text"))
+    own = Index(spark, f"{at}/index")
+    for batch in (docs.withColumn("text", old), docs.where(changed)):
+        batch.write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(docs.schema).parquet(f"{at}/in")
+        index_stream(stream, own, f"{at}/checkpoint", fixture.line_chunks, f"{at}/status", replace_source=True).awaitTermination()
+    return tools.Collection(spark, f"{at}/index").sparse(_queries(spark, d), 5).select("query_id", "id", "score", "rank")
+
+
 def hybrid_candidates(spark, d):
     return _collection(spark, d).candidates(_queries(spark, d)).select("query_id", "id", "from_dense", "from_sparse")
 
@@ -317,11 +334,14 @@ def golden_build(spark, d):
 
 
 def _relevant(spark, d):
-    """query_id, id of chunks that hold a benchmark text; candidates share the text's rarest token."""
+    """query_id, id of chunks that hold a benchmark text; candidates share its rarest token but for the first and last,
+    which may be ends of longer words there, or any of these two if it has no other."""
     c, items = _collection(spark, d), table(spark, d, "benchmark").where("text is not null")
-    terms = items.select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).withColumn("bucket", tools.term_bucket(F.col("term"))).join(c.idf, ["bucket", "term"])
-    rarest = terms.groupBy("item_id").agg(F.min(F.struct("df", "bucket", "term")).alias("r")).select("item_id", "r.bucket", "r.term")
-    near = c.postings.select("bucket", "term", "no").join(rarest, ["bucket", "term"]).select("item_id", "no").join(items.select("item_id", "text"), "item_id").join(c.chunks.select("no", "id", "content"), "no")
+    own = T.tokens(F.col("text"))
+    inner = F.when(F.size(own) > 2, F.slice(own, 2, F.greatest(F.size(own) - 2, F.lit(1)))).otherwise(own)
+    terms = items.select("item_id", F.explode(F.array_distinct(inner)).alias("term")).join(c.state.terms(), "term")
+    rarest = terms.groupBy("item_id").agg(F.min(F.struct("df", "term")).alias("r")).select("item_id", "r.term")
+    near = c.state.postings(rarest).select("item_id", "no").join(items.select("item_id", "text"), "item_id").join(c.chunks.select("no", "id", "content"), "no")
     return near.where(F.col("content").contains(F.col("text"))).select(F.col("item_id").alias("query_id"), "id")
 
 
@@ -363,7 +383,7 @@ def svc_rate_window(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         src_documents, src_batches, src_modified_at, src_basename, scan_all, scan_by_id, sink_upsert, conv_html_items, conv_html_chunks, conv_text_items, conv_tree_items, chunk_pack, chunk_ordinals, chunk_contextualize, chunk_page_min, chunk_content_types, chunk_id, agg_chunk_counts,
-        enrich_keywords, enrich_entities, enrich_structured, enrich_failure_split, embed_text, embed_dense_hash, sparse_postings, sparse_idf, search_semantic, search_keyword, hybrid_candidates, search_hybrid, semantic_search, keyword_search, filtered_search, rerank_topk, rerank_threshold, find_related, agg_seed_entities,
+        enrich_keywords, enrich_entities, enrich_structured, enrich_failure_split, embed_text, embed_dense_hash, sparse_postings, sparse_idf, search_semantic, search_keyword, index_increment, hybrid_candidates, search_hybrid, semantic_search, keyword_search, filtered_search, rerank_topk, rerank_threshold, find_related, agg_seed_entities,
         read_chunk, read_neighbors, read_neighbors_window, prj_search_hit, prj_snippet, prj_source_url, prj_hint, fn_scalars, golden_min_chars, golden_sample, golden_build, golden_explode, eval_report, agg_batch_summary, svc_rate_window,
     ]
     found = {f.__name__: f for f in named}

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.documents import Store
+from ..sources.segments import Index
 
 
-def index_stream(docs: DataFrame, store: Store, checkpoint: str, chunk: Callable[[DataFrame], DataFrame], status: str, replace_source: bool = False) -> StreamingQuery:
-    """Each micro-batch is chunked (chunk: documents -> chunks with id and source) and upserted by id: a batch that runs
-    again changes nothing. A batch that fails leaves the store as it was and doesn't end the stream; what became of
+def index_stream(docs: DataFrame, store: Store | Index, checkpoint: str, chunk: Callable[[DataFrame], DataFrame], status: str, replace_source: bool = False) -> StreamingQuery:
+    """Each micro-batch is chunked (chunk: documents -> chunks with id and source) and upserted by id, into a
+    store or an index that is searched: a batch that runs again changes nothing. A batch that fails leaves the store as it was and doesn't end the stream; what became of
     each batch is appended to the table status: batch, status (ok or failed), documents, error."""
 
     def upsert(batch: DataFrame, number: int) -> None:
