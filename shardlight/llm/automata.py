@@ -257,18 +257,23 @@ def remove(docs: DataFrame, window: int = 50, keep_text: bool = True) -> DataFra
     classes = written(classes.select("digest", "doc", part, "anchors"), "classes")
 
     # Anchors of two documents, and the texts that hold some.
-    each = classes.select("digest", "doc", F.explode("anchors").alias("anchor"))
+    each = classes.select("doc", "part", F.explode("anchors").alias("anchor"))
     common = each.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("anchor")
-    mine = each.join(common, "anchor").groupBy("digest", "doc").agg(F.collect_list("anchor").alias("anchors"))
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    shared = texts.join(mine, ["digest", "doc"]).dropDuplicates(["digest", "doc"]).select("doc", part, "text", "anchors")
-    shared = written(shared, "shared")
+    common = written(common, "common")
+    free_shuffles(spark)
+    mine = written(each.join(common, "anchor").groupBy("doc", "part").agg(F.collect_list("anchor").alias("anchors")), "anchored")
+    discard(common)
+    free_shuffles(spark)
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("part", F.xxhash64(F.unhex(F.sha2("text", 256))))
+    shared = written(texts.join(mine, ["doc", "part"]).dropDuplicates(["doc", "part"]).select("doc", "part", "text", "anchors"), "shared")
+    discard(mine)
     free_shuffles(spark)
 
     # Windows of two documents, and their references.
     windows = written(windows_of(shared, window), "windows")
     names = windows.groupBy("anchor", "hash").agg(F.min("doc").alias("to"), F.max("doc").alias("b")).where("to < b").select("anchor", "hash", "to")
     names = written(names, "names")  # so that the join can split a window of very many documents
+    free_shuffles(spark)
     named = windows.join(names, ["anchor", "hash"]).groupBy("doc", "part").agg(F.collect_list("at").alias("at"), F.collect_list("to").alias("to"))
     cut = written(runs_of(shared.select("doc", "part", "text").join(named, ["doc", "part"]), window), "runs")
     discard(windows)
