@@ -113,14 +113,19 @@ def rerank(candidates: DataFrame, posted: DataFrame, idf: DataFrame, terms: Data
     return ranked(scored, k, id_=id_)
 
 
+def _tags() -> Column:
+    """All entities of a chunk; a kind that is null has none."""
+    return F.flatten(F.array(*(F.coalesce(f, F.array().cast("array<string>")) for f in ENTITY_FIELDS)))
+
+
 def entities_of(chunks: DataFrame, seeds: DataFrame) -> DataFrame:
     """entity: the distinct entities of the seeds (id), of all four kinds."""
-    return chunks.join(seeds.select("id"), "id", "left_semi").select(F.explode(F.flatten(F.array(*ENTITY_FIELDS))).alias("entity")).distinct()
+    return chunks.join(seeds.select("id"), "id", "left_semi").select(F.explode(_tags()).alias("entity")).where("entity is not null").distinct()
 
 
 def related(chunks: DataFrame, seeds: DataFrame) -> DataFrame:
     """id of chunks that share an entity of any kind with the seeds, without the seeds; none if these have no entities."""
-    tags = chunks.select("id", F.explode(F.flatten(F.array(*ENTITY_FIELDS))).alias("entity"))
+    tags = chunks.select("id", F.explode(_tags()).alias("entity"))
     return tags.join(entities_of(chunks, seeds), "entity", "left_semi").select("id").distinct().join(seeds.select("id"), "id", "left_anti")
 
 

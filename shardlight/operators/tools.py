@@ -54,8 +54,7 @@ class Collection:
 
     def _dense(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
         asked = queries.select("query_id", self.embed(F.col("query")).alias("embedding"))
-        base = self.state.vectors() if allowed is None else self.state.vectors().join(allowed, "no", "left_semi")
-        return self._top(blockmax.best(retrieve.dense_hits(base, asked, k, "no"), k), k)
+        return self._top(self.state.dense(asked, k, allowed)[0], k)
 
     def _sparse(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
         return self._top(self.state.sparse(retrieve.query_terms(queries), k, allowed)[0], k)
@@ -75,6 +74,10 @@ class Collection:
         """query_id, held, read: the postings of the query's terms, and how many of them a search for k reads."""
         return self.state.sparse(retrieve.query_terms(queries), k)[1]
 
+    def multiplied(self, queries: DataFrame, k: int) -> DataFrame:
+        """query_id, held, read: the vectors there are, and how many of them a search for k multiplies."""
+        return self.state.dense(queries.select("query_id", self.embed(F.col("query")).alias("embedding")), k)[1]
+
     def candidates(self, queries: DataFrame, before: int = 30, allowed: DataFrame | None = None) -> DataFrame:
         """query_id, no, id, from_dense, from_sparse."""
         return self._candidates(queries, before, allowed).join(self.state.ids(), "no")
@@ -116,8 +119,7 @@ class Collection:
 
     def find_related(self, seeds: DataFrame, queries: DataFrame, before: int = 30, after: int = 5) -> DataFrame:
         """Dense search among chunks that share an entity with the seeds (id), which are left out."""
-        allowed = self.chunks.join(retrieve.related(self.chunks, seeds), "id", "left_semi").select("no")
-        return self._found(self._dense(queries, within("top_k_before", before, 20, 60), allowed), queries, after)
+        return self._found(self._dense(queries, within("top_k_before", before, 20, 60), self.state.related(seeds)), queries, after)
 
     def read_chunk(self, ids: DataFrame) -> DataFrame:
         return content(self.chunks.join(ids.select("id"), "id", "left_semi"), self.settings)

@@ -128,80 +128,8 @@ SHOWN = f"SELECT query_id, rank::int AS rank, id, score, source, {_HIT} FROM rr
 T = SETTINGS.rerank_threshold
 _GOLD = f"ok AS (SELECT * FROM documents WHERE length({strip('text')}) >= 100), sa AS (SELECT *, md5('42:' || doc_id) AS draw FROM ok ORDER BY draw, doc_id LIMIT 50)"
 _ENTITIES = "en AS (SELECT DISTINCT unnest(ents) AS entity FROM fx WHERE id IN (SELECT id FROM seeds))"
-BASE = f"{_hash('et', 'id', 'text', 'dv')}, {_hash('qs', 'query_id', 'query', 'qv')}"
-
-
-def dense(k: int, name: str = "de", allowed: str = "true") -> str:
-    # Every pair of a query and a document with tokens has a score, 0 where no dimension is shared.
-    return f"""{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
-  SELECT q.query_id, d.id, coalesce(round(s.score, 6), 0) AS score FROM (SELECT DISTINCT query_id FROM qv) q CROSS JOIN (SELECT DISTINCT id FROM dv WHERE {allowed}) d
-  LEFT JOIN (SELECT query_id, id, sum(qv.weight * dv.weight) AS score FROM qv JOIN dv USING (dim) GROUP BY 1, 2) s ON s.query_id = q.query_id AND s.id = d.id)) WHERE rank <= {k})"""
-
-
-HYBRID = "hy AS (SELECT query_id, id, max(d) AS from_dense, max(s) AS from_sparse FROM (SELECT query_id, id, true AS d, false AS s FROM de UNION ALL SELECT query_id, id, false, true FROM sp) GROUP BY 1, 2)"
-
-
-def rerank(candidates: str, k: int, threshold: float | None = None, name: str = "rr") -> str:
-    where = "" if threshold is None else f"WHERE score >= {threshold}"
-    return f"""{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT * FROM (
-  SELECT c.query_id, c.id, round(coalesce(sum(CASE WHEN p.term IS NOT NULL THEN t.idf ELSE 0 END) / nullif(sum(t.idf), 0), 0), 6) AS score
-  FROM {candidates} c JOIN (SELECT query_id, term, coalesce(idf, 0) AS idf FROM qt LEFT JOIN idf USING (term)) t USING (query_id) LEFT JOIN po p ON p.id = c.id AND p.term = t.term GROUP BY 1, 2) {where})) WHERE rank <= {k})"""
-
-
-def _list(values) -> str:
-    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
-
-
-def predicate(keywords=(), entities=(), content_types=(), date_from="", date_to="", modified_from="", modified_to="") -> str:
-    parts = []
-    if keywords:
-        parts.append(f"list_has_any(keywords, {_list(keywords)})")
-    if entities:
-        parts.append("(" + " OR ".join(f"list_has_any({f}, {_list(entities)})" for f in ("ent_persons", "ent_organizations", "ent_products", "ent_locations")) + ")")
-    if content_types:
-        parts.append(f"list_has_any(content_types, {_list(content_types)})")
-    if date_from:
-        parts.append(f"len(list_filter(dates, lambda x: try_cast(x AS date) >= DATE '{date_from}')) > 0")
-    if date_to:
-        parts.append(f"len(list_filter(dates, lambda x: try_cast(x AS date) <= DATE '{date_to}')) > 0")
-    if modified_from:
-        parts.append(f"modified_at >= TIMESTAMP '{modified_from}'")
-    if modified_to:
-        parts.append(f"modified_at <= TIMESTAMP '{modified_to if 'T' in modified_to else modified_to + 'T23:59:59'}'")
-    return " AND ".join(parts) or "true"
-
-
-def strip(c: str) -> str:
-    return rf"regexp_replace(regexp_replace({c}, '^\s+', ''), '\s+$', '')"
-
-
-_SIGNED = "('https://files.local/' || source || '?expires=3600&sig=' || substring(md5(source), 1, 8))"
-_NEAR = "FROM fx c WHERE EXISTS (SELECT 1 FROM fx s WHERE s.id IN (SELECT id FROM seeds) AND s.source = c.source AND c.chunk_index BETWEEN greatest(s.chunk_index - 1, 0) AND least(s.chunk_index + 1, s.total_chunks - 1))"
-_URL = f"CASE WHEN coalesce(page_number, 0) <> 0 THEN {_SIGNED} || '#page=' || page_number ELSE {_SIGNED} END"
-
-
-def _html() -> str:
-    html = "coalesce(html, '')"
-    for tag in ("script", "style", "nav", "footer", "aside", "form", "head"):
-        html = rf"regexp_replace({html}, '<{tag}[\s>].*?</{tag}>', '', 'gs')"
-    html = f"regexp_replace({html}, '<div class=\"ad\">.*?</div>', '', 'gs')"
-    text = "regexp_replace(x, '<[^>]*>', ' ', 'g')"
-    for ref, char in REFERENCES:
-        text = f"replace({text}, '{ref}', '{char.replace(chr(39), chr(39) * 2)}')"
-    label = " ".join(f"WHEN '{t}' THEN '{v}'" for t, v in LABELS.items())
-    return rf"""WITH h AS (SELECT page_id, {html} AS html FROM pages),
-m AS (SELECT page_id, regexp_extract_all(html, '{ITEM}', 1) AS tags, regexp_extract_all(html, '{ITEM}', 2) AS texts FROM h),
-e AS (SELECT page_id, unnest(range(len(tags)))::int AS item_no, unnest(tags) AS tag, unnest(texts) AS x FROM m)
-SELECT page_id, item_no, CASE tag {label} ELSE 'section_header_' || substring(tag, 2, 1) END AS label, trim(regexp_replace({text}, '[ \t\r\n]+', ' ', 'g')) AS text FROM e WHERE trim(regexp_replace({text}, '[ \t\r\n]+', ' ', 'g')) <> ''"""
-
-
-RELEVANT = "rel AS (SELECT item_id AS query_id, id FROM benchmark b JOIN fx d ON contains(d.content, b.text))"
-HIT = "SELECT query_id, id, score, rank::int AS rank FROM"
-_HIT = f"{_URL} AS url, page_number AS page, array_to_string(headings, ' > ') AS headings, substring(content, 1, 300) AS snippet"
-SHOWN = f"SELECT query_id, rank::int AS rank, id, score, source, {_HIT} FROM rr JOIN fx USING (id)"
-T = SETTINGS.rerank_threshold
-_GOLD = f"ok AS (SELECT * FROM documents WHERE length({strip('text')}) >= 100), sa AS (SELECT *, md5('42:' || doc_id) AS draw FROM ok ORDER BY draw, doc_id LIMIT 50)"
-_DOC_SEEDS = "ds AS (SELECT doc_id FROM meta WHERE len(ents) > 0 ORDER BY doc_id LIMIT 5), en AS (SELECT DISTINCT unnest(ents) AS entity FROM meta JOIN ds USING (doc_id))"
+_SAID = f"""qs AS (SELECT doc_id AS query_id, content AS query FROM fx WHERE doc_id % 20 = 0 AND chunk_index = 0 AND len(ents) > 0),
+qt AS (SELECT DISTINCT query_id, unnest({tok('query')}) AS term FROM qs)"""
 BASE = f"WITH RECURSIVE {POST}, {QUERIES}"
 ALL = f"""{BASE}, {RELEVANT}, {DENSE_BASE}, {sparse(5, 's5')}, {dense(5, 'd5')}, {sparse(30)}, {dense(30)}, {HYBRID}, {rerank('hy', 5)},
 got AS (SELECT 'sparse' AS mode, query_id, id, rank FROM s5 UNION ALL SELECT 'dense', query_id, id, rank FROM d5 UNION ALL SELECT 'hybrid', query_id, id, rank FROM rr),
@@ -256,6 +184,9 @@ SELECT query_id, doc_id, score, rank FROM (SELECT *, (row_number() OVER (PARTITI
         "rerank_topk": f"{BASE}, {sparse(30)}, {rerank('sp', 5)} {HIT} rr",
         "rerank_threshold": f"{BASE}, {sparse(30)}, {rerank('sp', 10, T)} {HIT} rr",
         "find_related": f"{BASE}, {SEEDS}, {_ENTITIES}, al AS (SELECT DISTINCT id FROM (SELECT id, unnest(ents) AS entity FROM fx) JOIN en USING (entity) WHERE id NOT IN (SELECT id FROM seeds)), {DENSE_BASE}, {dense(30, allowed='id IN (SELECT id FROM al)')}, {rerank('de', 5, T)} {SHOWN}",
+        "related_chunks": f"WITH {FX}, {SEEDS}, {_ENTITIES} SELECT DISTINCT id, source, chunk_index FROM (SELECT id, source, chunk_index, unnest(ents) AS entity FROM fx) JOIN en USING (entity) WHERE id NOT IN (SELECT id FROM seeds)",
+        "find_related_passages": f"""{BASE.replace(QUERIES, _SAID)}, {SEEDS}, {_ENTITIES}, al AS (SELECT DISTINCT id FROM (SELECT id, unnest(ents) AS entity FROM fx) JOIN en USING (entity) WHERE id NOT IN (SELECT id FROM seeds)),
+  {DENSE_BASE}, {dense(30, allowed='id IN (SELECT id FROM al)')}, {rerank('de', 5, T)} {SHOWN}""",
         "agg_seed_entities": f"WITH {FX}, {SEEDS}, {_ENTITIES} SELECT entity FROM en",
         "read_chunk": f"WITH {FX}, {SEEDS} SELECT id, source, {_URL} AS url, page_number AS page, content FROM fx WHERE id IN (SELECT id FROM seeds)",
         "read_neighbors": f"WITH {FX}, {SEEDS} SELECT id, source, {_URL} AS url, page_number AS page, content, chunk_index {_NEAR}",

@@ -271,6 +271,19 @@ def find_related(spark, d):
     return _collection(spark, d).find_related(_seeds(spark, d), _queries(spark, d))
 
 
+def related_chunks(spark, d):
+    """The chunks that share an entity with a seed and are none."""
+    c = _collection(spark, d)
+    return c.state.related(_seeds(spark, d)).join(c.chunks, "no").select("id", "source", "chunk_index")
+
+
+def find_related_passages(spark, d):
+    """Dense search among the chunks that are related to the seeds, for what the seeds with entities say."""
+    c = _collection(spark, d)
+    own = _chunks(spark, d).where("doc_id % 20 = 0 and chunk_index = 0 and size(keywords) > 0")
+    return c.find_related(_seeds(spark, d), own.select(F.col("doc_id").alias("query_id"), F.col("content").alias("query")))
+
+
 def agg_seed_entities(spark, d):
     return retrieve.entities_of(_collection(spark, d).chunks, _seeds(spark, d))
 
@@ -383,7 +396,7 @@ def svc_rate_window(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         src_documents, src_batches, src_modified_at, src_basename, scan_all, scan_by_id, sink_upsert, conv_html_items, conv_html_chunks, conv_text_items, conv_tree_items, chunk_pack, chunk_ordinals, chunk_contextualize, chunk_page_min, chunk_content_types, chunk_id, agg_chunk_counts,
-        enrich_keywords, enrich_entities, enrich_structured, enrich_failure_split, embed_text, embed_dense_hash, sparse_postings, sparse_idf, search_semantic, search_keyword, index_increment, hybrid_candidates, search_hybrid, semantic_search, keyword_search, filtered_search, rerank_topk, rerank_threshold, find_related, agg_seed_entities,
+        enrich_keywords, enrich_entities, enrich_structured, enrich_failure_split, embed_text, embed_dense_hash, sparse_postings, sparse_idf, search_semantic, search_keyword, index_increment, hybrid_candidates, search_hybrid, semantic_search, keyword_search, filtered_search, rerank_topk, rerank_threshold, find_related, related_chunks, find_related_passages, agg_seed_entities,
         read_chunk, read_neighbors, read_neighbors_window, prj_search_hit, prj_snippet, prj_source_url, prj_hint, fn_scalars, golden_min_chars, golden_sample, golden_build, golden_explode, eval_report, agg_batch_summary, svc_rate_window,
     ]
     found = {f.__name__: f for f in named}

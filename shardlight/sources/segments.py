@@ -1,7 +1,7 @@
 """An index in immutable segments, which is searched as it grows.
 
-A segment holds the chunks of one write, numbered in the order of their ids, and by number their vectors and postings
-(blockmax); it is never changed. Chunks that a later write replaces or deletes are listed as gone, with what they take
+A segment holds the chunks of one write, numbered in the order of their ids, and by number their vectors, postings
+(blockmax) and entities; it is never changed. Chunks that a later write replaces or deletes are listed as gone, with what they take
 from the collection's statistics. A commit is one small file with the next number: the segments, the lists of what is
 gone, and the totals. So a reader has one state of everything, whatever is written meanwhile, and a crash leaves the
 last commit as it was. Statistics are those of the whole collection at each commit: document frequencies are summed
@@ -14,12 +14,15 @@ import json
 import uuid
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import embed_text, tokens
-from ..operators import blockmax, enrich
+from ..operators import blockmax, bounded, enrich
+from ..operators.filters import ENTITY_FIELDS
+from ..operators.retrieve import usable
 from ..session import SETTINGS, Settings
 from .documents import latest
 
@@ -74,6 +77,13 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def entities_of_chunk(columns: list[str]) -> Column:
+    """The different entities of a chunk, of all kinds; kinds that are missing have none."""
+    none = F.array().cast("array<string>")
+    kinds = [F.coalesce(F.col(f), none) for f in ENTITY_FIELDS if f in columns]
+    return F.filter(F.array_distinct(F.flatten(F.array(*kinds))), lambda x: x.isNotNull()) if kinds else none
+
+
 class Snapshot:
     """The index as one commit has it."""
 
@@ -106,9 +116,20 @@ class Snapshot:
         """no, id of all chunks, those that are gone as well."""
         return self._read("chunks", self.schema).select("no", "id")
 
+    def entities(self) -> DataFrame:
+        """entity, no: the chunks of each entity, of any kind."""
+        return self.live(self._read("entities", "entity string, no long"))
+
+    def related(self, seeds: DataFrame) -> DataFrame:
+        """no of the chunks that share an entity with the seeds (id), without these. Entities are looked up where they
+        are stored, in their order; no chunk is read but the seeds."""
+        own = self.chunks().join(seeds.select("id"), "id", "left_semi").select("no", F.explode(entities_of_chunk(self.schema.names)).alias("entity"))
+        known = self.chunks().join(seeds.select("id"), "id", "left_semi").select("no")
+        return self.entities().join(own.select("entity").distinct(), "entity", "left_semi").select("no").distinct().join(known, "no", "left_anti")
+
     def vectors(self, segments: list[dict] | None = None) -> DataFrame:
-        """no, embedding."""
-        return self.live(self._read("vectors", "no long, embedding array<double>", segments))
+        """no, embedding of the chunks whose vectors can be compared."""
+        return self.live(bounded.vectors_of(self._read("vectors", bounded.CLUSTERS, segments)))
 
     def terms(self) -> DataFrame:
         """term, df, idf over the whole collection."""
@@ -123,11 +144,10 @@ class Snapshot:
         """Tokens of a chunk that has some."""
         return self.commit["length"] / self.commit["n"] if self.commit["n"] else 1.0
 
-    def blocks(self, terms: list[str], parts: list[int] | None = None) -> DataFrame:
-        """The blocks of terms and the lengths, of all parts or some."""
+    def blocks(self, terms: list[str]) -> DataFrame:
+        """The blocks of terms, and the lengths."""
         listed = ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in [*terms, ""])
-        rows = self._read("postings", blockmax.BLOCKS).where(F.expr(f"term IN ({listed})"))  # one expression: thousands of literals take seconds
-        return rows if parts is None else rows.where(F.col("part").isin(parts))
+        return self._read("postings", blockmax.BLOCKS).where(F.expr(f"term IN ({listed})"))  # one expression: thousands of literals take seconds
 
     def postings(self, terms: DataFrame) -> DataFrame:
         """terms (term and more) with no, tf of the chunks that have them."""
@@ -141,40 +161,67 @@ class Snapshot:
         chunks that a filter leaves."""
         kind = dict(queries.dtypes)["query_id"]
         known = queries.join(self.terms(), "term").select("query_id", "term", "idf").persist()
-        n = known.count()
-        passes = max(1, -(-n // blockmax.PAIRS))
+        passes = max(1, -(-known.count() // blockmax.PAIRS))
         found = []
         for b in range(passes):
             rows = known.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == b).collect()
             asked = blockmax.Asked.of([tuple(r) for r in rows], self.average, k)
-            found.append(self._pass(asked, kind, allowed))
+            found.append(self._pass(blockmax, self.blocks(list(asked.terms)), self._marked_ranges(allowed), asked, kind, allowed is not None))
         known.unpersist()
+        return self._told(found, k)
+
+    def dense(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """(query_id, no, score of the k best by inner product, with all that tie with the k-th; query_id, held, read:
+        the vectors there are and how many of them were multiplied). queries: query_id, embedding; those of the first
+        usable one's width are asked."""
+        kind = dict(queries.dtypes)["query_id"]
+        known = queries.select("query_id", F.col("embedding").cast("array<double>").alias("e")).where(usable(F.col("e"))).persist()
+        first, n = known.first(), known.count()
+        dims = len(first["e"]) if first else 0
+        passes = max(1, -(-n * dims // bounded.PASS))
+        found = []
+        for b in range(passes):
+            rows = known.where((F.pmod(F.xxhash64("query_id"), F.lit(passes)) == b) & (F.size("e") == dims)).collect()
+            asked = bounded.Asked([r["query_id"] for r in rows], np.array([r["e"] for r in rows]).reshape(len(rows), dims), k)
+            stored = self._read("vectors", bounded.CLUSTERS).where(F.col("dims") == dims)
+            found.append(self._pass(bounded, stored, self._marked_clusters(allowed), asked, kind, allowed is not None))
+        known.unpersist()
+        return self._told(found, k)
+
+    def _told(self, found: list[DataFrame], k: int) -> tuple[DataFrame, DataFrame]:
         all_ = union(found)
         hits = blockmax.best(all_.where("no is not null").select("query_id", "no", "score"), k)
         return hits, all_.where("no is null").groupBy("query_id").agg(F.sum("held").alias("held"), F.sum("read").alias("read"))
 
-    def _pass(self, asked: blockmax.Asked, kind: str, allowed: DataFrame | None) -> DataFrame:
-        terms = list(asked.terms)
-        lowest = (1 << blockmax.RANGE_BITS) - 1
+    def _marked_ranges(self, allowed: DataFrame | None) -> DataFrame | None:
+        """range, marked: the places of the allowed or, without a filter, of what is gone; None if nothing is."""
         marked = allowed if allowed is not None else self.gone
-        if marked is not None:
-            place = F.col("no").bitwiseAND(F.lit(lowest)).cast("short")
-            marked = marked.groupBy(F.shiftright("no", blockmax.RANGE_BITS).alias("range")).agg(F.collect_list(place).alias("marked"))
-        only = allowed is not None
+        if marked is None:
+            return None
+        place = F.col("no").bitwiseAND(F.lit(blockmax.RANGE - 1)).cast("short")
+        return marked.groupBy(F.shiftright("no", blockmax.RANGE_BITS).alias("range")).agg(F.collect_list(place).alias("marked"))
 
-        def stored(parts: list[int] | None = None) -> DataFrame:
-            rows = self.blocks(terms, parts)
-            return rows if marked is None else rows.join(marked, "range", "inner" if only else "left")
+    def _marked_clusters(self, allowed: DataFrame | None) -> DataFrame | None:
+        """cluster, marked: the numbers of the same."""
+        marked = allowed if allowed is not None else self.gone
+        if marked is None:
+            return None
+        each = self._read("vectors", bounded.CLUSTERS).select("cluster", F.explode("nos").alias("no"))
+        return each.join(marked, "no", "left_semi").groupBy("cluster").agg(F.collect_list("no").alias("marked"))
 
+    def _pass(self, way, stored: DataFrame, marked: DataFrame | None, asked, kind: str, only: bool) -> DataFrame:
+        """What a pass finds in blocks or clusters. Where there are many parts, a few show first what to reach."""
+        if marked is not None:
+            stored = stored.join(marked, marked.columns[0], "inner" if only else "left")
         parts = sorted(((n, p) for s in self.commit["segments"] for p, n in s["parts"]), reverse=True)
         first = [p for _, p in parts[: max(1, self.spark.sparkContext.defaultParallelism // 2)]]
         if len(parts) > 2 * len(first):
-            found = blockmax.best(blockmax.scored(stored(first), asked, kind, only).where("no is not null"), asked.k)
+            found = blockmax.best(way.scored(stored.where(F.col("part").isin(first)), asked, kind, only).where("no is not null"), asked.k)
             least = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") >= asked.k).collect()
             place = {q: i for i, q in enumerate(asked.queries)}
             for r in least:
                 asked.reach[place[r["query_id"]]] = r["least"]
-        return blockmax.scored(stored(), asked, kind, only)
+        return way.scored(stored, asked, kind, only)
 
 
 class Index:
@@ -265,7 +312,11 @@ class Index:
         numbered.write.options(**WHOLE).parquet(f"{at}/chunks")
         chunks = self.spark.read.schema(numbered.schema).parquet(f"{at}/chunks")
         texts = chunks.select("no", *(["embedding"] if "embedding" in chunks.columns else []), embed_text([F.col(c) for c in META], F.col("content")).alias("text"))
-        texts.select("no", F.col("embedding") if "embedding" in chunks.columns else self.embed(F.col("text")).alias("embedding")).write.parquet(f"{at}/vectors")
+        own = texts.select("no", (F.col("embedding") if "embedding" in chunks.columns else self.embed(F.col("text"))).cast("array<double>").alias("embedding"))
+        bounded.clusters(own).write.options(**WHOLE).parquet(f"{at}/vectors")
+        # Sorted by value and number, so that an entity of very many chunks lies in many files, and a rare one in one.
+        tags = chunks.select(F.explode(entities_of_chunk(chunks.columns)).alias("entity"), "no")
+        tags.repartitionByRange("entity", "no").sortWithinPartitions("entity", "no").write.parquet(f"{at}/entities")
         made_ = blockmax.blocks(texts.select("no", tokens(F.col("text")).alias("tokens")))
         made_.sortWithinPartitions("part", "term", "range").write.options(**WHOLE).parquet(f"{at}/postings")
         written = self.spark.read.schema(blockmax.BLOCKS).parquet(f"{at}/postings")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shardlight.operators import blockmax, tools
+from shardlight.operators import blockmax, bounded, tools
 from shardlight.operators.filters import Filter
 from shardlight.plans import fixture
 from shardlight.sources import segments
@@ -118,6 +118,63 @@ def test_frontiers_bound_their_blocks(spark):
     assert got == {(k, t): ts.count(t) for k, ts in rows for t in set(ts)}
 
 
+def test_bounded_search_equals_brute_force_and_skips_clusters(spark):
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(20, 8)) * 5
+    m = np.concatenate([centres[r.integers(0, 20, 1500)] + r.normal(size=(1500, 8)) * 0.3, np.zeros((2, 8))])
+    m[7] = m[3]
+    nos = np.concatenate([np.arange(700), (1 << bounded.PART_BITS) + np.arange(802)])
+    rows = [(int(n), x.tolist()) for n, x in zip(nos, m)]
+    odd = [(5000, None), (5001, [1.0, None] * 4), (5002, [float("nan")] * 8), (5003, []), (5004, [1.0, 2.0])]
+    stored = bounded.clusters(spark.createDataFrame(sorted(rows + odd), "no long, embedding array<double>").coalesce(1)).persist()
+    back = {x.no: x.embedding for x in bounded.vectors_of(stored).collect()}
+    assert back == {**dict(rows), 5004: [1.0, 2.0]}
+    asked = bounded.Asked(list(range(30)), centres[r.integers(0, 20, 30)] + r.normal(size=(30, 8)), 5)
+    got = bounded.scored(stored, asked, "bigint").collect()
+    scores = np.round(asked.vectors @ m.T, 6)
+    for q in range(30):
+        best = np.lexsort((nos, -scores[q]))[:5]
+        own = sorted(((-x.score, x.no) for x in got if x.query_id == q and x.no is not None))[:5]
+        assert [x[1] for x in own] == nos[best].tolist() and np.allclose([-x[0] for x in own], scores[q, best])
+    told = [x for x in got if x.no is None]
+    assert {x.query_id for x in told} == set(range(30)) and all(x.held == 1502 for x in told)
+    assert sum(x.read for x in told) < 0.5 * sum(x.held for x in told)
+
+
+def test_bounds_hold_for_every_vector():
+    r = np.random.default_rng(6)
+    for _ in range(50):
+        m = r.normal(size=(40, 5)) * r.uniform(0, 3, (40, 1))
+        centre = bounded.unit(m.sum(0)[None])[0]
+        cosine = (bounded.unit(m)[0] @ centre[0]).min()
+        size = np.sqrt((m * m).sum(1))
+        asked = r.normal(size=(20, 5)) * 10
+        assert (bounded.bounds(asked, centre, np.array([cosine]), np.array([size.min()]), np.array([size.max()]))[:, 0] >= (asked @ m.T).max(1) - 1e-6).all()
+
+
+def test_related_chunks_by_hand(spark, tmp_path):
+    docs = documents(spark, [(1, "Zebracrossing and Lionsharing"), (2, "Zebracrossing alone"), (3, "nothing here"), (4, "Lionsharing\nZebracrossing again"), (5, "Tigerclub only"), (6, "nothing\nTigerclub")])
+    chunks = fixture.line_chunks(docs).withColumn("ent_products", F.lit(None).cast("array<string>"))
+    own = Index(spark, str(tmp_path / "i"))
+    own.upsert(chunks.where("doc_id < 5"))
+    own.upsert(chunks.where("doc_id >= 5"))
+    c = tools.Collection(spark, str(tmp_path / "i"))
+    rows = {r.id: r for r in c.chunks.collect()}
+    id_of = {r.content: i for i, r in rows.items()}
+    kind = {f: {r.content: list(r[f] or []) for r in rows.values()} for f in ("ent_persons", "ent_organizations", "ent_locations")}
+    assert any(kind["ent_organizations"].values()) and any(kind["ent_locations"].values())
+    of = lambda *s: sorted(rows[i].content for i in (r.id for r in c.state.related(spark.createDataFrame([(id_of.get(x, x),) for x in s], "id string")).join(c.state.ids(), "no").collect()))
+    assert of("Zebracrossing alone") == ["Zebracrossing again", "Zebracrossing and Lionsharing"]
+    assert of("Zebracrossing and Lionsharing", "unknown") == ["Lionsharing", "Zebracrossing again", "Zebracrossing alone"]
+    assert of("nothing here") == of("unknown") == of() == []
+    own.delete(spark.createDataFrame([(id_of["Zebracrossing again"],)], "id string"))
+    c = tools.Collection(spark, str(tmp_path / "i"))
+    assert of("Zebracrossing alone") == ["Zebracrossing and Lionsharing"]
+    q = spark.createDataFrame([(1, "Zebracrossing and Lionsharing")], "query_id long, query string")
+    hits = c.find_related(spark.createDataFrame([(id_of["Zebracrossing alone"],)], "id string"), q).collect()
+    assert [h.id for h in hits] == [id_of["Zebracrossing and Lionsharing"]]
+
+
 def test_an_index_that_grew_equals_a_fresh_one(spark, tmp_path, small_parts):
     r = random.Random(3)
     state = {k: some_text(r, 6) for k in range(40)}
