@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.text import tokens
+from ..functions.text import TOKEN, tokens
 
 #: Elements that hold no article text.
 DROPPED = ("script", "style", "nav", "footer", "aside", "form", "head")
@@ -136,3 +138,139 @@ def _packed(items: list[dict], sizes: list[int], limit: int) -> list[tuple]:
         used += sizes[k]
     close()
     return out
+
+
+#: text -> where each of its tokens begins and ends; a model's own tokenizer has this shape.
+Spans = Callable[[str], list[tuple[int, int]]]
+WORDS = regex.compile(TOKEN)
+SENTENCE_END = regex.compile(r"[.!?…。！？]+[\"'»”)\]]*\s+")
+
+
+def word_spans(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in WORDS.finditer(text)]
+
+
+HYBRID = CHUNK + ", body string"
+
+
+def hybrid_chunks(docs: DataFrame, limit: int = 128, spans: Spans = word_spans) -> DataFrame:
+    """docs (with items) as chunks of limit tokens at most: their other columns, and those of HYBRID.
+
+    Headings are no text of their own but the path of what stands below them; a heading with nothing below it is a
+    chunk with an empty body. The content is the path, one heading a line, and then the body; of a path that takes more
+    than half of the limit only the innermost headings that don't are shown. What is left of the limit is the body's: a
+    longer item is cut after sentences, as many together as fit, and a longer sentence before words, so that its pieces
+    put together are the item. Neighbouring pieces under equal headings are joined as long as they fit, those of one
+    item as they were, items by a line end. Null and empty items are left out, null lists have no chunks. Work on each
+    document is its own: nothing is shuffled. spans may be a model's tokenizer; tokens that overlap or touch are never
+    cut apart, so a run of them is kept whole and only then can be over the limit."""
+    if limit < 2:
+        raise ValueError("a chunk needs two tokens at least")
+    other = [c for c in docs.columns if c != "items"]
+    schema = StructType([*docs.select(*other).schema.fields, *StructType.fromDDL(HYBRID).fields])
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int32(), pa.string(), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, at = [], []
+            for i, own in enumerate(batch.column(len(other)).to_pylist()):
+                done = _hybrid(own or [], limit, spans)
+                rows += [(k, len(done), *c) for k, c in enumerate(done)]
+                at += [i] * len(done)
+            cols = list(zip(*rows)) or [[]] * len(types)
+            kept = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(len(other))]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, t in zip(cols, types))], names=schema.names)
+
+    return docs.select(*other, "items").mapInArrow(run, schema)
+
+
+def _cut(text: str, budget: int, spans: Spans) -> list[tuple[int, str]]:
+    """(tokens, text) of pieces of budget tokens at most, which are the text if put together."""
+    tokens = spans(text)
+    if len(tokens) <= budget:
+        return [(len(tokens), text)]
+    # Where a token may begin a piece, and the best of these places: after the end of a sentence.
+    ends = {m.end() for m in SENTENCE_END.finditer(text)}
+    fresh = [k for k in range(1, len(tokens)) if tokens[k][0] > tokens[k - 1][1] or text[tokens[k][0]].isspace()]
+    opens = [k for k in fresh if any(e in ends for e in range(tokens[k - 1][1], tokens[k][0] + 2))]
+    out, first, begin = [], 0, 0
+    while first < len(tokens):
+        at = len(tokens)
+        if at - first > budget:
+            after = bisect_right(fresh, first)
+            for places in (opens, fresh):
+                last = bisect_right(places, first + budget) - 1
+                if last >= 0 and places[last] > first:
+                    at = places[last]
+                    break
+            else:
+                at = fresh[after] if after < len(fresh) else at
+        end = tokens[at][0] if at < len(tokens) else len(text)
+        out.append((at - first, text[begin:end]))
+        first, begin = at, end
+    return out
+
+
+def _hybrid(items: list[dict], limit: int, spans: Spans) -> list[tuple]:
+    """(tokens, first item, last item, headings, content types, first page, content, body) of each chunk."""
+    out: list[tuple] = []
+    path: list[tuple[int, str, int, list]] = []
+    open_: dict | None = None
+    bare = False  # whether the innermost heading has nothing below it yet
+
+    def shown(headings: list[str]) -> tuple[int, list[str]]:
+        used, kept = 0, []
+        for h in reversed(headings):
+            n = len(spans(h))
+            if used + n > limit // 2:
+                break
+            used, kept = used + n, [h, *kept]
+        return used, kept
+
+    def close() -> None:
+        nonlocal open_
+        if open_ is not None:
+            content = "\n".join([*open_["shown"], *([open_["body"]] if open_["body"] else [])])
+            out.append((open_["used"], open_["first"], open_["last"], open_["headings"], sorted(open_["labels"]), min(open_["pages"], default=None), content, open_["body"]))
+        open_ = None
+
+    def alone() -> None:
+        """The innermost heading as a chunk without body."""
+        nonlocal bare
+        if bare:
+            close()
+            headings = [p[1] for p in path]
+            used, kept = shown(headings)
+            out.append((used, path[-1][2], path[-1][2], headings, ["section_header"], min(path[-1][3], default=None), "\n".join(kept), ""))
+        bare = False
+
+    for k, item in enumerate(items):
+        label, text = item["label"] or "text", item["text"] or ""
+        pages = [p for p in item["pages"] or () if p is not None]
+        level = int(label[15:]) if label.startswith("section_header_") and label[15:].isdigit() else 0
+        if not text:
+            continue
+        if level:
+            if path and path[-1][0] >= level:
+                alone()
+            path = [*(p for p in path if p[0] < level), (level, text, k, pages)]
+            bare = True
+            continue
+        bare = False
+        headings = [p[1] for p in path]
+        used, kept = shown(headings)
+        for j, (n, piece) in enumerate(_cut(text, limit - used, spans)):
+            if open_ is not None and (open_["headings"] != headings or open_["used"] + n > limit):
+                close()
+            if open_ is None:
+                open_ = {"headings": headings, "shown": kept, "used": used, "first": k, "labels": set(), "pages": [], "body": ""}
+            elif j == 0:
+                open_["body"] += "\n"
+            open_["body"] += piece
+            open_["used"] += n
+            open_["last"] = k
+            open_["labels"].add(label)
+            open_["pages"] += pages
+    alone()
+    close()
+    return out

