@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions import markup
 from ..functions.text import TOKEN, tokens
 
 #: Elements that hold no article text.
@@ -37,6 +39,20 @@ def html_items(pages: DataFrame) -> DataFrame:
     return each.select("page_id", "item_no", label.alias("label"), text.alias("text")).where("text <> ''")
 
 
+def html_blocks(pages: DataFrame) -> DataFrame:
+    """page_id, item_no, label, text: the blocks of each page by its markup, whatever its case and however it is closed
+    (functions/markup); null pages have none. html_items is the same for tidy pages, as built-in functions alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [markup.blocks(x.as_py() or "") for x in batch.column(1)]
+            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            cols = [pa.array([k for f in found for k in range(len(f))], pa.int32()), *(pa.array([b[c] for f in found for b in f], pa.string()) for c in (0, 1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *cols], names=["page_id", "item_no", "label", "text"])
+
+    return pages.select("page_id", "html").mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, item_no int, label string, text string")
+
+
 def text_items(docs: DataFrame) -> DataFrame:
     """doc_id, item_no, label, text: one item per line."""
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("item_no", "text")).select("doc_id", "item_no", F.lit("text").alias("label"), "text")

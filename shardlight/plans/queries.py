@@ -86,6 +86,10 @@ def conv_html_items(spark, d):
     return convert.html_items(table(spark, d, "pages"))
 
 
+def conv_html_blocks(spark, d):
+    return convert.html_blocks(table(spark, d, "pages"))
+
+
 def conv_text_items(spark, d):
     return convert.text_items(_docs(spark, d))
 
@@ -100,7 +104,7 @@ def conv_tree_items(spark, d):
 def conv_html_chunks(spark, d):
     """Pages as chunks within the limit, with the path of their headings in content and id."""
     pages = table(spark, d, "pages")
-    items = convert.collected(convert.html_items(pages), "page_id").join(pages.select("page_id", F.col("url").alias("source")), "page_id")
+    items = convert.collected(convert.html_blocks(pages), "page_id").join(pages.select("page_id", F.col("url").alias("source")), "page_id")
     chunks = convert.hybrid_chunks(items, SETTINGS.chunk_max_tokens)
     return chunks.select("page_id", T.chunk_id(F.col("source"), F.col("chunk_index"), F.col("content")).alias("id"), "chunk_index", "total_chunks", "n_tokens", "first_item", "last_item", F.coalesce("headings", F.array().cast("array<string>")).alias("headings"), "content_types", "content", "body")
 
@@ -407,7 +411,7 @@ def svc_rate_window(spark, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
-        src_documents, src_batches, src_modified_at, src_basename, scan_all, scan_by_id, sink_upsert, conv_html_items, conv_html_chunks, conv_text_items, conv_tree_items, chunk_pack, chunk_budget, chunk_ordinals, chunk_contextualize, chunk_page_min, chunk_content_types, chunk_id, agg_chunk_counts,
+        src_documents, src_batches, src_modified_at, src_basename, scan_all, scan_by_id, sink_upsert, conv_html_items, conv_html_blocks, conv_html_chunks, conv_text_items, conv_tree_items, chunk_pack, chunk_budget, chunk_ordinals, chunk_contextualize, chunk_page_min, chunk_content_types, chunk_id, agg_chunk_counts,
         enrich_keywords, enrich_entities, enrich_structured, enrich_failure_split, embed_text, embed_dense_hash, sparse_postings, sparse_idf, search_semantic, search_keyword, index_increment, hybrid_candidates, search_hybrid, semantic_search, keyword_search, filtered_search, rerank_topk, rerank_threshold, find_related, related_chunks, find_related_passages, agg_seed_entities,
         read_chunk, read_neighbors, read_neighbors_window, prj_search_hit, prj_snippet, prj_source_url, prj_hint, fn_scalars, golden_min_chars, golden_sample, golden_build, golden_explode, eval_report, agg_batch_summary, svc_rate_window,
     ]
