@@ -7,7 +7,9 @@ complemented, which adds a constant). The best k rows are chosen from the most s
 rows that tie at the boundary are taken in the order of vec_id. Blocks of rows meet blocks of queries by an
 equi-join on a grid, and the best of each block are merged by rank.
 
-Vectors that are null, or hold nulls or non-finite components, take no part, nor do rows without vec_id; shorter
+Vectors that are null, or hold nulls or non-finite components, take no part, nor do rows without vec_id, nor vectors
+whose squared length is over 2**62 after scaling, as products of two of those need not be longs; other columns are not
+read; ties go to smaller vec_ids; shorter
 vectors count as padded with zeros; rows that share the query's vec_id are its own; an empty table gives no rows. A repeated query row is one query, and
 query rows that share a vec_id with other vectors are queries of their own, each with its ranks from 1 to k; other
 repeated rows count each.
@@ -176,7 +178,8 @@ def top_of_block(values: np.ndarray, ids: np.ndarray, queries: np.ndarray, query
 def search(embeddings: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each row whose vec_id is divisible by every."""
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    vectors = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(good)
+    square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.floor(x * scale).cast("double") * F.floor(x * scale).cast("double"))
+    vectors = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(good).where(square <= 2.0**62)
     asked = F.col("vec_id") % every == 0
     # Queries that share a vec_id are told apart by copy.
     same = Window.partitionBy("vec_id").orderBy("embedding")
