@@ -1,4 +1,5 @@
-"""Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
+"""Quality classifier: a factorisation machine over hashed words, structure statistics and the metadata that a text has of itself (its
+length and shape); labels, lang, source and doc_id are no features.
 
 score = sigmoid(w0 + <w, x> + sum over pairs <v_i, v_j> x_i x_j); the pair sum is half of (sum v x)^2 - sum v^2 x^2,
 linear in the number of features. Features: log counts of hashed words, scaled to unit length, and one-hot
@@ -99,7 +100,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> Machine:
     """Fit on labelled rows outside the held-out fold, max_rows at most in expectation, chosen by hash."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     share = min(1.0, max_rows / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62)) < int(share * (1 << 62)))  # fine enough for any number of labels
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("quality", "text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
