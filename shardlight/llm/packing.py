@@ -194,25 +194,26 @@ def solve(lengths: np.ndarray, counts: np.ndarray, cap: int, rounds: int = 60, c
     return x
 
 
-def rounded(histogram: dict[int, int], cap: int, dives: int = 4) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Whole sequences from the program: its full configurations, most used first, as often as it says or the pieces
-    allow; then the same on the pieces that are left. Half of the pieces under an eighth of cap stay out, as what is
-    not full needs them."""
-    left = {n: k if 8 * n >= cap else k // 2 for n, k in histogram.items()}
+def rounded(histogram: dict[int, int], cap: int, full: bool = True, dives: int = 4) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Whole sequences from the program: its configurations, most used first, as often as it says or the pieces allow;
+    then the same on the pieces that are left. If full, only those without room count, and half of the pieces under an
+    eighth of cap stay out, as what is not full needs them."""
+    left = {n: k if 8 * n >= cap or not full else k // 2 for n, k in histogram.items()}
     groups: list[tuple[int, list[tuple[int, int]]]] = []
     for _ in range(dives):
         lengths = np.array(sorted(n for n, k in left.items() if k > 0), np.int64)
-        if len(lengths) < 2:
+        if not len(lengths):
             break
         x = solve(lengths, np.array([left[int(n)] for n in lengths], float), cap)
         for config, v in sorted(x.items(), key=lambda kv: (-kv[1], kv[0])):
             items = [(int(lengths[j]), a) for j, a in config]
             take = min(int(np.ceil(v)), *(left[n] // a for n, a in items))
-            if take > 0 and sum(n * a for n, a in items) == cap:
+            if take > 0 and (not full or sum(n * a for n, a in items) == cap):
                 for n, a in items:
                     left[n] -= take * a
                 groups.append((take, items))
-    return groups
+    # The fullest first: a plan that takes a part of them leaves the rest to best fit.
+    return groups if full else sorted(groups, key=lambda g: sum(n * a for n, a in g[1]), reverse=True)
 
 
 def fitted(left: dict[int, int], groups: list[tuple[int, list[tuple[int, int]]]], cap: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -257,31 +258,33 @@ SHARES = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1, 0.0)
 def plan(histogram: dict[int, int], cap: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Groups of equal sequences: (how many, [(length, copies), ...]). Every piece of the histogram has a place.
 
-    Of the plans that take more or less of the rounded program, the first of the fewest sequences, so that none is
-    worse than best fit alone.
+    Of the plans that take more or less of the program, rounded to all its configurations or to full ones, the first of
+    the fewest sequences, so that none is worse than best fit alone.
     """
     left = {int(k): int(v) for k, v in histogram.items() if v > 0}
     whole = [(left.pop(cap), [(cap, 1)])] if left.get(cap) else []
     if not left:
         return whole
-    program, best, fewest = rounded(left, cap), None, 0
-    total = sum(many for many, _ in program)
+    best, fewest = None, 0
     bound = -(-sum(n * k for n, k in left.items()) // cap)
-    for share in SHARES:
-        own, rest, room = [], dict(left), int(np.ceil(share * total))
-        for many, items in program:
-            take = min(many, room)
-            if take:
-                own.append((take, items))
-                room -= take
-                for n, a in items:
-                    rest[n] -= take * a
-        tried = fitted(rest, own, cap)
-        size = sum(many for many, _ in tried)
-        if best is None or size < fewest:
-            best, fewest = tried, size
-        if fewest == bound:
-            break
+    for full in (True, False):
+        program = rounded(left, cap, full)
+        total = sum(many for many, _ in program)
+        for share in SHARES:
+            own, rest, room = [], dict(left), int(np.ceil(share * total))
+            for many, items in program:
+                take = min(many, room)
+                if take:
+                    own.append((take, items))
+                    room -= take
+                    for n, a in items:
+                        rest[n] -= take * a
+            tried = fitted(rest, own, cap)
+            size = sum(many for many, _ in tried)
+            if best is None or size < fewest:
+                best, fewest = tried, size
+            if fewest == bound:
+                return whole + best
     return whole + best
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shardlight.llm import automata, codes, negatives
+from shardlight.llm import automata, codes, negatives, packing, topk
 
 VECTORS = "vec_id long, embedding array<double>, label int, ints int, square string, bucket int, copy int, n int, code string, _label int"
 
@@ -209,3 +209,36 @@ def test_anchors_are_those_of_brute_force():
     for k, h in enumerate(automata.of_runs(np.r_[words, words], 50, automata._ODD[1]).tolist()):
         seen[h].add(k % 300)
     assert all(len(v) == 1 for v in seen.values())
+
+
+# Earlier operators
+
+
+def test_packing_rounds_configurations_that_are_not_full():
+    fewest = lambda h: sum(m for m, _ in packing.plan(h, 2048))
+    alone = lambda h: sum(m for m, _ in packing.fitted(dict(h), [], 2048))
+    h = {1040: 600, 550: 600, 530: 600, 470: 1200}
+    assert fewest(h) == 900 < alone(h)
+    assert fewest({900: 500, 600: 500, 540: 500}) == 500
+    lengths = np.random.default_rng(2).choice([1040, 550, 530, 470, 333, 700], 3000)
+    h = {int(k): int(v) for k, v in Counter(lengths.tolist()).items()}
+    groups = packing.plan(h, 2048)
+    placed = Counter()
+    for many, items in groups:
+        assert sum(n * a for n, a in items) <= 2048
+        for n, a in items:
+            placed[n] += many * a
+    assert placed == h and sum(m for m, _ in groups) < 0.95 * alone(h)
+
+
+def test_topk_of_large_components(spark):
+    rows = [(0, [1e300, 1.0]), (50, [2.0**21, -1.0]), (100, [-(2.0**21), 3.0]), (1, [2.0**20, 0.5]), (2, [1.0, 2.0]), (3, [3.0e38, 0.0]), (4, [-5.0, 1e9])]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    ints = {v: [int(np.floor(256 * x)) for x in e] for v, e in rows}
+    ints = {v: e for v, e in ints.items() if sum(x * x for x in e) <= 2**62}
+    assert set(ints) == {50, 100, 1, 2}
+    want = []
+    for q in (50, 100):
+        scored = sorted((-sum(a * b for a, b in zip(ints[q], e)), v) for v, e in ints.items() if v != q)
+        want += [(q, k + 1, v, -s) for k, (s, v) in enumerate(scored)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
