@@ -23,15 +23,24 @@ def prompt(language: str, requirements: dict[str, str]) -> str:
 
 
 def enriched(chunks: DataFrame, model: Callable[[pd.Series], pd.DataFrame]) -> DataFrame:
-    """chunks with the fields of ENRICHMENT and a status; a batch that fails marks its chunks, not the job."""
+    """chunks with the fields of ENRICHMENT and a status. A batch that fails is tried row by row, and a row that fails
+    says so in its status and doesn't end the job."""
+
+    def answers(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        try:
+            out = model(frame["content"])
+            yield frame.assign(**{c: out[c].values for c in out.columns}, status="ok")
+        except Exception as e:  # noqa: BLE001
+            if len(frame) == 1:
+                yield frame.assign(status=f"failed: {e}")
+            else:
+                for k in range(len(frame)):
+                    yield from answers(frame.iloc[k : k + 1])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            try:
-                out = model(frame["content"])
-                yield frame.assign(**{c: out[c].values for c in out.columns}, status="ok")
-            except Exception as e:  # noqa: BLE001
-                yield frame.assign(status=f"failed: {e}")
+            if len(frame):
+                yield from answers(frame)
 
     fields = [x.split(" ")[0] for x in ENRICHMENT.split(", ")]
     base = chunks.drop(*fields, "status")

@@ -177,6 +177,7 @@ SELECT query_id, doc_id, score, rank FROM (SELECT *, (row_number() OVER (PARTITI
         # Whatever the cuts are: no chunk is over the limit, and no text is lost.
         "chunk_budget": rf"SELECT doc_id, true AS within, len({tok('text')})::bigint AS n_tokens, sha256(regexp_replace(text, '\s+', '', 'g')) AS digest FROM documents WHERE len(string_split(text, chr(10))) > 0 AND regexp_replace(text, '\n', '', 'g') <> ''",
         "search_keyword": f"{BASE}, {sparse(5)} {HIT} sp",
+        "index_changes": f"WITH documents AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 5 = 0 THEN text || chr(10) || 'changed since' ELSE text END AS text FROM main.documents WHERE doc_id % 7 <> 0), {FX} SELECT id, source, chunk_index, total_chunks FROM fx",
         "index_increment": f"{BASE}, {sparse(5)} {HIT} sp",
         "hybrid_candidates": f"{BASE}, {DENSE_BASE}, {sparse(30)}, {dense(30)}, {HYBRID} SELECT * FROM hy",
         "search_hybrid": f"{BASE}, {DENSE_BASE}, {sparse(30)}, {dense(30)}, {HYBRID}, {rerank('hy', 5, T)} {SHOWN}",

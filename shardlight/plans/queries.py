@@ -13,7 +13,7 @@ from ..operators import convert, enrich, evaluate, filters, retrieve, tools
 from ..session import SETTINGS, table, workspace
 from ..sources import documents as src
 from ..sources.segments import Index
-from ..streaming.index import index_stream
+from ..streaming.index import index_stream, sync
 from . import fixture
 
 MODES = ["sparse", "dense", "hybrid"]
@@ -250,6 +250,26 @@ def index_increment(spark, d):
     return tools.Collection(spark, f"{at}/index").sparse(_queries(spark, d), 5).select("query_id", "id", "score", "rank")
 
 
+def index_changes(spark, d):
+    """An index that is brought in line with a listing: every seventh document of its first state is no longer listed,
+    every fourth was not there, and every fifth changed since, by time and last line."""
+    at = f"{workspace(spark)}/shardlight-sync/{uuid.uuid4().hex}"
+    docs = _docs(spark, d).select("doc_id", "lang", "source", "text").withColumn("source", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
+
+    def chunk(rows):
+        made = fixture.line_chunks(rows.select("doc_id", "lang", F.regexp_replace("source", "/[0-9]*$", "").alias("source"), "text"))
+        return made.drop("modified_at").join(rows.select("doc_id", "modified_at"), "doc_id")
+
+    old = docs.withColumn("modified_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    changed = F.col("doc_id") % 5 == 0
+    now = old.withColumn("modified_at", F.when(changed, F.lit("2024-02-01").cast("timestamp_ntz")).otherwise(F.col("modified_at")))
+    now = now.withColumn("text", F.when(changed, F.concat("text", F.lit("\nchanged since"))).otherwise(F.col("text")))
+    own = Index(spark, at)
+    sync(old.where("doc_id % 4 <> 0"), own, chunk)
+    sync(now.where("doc_id % 7 <> 0"), own, chunk)
+    return own.read().select("id", "source", "chunk_index", "total_chunks")
+
+
 def hybrid_candidates(spark, d):
     return _collection(spark, d).candidates(_queries(spark, d)).select("query_id", "id", "from_dense", "from_sparse")
 
@@ -412,7 +432,7 @@ def svc_rate_window(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         src_documents, src_batches, src_modified_at, src_basename, scan_all, scan_by_id, sink_upsert, conv_html_items, conv_html_blocks, conv_html_chunks, conv_text_items, conv_tree_items, chunk_pack, chunk_budget, chunk_ordinals, chunk_contextualize, chunk_page_min, chunk_content_types, chunk_id, agg_chunk_counts,
-        enrich_keywords, enrich_entities, enrich_structured, enrich_failure_split, embed_text, embed_dense_hash, sparse_postings, sparse_idf, search_semantic, search_keyword, index_increment, hybrid_candidates, search_hybrid, semantic_search, keyword_search, filtered_search, rerank_topk, rerank_threshold, find_related, related_chunks, find_related_passages, agg_seed_entities,
+        enrich_keywords, enrich_entities, enrich_structured, enrich_failure_split, embed_text, embed_dense_hash, sparse_postings, sparse_idf, search_semantic, search_keyword, index_increment, index_changes, hybrid_candidates, search_hybrid, semantic_search, keyword_search, filtered_search, rerank_topk, rerank_threshold, find_related, related_chunks, find_related_passages, agg_seed_entities,
         read_chunk, read_neighbors, read_neighbors_window, prj_search_hit, prj_snippet, prj_source_url, prj_hint, fn_scalars, golden_min_chars, golden_sample, golden_build, golden_explode, eval_report, agg_batch_summary, svc_rate_window,
     ]
     found = {f.__name__: f for f in named}

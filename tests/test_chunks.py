@@ -120,7 +120,7 @@ def test_tokens_of_a_model_are_not_cut_apart(spark):
 
 def test_pages_as_chunks_equal_the_slow_version(spark):
     d = "/root/testdata/sf0.001"
-    items = {r.page_id: r["items"] for r in convert.collected(convert.html_items(spark.read.parquet(f"{d}/pages.parquet")), "page_id").collect()}
+    items = {r.page_id: r["items"] for r in convert.collected(convert.html_blocks(spark.read.parquet(f"{d}/pages.parquet")), "page_id").collect()}
     got = {}
     for x in queries.conv_html_chunks(spark, d).orderBy("page_id", "chunk_index").collect():
         got.setdefault(x.page_id, []).append(x)

@@ -6,15 +6,16 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from shardlight.operators import blockmax, bounded, tools
+from shardlight.operators import blockmax, bounded, enrich, tools
 from shardlight.operators.filters import Filter
 from shardlight.plans import fixture
 from shardlight.sources import segments
 from shardlight.sources.segments import Index
-from shardlight.streaming.index import batch_states, index_stream
+from shardlight.streaming.index import Queue, batch_states, changes, index_stream, index_with_retries, sync
 
 DOC = "doc_id long, lang string, source string, text string"
 
@@ -251,3 +252,58 @@ def test_a_stream_fills_what_is_searched(spark, tmp_path):
     assert sorted(r.content for r in c.chunks.collect()) == ["w0 w5", "w9 alone"]
     assert [r.status for r in batch_states(spark.read.parquet(str(tmp_path / "status"))).collect()] == ["ok", "ok"]
     assert len(found(c, [(1, "w0")], 5, spark)) == 1 and found(c, [(1, "w2")], 5, spark) == []
+
+
+def test_a_document_that_failed_is_indexed_by_the_next_run(spark, tmp_path):
+    docs = documents(spark, [(1, "good one"), (2, "bad words"), (3, "good three")]).withColumn("source", F.concat(F.lit("s/"), F.col("doc_id").cast("string")))
+    index, works = Index(spark, str(tmp_path / "i")), []
+
+    def chunk(rows):
+        made = fixture.line_chunks(rows.withColumn("source", F.lit("s")))
+        broken = F.col("content").startswith("bad") & F.lit("fixed" not in works) | F.col("content").startswith("never")
+        return made.withColumn("status", F.when(broken, F.lit("no answer")).otherwise(F.lit("ok")))
+
+    def run(rows=None, chunk_=chunk):
+        if rows is not None:
+            rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
+        index_with_retries(stream, index, str(tmp_path / "at"), chunk_, str(tmp_path / "queue"), most=3).awaitTermination()
+        return sorted(r.content for r in index.read().collect()), sorted((r.source, r.attempts, r.error) for r in Queue(docs, str(tmp_path / "queue")).read().collect())
+
+    assert run(docs) == (["good one", "good three"], [("s/2", 1, "no answer")])
+    other = docs.where("doc_id = 3").withColumns({"doc_id": F.lit(4).cast("long"), "source": F.lit("s/4"), "text": F.lit("never good")})
+    assert run(other) == (["good one", "good three"], [("s/2", 2, "no answer"), ("s/4", 1, "no answer")])
+    works.append("fixed")
+    third = docs.where("doc_id = 1").withColumn("text", F.lit("good again"))
+    assert run(third) == (["bad words", "good again", "good three"], [("s/4", 2, "no answer")])
+
+    def fails(rows):
+        raise ValueError("all of it")
+
+    fifth = docs.where("doc_id = 3").withColumn("text", F.lit("good later"))
+    assert run(fifth, fails) == (["bad words", "good again", "good three"], [("s/3", 1, "all of it"), ("s/4", 3, "all of it")])
+    sixth = docs.where("doc_id = 1").withColumn("text", F.lit("good end"))
+    assert run(sixth) == (["bad words", "good end", "good later"], [("s/4", 3, "all of it")])  # used up its attempts
+
+
+def test_changes_by_source_and_time(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(r, "doc_id long, lang string, source string, text string, at string").withColumn("modified_at", F.col("at").cast("timestamp_ntz")).drop("at")
+    chunk = lambda r: fixture.line_chunks(r.withColumn("source", F.lit("s"))).drop("modified_at").join(r.select("doc_id", "modified_at"), "doc_id")
+    index = Index(spark, str(tmp_path / "i"))
+    sync(rows((1, "en", "s/1", "a\nb", "2024-01-01"), (2, "en", "s/2", "c", "2024-01-01"), (3, "en", "s/3", "d", "2024-01-01")), index, chunk)
+    now = rows((1, "en", "s/1", "a", "2024-01-02"), (2, "en", "s/2", "unseen as its time is the same", "2024-01-01"), (4, "en", "s/4", "e", "2023-01-01"))
+    fresh, stale = changes(now, index)
+    assert sorted(r.source for r in fresh.collect()) == ["s/1", "s/4"] and [r.source for r in stale.collect()] == ["s/3"]
+    sync(now, index, chunk)
+    assert sorted((r.source, r.content) for r in index.read().collect()) == [("s/1", "a"), ("s/2", "c"), ("s/4", "e")]
+    assert [x.count() for x in changes(now, index)] == [0, 0]
+
+
+def test_one_bad_row_fails_alone(spark):
+    def model(contents):
+        if (contents == "bad").any():
+            raise RuntimeError("no answer")
+        return pd.DataFrame({"context": contents})
+
+    rows = spark.createDataFrame([(str(k), "bad" if k == 3 else "fine") for k in range(8)], "id string, content string").coalesce(1)
+    assert {r.id: r.status for r in enrich.enriched(rows, model).collect()} == {str(k): "failed: no answer" if k == 3 else "ok" for k in range(8)}
