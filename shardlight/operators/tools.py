@@ -114,8 +114,7 @@ class Collection:
 
     def filtered_search(self, queries: DataFrame, filter_: Filter, before: int = 30, after: int = 5) -> DataFrame:
         """The filter holds in both branches, before their top-k."""
-        allowed = self.chunks.where(filter_.predicate()).select("no")
-        return self._found(self._candidates(queries, within("top_k_before", before, 20, 60), allowed), queries, after)
+        return self._found(self._candidates(queries, within("top_k_before", before, 20, 60), self.state.allowed(filter_)), queries, after)
 
     def find_related(self, seeds: DataFrame, queries: DataFrame, before: int = 30, after: int = 5) -> DataFrame:
         """Dense search among chunks that share an entity with the seeds (id), which are left out."""

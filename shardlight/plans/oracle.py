@@ -209,4 +209,5 @@ greatest(doc_id - 5, 0) AS clipped, len(list_distinct(string_split(text, ' '))):
         "svc_rate_window": "SELECT user_id, date_trunc('second', ts) AS second, count(*) AS requests, count(*) > 1 AS limited FROM events GROUP BY 1, 2",
     }
     out |= {name: fx("id, source, chunk_index", f"WHERE {predicate(**f)}") for name, f in FILTERS.items()}
+    out |= {f"{name}_indexed": out[name] for name in FILTERS}
     return out | {f"eval_{m}": f"{ALL} SELECT mode, round({m}, 6) AS score FROM mt" for m in ("recall_single", "recall_multi", "mrr", "map")}

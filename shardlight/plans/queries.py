@@ -220,6 +220,16 @@ def _filtered(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def _indexed(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The same from the index's bitmaps of values."""
+
+    def query(spark, d):
+        c = _collection(spark, d)
+        return c.state.allowed(filters.Filter(**FILTERS[name])).join(c.chunks, "no").select("id", "source", "chunk_index")
+
+    return query
+
+
 # Retrieval
 
 
@@ -436,5 +446,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         read_chunk, read_neighbors, read_neighbors_window, prj_search_hit, prj_snippet, prj_source_url, prj_hint, fn_scalars, golden_min_chars, golden_sample, golden_build, golden_explode, eval_report, agg_batch_summary, svc_rate_window,
     ]
     found = {f.__name__: f for f in named}
-    found |= {name: _filtered(name) for name in FILTERS}
+    found |= {name: _filtered(name) for name in FILTERS} | {f"{name}_indexed": _indexed(name) for name in FILTERS}
     return found | {f"eval_{m}": _metric(m) for m in ("recall_single", "recall_multi", "mrr", "map")}

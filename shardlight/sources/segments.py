@@ -1,7 +1,7 @@
 """An index in immutable segments, which is searched as it grows.
 
 A segment holds the chunks of one write, numbered in the order of their ids, and by number their vectors, postings
-(blockmax) and entities; it is never changed. Chunks that a later write replaces or deletes are listed as gone, with what they take
+(blockmax), entities and values to filter by; it is never changed. Chunks that a later write replaces or deletes are listed as gone, with what they take
 from the collection's statistics. A commit is one small file with the next number: the segments, the lists of what is
 gone, and the totals. So a reader has one state of everything, whatever is written meanwhile, and a crash leaves the
 last commit as it was. Statistics are those of the whole collection at each commit: document frequencies are summed
@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.text import embed_text, tokens
 from ..operators import blockmax, bounded, enrich
-from ..operators.filters import ENTITY_FIELDS
+from ..operators.filters import ENTITY_FIELDS, Filter
 from ..operators.retrieve import usable
 from ..session import SETTINGS, Settings
 from .documents import latest
@@ -84,6 +84,27 @@ def entities_of_chunk(columns: list[str]) -> Column:
     return F.filter(F.array_distinct(F.flatten(F.array(*kinds))), lambda x: x.isNotNull()) if kinds else none
 
 
+#: The values of a segment: for each and range of numbers, which chunks have it, as bits in words of 64.
+WORDS = [f"w{k}" for k in range(blockmax.RANGE // 64)]
+VALUES = "field string, value string, day date, at timestamp_ntz, range long, " + ", ".join(f"{w} long" for w in WORDS)
+
+
+def values_of(chunks: DataFrame) -> DataFrame:
+    """VALUES of chunks: what a Filter may ask for. Null elements are no values, text that is no day is no day."""
+    none = [F.lit(None).cast("string").alias("value"), F.lit(None).cast("date").alias("day"), F.lit(None).cast("timestamp_ntz").alias("at")]
+    lists = {f: F.col(f) for f in ("keywords", "content_types") if f in chunks.columns} | {"entities": entities_of_chunk(chunks.columns)}
+    frames = [chunks.select("no", F.lit(f).alias("field"), F.explode(F.array_distinct(c)).alias("value"), *none[1:]).where("value is not null") for f, c in lists.items()]
+    if "dates" in chunks.columns:
+        days = chunks.select("no", F.lit("dates").alias("field"), none[0], F.explode(F.array_distinct(F.transform("dates", lambda x: x.try_cast("date")))).alias("day"), none[2])
+        frames.append(days.where("day is not null"))
+    if "modified_at" in chunks.columns:
+        frames.append(chunks.where("modified_at is not null").select("no", F.lit("modified_at").alias("field"), none[0], none[1], F.col("modified_at").cast("timestamp_ntz").alias("at")))
+    place = F.col("no").bitwiseAND(F.lit(blockmax.RANGE - 1)).cast("int")
+    bit = F.expr(f"shiftleft(1L, cast((no & {blockmax.RANGE - 1}) % 64 as int))")
+    words = [F.bit_or(F.when(F.floor(place / 64) == k, bit).otherwise(F.lit(0).cast("long"))).alias(w) for k, w in enumerate(WORDS)]
+    return union(frames).groupBy("field", "value", "day", "at", F.shiftright("no", blockmax.RANGE_BITS).alias("range")).agg(*words)
+
+
 class Snapshot:
     """The index as one commit has it."""
 
@@ -127,6 +148,21 @@ class Snapshot:
         known = self.chunks().join(seeds.select("id"), "id", "left_semi").select("no")
         return self.entities().join(own.select("entity").distinct(), "entity", "left_semi").select("no").distinct().join(known, "no", "left_anti")
 
+    def allowed(self, filter_: Filter) -> DataFrame:
+        """no of the chunks that a filter leaves, from the bits of its values: those of a condition are joined by or,
+        conditions by and. Chunks are not read."""
+        conditions = filter_.conditions()
+        if not conditions:
+            return self.live(self.ids().select("no"))
+        values, met = self._read("values", VALUES), None
+        for c in conditions:
+            own = values.where(c).groupBy("range").agg(*(F.bit_or(w).alias(w) for w in WORDS))
+            met = own if met is None else met.join(own.select("range", *(F.col(w).alias(f"_{w}") for w in WORDS)), "range").select("range", *(F.col(w).bitwiseAND(F.col(f"_{w}")).alias(w) for w in WORDS))
+        word = f"element_at(array({', '.join(WORDS)}), cast(i div 64 as int) + 1)"
+        places = F.expr(f"filter(sequence(0, {blockmax.RANGE - 1}), i -> (shiftright({word}, cast(i % 64 as int)) & 1) = 1)")
+        each = met.select("range", F.explode(places).alias("place"))
+        return self.live(each.select((F.shiftleft("range", blockmax.RANGE_BITS) + F.col("place")).alias("no")))
+
     def vectors(self, segments: list[dict] | None = None) -> DataFrame:
         """no, embedding of the chunks whose vectors can be compared."""
         return self.live(bounded.vectors_of(self._read("vectors", bounded.CLUSTERS, segments)))
@@ -317,6 +353,7 @@ class Index:
         # Sorted by value and number, so that an entity of very many chunks lies in many files, and a rare one in one.
         tags = chunks.select(F.explode(entities_of_chunk(chunks.columns)).alias("entity"), "no")
         tags.repartitionByRange("entity", "no").sortWithinPartitions("entity", "no").write.parquet(f"{at}/entities")
+        values_of(chunks).repartitionByRange("field", "value", "day", "at", "range").sortWithinPartitions("field", "value", "day", "at", "range").write.parquet(f"{at}/values")
         made_ = blockmax.blocks(texts.select("no", tokens(F.col("text")).alias("tokens")))
         made_.sortWithinPartitions("part", "term", "range").write.options(**WHOLE).parquet(f"{at}/postings")
         written = self.spark.read.schema(blockmax.BLOCKS).parquet(f"{at}/postings")

@@ -307,3 +307,27 @@ def test_one_bad_row_fails_alone(spark):
 
     rows = spark.createDataFrame([(str(k), "bad" if k == 3 else "fine") for k in range(8)], "id string, content string").coalesce(1)
     assert {r.id: r.status for r in enrich.enriched(rows, model).collect()} == {str(k): "failed: no answer" if k == 3 else "ok" for k in range(8)}
+
+
+def test_bitmaps_leave_what_the_predicate_leaves(spark, tmp_path, small_parts):
+    r = random.Random(9)
+    some = lambda *values: r.choice([None, [], [None], *([v] for v in values), list(values[:2]), [values[0], None]])
+    rows = []
+    for k in range(150):
+        at = r.choice([None, "2024-01-31T23:59:59", "2024-01-31T23:59:59.500000", "2024-02-01T00:00:00", "2023-05-05T12:00:00"])
+        rows.append((f"id{k:03}", "s", f"w{k}", ["h"], some("x", "y"), some("2024-01-01", "2024-13-45", "2019-01-01", "soon", "2030-01-01"), some("text", "table"), some("p", "q"), some("p"), some("z"), some("q", "z"), at))
+    names = "id string, source string, content string, headings array<string>, keywords array<string>, dates array<string>, content_types array<string>, ent_persons array<string>, ent_organizations array<string>, ent_products array<string>, ent_locations array<string>, at string"
+    chunks = spark.createDataFrame(rows, names).withColumn("modified_at", F.col("at").cast("timestamp_ntz")).drop("at")
+    index = Index(spark, str(tmp_path / "i"))
+    index.upsert(chunks)
+    index.upsert(chunks.where("id < 'id020'").withColumn("keywords", F.array(F.lit("y"))))
+    c = tools.Collection(spark, str(tmp_path / "i"))
+    for own in ({}, {"keywords": ["x"]}, {"keywords": ["y", "none"], "content_types": ["text"]}, {"entities": ["p", "z"]}, {"date_from": "2024-01-01"}, {"date_from": "2020-01-01", "date_to": "2025-01-01"}, {"modified_to": "2024-01-31"}, {"modified_from": "2024-01-31", "modified_to": "2024-02-01"}, {"entities": ["q"], "keywords": ["y"], "modified_from": "2023-01-01"}, {"keywords": ["none"]}):
+        filter_ = Filter(**own)
+        want = sorted(x.no for x in c.chunks.where(filter_.predicate()).select("no").collect())
+        got = [x.no for x in c.state.allowed(filter_).collect()]
+        assert sorted(got) == want, own
+    with pytest.raises(ValueError):
+        c.state.allowed(Filter(date_from="soon"))
+    plan = c.state.allowed(Filter(keywords=["x"]))._jdf.queryExecution().toString()
+    assert "/values" in plan and "/chunks" not in plan
