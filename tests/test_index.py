@@ -330,4 +330,4 @@ def test_bitmaps_leave_what_the_predicate_leaves(spark, tmp_path, small_parts):
     with pytest.raises(ValueError):
         c.state.allowed(Filter(date_from="soon"))
     plan = c.state.allowed(Filter(keywords=["x"]))._jdf.queryExecution().toString()
-    assert "/values" in plan and "/chunks" not in plan
+    assert "w0:bigint" in plan and "content:string" not in plan
