@@ -8,9 +8,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import embed_text, signed_url, snippet, source_url, tokens
+from ..functions.text import signed_url, snippet, source_url
 from ..session import SETTINGS, Settings
-from ..sources.segments import META, Index, weighed
+from ..sources.segments import Index, chunk_terms, query_terms, weighed
 from . import blockmax, enrich, retrieve
 from .filters import Filter
 
@@ -52,12 +52,15 @@ class Collection:
             return retrieve.ranked(hits.select("query_id", "no", "score"), k, id_="no")
         return retrieve.ranked(hits.join(self.state.ids(), "no").select("query_id", "no", "id", "score"), k, id_="id").drop("id")
 
+    def _terms(self, queries: DataFrame) -> DataFrame:
+        return query_terms(queries, self.state.commit["analysis"])
+
     def _dense(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
         asked = queries.select("query_id", self.embed(F.col("query")).alias("embedding"))
         return self._top(self.state.dense(asked, k, allowed)[0], k)
 
     def _sparse(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-        return self._top(self.state.sparse(retrieve.query_terms(queries), k, allowed)[0], k)
+        return self._top(self.state.sparse(self._terms(queries), k, allowed)[0], k)
 
     def _candidates(self, queries: DataFrame, before: int, allowed: DataFrame | None = None) -> DataFrame:
         return retrieve.hybrid(self._dense(queries, before, allowed), self._sparse(queries, before, allowed), "no")
@@ -72,7 +75,7 @@ class Collection:
 
     def reads(self, queries: DataFrame, k: int) -> DataFrame:
         """query_id, held, read: the postings of the query's terms, and how many of them a search for k reads."""
-        return self.state.sparse(retrieve.query_terms(queries), k)[1]
+        return self.state.sparse(self._terms(queries), k)[1]
 
     def multiplied(self, queries: DataFrame, k: int) -> DataFrame:
         """query_id, held, read: the vectors there are, and how many of them a search for k multiplies."""
@@ -86,8 +89,8 @@ class Collection:
         """The chunks of the best candidates with query_id, score, rank."""
         rows = candidates.select("query_id", "no").join(self.chunks, "no")
         if self.rerank is None:
-            asked = weighed(retrieve.query_terms(queries), self.state)
-            own = tokens(embed_text([F.col(c) for c in META], F.col("content")))
+            asked = weighed(self._terms(queries), self.state)
+            own = chunk_terms(self.state.schema.names, self.state.commit["analysis"])
             add = lambda a, x: a + x["idf"]
             share = F.try_divide(F.aggregate(F.filter("terms", lambda x: F.array_contains("_own", x["term"])), F.lit(0.0), add), F.aggregate("terms", F.lit(0.0), add))
             scored = rows.withColumn("_own", F.array_distinct(own)).join(asked, "query_id", "left").withColumn("score", F.round(F.coalesce(share, F.lit(0.0)), 6)).drop("_own", "terms")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ENTITY, chunk_id
 from ..operators.filters import ENTITY_FIELDS
-from ..operators.tools import Collection, index
+from ..operators.tools import Collection
 from ..session import table, workspace
+from ..sources.segments import Index
 
 
 def line_chunks(docs: DataFrame) -> DataFrame:
@@ -24,14 +25,14 @@ def line_chunks(docs: DataFrame) -> DataFrame:
     return full.withColumn("id", chunk_id(F.col("source"), F.col("chunk_index"), F.col("content")))
 
 
-_INDEXED: dict[tuple[str, str], str] = {}
+_INDEXED: dict[tuple[str, str, str], str] = {}
 
 
-def collection(spark: SparkSession, sf_dir: str) -> Collection:
+def collection(spark: SparkSession, sf_dir: str, analysis: str = "plain") -> Collection:
     """The index of the chunks of sf_dir: written once in a session, and then read by every search."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, analysis)
     if key not in _INDEXED:
         path = f"{workspace(spark)}/shardlight-index/{'-'.join(key).replace('/', '_').replace(':', '_')}"
-        index(line_chunks(table(spark, sf_dir, "documents")), path)
+        Index(spark, path, analysis=analysis).replace(line_chunks(table(spark, sf_dir, "documents")))
         _INDEXED[key] = path
     return Collection(spark, _INDEXED[key])

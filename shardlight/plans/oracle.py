@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.analysis import STOP_WORDS, pattern
 from ..operators.convert import ITEM, LABELS, REFERENCES
 from ..session import SETTINGS
 from .queries import FILTERED, FILTERS
@@ -13,6 +14,12 @@ def tok(c: str) -> str:
     return _TOK.format(c)
 
 
+def _by_language(c: str) -> str:
+    """The tokens of c in the terms of lang."""
+    own = lambda n, words: f"WHEN '{n}' THEN list_transform(list_filter({tok(c)}, lambda x: x NOT IN ({', '.join(repr(w) for w in words)})), lambda x: regexp_replace(x, '{pattern(n)}', '\\1'))"
+    return f"CASE lang {' '.join(own(n, w) for n, w in STOP_WORDS.items())} ELSE {tok(c)} END"
+
+
 _META = r"""[lang] AS headings, (chunk_index // 5)::int AS page_number,
  CASE WHEN chunk_index % 7 = 0 THEN ['table', 'text'] ELSE ['text'] END AS content_types,
  TIMESTAMP '2024-01-01 00:00:00' + to_days((doc_id % 90)::int) + INTERVAL 86399 SECOND + to_milliseconds(((doc_id // 90) % 2) * 500) AS modified_at,
@@ -177,6 +184,7 @@ SELECT query_id, doc_id, score, rank FROM (SELECT *, (row_number() OVER (PARTITI
         # Whatever the cuts are: no chunk is over the limit, and no text is lost.
         "chunk_budget": rf"SELECT doc_id, true AS within, len({tok('text')})::bigint AS n_tokens, sha256(regexp_replace(text, '\s+', '', 'g')) AS digest FROM documents WHERE len(string_split(text, chr(10))) > 0 AND regexp_replace(text, '\n', '', 'g') <> ''",
         "search_keyword": f"{BASE}, {sparse(5)} {HIT} sp",
+        "search_keyword_language": f"WITH RECURSIVE {POST.replace(tok('text') + ' AS t FROM et', _by_language('text') + ' AS t FROM et JOIN (SELECT id, lang FROM fx) USING (id)')}, {_SAID.replace('query_id, content AS query', 'query_id, lang, content AS query').replace(' AND len(ents) > 0', '').replace(tok('query'), _by_language('query'))}, {sparse(5)} {HIT} sp",
         "index_changes": f"WITH documents AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 5 = 0 THEN text || chr(10) || 'changed since' ELSE text END AS text FROM main.documents WHERE doc_id % 7 <> 0), {FX} SELECT id, source, chunk_index, total_chunks FROM fx",
         "index_increment": f"{BASE}, {sparse(5)} {HIT} sp",
         "hybrid_candidates": f"{BASE}, {DENSE_BASE}, {sparse(30)}, {dense(30)}, {HYBRID} SELECT * FROM hy",

@@ -245,6 +245,12 @@ def search_keyword(spark, d):
     return _collection(spark, d).sparse(_queries(spark, d), 5).select("query_id", "id", "score", "rank")
 
 
+def search_keyword_language(spark, d):
+    """BM25 by the stems and stop words of each document's language, for the first chunk of every twentieth document."""
+    own = _chunks(spark, d).where("doc_id % 20 = 0 and chunk_index = 0").select(F.col("doc_id").alias("query_id"), F.col("content").alias("query"), "lang")
+    return fixture.collection(spark, d, "language").sparse(own, 5).select("query_id", "id", "score", "rank")
+
+
 def index_increment(spark, d):
     """Keyword search in an index that grew by a stream: first came all documents, of every fifth an older version with
     another last line, then these again as they are now."""
@@ -442,7 +448,7 @@ def svc_rate_window(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         src_documents, src_batches, src_modified_at, src_basename, scan_all, scan_by_id, sink_upsert, conv_html_items, conv_html_blocks, conv_html_chunks, conv_text_items, conv_tree_items, chunk_pack, chunk_budget, chunk_ordinals, chunk_contextualize, chunk_page_min, chunk_content_types, chunk_id, agg_chunk_counts,
-        enrich_keywords, enrich_entities, enrich_structured, enrich_failure_split, embed_text, embed_dense_hash, sparse_postings, sparse_idf, search_semantic, search_keyword, index_increment, index_changes, hybrid_candidates, search_hybrid, semantic_search, keyword_search, filtered_search, rerank_topk, rerank_threshold, find_related, related_chunks, find_related_passages, agg_seed_entities,
+        enrich_keywords, enrich_entities, enrich_structured, enrich_failure_split, embed_text, embed_dense_hash, sparse_postings, sparse_idf, search_semantic, search_keyword, search_keyword_language, index_increment, index_changes, hybrid_candidates, search_hybrid, semantic_search, keyword_search, filtered_search, rerank_topk, rerank_threshold, find_related, related_chunks, find_related_passages, agg_seed_entities,
         read_chunk, read_neighbors, read_neighbors_window, prj_search_hit, prj_snippet, prj_source_url, prj_hint, fn_scalars, golden_min_chars, golden_sample, golden_build, golden_explode, eval_report, agg_batch_summary, svc_rate_window,
     ]
     found = {f.__name__: f for f in named}

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.analysis import terms as language_terms
 from ..functions.text import embed_text, tokens
 from ..operators import blockmax, bounded, enrich
 from ..operators.filters import ENTITY_FIELDS, Filter
@@ -84,6 +85,18 @@ def entities_of_chunk(columns: list[str]) -> Column:
     return F.filter(F.array_distinct(F.flatten(F.array(*kinds))), lambda x: x.isNotNull()) if kinds else none
 
 
+def chunk_terms(columns: list[str], analysis: str) -> Column:
+    """What of a chunk is indexed: the tokens of its metadata and content, by its lang if the analysis is by language."""
+    text = embed_text([F.col(c) for c in META], F.col("content"))
+    return language_terms(text, F.col("lang")) if analysis == "language" and "lang" in columns else tokens(text)
+
+
+def query_terms(queries: DataFrame, analysis: str) -> DataFrame:
+    """query_id, term: the distinct terms of queries (query_id, query and, for an analysis by language, lang)."""
+    own = language_terms(F.col("query"), F.col("lang")) if analysis == "language" and "lang" in queries.columns else tokens(F.col("query"))
+    return queries.select("query_id", F.explode(F.array_distinct(own)).alias("term"))
+
+
 #: The values of a segment: for each and range of numbers, which chunks have it, as bits in words of 64.
 WORDS = [f"w{k}" for k in range(blockmax.RANGE // 64)]
 VALUES = "field string, value string, day date, at timestamp_ntz, range long, " + ", ".join(f"{w} long" for w in WORDS)
@@ -263,10 +276,15 @@ class Snapshot:
 class Index:
     """The index at path, as its writers see it. Rows are chunks: id, source, content, META and more."""
 
-    def __init__(self, spark: SparkSession, path: str, embed: enrich.Embedder | None = None, settings: Settings = SETTINGS, most: int = 8):
+    def __init__(self, spark: SparkSession, path: str, embed: enrich.Embedder | None = None, settings: Settings = SETTINGS, most: int = 8, analysis: str = "plain"):
+        """analysis: plain, or language, by the column lang of chunks and queries; that of the first commit holds."""
+        if analysis not in ("plain", "language"):
+            raise ValueError(f"no such analysis: {analysis}")
         self.spark, self.path, self.settings, self.most = spark, path.rstrip("/"), settings, most
         self.embed = embed or (lambda text: enrich.hashed_vector(text, settings.embedding_dim))
         self.commits = Commits(spark, self.path)
+        last = self.commits.read(self.commits.version())
+        self.analysis = last["analysis"] if last else analysis
 
     def version(self) -> int:
         return self.commits.version()
@@ -354,7 +372,7 @@ class Index:
         tags = chunks.select(F.explode(entities_of_chunk(chunks.columns)).alias("entity"), "no")
         tags.repartitionByRange("entity", "no").sortWithinPartitions("entity", "no").write.parquet(f"{at}/entities")
         values_of(chunks).repartitionByRange("field", "value", "day", "at", "range").sortWithinPartitions("field", "value", "day", "at", "range").write.parquet(f"{at}/values")
-        made_ = blockmax.blocks(texts.select("no", tokens(F.col("text")).alias("tokens")))
+        made_ = blockmax.blocks(chunks.select("no", chunk_terms(chunks.columns, self.analysis).alias("tokens")))
         made_.sortWithinPartitions("part", "term", "range").write.options(**WHOLE).parquet(f"{at}/postings")
         written = self.spark.read.schema(blockmax.BLOCKS).parquet(f"{at}/postings")
         written.where("term <> ''").groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{at}/terms")
@@ -370,14 +388,14 @@ class Index:
         at = f"{self.path}/gone/{name}"
         numbers.write.parquet(f"{at}/numbers")
         own = self.spark.read.schema("no long").parquet(f"{at}/numbers")
-        texts = snapshot._read("chunks", snapshot.schema).join(own, "no", "left_semi").select("no", tokens(embed_text([F.col(c) for c in META], F.col("content"))).alias("t"))
+        texts = snapshot._read("chunks", snapshot.schema).join(own, "no", "left_semi").select("no", chunk_terms(snapshot.schema.names, self.analysis).alias("t"))
         texts.select("no", F.size("t").alias("dl"), F.explode_outer(F.array_distinct("t")).alias("term")).groupBy("term").agg((-F.count(F.lit(1))).alias("df")).where("term is not null").write.parquet(f"{at}/terms")
         r = texts.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.size("t") > 0, 1)).alias("n"), F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("length")).first()
         return [{"name": name, **r.asDict()}] if r["rows"] else []
 
     def _commit(self, segments: list[dict], gone: list[dict], schema: StructType, following: int) -> dict:
         minus = lambda c: sum(s[c] for s in segments) - sum(g[c] for g in gone)
-        return {"segments": segments, "gone": [g["name"] for g in gone], "lists": gone, "n": minus("n"), "length": minus("length"), "rows": minus("rows"), "schema": json.loads(schema.json()), "next": following}
+        return {"segments": segments, "gone": [g["name"] for g in gone], "lists": gone, "n": minus("n"), "length": minus("length"), "rows": minus("rows"), "schema": json.loads(schema.json()), "next": following, "analysis": self.analysis}
 
     def _merged(self, commit: dict) -> dict:
         """The commit with its smallest segments made one, if it has more than most."""
