@@ -1,9 +1,9 @@
 """An index in immutable segments, which is searched as it grows.
 
 A segment holds the chunks of one write, numbered in the order of their ids, and by number their vectors, postings
-(blockmax), entities and values to filter by; it is never changed. Chunks that a later write replaces or deletes are listed as gone, with what they take
-from the collection's statistics. A commit is one small file with the next number: the segments, the lists of what is
-gone, and the totals. So a reader has one state of everything, whatever is written meanwhile, and a crash leaves the
+(blockmax), entities and values to filter by; it is never changed. Chunks that a later write replaces or deletes are
+listed as gone, with what they take from the collection's statistics. A commit is one small file with the next number:
+the segments, the lists of what is gone, and the totals. So a reader has one state of everything, whatever is written meanwhile, and a crash leaves the
 last commit as it was. Statistics are those of the whole collection at each commit: document frequencies are summed
 over segments and lists, and no weight is stored that a later write would change. Small segments are merged.
 """
@@ -376,7 +376,9 @@ class Index:
         made_.sortWithinPartitions("part", "term", "range").write.options(**WHOLE).parquet(f"{at}/postings")
         written = self.spark.read.schema(blockmax.BLOCKS).parquet(f"{at}/postings")
         written.where("term <> ''").groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{at}/terms")
-        heads = written.where("term = ''").groupBy("part").agg(F.sum("n").alias("n"), F.sum(F.expr("size(filter(tf, x -> x > 0))")).alias("full"), F.sum(F.expr("aggregate(tf, 0L, (a, x) -> a + x)")).alias("length")).collect()
+        heads = written.where("term = ''").groupBy("part").agg(F.sum("n").alias("n"), F.sum(F.expr("size(filter(tf, x -> x > 0))")).alias("full"), F.sum(F.expr("aggregate(tf, 0L, (a, x) -> a + x)")).alias("length"), (F.count(F.lit(1)) > F.countDistinct("range")).alias("torn")).collect()
+        if any(r["torn"] for r in heads):
+            raise RuntimeError("a part was read by more than one task: its file has more than one row group")
         if any(r["n"] > 1 << blockmax.PART_BITS for r in heads):
             raise RuntimeError("a part has more chunks than numbers")
         kept = StructType([f for f in numbered.schema.fields if f.name != "embedding"])
