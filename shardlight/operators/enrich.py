@@ -6,14 +6,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from ..functions.text import tokens
+from ..functions.text import TOKEN, tokens
 
 #: Fields of the enrichment of a chunk.
 ENRICHMENT = "context string, keywords array<string>, hypothetical_questions array<string>, dates array<string>, ent_persons array<string>, ent_organizations array<string>, ent_products array<string>, ent_locations array<string>"
+#: Terms whose idf is sent to the tasks, and chunks that a task weighs at once.
+COMMON, SLICE = 1 << 18, 1 << 10
 PROMPT = "Answer in {language}. Describe the chunk by the fields below.\n{requirements}"
 
 
@@ -91,14 +95,65 @@ def statistics(posted: DataFrame, id_: str = "doc_id") -> tuple[DataFrame, DataF
 
 
 def keywords(chunks: DataFrame, k: int = 5) -> DataFrame:
-    """id, rank, term, weight: the k terms of most tf * idf of each chunk."""
-    posted = postings(chunks.select("id", F.col("content").alias("text")), "id")
-    idf, _ = statistics(posted, "id")
-    from pyspark.sql import Window
-
-    scored = posted.join(idf, "term").withColumn("weight", F.round(F.col("tf") * F.col("idf"), 6))
+    """id, rank, term, weight: the k terms of most tf * idf of each chunk.
+
+    Postings are counted where their chunk is and never shuffled: the idf of the COMMON most frequent terms goes to the
+    tasks, which keep what can be among the k best. Only postings of the terms beyond these meet their idf by a join.
+    """
+    own = chunks.select("id", "content")
+    # Chunks of one id are one; the hashes tell cheaply whether there are such.
+    if not own.groupBy(F.xxhash64("id").alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        own = own.groupBy("id").agg(F.array_join(F.collect_list("content"), "\n").alias("content"))
+    listed = own.select("id", tokens(F.col("content")).alias("t"))
+    df = listed.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = own.where(F.regexp_like("content", F.lit(TOKEN))).count()
+    idf = df.withColumn("idf", F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))).persist(StorageLevel.DISK_ONLY)
+    common = idf.orderBy(F.desc("df"), "term").limit(COMMON + 1).select("term", "idf").toArrow()
+    few = common.num_rows <= COMMON
+    known_ = common.slice(0, COMMON).to_pydict()
+    # What the idf of the other terms is at least and at most.
+    low, high = (known_["idf"] or [0.0])[-1], float(np.log1p((n - 0.5) / 1.5)) if n else 0.0
+    sent = chunks.sparkSession.sparkContext.broadcast((dict(zip(known_["term"], known_["idf"])), low, high))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, low, high = sent.value
+        for batch in batches:
+            for first in range(0, batch.num_rows, SLICE):
+                part = batch.slice(first, SLICE)
+                lists = part.column(1)
+                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                coded = lists.flatten().dictionary_encode()
+                names, many = coded.dictionary, max(1, len(coded.dictionary))
+                keys, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * many + coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+                row, term = keys // many, keys % many
+                own = np.array([known.get(t, np.nan) for t in names.to_pylist()] or [np.nan])[term]
+                # What can't outweigh the k-th of a chunk is not among its k best.
+                least, most = tf * np.nan_to_num(own, nan=low), tf * np.nan_to_num(own, nan=high)
+                ends = np.searchsorted(row, np.arange(len(sizes) + 1))
+                by = np.lexsort((-least, row))
+                full = np.flatnonzero(np.diff(ends) >= k)
+                reach = np.full(len(sizes), -np.inf)
+                reach[full] = least[by][ends[full] + k - 1]
+                keep = most >= reach[row] - 1e-5
+                row, term, tf, own = row[keep], term[keep], tf[keep], own[keep]
+                rows = np.searchsorted(row, np.arange(len(sizes) + 1))
+                made = pa.StructArray.from_arrays([names.take(pa.array(term)).cast(pa.string()), pa.array(tf, pa.int64()), pa.array(own, pa.float64(), from_pandas=True)], names=["term", "tf", "idf"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(rows, pa.int32()), made)], names=["id", "x"])
+
+    kept = listed.mapInArrow(weigh, f"id {dict(own.dtypes)['id']}, x array<struct<term: string, tf: bigint, idf: double>>")
+    weighed = lambda x: F.struct((-F.round(x["tf"] * x["idf"], 6)).alias("less"), x["term"].alias("term"))
+    best = lambda c: F.slice(F.array_sort(F.transform(c, weighed)), 1, k)
+    shown = lambda rows: rows.select("id", (F.col("i") + 1).alias("rank"), "y.term", (-F.col("y.less")).alias("weight"))
+    if few:
+        return shown(kept.select("id", F.posexplode(best("x")).alias("i", "y")))
+    rare = F.exists("x", lambda x: x["idf"].isNull())
+    whole = shown(kept.where(~rare).select("id", F.posexplode(best("x")).alias("i", "y")))
+    each = kept.where(rare).select("id", F.explode("x").alias("x")).select("id", "x.*")
+    met = each.where("idf is null").drop("idf").join(idf.select("term", "idf"), "term").select("id", "term", "tf", "idf").unionByName(each.where("idf is not null"))
+    scored = met.select("id", "term", F.round(F.col("tf") * F.col("idf"), 6).alias("weight"))
     w = Window.partitionBy("id").orderBy(F.desc("weight"), "term")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "term", "weight")
+    rest = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "term", "weight")
+    return whole.unionByName(rest)
 
 
 @F.pandas_udf(ArrayType(DoubleType()))

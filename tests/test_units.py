@@ -1,6 +1,7 @@
 """Hand-built frames for what the tables do not show."""
 
 import datetime as dt
+import random
 
 import pandas as pd
 import pytest
@@ -254,3 +255,29 @@ def test_golden_files(spark, tmp_path):
     assert sorted(r.query for r in evaluate.read_golden(spark, str(tmp_path / "g")).collect()) == ["où est", "q"]
     (tmp_path / "one.json").write_text('[\n {"query": "x",\n  "relevant_chunk_ids": ["1"]}\n]')
     assert evaluate.read_golden(spark, str(tmp_path / "one.json")).collect()[0].relevant_chunk_ids == ["1"]
+
+
+def test_keywords_do_not_shuffle_postings_and_are_the_same_with_few_common_terms(spark, monkeypatch):
+    import math
+    from collections import Counter
+
+    from shardlight.operators import enrich
+
+    rng = random.Random(5)
+    rows = [(f"c{i}", " ".join(f"w{min(int(rng.paretovariate(0.6)), 400)}" for _ in range(rng.randrange(25)))) for i in range(150)] + [("c7", "w1 again again"), ("none", None), ("blank", " ,. ")]
+    texts: dict[str, list[str]] = {}
+    for i, t in rows:
+        texts.setdefault(i, []).extend((t or "").replace(",", " ").replace(".", " ").split())
+    n, df = sum(bool(t) for t in texts.values()), Counter(w for t in texts.values() for w in set(t))
+    want = set()
+    for i, t in texts.items():
+        weights = sorted((-round(c * math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)), 6), w) for w, c in Counter(t).items())
+        want |= {(i, r, w, -x) for r, (x, w) in enumerate(weights[:5], 1)}
+    chunks = spark.createDataFrame(rows, "id string, content string")
+    for common in (1 << 18, 20, 1):
+        monkeypatch.setattr(enrich, "COMMON", common)
+        got = enrich.keywords(chunks)
+        assert {tuple(r) for r in got.collect()} == want
+    monkeypatch.setattr(enrich, "COMMON", 1 << 18)
+    own = chunks.where("id <> 'c7'")
+    assert "Exchange" not in enrich.keywords(own)._jdf.queryExecution().executedPlan().toString()
