@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,10 @@ from .filters import ENTITY_FIELDS
 K1, B = 1.2, 0.75
 #: Queries whose vectors are broadcast at once.
 QUERY_BLOCK = 4096
+#: Queries and vectors whose scores are in memory at once.
+SCORES = 128, 1 << 14
+#: Ids that are sent to the chunks.
+FEW = 1 << 18
 
 
 def ranked(scored: DataFrame, k: int, by: str = "query_id", id_: str = "doc_id") -> DataFrame:
@@ -54,15 +59,15 @@ def dense_hits(base: DataFrame, queries: DataFrame, k: int, id_: str = "doc_id")
 
         def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, q = sent.value
-            for batch in batches:
-                if not len(names) or not batch.num_rows:
-                    continue
+            for batch in (whole.slice(r, SCORES[1]) for whole in batches for r in range(0, whole.num_rows, SCORES[1])):
                 flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-                s = np.round(q @ flat.reshape(batch.num_rows, -1).T, 6)
+                vectors = flat.reshape(batch.num_rows, -1).T
                 keep = min(k, batch.num_rows)
-                cut = -np.partition(-s, keep - 1, axis=1)[:, keep - 1 : keep]
-                qi, di = np.nonzero(s >= cut)
-                yield pa.RecordBatch.from_arrays([pa.array(names[qi], pa.int64()), batch.column(0).take(pa.array(di)), pa.array(s[qi, di])], names=["query_id", id_, "score"])
+                for a in range(0, len(names), SCORES[0]):
+                    s = np.round(q[a : a + SCORES[0]] @ vectors, 6)
+                    cut = np.partition(s, s.shape[1] - keep, axis=1)[:, s.shape[1] - keep, None]
+                    qi, di = np.nonzero(s >= cut)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[a + qi], pa.int64()), batch.column(0).take(pa.array(di)), pa.array(s[qi, di])], names=["query_id", id_, "score"])
 
         found.append(own.mapInArrow(score, f"query_id long, {id_} {dict(base.dtypes)[id_]}, score double"))
     asked.unpersist()
