@@ -100,9 +100,16 @@ def lines_as_items(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda s: F.struct(F.lit("text").alias("label"), s.alias("text"), F.array().cast("array<int>").alias("pages")))
 
 
+#: Documents whose items are Python objects at once.
+DOCUMENTS = 64
 CHUNK = "chunk_index int, total_chunks int, n_tokens long, first_item int, last_item int, headings array<string>, content_types array<string>, page_number int, content string"
 
 
+def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, DOCUMENTS at a time."""
+    return (batch.slice(k, DOCUMENTS) for batch in batches for k in range(0, batch.num_rows, DOCUMENTS))
+
+
 def chunked(docs: DataFrame, limit: int = 128) -> DataFrame:
     """docs (with items) as chunks: their other columns, and those of CHUNK. Items are packed greedily up to limit
     tokens and a longer item stands alone; a heading begins a chunk, and the chunk's headings are the path of those
@@ -112,7 +119,8 @@ def chunked(docs: DataFrame, limit: int = 128) -> DataFrame:
     schema = StructType([*docs.select(*other).schema.fields, *StructType.fromDDL(CHUNK).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        types = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int32(), pa.string())
+        for batch in few(batches):
             rows, at = [], []
             items, sizes = (batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))
             for i, (own, size) in enumerate(zip(items, sizes)):
@@ -120,7 +128,6 @@ def chunked(docs: DataFrame, limit: int = 128) -> DataFrame:
                 rows += [(k, len(done), *c) for k, c in enumerate(done)]
                 at += [i] * len(done)
             cols = list(zip(*rows)) or [[]] * 9
-            types = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int32(), pa.string())
             kept = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(len(other))]
             yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, t in zip(cols, types))], names=schema.names)
 
@@ -187,7 +194,7 @@ def hybrid_chunks(docs: DataFrame, limit: int = 128, spans: Spans = word_spans)
     types = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int32(), pa.string(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             rows, at = [], []
             for i, own in enumerate(batch.column(len(other)).to_pylist()):
                 done = _hybrid(own or [], limit, spans)
