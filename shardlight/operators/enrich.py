@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ from ..functions.text import TOKEN, tokens
 ENRICHMENT = "context string, keywords array<string>, hypothetical_questions array<string>, dates array<string>, ent_persons array<string>, ent_organizations array<string>, ent_products array<string>, ent_locations array<string>"
 #: Terms whose idf is sent to the tasks, and chunks that a task weighs at once.
 COMMON, SLICE = 1 << 18, 1 << 10
+#: Tokens that are hashed at once.
+WORDS = 1 << 16
 PROMPT = "Answer in {language}. Describe the chunk by the fields below.\n{requirements}"
 
 
@@ -156,21 +159,38 @@ def keywords(chunks: DataFrame, k: int = 5) -> DataFrame:
     return whole.unionByName(rest)
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _bundled(hashes: pd.Series, dims: pd.Series) -> pd.Series:
-    out = []
-    for h, d in zip(hashes, dims):
-        h = np.zeros(0, np.int64) if h is None else np.asarray(h, np.int64)
-        v = np.bincount(h % d, np.where(h // d % 2 == 0, 1.0, -1.0), d)
-        norm = np.sqrt((v * v).sum())
-        out.append(v / norm if norm else None)
-    return pd.Series(out)
+@F.arrow_udf(ArrayType(DoubleType()))
+def _bundled(terms: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    seen: dict[str, int] = {}
+    for lists, wide in terms:
+        d, done = wide[0].as_py() if len(wide) else 1, []
+        for first in range(0, len(lists), SLICE):
+            part = lists.slice(first, SLICE)
+            sizes = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, row = part.flatten(), np.repeat(np.arange(len(sizes)), sizes)
+            v = np.zeros((len(sizes), d))
+            for at in range(0, len(flat), WORDS):
+                coded = flat.slice(at, WORDS).dictionary_encode()
+                names = coded.dictionary.to_pylist()
+                if len(seen) > WORDS:
+                    seen.clear()
+                for t in names:
+                    if t not in seen:
+                        seen[t] = int.from_bytes(hashlib.md5(t.encode()).digest()[:4], "big")
+                h = np.array([seen[t] for t in names], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+                v += np.bincount(row[at : at + WORDS] * d + h % d, np.where(h // d % 2 == 0, 1.0, -1.0), len(sizes) * d).reshape(v.shape)
+            norm = np.sqrt((v * v).sum(1))
+            some = norm > 0
+            v = v[some] / norm[some, None]
+            ends = np.r_[0, np.cumsum(np.where(some, d, 0))]
+            done.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v.ravel(), pa.float64()), mask=pa.array(~some)))
+        yield pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.float64()))
 
 
 def hashed_vector(text: Column, dims: int = 64) -> Column:
-    """Signed MD5 feature hashing of tokens, scaled to unit length; null where nothing is left. The offline embedder."""
-    hashes = F.transform(tokens(F.coalesce(text, F.lit(""))), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"))
-    return _bundled(hashes, F.lit(dims))
+    """Signed MD5 feature hashing of tokens, scaled to unit length; null where nothing is left. The offline embedder.
+    Each different token of a batch is hashed once, and a task holds the vectors of SLICE texts at a time."""
+    return _bundled(tokens(F.coalesce(text, F.lit(""))), F.lit(dims))
 
 
 #: text column -> vector column; a model back end is a pandas_udf with this shape.
