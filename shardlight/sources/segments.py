@@ -12,9 +12,12 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cached_property, reduce
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -31,6 +34,8 @@ from .documents import latest
 META = ("headings", "keywords", "dates")
 #: Chunks of a part at most (of which a task holds the blocks that a search asks for), and of one that is worth a task.
 PART, LEAST = 1 << 16, 1 << 11
+#: Rows that are sent to the chunks they name.
+FEW = 1 << 18
 #: Files have one row group, so that a task reads whole parts.
 WHOLE = {"parquet.block.size": str(1 << 29)}
 
@@ -102,6 +107,50 @@ WORDS = [f"w{k}" for k in range(blockmax.RANGE // 64)]
 VALUES = "field string, value string, day date, at timestamp_ntz, range long, " + ", ".join(f"{w} long" for w in WORDS)
 
 
+def _words() -> list[Column]:
+    """WORDS of the numbers (no) in a range."""
+    place = F.col("no").bitwiseAND(F.lit(blockmax.RANGE - 1)).cast("int")
+    bit = F.expr(f"shiftleft(1L, cast((no & {blockmax.RANGE - 1}) % 64 as int))")
+    return [F.bit_or(F.when(F.floor(place / 64) == k, bit).otherwise(F.lit(0).cast("long"))).alias(w) for k, w in enumerate(WORDS)]
+
+
+def bits(rows: DataFrame) -> DataFrame:
+    """range and WORDS: which numbers of a range rows (no) have, one bit a chunk. Only these are shuffled."""
+    return rows.groupBy(F.shiftright("no", blockmax.RANGE_BITS).alias("range")).agg(*_words())
+
+
+def _places(kind: str) -> Column:
+    """The places in a range whose bits are set."""
+    word = f"element_at(array({', '.join(WORDS)}), cast(i div 64 as int) + 1)"
+    return F.expr(f"transform(filter(sequence(0, {blockmax.RANGE - 1}), i -> (shiftright({word}, cast(i % 64 as int)) & 1) = 1), i -> cast(i as {kind}))")
+
+
+def numbers(found: DataFrame) -> DataFrame:
+    """no of the bits that are set."""
+    each = found.select("range", F.explode(_places("int")).alias("place"))
+    return each.select((F.shiftleft("range", blockmax.RANGE_BITS) + F.col("place")).alias("no"))
+
+
+def kept(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows (no) whose bit is set: bits go to the rows, which are not moved."""
+    own = rows.withColumn("_range", F.shiftright("no", blockmax.RANGE_BITS)).join(F.broadcast(found.withColumnRenamed("range", "_range")), "_range")
+    word = f"element_at(array({', '.join(WORDS)}), cast((no & {blockmax.RANGE - 1}) div 64 as int) + 1)"
+    return own.where(F.expr(f"shiftright({word}, cast(no % 64 as int)) & 1 = 1")).select(*rows.columns)
+
+
+@contextmanager
+def one_file_a_task(spark: SparkSession) -> Iterator[None]:
+    """While this holds, a task reads one file at most, however small; as each file is a part, what a task sorts is one
+    part and no more where there are many."""
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def values_of(chunks: DataFrame) -> DataFrame:
     """VALUES of chunks: what a Filter may ask for. Null elements are no values, text that is no day is no day."""
     none = [F.lit(None).cast("string").alias("value"), F.lit(None).cast("date").alias("day"), F.lit(None).cast("timestamp_ntz").alias("at")]
@@ -112,10 +161,7 @@ def values_of(chunks: DataFrame) -> DataFrame:
         frames.append(days.where("day is not null"))
     if "modified_at" in chunks.columns:
         frames.append(chunks.where("modified_at is not null").select("no", F.lit("modified_at").alias("field"), none[0], none[1], F.col("modified_at").cast("timestamp_ntz").alias("at")))
-    place = F.col("no").bitwiseAND(F.lit(blockmax.RANGE - 1)).cast("int")
-    bit = F.expr(f"shiftleft(1L, cast((no & {blockmax.RANGE - 1}) % 64 as int))")
-    words = [F.bit_or(F.when(F.floor(place / 64) == k, bit).otherwise(F.lit(0).cast("long"))).alias(w) for k, w in enumerate(WORDS)]
-    return union(frames).groupBy("field", "value", "day", "at", F.shiftright("no", blockmax.RANGE_BITS).alias("range")).agg(*words)
+    return union(frames).groupBy("field", "value", "day", "at", F.shiftright("no", blockmax.RANGE_BITS).alias("range")).agg(*_words())
 
 
 class Snapshot:
@@ -150,6 +196,15 @@ class Snapshot:
         """no, id of all chunks, those that are gone as well."""
         return self._read("chunks", self.schema).select("no", "id")
 
+    def looked_up(self, rows: DataFrame, *columns: str) -> DataFrame:
+        """rows (no and more) with the columns of their chunks; all columns, if none are given. A few rows go to the
+        chunks, which are not moved; with more, the chunks that none of them names are dropped before they are moved."""
+        stored = self.live(self._read("chunks", self.schema).select("no", *columns)) if columns else self.chunks()
+        own = rows.persist(StorageLevel.DISK_ONLY)
+        if own.count() <= FEW:
+            return F.broadcast(own).join(stored, "no")
+        return own.join(kept(stored, bits(own)), "no")
+
     def entities(self) -> DataFrame:
         """entity, no: the chunks of each entity, of any kind."""
         return self.live(self._read("entities", "entity string, no long"))
@@ -157,9 +212,18 @@ class Snapshot:
     def related(self, seeds: DataFrame) -> DataFrame:
         """no of the chunks that share an entity with the seeds (id), without these. Entities are looked up where they
         are stored, in their order; no chunk is read but the seeds."""
-        own = self.chunks().join(seeds.select("id"), "id", "left_semi").select("no", F.explode(entities_of_chunk(self.schema.names)).alias("entity"))
-        known = self.chunks().join(seeds.select("id"), "id", "left_semi").select("no")
-        return self.entities().join(own.select("entity").distinct(), "entity", "left_semi").select("no").distinct().join(known, "no", "left_anti")
+        known = self.seeds(seeds)
+        own = known.select(F.explode("entities").alias("entity")).distinct()
+        found = bits(self.entities().join(own, "entity", "left_semi").select("no"))
+        seen = bits(known).select("range", *(F.col(w).alias(f"_{w}") for w in WORDS))
+        without = [F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(f"_{w}", F.lit(0).cast("long")))).alias(w) for w in WORDS]
+        return numbers(found.join(seen, "range", "left").select("range", *without))
+
+    def seeds(self, ids: DataFrame) -> DataFrame:
+        """no, entities of the chunks with these ids. A few ids go to the chunks, which are not moved."""
+        asked = ids.select("id").distinct().persist(StorageLevel.DISK_ONLY)
+        own = self.chunks().select("no", "id", entities_of_chunk(self.schema.names).alias("entities"))
+        return own.join(F.broadcast(asked) if asked.count() <= FEW else asked, "id", "left_semi").select("no", "entities").persist(StorageLevel.DISK_ONLY)
 
     def allowed(self, filter_: Filter) -> DataFrame:
         """no of the chunks that a filter leaves, from the bits of its values: those of a condition are joined by or,
@@ -171,10 +235,7 @@ class Snapshot:
         for c in conditions:
             own = values.where(c).groupBy("range").agg(*(F.bit_or(w).alias(w) for w in WORDS))
             met = own if met is None else met.join(own.select("range", *(F.col(w).alias(f"_{w}") for w in WORDS)), "range").select("range", *(F.col(w).bitwiseAND(F.col(f"_{w}")).alias(w) for w in WORDS))
-        word = f"element_at(array({', '.join(WORDS)}), cast(i div 64 as int) + 1)"
-        places = F.expr(f"filter(sequence(0, {blockmax.RANGE - 1}), i -> (shiftright({word}, cast(i % 64 as int)) & 1) = 1)")
-        each = met.select("range", F.explode(places).alias("place"))
-        return self.live(each.select((F.shiftleft("range", blockmax.RANGE_BITS) + F.col("place")).alias("no")))
+        return self.live(numbers(met))
 
     def vectors(self, segments: list[dict] | None = None) -> DataFrame:
         """no, embedding of the chunks whose vectors can be compared."""
@@ -200,7 +261,8 @@ class Snapshot:
 
     def postings(self, terms: DataFrame) -> DataFrame:
         """terms (term and more) with no, tf of the chunks that have them."""
-        rows = self._read("postings", blockmax.BLOCKS).select("term", "range", "at", "tf").join(terms, "term")
+        asked = terms.persist(StorageLevel.DISK_ONLY)
+        rows = self._read("postings", blockmax.BLOCKS).select("term", "range", "at", "tf").join(F.broadcast(asked) if asked.count() <= FEW else asked, "term")
         each = rows.select(*terms.columns, "range", F.explode(F.arrays_zip("at", "tf")).alias("x"))
         return self.live(each.select(*terms.columns, (F.shiftleft("range", blockmax.RANGE_BITS) + F.col("x.at")).alias("no"), F.col("x.tf").alias("tf")))
 
@@ -211,11 +273,11 @@ class Snapshot:
         kind = dict(queries.dtypes)["query_id"]
         known = queries.join(self.terms(), "term").select("query_id", "term", "idf").persist()
         passes = max(1, -(-known.count() // blockmax.PAIRS))
-        found = []
+        found, marked = [], self._marked_ranges(self._marked(allowed))
         for b in range(passes):
             rows = known.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == b).collect()
             asked = blockmax.Asked.of([tuple(r) for r in rows], self.average, k)
-            found.append(self._pass(blockmax, self.blocks(list(asked.terms)), self._marked_ranges(allowed), asked, kind, allowed is not None))
+            found.append(self._pass(blockmax, self.blocks(list(asked.terms)), marked, asked, kind, allowed is not None))
         known.unpersist()
         return self._told(found, k)
 
@@ -228,12 +290,12 @@ class Snapshot:
         first, n = known.first(), known.count()
         dims = len(first["e"]) if first else 0
         passes = max(1, -(-n * dims // bounded.PASS))
-        found = []
+        found, marked = [], self._marked_parts(self._marked(allowed))
         for b in range(passes):
             rows = known.where((F.pmod(F.xxhash64("query_id"), F.lit(passes)) == b) & (F.size("e") == dims)).collect()
             asked = bounded.Asked([r["query_id"] for r in rows], np.array([r["e"] for r in rows]).reshape(len(rows), dims), k)
             stored = self._read("vectors", bounded.CLUSTERS).where(F.col("dims") == dims)
-            found.append(self._pass(bounded, stored, self._marked_clusters(allowed), asked, kind, allowed is not None))
+            found.append(self._pass(bounded, stored, marked, asked, kind, allowed is not None))
         known.unpersist()
         return self._told(found, k)
 
@@ -242,26 +304,26 @@ class Snapshot:
         hits = blockmax.best(all_.where("no is not null").select("query_id", "no", "score"), k)
         return hits, all_.where("no is null").groupBy("query_id").agg(F.sum("held").alias("held"), F.sum("read").alias("read"))
 
-    def _marked_ranges(self, allowed: DataFrame | None) -> DataFrame | None:
-        """range, marked: the places of the allowed or, without a filter, of what is gone; None if nothing is."""
+    def _marked(self, allowed: DataFrame | None) -> DataFrame | None:
+        """range and WORDS of the allowed or, without a filter, of what is gone, found once for all passes; None if
+        nothing is."""
         marked = allowed if allowed is not None else self.gone
-        if marked is None:
-            return None
-        place = F.col("no").bitwiseAND(F.lit(blockmax.RANGE - 1)).cast("short")
-        return marked.groupBy(F.shiftright("no", blockmax.RANGE_BITS).alias("range")).agg(F.collect_list(place).alias("marked"))
+        return None if marked is None else bits(marked).persist(StorageLevel.DISK_ONLY)
 
-    def _marked_clusters(self, allowed: DataFrame | None) -> DataFrame | None:
-        """cluster, marked: the numbers of the same."""
-        marked = allowed if allowed is not None else self.gone
-        if marked is None:
+    def _marked_ranges(self, found: DataFrame | None) -> DataFrame | None:
+        """range, marked: the places of the same."""
+        return None if found is None else found.select("range", _places("short").alias("marked"))
+
+    def _marked_parts(self, found: DataFrame | None) -> DataFrame | None:
+        """part, marked: the ranges and words of each part that has some, one after the other."""
+        if found is None:
             return None
-        each = self._read("vectors", bounded.CLUSTERS).select("cluster", F.explode("nos").alias("no"))
-        return each.join(marked, "no", "left_semi").groupBy("cluster").agg(F.collect_list("no").alias("marked"))
+        return found.groupBy(F.shiftright("range", blockmax.PART_BITS - blockmax.RANGE_BITS).alias("part")).agg(F.flatten(F.collect_list(F.array("range", *WORDS))).alias("marked"))
 
     def _pass(self, way, stored: DataFrame, marked: DataFrame | None, asked, kind: str, only: bool) -> DataFrame:
         """What a pass finds in blocks or clusters. Where there are many parts, a few show first what to reach."""
         if marked is not None:
-            stored = stored.join(marked, marked.columns[0], "inner" if only else "left")
+            stored = stored.join(F.broadcast(marked), marked.columns[0], "inner" if only else "left")
         parts = sorted(((n, p) for s in self.commit["segments"] for p, n in s["parts"]), reverse=True)
         first = [p for _, p in parts[: max(1, self.spark.sparkContext.defaultParallelism // 2)]]
         if len(parts) > 2 * len(first):
@@ -371,9 +433,13 @@ class Index:
         # Sorted by value and number, so that an entity of very many chunks lies in many files, and a rare one in one.
         tags = chunks.select(F.explode(entities_of_chunk(chunks.columns)).alias("entity"), "no")
         tags.repartitionByRange("entity", "no").sortWithinPartitions("entity", "no").write.parquet(f"{at}/entities")
-        values_of(chunks).repartitionByRange("field", "value", "day", "at", "range").sortWithinPartitions("field", "value", "day", "at", "range").write.parquet(f"{at}/values")
+        # Kept, as the ranges are drawn from the values before these are dealt out.
+        values = values_of(chunks).persist(StorageLevel.DISK_ONLY)
+        values.repartitionByRange("field", "value", "day", "at", "range").sortWithinPartitions("field", "value", "day", "at", "range").write.parquet(f"{at}/values")
+        values.unpersist()
         made_ = blockmax.blocks(chunks.select("no", chunk_terms(chunks.columns, self.analysis).alias("tokens")))
-        made_.sortWithinPartitions("part", "term", "range").write.options(**WHOLE).parquet(f"{at}/postings")
+        with one_file_a_task(self.spark):
+            made_.sortWithinPartitions("part", "term", "range").write.options(**WHOLE).parquet(f"{at}/postings")
         written = self.spark.read.schema(blockmax.BLOCKS).parquet(f"{at}/postings")
         written.where("term <> ''").groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{at}/terms")
         heads = written.where("term = ''").groupBy("part").agg(F.sum("n").alias("n"), F.sum(F.expr("size(filter(tf, x -> x > 0))")).alias("full"), F.sum(F.expr("aggregate(tf, 0L, (a, x) -> a + x)")).alias("length"), (F.count(F.lit(1)) > F.countDistinct("range")).alias("torn")).collect()
