@@ -67,11 +67,11 @@ class Collection:
 
     def dense(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
         """query_id, no, id, score, rank; allowed (no): the chunks that a filter leaves."""
-        return self._dense(queries, k, allowed).join(self.state.ids(), "no")
+        return self.state.looked_up(self._dense(queries, k, allowed), "id")
 
     def sparse(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
         """The same by BM25."""
-        return self._sparse(queries, k, allowed).join(self.state.ids(), "no")
+        return self.state.looked_up(self._sparse(queries, k, allowed), "id")
 
     def reads(self, queries: DataFrame, k: int) -> DataFrame:
         """query_id, held, read: the postings of the query's terms, and how many of them a search for k reads."""
@@ -83,11 +83,11 @@ class Collection:
 
     def candidates(self, queries: DataFrame, before: int = 30, allowed: DataFrame | None = None) -> DataFrame:
         """query_id, no, id, from_dense, from_sparse."""
-        return self._candidates(queries, before, allowed).join(self.state.ids(), "no")
+        return self.state.looked_up(self._candidates(queries, before, allowed), "id")
 
     def _reranked(self, candidates: DataFrame, queries: DataFrame, after: int, threshold: float | None) -> DataFrame:
         """The chunks of the best candidates with query_id, score, rank."""
-        rows = candidates.select("query_id", "no").join(self.chunks, "no")
+        rows = self.state.looked_up(candidates.select("query_id", "no"))
         if self.rerank is None:
             asked = weighed(self._terms(queries), self.state)
             own = chunk_terms(self.state.schema.names, self.state.commit["analysis"])

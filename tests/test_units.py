@@ -281,3 +281,83 @@ def test_keywords_do_not_shuffle_postings_and_are_the_same_with_few_common_terms
     monkeypatch.setattr(enrich, "COMMON", 1 << 18)
     own = chunks.where("id <> 'c7'")
     assert "Exchange" not in enrich.keywords(own)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vectors_are_the_same_whatever_is_hashed_at_once(spark, monkeypatch):
+    import hashlib
+
+    texts = ["one two two Drei", None, "", "a " * 700 + "b", " ,", *(f"w{i} w{i % 7} x" for i in range(60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = dict(docs.select("doc_id", enrich.hashed_vector(F.col("text"), 8)).collect())
+    for i, text in enumerate(texts):
+        v = [0.0] * 8
+        for t in (text or "").replace(",", " ").lower().split():
+            h = int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
+            v[h % 8] += 1 if h // 8 % 2 == 0 else -1
+        size = sum(x * x for x in v) ** 0.5
+        assert got[i] == ([x / size for x in v] if size else None)
+    import pyarrow as pa
+
+    monkeypatch.setattr(enrich, "SLICE", 3)
+    monkeypatch.setattr(enrich, "WORDS", 5)
+    lists = pa.array([["a", "b", "a"], None, [], ["c"] * 12, ["d"]], pa.list_(pa.string()))
+    small = pa.concat_arrays(list(enrich._bundled.func(iter([(lists, pa.array([8] * 5))])))).to_pylist()
+    monkeypatch.setattr(enrich, "WORDS", 1 << 18)
+    assert small == pa.concat_arrays(list(enrich._bundled.func(iter([(lists, pa.array([8] * 5))])))).to_pylist() and small[1] is small[2] is None
+
+
+def test_chunking_takes_a_few_documents_at_a_time(spark):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(150))], names=["id"])
+    assert [b.num_rows for b in convert.few(iter([batch, batch.slice(0, 1)]))] == [64, 64, 22, 1]
+    docs = spark.range(300).select("id", convert.lines_as_items(F.lit("a b\nc d")).alias("items")).coalesce(1)
+    for made in (convert.chunked(docs, 2), convert.hybrid_chunks(docs, 2)):
+        assert sorted(r.id for r in made.select("id").collect()) == sorted([*range(300)] * 2)
+
+
+def test_dense_scores_are_in_memory_a_block_at_a_time(spark, monkeypatch):
+    import numpy as np
+
+    rows = [(i, [float((i * 7) % 11), float(i % 5)]) for i in range(200)]
+    base = spark.createDataFrame(rows, "doc_id long, embedding array<double>").coalesce(1)
+    asked = base.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    v = np.array([r[1] for r in rows])
+    want = {(q, r, d) for q in range(0, 200, 20) for r, d in enumerate(np.lexsort((np.arange(200), -(v @ v[q])))[:5].tolist(), 1)}
+    for block in ((128, 1 << 14), (3, 17)):
+        monkeypatch.setattr(retrieve, "SCORES", block)
+        assert {(r.query_id, r["rank"], r.doc_id) for r in retrieve.dense(base, asked, 5).collect()} == want
+
+
+def test_few_seeds_go_to_the_chunks(spark):
+    from unittest.mock import patch
+
+    rows = [(f"{s}/{i}", s, i, 50) for s in "abc" for i in range(50)]
+    chunks = spark.createDataFrame(rows, "id string, source string, chunk_index int, total_chunks int").repartition(3).localCheckpoint()
+    seeds = spark.createDataFrame([("a/0",), ("a/1",), ("b/49",), ("b/49",), ("none",)], "id string").localCheckpoint()
+    want = ["a/0", "a/1", "a/2", "b/48", "b/49"]
+    near = retrieve.neighbours(chunks, seeds)
+    assert ids(near) == want and "SortMergeJoin" not in near._jdf.queryExecution().executedPlan().toString()
+    with patch.object(retrieve, "FEW", 1):
+        assert ids(retrieve.neighbours(chunks, seeds)) == want
+
+
+def test_bits_name_the_rows_that_are_kept(spark):
+    from shardlight.sources import segments
+
+    nos = [0, 63, 64, 511, 512, (1 << 44) + (3 << 20) + 700, (1 << 44) + (3 << 20) + 703]
+    rows = spark.createDataFrame([(n,) for n in [*nos, *nos]], "no long")
+    found = segments.bits(rows)
+    assert sorted(r.no for r in segments.numbers(found).collect()) == nos
+    other = spark.createDataFrame([(n + d,) for n in nos for d in (0, 1)], "no long")
+    assert sorted(r.no for r in segments.kept(other, found).collect()) == sorted(n + d for n in nos for d in (0, 1) if n + d in nos)
+
+
+def test_a_task_reads_one_part(spark, tmp_path):
+    from shardlight.sources import segments
+
+    spark.range(90).repartition(9).write.parquet(f"{tmp_path}/parts")
+    read = lambda: spark.read.parquet(f"{tmp_path}/parts").rdd.getNumPartitions()
+    with segments.one_file_a_task(spark):
+        assert read() == 9
+    assert read() < 9
