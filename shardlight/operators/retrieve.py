@@ -125,7 +125,8 @@ def _tags() -> Column:
 
 def entities_of(chunks: DataFrame, seeds: DataFrame) -> DataFrame:
     """entity: the distinct entities of the seeds (id), of all four kinds."""
-    return chunks.join(seeds.select("id"), "id", "left_semi").select(F.explode(_tags()).alias("entity")).where("entity is not null").distinct()
+    asked = seeds.select("id").distinct().persist(StorageLevel.DISK_ONLY)
+    return chunks.join(F.broadcast(asked) if asked.count() <= FEW else asked, "id", "left_semi").select(F.explode(_tags()).alias("entity")).where("entity is not null").distinct()
 
 
 def related(chunks: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -135,11 +136,17 @@ def related(chunks: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def neighbours(chunks: DataFrame, seeds: DataFrame, window: int = 1) -> DataFrame:
-    """The chunks within window of a seed in its source, seeds included, each once."""
-    at = chunks.join(seeds.select("id"), "id", "left_semi").where(F.col("chunk_index").isNotNull())
+    """The chunks within window of a seed in its source, seeds included, each once. The places near a few seeds go to the
+    chunks, which are not moved but for those that are near."""
+    asked = seeds.select("id").distinct().persist(StorageLevel.DISK_ONLY)
+    few = asked.count() <= FEW
+    sent = F.broadcast if few else lambda x: x
+    at = chunks.join(sent(asked), "id", "left_semi").where(F.col("chunk_index").isNotNull())
     last = F.coalesce("total_chunks", F.col("chunk_index") + window + 1) - 1
     spans = at.select(F.col("source").alias("s"), F.greatest(F.col("chunk_index") - window, F.lit(0)).alias("lo"), F.least(F.col("chunk_index") + window, last).alias("hi"))
-    return chunks.join(spans, (F.col("source") == F.col("s")) & F.col("chunk_index").between(F.col("lo"), F.col("hi")), "left_semi")
+    # By place and not by range, so that a source of very many chunks and seeds is no product of both.
+    places = spans.select("s", F.explode(F.expr("if(lo <= hi, sequence(lo, hi), array())")).alias("i")).distinct()
+    return chunks.join(sent(places), (F.col("source") == F.col("s")) & (F.col("chunk_index") == F.col("i")), "left_semi")
 
 
 def neighbours_by_window(chunks: DataFrame, seeds: DataFrame, window: int = 1) -> DataFrame:
