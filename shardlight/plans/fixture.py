@@ -29,10 +29,11 @@ _INDEXED: dict[tuple[str, str, str], str] = {}
 
 
 def collection(spark: SparkSession, sf_dir: str, analysis: str = "plain") -> Collection:
-    """The index of the chunks of sf_dir: written once in a session, and then read by every search."""
+    """The index of the chunks of sf_dir: written once in a session, and then read by every search. What
+    a search reads beside the chunks is made by the first that does."""
     key = (spark.sparkContext.applicationId, sf_dir, analysis)
     if key not in _INDEXED:
         path = f"{workspace(spark)}/shardlight-index/{'-'.join(key).replace('/', '_').replace(':', '_')}"
-        Index(spark, path, analysis=analysis).replace(line_chunks(table(spark, sf_dir, "documents")))
+        Index(spark, path, analysis=analysis, tables=[]).replace(line_chunks(table(spark, sf_dir, "documents")))
         _INDEXED[key] = path
     return Collection(spark, _INDEXED[key])

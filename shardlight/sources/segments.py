@@ -4,7 +4,7 @@ A segment holds the chunks of one write, numbered in the order of their ids, and
 (blockmax), entities and values to filter by; it is never changed. Chunks that a later write replaces or deletes are
 listed as gone, with what they take from the collection's statistics. A commit is one small file with the next number:
 the segments, the lists of what is gone, and the totals. So a reader has one state of everything, whatever is written meanwhile, and a crash leaves the
-last commit as it was. Statistics are those of the whole collection at each commit: document frequencies are summed
+last commit as it was. What is made from the chunks can be left to the first reader that asks for it. Statistics are those of the whole collection at each commit: document frequencies are summed
 over segments and lists, and no weight is stored that a later write would change. Small segments are merged.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from functools import cached_property, reduce
 
@@ -36,6 +36,8 @@ META = ("headings", "keywords", "dates")
 PART, LEAST = 1 << 16, 1 << 11
 #: Rows that are sent to the chunks they name.
 FEW = 1 << 18
+#: What is made from the chunks of a segment, when it is written or when it is first read; terms and stats come with postings.
+TABLES = ("vectors", "entities", "values", "postings")
 #: Files have one row group, so that a task reads whole parts.
 WHOLE = {"parquet.block.size": str(1 << 29)}
 
@@ -65,15 +67,32 @@ class Commits:
             return None
         return json.loads(self.spark.read.text(f"{self.path}/commits/{version:012d}.json", wholetext=True).first()["value"])
 
+    def exists(self, name: str) -> bool:
+        return self.fs.exists(self.at(name))
+
+    def rename(self, old, new) -> None:
+        """Rename, or fail if the new name is taken."""
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.conf)
+        none = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        context.rename(old, new, none)
+
+    def named(self, draft: str, folder: str, *tables: str) -> None:
+        """Move tables from draft to folder. What another reader moved there meanwhile holds the same rows and stays."""
+        for t in tables:
+            try:
+                self.rename(self.at(f"{draft}/{t}"), self.at(f"{folder}/{t}"))
+            except Exception:
+                if not self.exists(f"{folder}/{t}"):
+                    raise
+        self.fs.delete(self.at(draft), True)
+
     def add(self, commit: dict, version: int) -> None:
         draft, last = self.at(f"commits/.{uuid.uuid4().hex}"), self.at(f"commits/{version:012d}.json")
         out = self.fs.create(draft, True)
         out.write(bytearray(json.dumps(commit).encode()))
         out.close()
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(last.toUri(), self.conf)
-        none = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
-            context.rename(draft, last, none)
+            self.rename(draft, last)
         except Exception as e:
             self.fs.delete(draft, False)
             raise RuntimeError(f"another writer took version {version}; read again and retry") from e
@@ -138,6 +157,14 @@ def kept(rows: DataFrame, found: DataFrame) -> DataFrame:
     return own.where(F.expr(f"shiftright({word}, cast(no % 64 as int)) & 1 = 1")).select(*rows.columns)
 
 
+def without(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows (no) whose bit is not set, by the same way."""
+    marks = found.select(F.col("range").alias("_range"), F.array(*WORDS).alias("_words"))
+    own = rows.withColumn("_range", F.shiftright("no", blockmax.RANGE_BITS)).join(F.broadcast(marks), "_range", "left")
+    word = f"element_at(_words, cast((no & {blockmax.RANGE - 1}) div 64 as int) + 1)"
+    return own.where(F.expr(f"_words is null or shiftright({word}, cast(no % 64 as int)) & 1 = 0")).select(*rows.columns)
+
+
 @contextmanager
 def one_file_a_task(spark: SparkSession) -> Iterator[None]:
     """While this holds, a task reads one file at most, however small; as each file is a part, what a task sorts is one
@@ -164,16 +191,87 @@ def values_of(chunks: DataFrame) -> DataFrame:
     return union(frames).groupBy("field", "value", "day", "at", F.shiftright("no", blockmax.RANGE_BITS).alias("range")).agg(*_words())
 
 
+def write_table(chunks: DataFrame, at: str, table: str, embed: enrich.Embedder, analysis: str) -> None:
+    """Write one of TABLES from the chunks (no and more) of a segment; those that were merged have their vectors
+    (embedding) already."""
+    if table == "vectors":
+        text = embed_text([F.col(c) for c in META], F.col("content"))
+        own = chunks.select("no", "embedding") if "embedding" in chunks.columns else chunks.select("no", text.alias("text")).select("no", embed(F.col("text")).alias("embedding"))
+        bounded.clusters(own.select("no", F.col("embedding").cast("array<double>").alias("embedding"))).write.options(**WHOLE).parquet(f"{at}/vectors")
+    elif table == "entities":
+        # Sorted by value and number, so that an entity of very many chunks lies in many files, and a rare one in one.
+        tags = chunks.select(F.explode(entities_of_chunk(chunks.columns)).alias("entity"), "no")
+        tags.repartitionByRange("entity", "no").sortWithinPartitions("entity", "no").write.parquet(f"{at}/entities")
+    elif table == "values":
+        # Kept, as the ranges are drawn from the values before these are dealt out.
+        values = values_of(chunks).persist(StorageLevel.DISK_ONLY)
+        values.repartitionByRange("field", "value", "day", "at", "range").sortWithinPartitions("field", "value", "day", "at", "range").write.parquet(f"{at}/values")
+        values.unpersist()
+    else:
+        spark = chunks.sparkSession
+        made = blockmax.blocks(chunks.select("no", chunk_terms(chunks.columns, analysis).alias("tokens")))
+        with one_file_a_task(spark):
+            made.sortWithinPartitions("part", "term", "range").write.options(**WHOLE).parquet(f"{at}/postings")
+        written = spark.read.schema(blockmax.BLOCKS).parquet(f"{at}/postings")
+        written.where("term <> ''").groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{at}/terms")
+        heads = written.where("term = ''").groupBy("part").agg(F.sum("n").alias("n"), F.sum(F.expr("size(filter(tf, x -> x > 0))")).alias("full"), F.sum(F.expr("aggregate(tf, 0L, (a, x) -> a + x)")).alias("length"), (F.count(F.lit(1)) > F.countDistinct("range")).alias("torn")).collect()
+        if any(r["torn"] for r in heads):
+            raise RuntimeError("a part was read by more than one task: its file has more than one row group")
+        totals = [(sum(r["full"] for r in heads), sum(r["length"] for r in heads))]
+        spark.createDataFrame(totals, "n long, length long").coalesce(1).write.parquet(f"{at}/stats")
+
+
 class Snapshot:
-    """The index as one commit has it."""
+    """The index as one commit has it. A table of a segment that isn't there is made before it is read, under another
+    name until it is whole; so is what a list of gone chunks takes from the statistics."""
 
-    def __init__(self, spark: SparkSession, path: str, commit: dict):
-        self.spark, self.path, self.commit = spark, path, commit
+    def __init__(self, spark: SparkSession, path: str, commit: dict, embed: enrich.Embedder):
+        self.spark, self.path, self.commit, self.embed = spark, path, commit, embed
+        self._commits = Commits(spark, path)
+        self._there: set[str] = set()
 
     def _read(self, table: str, schema: str | StructType, segments: list[dict] | None = None) -> DataFrame:
-        at = [f"{self.path}/segments/{s['name']}/{table}" for s in (self.commit["segments"] if segments is None else segments)]
+        own = self.commit["segments"] if segments is None else segments
+        for s in own:
+            self._make(s, table)
+        at = [f"{self.path}/segments/{s['name']}/{table}" for s in own]
         return self.spark.read.schema(schema).parquet(*at) if at else self.spark.createDataFrame([], schema)
 
+    def _make(self, segment: dict, table: str) -> None:
+        at = f"segments/{segment['name']}"
+        if table == "chunks" or f"{at}/{table}" in self._there:
+            return
+        if not self._commits.exists(f"{at}/{table}"):
+            chunks = self.spark.read.schema(self.schema).parquet(f"{self.path}/{at}/chunks")
+            draft, name = f"{at}/.{uuid.uuid4().hex}", "postings" if table in ("terms", "stats") else table
+            write_table(chunks, f"{self.path}/{draft}", name, self.embed, self.commit["analysis"])
+            self._commits.named(draft, at, *(("stats", "terms", "postings") if name == "postings" else (name,)))
+        self._there.add(f"{at}/{table}")
+
+    def _lost(self, name: str) -> DataFrame:
+        """term, df, dl, full of a list of what is gone: less of each term, and beside the empty term all tokens and the
+        chunks that have some."""
+        at = f"gone/{name}"
+        if not self._commits.exists(f"{at}/terms"):
+            own = self.spark.read.schema("no long").parquet(f"{self.path}/{at}/numbers")
+            texts = kept(self._read("chunks", self.schema), bits(own)).select(chunk_terms(self.schema.names, self.commit["analysis"]).alias("t"))
+            each = texts.select(F.size("t").cast("long").alias("dl"), F.explode(F.concat(F.array_distinct("t"), F.array(F.lit("")))).alias("term"))
+            less = each.groupBy("term").agg((-F.count(F.lit(1))).alias("df"), F.sum("dl").alias("dl"), F.count(F.when(F.col("dl") > 0, 1)).alias("full"))
+            draft = f"{at}/.{uuid.uuid4().hex}"
+            less.write.parquet(f"{self.path}/{draft}/terms")
+            self._commits.named(draft, at, "terms")
+        return self.spark.read.schema("term string, df long, dl long, full long").parquet(f"{self.path}/{at}/terms")
+
+    @cached_property
+    def totals(self) -> tuple[int, int]:
+        """Chunks that have tokens, and all tokens."""
+        if self.commit["n"] is not None:
+            return self.commit["n"], self.commit["length"]
+        more = self._read("stats", "n long, length long").agg(F.sum("n").alias("n"), F.sum("length").alias("length")).first()
+        less = [self._lost(g).where("term = ''").agg(F.sum("full").alias("n"), F.sum("dl").alias("length")).first() for g in self.commit["gone"]]
+        n, length = ((more[c] or 0) - sum(r[c] or 0 for r in less) for c in ("n", "length"))
+        return n, length
+
     @property
     def schema(self) -> StructType:
         return StructType.fromJson(self.commit["schema"])
@@ -186,7 +284,7 @@ class Snapshot:
 
     def live(self, rows: DataFrame) -> DataFrame:
         """rows (no) without what is gone."""
-        return rows if self.gone is None else rows.join(self.gone, "no", "left_anti")
+        return rows if self.gone is None else without(rows, bits(self.gone))
 
     def chunks(self, segments: list[dict] | None = None) -> DataFrame:
         """no and the columns of the chunks there are."""
@@ -244,15 +342,16 @@ class Snapshot:
     def terms(self) -> DataFrame:
         """term, df, idf over the whole collection."""
         own = self._read("terms", "term string, df long")
-        less = [self.spark.read.schema("term string, df long").parquet(f"{self.path}/gone/{g}/terms") for g in self.commit["gone"]]
-        n = F.lit(self.commit["n"])
+        less = [self._lost(g).where("term <> ''").select("term", "df") for g in self.commit["gone"]]
+        n = F.lit(self.totals[0])
         summed = union([own, *less]).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0") if less or len(self.commit["segments"]) > 1 else own
         return summed.withColumn("idf", F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
     @property
     def average(self) -> float:
         """Tokens of a chunk that has some."""
-        return self.commit["length"] / self.commit["n"] if self.commit["n"] else 1.0
+        n, length = self.totals
+        return length / n if n else 1.0
 
     def blocks(self, terms: list[str]) -> DataFrame:
         """The blocks of terms, and the lengths."""
@@ -338,12 +437,14 @@ class Snapshot:
 class Index:
     """The index at path, as its writers see it. Rows are chunks: id, source, content, META and more."""
 
-    def __init__(self, spark: SparkSession, path: str, embed: enrich.Embedder | None = None, settings: Settings = SETTINGS, most: int = 8, analysis: str = "plain"):
-        """analysis: plain, or language, by the column lang of chunks and queries; that of the first commit holds."""
+    def __init__(self, spark: SparkSession, path: str, embed: enrich.Embedder | None = None, settings: Settings = SETTINGS, most: int = 8, analysis: str = "plain", tables: Sequence[str] = TABLES):
+        """analysis: plain, or language, by the column lang of chunks and queries; that of the first commit holds.
+        tables: those of TABLES that a write makes at once; the others are made by the first reader that needs them, who
+        has to have the same embed."""
         if analysis not in ("plain", "language"):
             raise ValueError(f"no such analysis: {analysis}")
         self.spark, self.path, self.settings, self.most = spark, path.rstrip("/"), settings, most
-        self.embed = embed or (lambda text: enrich.hashed_vector(text, settings.embedding_dim))
+        self.embed, self.tables = embed or (lambda text: enrich.hashed_vector(text, settings.embedding_dim)), tuple(tables)
         self.commits = Commits(spark, self.path)
         last = self.commits.read(self.commits.version())
         self.analysis = last["analysis"] if last else analysis
@@ -356,7 +457,7 @@ class Index:
         commit = self.commits.read(self.version() if version is None else version)
         if commit is None:
             raise ValueError(f"no index at {self.path}")
-        return Snapshot(self.spark, self.path, commit)
+        return Snapshot(self.spark, self.path, commit, self.embed)
 
     def read(self) -> DataFrame | None:
         """All chunks; None if nothing was ever written."""
@@ -367,7 +468,7 @@ class Index:
         """These chunks, and nothing of what was there."""
         v = self.version()
         old = self.commits.read(v)
-        segment, schema = self._segment(self._staged(chunks), old["next"] if old else 1)
+        segment, schema = self._segment(self._staged(chunks), old["next"] if old else 1, True)
         self.commits.add(self._commit([segment], [], schema, segment["seq"] + 1), v + 1)
 
     def upsert(self, chunks: DataFrame, key: str = "id", replace_source: bool = False, order: str | None = None) -> None:
@@ -377,11 +478,10 @@ class Index:
             raise ValueError("chunks are kept by id")
         v = self.version()
         old = self.commits.read(v)
-        stage = self._staged(chunks, order)
-        segment, schema = self._segment(stage, old["next"] if old else 1)
+        segment, schema = self._segment(self._staged(chunks), old["next"] if old else 1, True, order)
         if old is None:
             return self.commits.add(self._commit([segment], [], schema, segment["seq"] + 1), v + 1)
-        snapshot = Snapshot(self.spark, self.path, old)
+        snapshot = Snapshot(self.spark, self.path, old, self.embed)
         fresh = self.spark.read.schema(schema).parquet(f"{self.path}/segments/{segment['name']}/chunks")
         again = snapshot.chunks().join(fresh.select("id"), "id", "left_semi").select("no")
         if replace_source:
@@ -409,60 +509,51 @@ class Index:
                 if f.getPath().getName() not in named:
                     self.commits.fs.delete(f.getPath(), True)
 
-    def _staged(self, chunks: DataFrame, order: str | None = None) -> DataFrame:
-        """One chunk an id, written: what follows reads it more than once."""
+    def _staged(self, chunks: DataFrame) -> DataFrame:
+        """The chunks, written: what follows reads them more than once."""
         own = chunks if "context" in chunks.columns else chunks.withColumn("context", F.lit(None).cast("string"))
         path = f"{self.path}/staged/{uuid.uuid4().hex}"
-        latest(own.drop("no"), "id", order).write.parquet(path)
+        own.drop("no").write.parquet(path)
         return self.spark.read.schema(own.drop("no").schema).parquet(path)
 
-    def _segment(self, stage: DataFrame, seq: int) -> tuple[dict, StructType]:
-        """Write a segment of staged chunks, or merged ones, which have their vectors (embedding) already."""
+    def _segment(self, stage: DataFrame, seq: int, repeated: bool = False, order: str | None = None) -> tuple[dict, StructType]:
+        """Write a segment of staged chunks, or merged ones, which have their vectors (embedding) already. Where ids may
+        be repeated, the last by order is found in the same ranges of ids that are the parts."""
         name = f"{seq:08d}-{uuid.uuid4().hex}"
         at = f"{self.path}/segments/{name}"
         n = stage.count()
         parts = max(1, -(-n // PART), min(self.spark.sparkContext.defaultParallelism, n // LEAST))
         made = F.monotonically_increasing_id()
         no = F.shiftleft(F.lit(seq).cast("long"), blockmax.SEGMENT_BITS) + F.shiftleft(F.shiftright(made, 33), blockmax.PART_BITS) + made.bitwiseAND(F.lit((1 << 33) - 1))
-        numbered = stage.repartitionByRange(parts, "id").sortWithinPartitions("id").select(no.alias("no"), *stage.columns)
+        dealt = stage.repartitionByRange(parts, "id")
+        numbered = (latest(dealt, "id", order) if repeated else dealt).sortWithinPartitions("id").select(no.alias("no"), *stage.columns)
         numbered.write.options(**WHOLE).parquet(f"{at}/chunks")
         chunks = self.spark.read.schema(numbered.schema).parquet(f"{at}/chunks")
-        texts = chunks.select("no", *(["embedding"] if "embedding" in chunks.columns else []), embed_text([F.col(c) for c in META], F.col("content")).alias("text"))
-        own = texts.select("no", (F.col("embedding") if "embedding" in chunks.columns else self.embed(F.col("text"))).cast("array<double>").alias("embedding"))
-        bounded.clusters(own).write.options(**WHOLE).parquet(f"{at}/vectors")
-        # Sorted by value and number, so that an entity of very many chunks lies in many files, and a rare one in one.
-        tags = chunks.select(F.explode(entities_of_chunk(chunks.columns)).alias("entity"), "no")
-        tags.repartitionByRange("entity", "no").sortWithinPartitions("entity", "no").write.parquet(f"{at}/entities")
-        # Kept, as the ranges are drawn from the values before these are dealt out.
-        values = values_of(chunks).persist(StorageLevel.DISK_ONLY)
-        values.repartitionByRange("field", "value", "day", "at", "range").sortWithinPartitions("field", "value", "day", "at", "range").write.parquet(f"{at}/values")
-        values.unpersist()
-        made_ = blockmax.blocks(chunks.select("no", chunk_terms(chunks.columns, self.analysis).alias("tokens")))
-        with one_file_a_task(self.spark):
-            made_.sortWithinPartitions("part", "term", "range").write.options(**WHOLE).parquet(f"{at}/postings")
-        written = self.spark.read.schema(blockmax.BLOCKS).parquet(f"{at}/postings")
-        written.where("term <> ''").groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{at}/terms")
-        heads = written.where("term = ''").groupBy("part").agg(F.sum("n").alias("n"), F.sum(F.expr("size(filter(tf, x -> x > 0))")).alias("full"), F.sum(F.expr("aggregate(tf, 0L, (a, x) -> a + x)")).alias("length"), (F.count(F.lit(1)) > F.countDistinct("range")).alias("torn")).collect()
-        if any(r["torn"] for r in heads):
-            raise RuntimeError("a part was read by more than one task: its file has more than one row group")
-        if any(r["n"] > 1 << blockmax.PART_BITS for r in heads):
+        held = chunks.groupBy(F.shiftright("no", blockmax.PART_BITS).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
+        if any(r["n"] > 1 << blockmax.PART_BITS for r in held):
             raise RuntimeError("a part has more chunks than numbers")
-        kept = StructType([f for f in numbered.schema.fields if f.name != "embedding"])
-        return {"seq": seq, "name": name, "n": sum(r["full"] for r in heads), "length": sum(r["length"] for r in heads), "rows": n, "parts": [[r["part"], r["n"]] for r in sorted(heads)]}, kept
+        for table in TABLES:
+            if table in self.tables or (table == "vectors" and "embedding" in chunks.columns):
+                draft = f"segments/{name}/.{table}"
+                write_table(chunks, f"{self.path}/{draft}", table, self.embed, self.analysis)
+                self.commits.named(draft, f"segments/{name}", *(("stats", "terms", "postings") if table == "postings" else (table,)))
+        r = self.spark.read.schema("n long, length long").parquet(f"{at}/stats").first() if "postings" in self.tables else None
+        kept_ = StructType([f for f in numbered.schema.fields if f.name != "embedding"])
+        return {"seq": seq, "name": name, "n": r and r["n"], "length": r and r["length"], "rows": sum(r["n"] for r in held), "parts": [[r["part"], r["n"]] for r in sorted(held)]}, kept_
 
     def _gone(self, snapshot: Snapshot, numbers: DataFrame) -> list[dict]:
-        """Write a list of what is gone, and what this takes from the statistics; nothing if it is empty."""
+        """Write a list of what is gone and, if postings are made at once, what this takes from the statistics; nothing
+        if it is empty."""
         name = uuid.uuid4().hex
         at = f"{self.path}/gone/{name}"
         numbers.write.parquet(f"{at}/numbers")
-        own = self.spark.read.schema("no long").parquet(f"{at}/numbers")
-        texts = snapshot._read("chunks", snapshot.schema).join(own, "no", "left_semi").select("no", chunk_terms(snapshot.schema.names, self.analysis).alias("t"))
-        texts.select("no", F.size("t").alias("dl"), F.explode_outer(F.array_distinct("t")).alias("term")).groupBy("term").agg((-F.count(F.lit(1))).alias("df")).where("term is not null").write.parquet(f"{at}/terms")
-        r = texts.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.size("t") > 0, 1)).alias("n"), F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("length")).first()
-        return [{"name": name, **r.asDict()}] if r["rows"] else []
+        rows = self.spark.read.schema("no long").parquet(f"{at}/numbers").count()
+        r = snapshot._lost(name).where("term = ''").first() if rows and "postings" in self.tables else None
+        return [{"name": name, "rows": rows, "n": r and r["full"], "length": r and r["dl"]}] if rows else []
 
     def _commit(self, segments: list[dict], gone: list[dict], schema: StructType, following: int) -> dict:
-        minus = lambda c: sum(s[c] for s in segments) - sum(g[c] for g in gone)
+        known = lambda c: all(x[c] is not None for x in [*segments, *gone])
+        minus = lambda c: sum(s[c] for s in segments) - sum(g[c] for g in gone) if known(c) else None
         return {"segments": segments, "gone": [g["name"] for g in gone], "lists": gone, "n": minus("n"), "length": minus("length"), "rows": minus("rows"), "schema": json.loads(schema.json()), "next": following, "analysis": self.analysis}
 
     def _merged(self, commit: dict) -> dict:
@@ -471,8 +562,10 @@ class Index:
             return commit
         by_size = sorted(commit["segments"], key=lambda s: s["rows"])
         small = by_size[: len(by_size) - self.most // 2]
-        now = Snapshot(self.spark, self.path, commit)
-        rows = now.chunks(small).join(now.vectors(small), "no", "left").drop("no")
+        now = Snapshot(self.spark, self.path, commit, self.embed)
+        # Vectors that are there are not made again.
+        embedded = any(self.commits.exists(f"segments/{s['name']}/vectors") for s in small)
+        rows = (now.chunks(small).join(now.vectors(small), "no", "left") if embedded else now.chunks(small)).drop("no")
         path = f"{self.path}/staged/{uuid.uuid4().hex}"
         rows.write.parquet(path)
         segment, _ = self._segment(self.spark.read.schema(rows.schema).parquet(path), commit["next"])

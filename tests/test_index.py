@@ -331,3 +331,34 @@ def test_bitmaps_leave_what_the_predicate_leaves(spark, tmp_path, small_parts):
         c.state.allowed(Filter(date_from="soon"))
     plan = c.state.allowed(Filter(keywords=["x"]))._jdf.queryExecution().toString()
     assert "w0:bigint" in plan and "content:string" not in plan
+
+
+def test_tables_are_made_by_the_first_reader_and_kept(spark, tmp_path, small_parts):
+    r = random.Random(11)
+    first, then = ({k: some_text(r, 5) for k in ks} for ks in (range(30), range(20, 35)))
+    for name, tables in (("at_once", segments.TABLES), ("later", [])):
+        own = Index(spark, str(tmp_path / name), tables=tables)
+        own.upsert(fixture.line_chunks(documents(spark, list(first.items()))))
+        own.upsert(fixture.line_chunks(documents(spark, list(then.items()))), replace_source=True)
+        own.delete(fixture.line_chunks(documents(spark, [(33, then[33])])).select("id"))
+    made = lambda name: {f.name for f in (tmp_path / name / "segments").glob("*/*")} | {f.name for f in (tmp_path / name / "gone").glob("*/*")}
+    assert made("later") == {"chunks", "numbers"}
+    a, b = (tools.Collection(spark, str(tmp_path / p)) for p in ("at_once", "later"))
+    close(found(a, QUERIES, 5, spark), found(b, QUERIES, 5, spark))
+    close(found(b, QUERIES, 5, spark), by_hand(a.chunks.collect(), QUERIES, 5))
+    assert made("later") == {"chunks", "numbers", "terms", "stats", "postings"}
+    assert b.state.totals == (a.state.commit["n"], a.state.commit["length"])
+    q = spark.createDataFrame(QUERIES, "query_id long, query string")
+    filter_ = Filter(modified_from="2024-01-05", modified_to="2024-01-20")
+    assert sorted(map(tuple, a.filtered_search(q, filter_).collect())) == sorted(map(tuple, b.filtered_search(q, filter_).collect()))
+    assert made("later") == made("at_once") - {"entities"}
+
+
+def test_repeated_ids_are_one_chunk_the_last(spark, tmp_path, small_parts):
+    chunks = fixture.line_chunks(documents(spark, [(k, f"w{k} same") for k in range(60)]))
+    own = Index(spark, str(tmp_path / "i"))
+    again = chunks.withColumn("batch", F.lit(2)).withColumn("page_number", F.lit(7))
+    own.upsert(chunks.withColumn("batch", F.lit(1)).unionByName(again).unionByName(chunks.withColumn("batch", F.lit(0))), order="batch")
+    rows = own.read().collect()
+    assert len({x.id for x in rows}) == len(rows) == 60 and {x.page_number for x in rows} == {7}
+    assert own.snapshot().commit["rows"] == 60
