@@ -362,3 +362,13 @@ def test_repeated_ids_are_one_chunk_the_last(spark, tmp_path, small_parts):
     rows = own.read().collect()
     assert len({x.id for x in rows}) == len(rows) == 60 and {x.page_number for x in rows} == {7}
     assert own.snapshot().commit["rows"] == 60
+
+
+def test_blocks_leave_a_task_by_part_term_and_range(spark, monkeypatch):
+    r = random.Random(12)
+    rows = [((part << blockmax.PART_BITS) + k, [f"é{min(int(r.expovariate(0.2)), 30)}" for _ in range(r.randint(0, 9))]) for part in (3, 1) for k in range(9000)]
+    made = blockmax.blocks(spark.createDataFrame(rows, "no long, tokens array<string>").coalesce(1)).select("part", "term", "range").collect()
+    for part in (3, 1):
+        own = [(x.term.encode(), x.range) for x in made if x.part == part]
+        assert own == sorted(own) and len(own) == len(set(own))
+    assert [x.part for x in made] == sorted((x.part for x in made), reverse=True)
