@@ -372,3 +372,15 @@ def test_blocks_leave_a_task_by_part_term_and_range(spark, monkeypatch):
         own = [(x.term.encode(), x.range) for x in made if x.part == part]
         assert own == sorted(own) and len(own) == len(set(own))
     assert [x.part for x in made] == sorted((x.part for x in made), reverse=True)
+
+
+def test_queries_of_the_same_terms_are_searched_once(spark, tmp_path, small_parts, monkeypatch):
+    r = random.Random(13)
+    tools.index(fixture.line_chunks(documents(spark, [(k, some_text(r, 12)) for k in range(60)])), str(tmp_path / "i"))
+    c, asked = tools.Collection(spark, str(tmp_path / "i")), []
+    of = blockmax.Asked.of
+    monkeypatch.setattr(blockmax.Asked, "of", lambda rows, *more: asked.extend(rows) or of(rows, *more))
+    queries = [(1, "w0 w1 w5"), (2, "W5 w1 w0 w0"), (3, "w2"), (4, "w1 w0 w5")]
+    close(found(c, queries, 4, spark), by_hand(c.chunks.collect(), queries, 4))
+    assert {x[0] for x in asked} == {1, 3}
+    assert [x.query_id for x in c.reads(spark.createDataFrame(queries, "query_id long, query string"), 4).orderBy("query_id").collect()] == [1, 2, 3, 4]
