@@ -20,16 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import docs_of, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Parts of words whose ids a worker keeps; later unknown ones are encoded each time.
-CACHE = 500_000
+#: Words, and parts of words, whose ids a worker keeps; later unknown ones are encoded each time.
+CACHE = 700_000
 #: Documents that are encoded together; what is made of their words is dropped after them.
-SLICE = 2000
+SLICE = 4000
 _WORKER: dict = {}
 
 
@@ -62,33 +63,61 @@ def encode_ids(texts: list[str], path: str) -> list[bytes]:
 
     The vocabulary's pre-tokens start at a single space before a word, at a single line end and at marks after a
     letter or digit. So a text without adjacent white space and without special tokens is the concatenation of the ids of its space-led
-    words, and those of the ids of their parts, which a worker keeps; other texts are encoded whole.
+    words, and those of the ids of their parts; other texts are encoded whole. Arrow names the words by number, so each
+    different one is looked up once and the ids of all texts are gathered at once.
     """
-    t, blank, led, bare, added = tokenizer(path)
+    t, _, _, _, added = tokenizer(path)
     out: list[bytes | None] = [None] * len(texts)
-    split: dict[int, list[str]] = {}
+    plain = []
     for i, text in enumerate(texts):
         if not text:
             out[i] = b""
         elif _SPACES(text) is None and added(text) is None:
-            split[i] = text.split(" ")
+            plain.append(i)
         else:
             out[i] = np.asarray(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-    heads = {w[0] for w in split.values()}
-    words = set().union(*split.values())
-    parts = {w: _parts(w) for w in words}
-    need_led = {p[0] for p in parts.values()}
-    need_bare = {x for p in parts.values() for x in p[1:]}.union(*(parts[w][:1] for w in heads))
-    new_led, new_bare = list(need_led.difference(led)), list(need_bare.difference(bare))
+    if not plain:
+        return out
+    lists = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+    coded = lists.values.dictionary_encode()
+    words, index, offsets = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().copy(), lists.offsets.to_numpy()
+    # No blank leads the first word of a text: it has ids of its own, after those of the others.
+    heads, own = np.unique(index[offsets[:-1]], return_inverse=True)
+    index[offsets[:-1]] = len(words) + own
+    ids = word_ids(words, [words[k] for k in heads], path)
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    flat, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+    n = size[index]
+    stop = np.cumsum(n)
+    raw = flat[np.repeat(begin[index] - (stop - n), n) + np.arange(stop[-1])].tobytes()
+    ends = [0, *(4 * stop[offsets[1:] - 1]).tolist()]
+    for i, a, b in zip(plain, ends, ends[1:]):
+        out[i] = raw[a:b]
+    return out
+
+
+def word_ids(words: list[str], heads: list[str], path: str) -> list[bytes]:
+    """Ids of each word with a blank before it, and then those of each head without one. A worker keeps the ids of
+    words and of parts; those that it has no room for are looked up beside them, for this call only."""
+    t, blank, led, bare, _ = tokenizer(path)
+    out = list(map(led.get, words))
+    missing = [k for k, ids in enumerate(out) if ids is None]
+    parts = {k: (w,) if (w := words[k])[-1:].isalnum() and "\n" not in w else _parts(w) for k in missing}
+    first = [_parts(w) for w in heads]
+    stems = [w for w in {p[0] for p in parts.values()} if w not in led]
+    rest = [w for w in {x for p in parts.values() for x in p[1:]}.union(*first) if w not in bare]
     led_ids, bare_ids = [], []
-    for k in range(0, len(new_led), 512):
-        led_ids += encode_words(t, blank, new_led[k : k + 512])
-    for k in range(0, len(new_bare), 4096):
-        bare_ids += [np.asarray(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(new_bare[k : k + 4096], add_special_tokens=False)]
-    a, b = _kept(led, dict(zip(new_led, led_ids))), _kept(bare, dict(zip(new_bare, bare_ids)))
-    ids = {w: a[p[0]] if len(p) == 1 else a[p[0]] + b"".join([b[x] for x in p[1:]]) for w, p in parts.items()}
-    for i, ws in split.items():
-        out[i] = b"".join([b[x] for x in parts[ws[0]]]) + b"".join(map(ids.__getitem__, ws[1:]))
+    for k in range(0, len(stems), 512):
+        led_ids += encode_words(t, blank, stems[k : k + 512])
+    for k in range(0, len(rest), 4096):
+        bare_ids += [np.asarray(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(rest[k : k + 4096], add_special_tokens=False)]
+    new_led, new_bare = dict(zip(stems, led_ids)), dict(zip(rest, bare_ids))
+    of = lambda new, known, w: new[w] if w in new else known[w]
+    for k, p in parts.items():
+        out[k] = new_led[p[0]] if len(p) == 1 else of(new_led, led, p[0]) + b"".join([of(new_bare, bare, x) for x in p[1:]])
+    out += [b"".join([of(new_bare, bare, x) for x in p]) for p in first]
+    led.update((words[k], out[k]) for k in missing[: max(0, CACHE - len(led))])
+    bare.update(itertools.islice(new_bare.items(), max(0, CACHE - len(bare))))
     return out
 
 
@@ -106,22 +135,6 @@ def _parts(word: str) -> tuple[str, ...]:
     return (stem, word[len(stem) :]) if len(stem) < len(word) and stem and stem[-1].isalnum() else (word,)
 
 
-class _Known(dict):
-    """What is new, before what a worker keeps."""
-
-    def __missing__(self, key):
-        return self.kept[key]
-
-
-def _kept(known: dict, new: dict) -> dict:
-    known.update(itertools.islice(new.items(), max(0, CACHE - len(known))))
-    if len(new) <= len(known) and all(k in known for k in new):
-        return known
-    both = _Known(new)
-    both.kept = known
-    return both
-
-
 _MARKS = ".,;:!?*#$%&|-()[]{}\"/\\+=<>@^_~`"
 _SPACES = re.compile(r"\s\s").search
 

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,3 +243,21 @@ def test_topk_of_large_components(spark):
         scored = sorted((-sum(a * b for a, b in zip(ints[q], e)), v) for v, e in ints.items() if v != q)
         want += [(q, k + 1, v, -s) for k, (s, v) in enumerate(scored)]
     assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("room", [0, 3, 500_000])
+def test_packing_looks_a_word_up_once(monkeypatch, room):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [f"start{i % 3} these words, those words.\nnext a{i} it's " for i in range(40)] + [" led", "", "two  blanks", "<|endoftext|> x"]
+    cut = []
+    monkeypatch.setattr(packing, "_parts", lambda w, parts=packing._parts: cut.append(w) or parts(w))
+    monkeypatch.setattr(packing, "CACHE", room)
+    monkeypatch.setattr(packing, "_WORKER", {})
+    t = packing.tokenizer(path)[0]
+    for _ in range(2):
+        cut.clear()
+        got = packing.encode_ids(texts, path)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert all(len(kept) <= room for kept in packing._WORKER[path][2:4])
+    if room > 3:  # the second time, only first words are cut into parts
+        assert len(cut) < 10
