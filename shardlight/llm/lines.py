@@ -8,7 +8,8 @@ once; a parity sketch of 64 to 256 bits sifts what is left inside the join, and
 functions only.
 
 Lines of equal sets are one class, named by its first place, so copies are never paired. Each group of a prefix word
-meets its earliest class first; only classes that found no match there then meet the other earlier ones.
+meets its earliest class first; only classes that found no match there then meet the other earlier ones. Of two sets,
+the smaller shares its first word within a shorter prefix, and only these words, the rarest, meet whole groups.
 
 Every line with a word takes part (or, if ``least`` is given, with that many different words); lines without words
 stay. Sets too small to match any but equal ones, under four words at 0.8, are in no pairs. Null text stays null; of
@@ -29,7 +30,7 @@ ENTRIES = 1 << 17
 FILTER_BITS = 1 << 23
 LOW = (1 << 56) - 1
 #: Sets of more words than these have sketches of two and of four words.
-WIDE, WIDER = 64, 224
+WIDE, WIDER = 96, 224
 SKETCH = ("a", "b", "c", "d")
 BLANKS = "[ \\t\\x0B\\f\\r]+"
 
@@ -147,18 +148,51 @@ def similar(pairs: DataFrame, docs: DataFrame, t: int) -> DataFrame:
     return found
 
 
-#: What a posting says of its class; at is below 0 where the class needs no more partners.
-POSTED = ("doc", "spot", "n", "at", *SKETCH)
+#: What a posting says of its class; shut: the class needs no more partners.
+POSTED = ("doc", "spot", "n", "at", "shut", *SKETCH)
 PAIR = ("doc_x", "spot_x", "doc_y", "spot_y")
 
 
-def possible(t: int) -> Column:
-    """Whether x, if it is open, and y, an earlier class, can be similar when the shared word is the first they share."""
-    total = F.col("n_x") + F.col("n_y")
-    at_y = F.when(F.col("at_y") < 0, -1 - F.col("at_y")).otherwise(F.col("at_y"))
-    overlap = F.when(F.col("at_x") < 0, 0).otherwise(F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - at_y))
-    before = (F.col("doc_y") < F.col("doc_x")) | ((F.col("doc_y") == F.col("doc_x")) & (F.col("spot_y") < F.col("spot_x")))
-    return (overlap.cast("long") * (100 + t) >= t * total.cast("long")) & before & (apart("x", "y").cast("long") * (100 + t) <= (100 - t) * total.cast("long"))
+def indexed(n: Column, at: Column, t: int) -> Column:
+    """Whether a shared word at this place can be the first that a set of n shares with a similar one of its size or
+    more: the overlap is then ceil(2 * t * n / (100 + t)) or more, so these words are fewer than the prefix's."""
+    return at <= n - F.floor((n.cast("long") * (2 * t) + (99 + t)) / (100 + t))
+
+
+def earlier(x: str, y: str) -> Column:
+    return (F.col(f"doc_{x}") < F.col(f"doc_{y}")) | ((F.col(f"doc_{x}") == F.col(f"doc_{y}")) & (F.col(f"spot_{x}") < F.col(f"spot_{y}")))
+
+
+def possible(t: int, x: str, y: str) -> Column:
+    """Whether classes x and y can be similar when the shared word is the first they share."""
+    total = (F.col(f"n_{x}") + F.col(f"n_{y}")).cast("long")
+    overlap = F.least(F.col(f"n_{x}") - F.col(f"at_{x}"), F.col(f"n_{y}") - F.col(f"at_{y}"))
+    return (overlap.cast("long") * (100 + t) >= t * total) & (apart(x, y).cast("long") * (100 + t) <= (100 - t) * total)
+
+
+def posted(own: DataFrame, t: int, only_indexed: bool = False) -> DataFrame:
+    """A row for each word of the prefix of each class, dealt by word. On its way n, at and shut are one number."""
+    each = own.select("doc", "spot", "n", *SKETCH, "shut", F.posexplode("prefix").alias("at", "token"))
+    if only_indexed:
+        each = each.where(indexed(F.col("n"), F.col("at"), t))
+    said = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("at").cast("long"), 1)).bitwiseOR(F.col("shut").cast("long"))
+    dealt = each.select("token", "doc", "spot", said.alias("said"), *SKETCH).repartition("token")
+    at = F.shiftright(F.col("said").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int")
+    return dealt.select("token", "doc", "spot", F.shiftright("said", 32).cast("int").alias("n"), at.alias("at"), (F.col("said").bitwiseAND(F.lit(1)) == 1).alias("shut"), *SKETCH)
+
+
+def sifted(open_: DataFrame, t: int) -> DataFrame:
+    """PAIR of classes that may be similar, of which the later one, x, is not shut. Of two, the smaller has the first
+    word they share among its indexed ones, so only these meet all postings of the word. Both sides read one shuffle."""
+    every = posted(open_, t)
+    p, i = (every.select("token", *(F.col(c).alias(f"{c}_{s}") for c in POSTED)) for s in "pi")
+    # The generator keeps the filter on this side of the shuffle, which would not be the same for both else.
+    i = i.select("*", once(indexed(F.col("n_i"), F.col("at_i"), t)).alias("meets")).where("meets").drop("meets")
+    larger = (F.col("n_i") < F.col("n_p")) | ((F.col("n_i") == F.col("n_p")) & earlier("i", "p"))
+    wanted = F.when(earlier("i", "p"), ~F.col("shut_p")).otherwise(earlier("p", "i") & ~F.col("shut_i"))
+    met = p.join(i.hint("merge"), "token").where(larger & possible(t, "p", "i") & wanted)
+    x_is_p = earlier("i", "p")
+    return met.select(*(F.when(x_is_p, F.col(f"{c}_p")).otherwise(F.col(f"{c}_i")).alias(f"{c}_x") for c in ("doc", "spot")), *(F.when(x_is_p, F.col(f"{c}_i")).otherwise(F.col(f"{c}_p")).alias(f"{c}_y") for c in ("doc", "spot"))).distinct()
 
 
 def later_matches(docs: DataFrame, t: int = 80, least: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -185,15 +219,10 @@ def later_matches(docs: DataFrame, t: int = 80, least: int = 1) -> tuple[DataFra
     del slim, again, own
     free_shuffles(spark)
 
-    def posted(own: DataFrame) -> DataFrame:
-        """A row for each word of the prefix of each class."""
-        each = own.select("doc", "spot", "n", *SKETCH, "shut", F.posexplode("prefix").alias("at", "token"))
-        return each.select("token", *(F.when(F.col("shut"), -1 - F.col("at")).otherwise(F.col("at")).alias("at") if c == "at" else c for c in POSTED))
-
     run = Window.partitionBy("token").orderBy("doc", "spot").rowsBetween(Window.unboundedPreceding, 0)
-    led = posted(classes).withColumn("lead", F.first(F.struct(*POSTED)).over(run))
+    led = posted(classes, t, only_indexed=True).withColumn("lead", F.first(F.struct(*POSTED)).over(run))
     led = led.select(*(F.col(c).alias(f"{c}_x") for c in POSTED), *(F.col(f"lead.{c}").alias(f"{c}_y") for c in POSTED))
-    tested = written(led.where(possible(t)).select(*PAIR).distinct(), "line-pairs")
+    tested = written(led.where(earlier("y", "x") & possible(t, "x", "y")).select(*PAIR).distinct(), "line-pairs")
     del led
     free_shuffles(spark)
     found = similar(tested, docs, t)
@@ -203,10 +232,8 @@ def later_matches(docs: DataFrame, t: int = 80, least: int = 1) -> tuple[DataFra
     open_ = written(open_.select(classes.columns), "classes")
     discard(classes)
     free_shuffles(spark)
-    x, y = (posted(open_).select("token", *(F.col(c).alias(f"{c}_{s}") for c in POSTED)) for s in "xy")
-    tested = written(x.join(y.hint("merge"), "token").where(possible(t)).select(*PAIR).distinct(), "line-pairs")
+    tested = written(sifted(open_, t), "line-pairs")
     discard(open_)
-    del x, y
     free_shuffles(spark)
     more = similar(tested, docs, t)
     discard(tested)

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from shardlight.llm import automata, codes, negatives, packing, topk
+from shardlight.llm import automata, codes, lines, negatives, packing, topk
 
 VECTORS = "vec_id long, embedding array<double>, label int, ints int, square string, bucket int, copy int, n int, code string, _label int"
 
@@ -261,3 +261,22 @@ def test_packing_looks_a_word_up_once(monkeypatch, room):
     assert all(len(kept) <= room for kept in packing._WORKER[path][2:4])
     if room > 3:  # the second time, only first words are cut into parts
         assert len(cut) < 10
+
+
+def test_lines_meet_by_indexed_words(spark):
+    """The shorter prefix of the smaller set is enough: every similar pair is met, later class first, by fewer postings."""
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    texts = []
+    for _ in range(25):
+        base = r.sample(words, r.choice([4, 9, 30, 70, 120]))
+        for _ in range(4):
+            texts.append(" ".join(w for w in base if r.random() > 0.06) + "".join(f" {w}" for w in r.sample(words, r.choice([0, 1, 3]))))
+    docs = lines.placed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    own = lines.lines_of(docs, lines.rarity(docs), 80, 1).withColumn("shut", F.col("doc") % 7 == 0).cache()
+    own = own.join(own.groupBy("cls").agg(F.min("doc").alias("doc")), ["cls", "doc"]).cache()
+    sets = {i: frozenset(texts[i].split()) for i in (x.doc for x in own.collect())}
+    want = {(x, y) for x in sets for y in sets if y < x and x % 7 and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])}
+    got = {(p.doc_x, p.doc_y) for p in lines.sifted(own, 80).collect()}
+    assert len(want) > 40 and want <= got and all(y < x and x % 7 for x, y in got)
+    assert lines.posted(own, 80, only_indexed=True).count() < 0.7 * lines.posted(own, 80).count()
