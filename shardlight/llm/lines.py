@@ -46,7 +46,8 @@ def entry(number: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """The leading bits of a word's number, by entry(): how many binary digits the count of all words of the entry has.
+    """The leading bits of a word's number, by entry(): how many binary digits the count of all words of the entry has,
+    in the place they take there.
     A rare word that shares an entry with a frequent one looks frequent, and words beside rare blanks are counted with
     them, which only costs candidates. Counts meet by entry, so a task sends at most as many as there are entries."""
     each = docs.select(F.explode(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
@@ -54,15 +55,17 @@ def rarity(docs: DataFrame) -> Column:
     table = ["0"] * ENTRIES
     for r in counted.groupBy("b").agg(F.collect_list("h").alias("hs")).collect():
         for h in r["hs"]:
-            table[h] = str(r["b"])
+            table[h] = str(r["b"] << 56)
     return F.split(F.lit(",".join(table)), ",").cast("array<bigint>")
 
 
 def token_set(line: Column, levels: Column) -> Column:
-    """The distinct words of a line as numbers, rarest first. Without possible nulls they are sorted as plain longs."""
+    """The distinct words of a line as numbers, rarest first. Without possible nulls they are sorted as plain longs.
+    Hashes are told apart by the bits that a number keeps of them."""
     level = lambda h: F.coalesce(F.get(levels, entry(h)), F.lit(0).cast("long"))
-    number = lambda h: F.shiftleft(level(h), 56).bitwiseOR(h.bitwiseAND(F.lit(LOW)))
-    return F.sort_array(F.array_distinct(F.transform(F.transform(words(line), lambda w: F.xxhash64(w)), number)))
+    number = lambda h: level(h).bitwiseOR(h)
+    hashes = F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w).bitwiseAND(F.lit(LOW))))
+    return F.sort_array(F.transform(hashes, number))
 
 
 def once(c: Column) -> Column:
@@ -104,9 +107,29 @@ def _xor(cols: list[Column]) -> Column:
     return out
 
 
-def placed(docs: DataFrame) -> DataFrame:
-    """doc, tag, text: the document's place in the order and a hash of its text; no doc_id comes first."""
-    return docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.hash("text").alias("tag"), "text")
+def doc_of() -> Column:
+    """The document's place in the order; no doc_id comes first."""
+    return F.coalesce("doc_id", F.lit(-(1 << 63)))
+
+
+def tag_of(docs: DataFrame) -> Column:
+    """What tells documents of one doc_id apart: a hash of the text, or 0 if no doc_id repeats, which is less to send."""
+    again = docs.groupBy(doc_of().alias("doc")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return F.lit(0) if again.isEmpty() else F.hash("text")
+
+
+def placed(docs: DataFrame, tag: Column | None = None) -> DataFrame:
+    """doc, tag, text: the document's place in the order and what tag_of() says."""
+    return docs.select(doc_of().alias("doc"), (F.hash("text") if tag is None else tag).alias("tag"), "text")
+
+
+def maybe(rows: DataFrame, key: list[str], wanted: DataFrame) -> DataFrame:
+    """rows and whether their key may be in wanted: false only if it is not there. A bitmap of fixed size, joined by
+    its words, says so without a shuffle of rows."""
+    spot = F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS))
+    bitmap = wanted.select(spot.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+    met = rows.withColumn("p", spot).withColumn("w", F.shiftright("p", 6)).join(F.broadcast(bitmap), "w", "left")
+    return met.withColumn("maybe", F.expr("coalesce(shiftright(bits, cast(p & 63 as int)) & 1, 0) = 1")).drop("p", "w", "bits")
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -126,12 +149,11 @@ def lines_of(docs: DataFrame, levels: Column, t: int, least: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc, spot, set (of word hashes, in no order) of each place of wanted. A bitmap of fixed size, joined by its words, drops documents without
-    such a place before their lines are read."""
-    spot = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
-    bitmap = wanted.select(spot.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
-    some = docs.withColumn("p", spot).withColumn("w", F.shiftright("p", 6)).join(F.broadcast(bitmap), "w").where(F.expr("shiftright(bits, cast(p & 63 as int)) & 1") == 1)
-    there = split_lines(some.select("doc", "tag", "text")).join(wanted, ["doc", "spot"], "left_semi")
+    """doc, spot, set (of word hashes, in no order) of each place of wanted. Documents that have no such place are
+    dropped before their lines are read, and other lines before they are sent."""
+    some = maybe(docs, ["doc"], wanted.select("doc")).where("maybe").select("doc", "tag", "text")
+    own = maybe(split_lines(some), ["doc", "spot"], wanted).where("maybe").drop("maybe")
+    there = own.join(wanted, ["doc", "spot"], "left_semi")
     return there.dropDuplicates(["doc", "spot"]).select("doc", "spot", F.array_distinct(F.transform(words(F.col("s")), lambda w: F.xxhash64(w))).alias("set"))
 
 
@@ -171,12 +193,13 @@ def possible(t: int, x: str, y: str) -> Column:
 
 
 def posted(own: DataFrame, t: int, only_indexed: bool = False) -> DataFrame:
-    """A row for each word of the prefix of each class, dealt by word. On its way n, at and shut are one number."""
-    each = own.select("doc", "spot", "n", *SKETCH, "shut", F.posexplode("prefix").alias("at", "token"))
+    """A row for each word of the prefix of each class, dealt by word. On its way n, at and shut are one number, and a
+    word is 32 bits of its hash: others that share them only add pairs to test."""
+    each = own.select("doc", "spot", "n", *SKETCH, "shut", F.posexplode("prefix").alias("at", "word"))
     if only_indexed:
         each = each.where(indexed(F.col("n"), F.col("at"), t))
     said = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("at").cast("long"), 1)).bitwiseOR(F.col("shut").cast("long"))
-    dealt = each.select("token", "doc", "spot", said.alias("said"), *SKETCH).repartition("token")
+    dealt = each.select(F.col("word").bitwiseAND(F.lit(0xFFFFFFFF)).alias("token"), "doc", "spot", said.alias("said"), *SKETCH).repartition("token")
     at = F.shiftright(F.col("said").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int")
     return dealt.select("token", "doc", "spot", F.shiftright("said", 32).cast("int").alias("n"), at.alias("at"), (F.col("said").bitwiseAND(F.lit(1)) == 1).alias("shut"), *SKETCH)
 
@@ -208,19 +231,22 @@ def later_matches(docs: DataFrame, t: int = 80, least: int = 1) -> tuple[DataFra
     place = F.struct("doc", "spot")
     low = F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF))
     tag = F.when(low >= 1 << 31, low - (1 << 32)).otherwise(low).cast("int").alias("tag")
-    again = slim.join(repeats.hint("merge"), "cls")
-    copies = written(again.where(place > F.col("first")).select("doc", "spot"), "line-copies")
+    again = slim.join(repeats.hint("merge"), "cls").select("doc", "spot", (place > F.col("first")).alias("later"))
+    again = written(again, "line-again")
+    copies = again.where("later").select("doc", "spot")
     often = again.groupBy("doc", "spot").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc", tag).distinct()
     often = written(often, "line-often")
     # Each class goes on as its first line; the others are gone already. Joins here are by sorting at any size.
-    own = lines.where(F.size("prefix") > 0).join(repeats.hint("merge"), "cls", "left").where(F.col("first").isNull() | (F.col("first") == place))
-    classes = written(own.select("doc", "spot", "n", *SKETCH, "prefix", F.lit(False).alias("shut")), "classes")
+    met = maybe(lines.where(F.size("prefix") > 0), ["cls"], repeats)
+    own = met.where("maybe").drop("maybe").join(repeats.hint("merge"), "cls", "left").where(F.col("first").isNull() | (F.col("first") == place))
+    kinds = ("doc", "spot", "n", *SKETCH, "prefix")
+    classes = written(met.where("not maybe").select(*kinds).unionByName(own.select(*kinds)), "classes")
     discard(lines, repeats)
-    del slim, again, own
+    del slim, met, own
     free_shuffles(spark)
 
-    run = Window.partitionBy("token").orderBy("doc", "spot").rowsBetween(Window.unboundedPreceding, 0)
-    led = posted(classes, t, only_indexed=True).withColumn("lead", F.first(F.struct(*POSTED)).over(run))
+    led = posted(classes.withColumn("shut", F.lit(False)), t, only_indexed=True)
+    led = led.withColumn("lead", F.min(F.struct(*POSTED)).over(Window.partitionBy("token")))
     led = led.select(*(F.col(c).alias(f"{c}_x") for c in POSTED), *(F.col(f"lead.{c}").alias(f"{c}_y") for c in POSTED))
     tested = written(led.where(earlier("y", "x") & possible(t, "x", "y")).select(*PAIR).distinct(), "line-pairs")
     del led
@@ -228,33 +254,36 @@ def later_matches(docs: DataFrame, t: int = 80, least: int = 1) -> tuple[DataFra
     found = similar(tested, docs, t)
     discard(tested)
     shut = found.select("doc", "spot", F.lit(True).alias("hit")).hint("merge")
-    open_ = classes.join(shut, ["doc", "spot"], "left").withColumn("shut", F.coalesce("hit", F.lit(False)))
-    open_ = written(open_.select(classes.columns), "classes")
-    discard(classes)
-    free_shuffles(spark)
+    met = maybe(classes, ["doc", "spot"], found)
+    some = met.where("maybe").drop("maybe").join(shut, ["doc", "spot"], "left").withColumn("shut", F.coalesce("hit", F.lit(False))).drop("hit")
+    open_ = met.where("not maybe").drop("maybe").withColumn("shut", F.lit(False)).unionByName(some)
     tested = written(sifted(open_, t), "line-pairs")
-    discard(open_)
+    discard(classes)
+    del met, some, open_
     free_shuffles(spark)
     more = similar(tested, docs, t)
     discard(tested)
     # Of a class, all lines but the first go, and the first too if an earlier class is similar.
     gone = copies.unionByName(found).unionByName(more).select("doc", tag, F.shiftright("spot", 32).cast("int").alias("line"))
     gone = written(gone.groupBy("doc", "tag").agg(F.collect_set("line").alias("lines")), "line-gone")
-    discard(copies, found, more)
+    discard(again, found, more)
     free_shuffles(spark)
     return gone, often
 
 
 def deduped(docs: DataFrame, t: int = 80, least: int = 1) -> DataFrame:
     """docs with text less its later matches, and the columns n_lines and n_removed."""
-    gone, often = later_matches(placed(docs), t, least)
-    gone = gone.select(F.col("doc").alias("gone_doc"), F.col("tag").alias("gone_tag"), "lines")
-    packed = docs.select("text", F.struct(*(c for c in docs.columns if c != "text")).alias("row"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.hash("text").alias("tag"), F.lit(False).alias("again"))
+    tag = tag_of(docs)
+    gone, often = later_matches(placed(docs, tag), t, least)
+    packed = docs.select("text", F.struct(*(c for c in docs.columns if c != "text")).alias("row"), doc_of().alias("doc"), tag.alias("tag"), F.lit(False).alias("again"))
     if not often.isEmpty():
         alike = Window.partitionBy("doc", "tag").orderBy(F.lit(0))
         numbered = packed.join(often, ["doc", "tag"], "left_semi").withColumn("again", F.row_number().over(alike) > 1)
         packed = packed.join(often, ["doc", "tag"], "left_anti").unionByName(numbered)
-    joined = packed.join(gone, (packed["doc"] == gone["gone_doc"]) & (packed["tag"] == gone["gone_tag"]), "left")
+    # Only documents that may lose lines are sent to what they lose.
+    met = maybe(packed, ["doc"], gone.select("doc"))
+    some = met.where("maybe").join(gone.hint("merge"), ["doc", "tag"], "left")
+    joined = met.where("not maybe").withColumn("lines", F.lit(None).cast("array<int>")).unionByName(some)
     parts = F.split("text", "\n")
     goes = lambda s, i: F.when(F.col("again"), F.size(F.array_distinct(words(s))) >= least).otherwise(F.coalesce(F.array_contains("lines", i), F.lit(False)))
     stays = F.filter(parts, lambda s, i: ~goes(s, i))

@@ -280,3 +280,21 @@ def test_lines_meet_by_indexed_words(spark):
     got = {(p.doc_x, p.doc_y) for p in lines.sifted(own, 80).collect()}
     assert len(want) > 40 and want <= got and all(y < x and x % 7 for x, y in got)
     assert lines.posted(own, 80, only_indexed=True).count() < 0.7 * lines.posted(own, 80).count()
+
+
+def test_lines_send_only_what_may_match(spark):
+    """Documents that lose nothing stay where they are, a word is sent as 32 bits, and a tag only if a doc_id repeats."""
+    r = random.Random(4)
+    texts = {i: "\n".join(" ".join(f"w{r.randrange(5000)}" for _ in range(12)) for _ in range(3)) for i in range(300)}
+    texts |= {i: texts[i - 300] for i in range(300, 310)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {x.tag for x in docs.select(lines.tag_of(docs).alias("tag")).collect()} == {0}
+    twice = docs.unionByName(docs.where("doc_id = 7"))
+    assert {x.tag for x in twice.select(lines.tag_of(twice).alias("tag")).collect()} != {0}
+    wanted = spark.createDataFrame([(i,) for i in range(300, 310)], "doc_id long")
+    marked = {x.doc_id: x.maybe for x in lines.maybe(docs, ["doc_id"], wanted).collect()}
+    assert len(marked) == 310 and all(marked[i] for i in range(300, 310)) and sum(marked.values()) < 15
+    own = lines.lines_of(lines.placed(docs), lines.rarity(docs), 80, 1).withColumn("shut", F.lit(False))
+    assert lines.posted(own, 80).agg(F.max("token").alias("t"), F.min("token").alias("u")).where(f"t < {1 << 32} and u >= 0").count() == 1
+    assert sorted(map(tuple, lines.report(docs).select("doc_id", "n_removed").collect())) == [(i, 3 * (i >= 300)) for i in range(310)]
+    assert sorted(map(tuple, lines.report(twice).where("n_removed > 0").select("doc_id").collect())) == [(7,), *((i,) for i in range(300, 310))]
