@@ -31,6 +31,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 CACHE = 700_000
 #: Documents that are encoded together; what is made of their words is dropped after them.
 SLICE = 4000
+#: Texts whose ids are gathered at once; the places of ids take eight bytes each.
+GATHER = 256
 _WORKER: dict = {}
 
 
@@ -64,7 +66,7 @@ def encode_ids(texts: list[str], path: str) -> list[bytes]:
     The vocabulary's pre-tokens start at a single space before a word, at a single line end and at marks after a
     letter or digit. So a text without adjacent white space and without special tokens is the concatenation of the ids of its space-led
     words, and those of the ids of their parts; other texts are encoded whole. Arrow names the words by number, so each
-    different one is looked up once and the ids of all texts are gathered at once.
+    different one is looked up once and the ids of many texts are gathered at once.
     """
     t, _, _, _, added = tokenizer(path)
     out: list[bytes | None] = [None] * len(texts)
@@ -87,12 +89,15 @@ def encode_ids(texts: list[str], path: str) -> list[bytes]:
     ids = word_ids(words, [words[k] for k in heads], path)
     size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
     flat, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
-    n = size[index]
-    stop = np.cumsum(n)
-    raw = flat[np.repeat(begin[index] - (stop - n), n) + np.arange(stop[-1])].tobytes()
-    ends = [0, *(4 * stop[offsets[1:] - 1]).tolist()]
-    for i, a, b in zip(plain, ends, ends[1:]):
-        out[i] = raw[a:b]
+    for k in range(0, len(plain), GATHER):
+        cuts = offsets[k : k + GATHER + 1]
+        some = index[cuts[0] : cuts[-1]]
+        n = size[some]
+        stop = np.cumsum(n)
+        raw = flat[np.repeat(begin[some] - (stop - n), n) + np.arange(stop[-1])].tobytes()
+        ends = [0, *(4 * stop[cuts[1:] - cuts[0] - 1]).tolist()]
+        for i, a, b in zip(plain[k:], ends, ends[1:]):
+            out[i] = raw[a:b]
     return out
 
 
