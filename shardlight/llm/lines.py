@@ -132,10 +132,14 @@ def maybe(rows: DataFrame, key: list[str], wanted: DataFrame) -> DataFrame:
     return met.withColumn("maybe", F.expr("coalesce(shiftright(bits, cast(p & 63 as int)) & 1, 0) = 1")).drop("p", "w", "bits")
 
 
+def spot_of() -> Column:
+    return F.shiftleft(F.col("line").cast("long"), 32).bitwiseOR(F.col("tag").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
 def split_lines(docs: DataFrame) -> DataFrame:
     """doc, spot, s of each line of placed(): spot is the line number and then the tag."""
     each = docs.select("doc", "tag", F.posexplode(F.split("text", "\n")).alias("line", "s"))
-    return each.select("doc", F.shiftleft(F.col("line").cast("long"), 32).bitwiseOR(F.col("tag").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("spot"), "s")
+    return each.select("doc", spot_of().alias("spot"), "s")
 
 
 def lines_of(docs: DataFrame, levels: Column, t: int, least: int) -> DataFrame:
@@ -149,11 +153,14 @@ def lines_of(docs: DataFrame, levels: Column, t: int, least: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc, spot, set (of word hashes, in no order) of each place of wanted. Documents that have no such place are
-    dropped before their lines are read, and other lines before they are sent."""
-    some = maybe(docs, ["doc"], wanted.select("doc")).where("maybe").select("doc", "tag", "text")
-    own = maybe(split_lines(some), ["doc", "spot"], wanted).where("maybe").drop("maybe")
-    there = own.join(wanted, ["doc", "spot"], "left_semi")
+    """doc, spot, set (of word hashes, in no order) of each place of wanted. One bitmap, of which a document has a word
+    and a line a bit, drops documents that have no such place before their lines are read, and other lines before they
+    are sent."""
+    word, bit = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS >> 6)), F.xxhash64("doc", "spot").bitwiseAND(F.lit(63)).cast("int")
+    bitmap = wanted.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("w").agg(F.bit_or("b").alias("bits"))
+    some = docs.withColumn("w", word).join(F.broadcast(bitmap), "w")
+    own = some.select("doc", "tag", "bits", F.posexplode(F.split("text", "\n")).alias("line", "s")).select("doc", spot_of().alias("spot"), "s", "bits")
+    there = own.where(F.call_function("shiftright", "bits", bit).bitwiseAND(F.lit(1)) == 1).drop("bits").join(wanted, ["doc", "spot"], "left_semi")
     return there.dropDuplicates(["doc", "spot"]).select("doc", "spot", F.array_distinct(F.transform(words(F.col("s")), lambda w: F.xxhash64(w))).alias("set"))
 
 
