@@ -298,3 +298,12 @@ def test_lines_send_only_what_may_match(spark):
     assert lines.posted(own, 80).agg(F.max("token").alias("t"), F.min("token").alias("u")).where(f"t < {1 << 32} and u >= 0").count() == 1
     assert sorted(map(tuple, lines.report(docs).select("doc_id", "n_removed").collect())) == [(i, 3 * (i >= 300)) for i in range(310)]
     assert sorted(map(tuple, lines.report(twice).where("n_removed > 0").select("doc_id").collect())) == [(7,), *((i,) for i in range(300, 310))]
+
+
+def test_ids_gathered_in_blocks(monkeypatch):
+    """Ids of few texts are gathered at once, as their places take much memory; they are those of the tokenizer."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [f"Word {k}, and others (of {k * k}) é" + "\n- line" * (k % 3) for k in range(11)] + ["", "x  y", "one"]
+    monkeypatch.setattr(packing, "GATHER", 3)
+    t = packing.tokenizer(path)[0]
+    assert packing.encode_ids(texts, path) == [np.asarray(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
