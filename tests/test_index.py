@@ -384,3 +384,34 @@ def test_queries_of_the_same_terms_are_searched_once(spark, tmp_path, small_part
     close(found(c, queries, 4, spark), by_hand(c.chunks.collect(), queries, 4))
     assert {x[0] for x in asked} == {1, 3}
     assert [x.query_id for x in c.reads(spark.createDataFrame(queries, "query_id long, query string"), 4).orderBy("query_id").collect()] == [1, 2, 3, 4]
+
+
+def test_frequent_terms_are_multiplied_for_all_queries_at_once(spark, tmp_path, monkeypatch):
+    """Parts, whose frontiers are not read, with many terms in their matrix, few, or none."""
+    r = random.Random(14)
+    docs = documents(spark, [(k, some_text(r, 12)) for k in range(60)] + [(900 + k, "w0 w1 w3 w9\nw0 w1") for k in range(9)])
+    Index(spark, str(tmp_path / "i"), tables=["postings"]).replace(fixture.line_chunks(docs))
+    c = tools.Collection(spark, str(tmp_path / "i"))
+    chunks = c.chunks.collect()
+    queries = [*QUERIES, *((10 + k, x.content) for k, x in enumerate(r.sample(chunks, 20)))]
+    terms = c._terms(spark.createDataFrame(queries, "query_id long, query string")).join(c.state.terms(), "term").select("query_id", "term", "idf").collect()
+    names = [x.split(" ")[0] for x in blockmax.BLOCKS.split(", ") if not x.startswith("top_")]
+    rows = c.state.blocks(sorted({x.term for x in terms})).select(names).toArrow()
+    right = by_hand(chunks, queries, len(chunks))
+    for frequent, scores in ((1, 1 << 22), (100, 1 << 12), (1 << 20, 1)):
+        monkeypatch.setattr(blockmax, "FREQUENT", frequent)
+        monkeypatch.setattr(blockmax, "SCORES", scores)
+        for k in (1, 4, 500):
+            asked = blockmax.Asked.of([tuple(x) for x in terms], c.state.average, k)
+            hits: dict[int, list] = {q: [] for q in asked.queries}
+            for part in sorted(set(rows["part"].to_pylist())):
+                one = blockmax.Part(rows.filter(blockmax.pc.equal(rows["part"], part)), asked, False)
+                assert (len(one.matrix) > 0) == (frequent < 1 << 20)
+                top, counts = {}, np.zeros((len(asked.queries), 2), np.int64)
+                one.search(top, asked.reach.copy(), counts)
+                assert (counts[:, 1] <= counts[:, 0]).all()
+                for (q, _), (s, v) in top.items():
+                    hits[asked.queries[q]] += zip((-s).tolist(), v.tolist())
+            ids = {x.no: x.id for x in chunks}
+            first = [sorted(((q, i, s) for q, i, s in right if q == of), key=lambda x: (-x[2], x[1]))[:k] for of in asked.queries]
+            close(sorted((q, ids[v], -s) for q, own in hits.items() for s, v in sorted(own)[:k]), sorted(x for own in first for x in own))
