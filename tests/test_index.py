@@ -415,3 +415,19 @@ def test_frequent_terms_are_multiplied_for_all_queries_at_once(spark, tmp_path,
             ids = {x.no: x.id for x in chunks}
             first = [sorted(((q, i, s) for q, i, s in right if q == of), key=lambda x: (-x[2], x[1]))[:k] for of in asked.queries]
             close(sorted((q, ids[v], -s) for q, own in hits.items() for s, v in sorted(own)[:k]), sorted(x for own in first for x in own))
+
+
+def test_vectors_of_many_clusters_are_multiplied_at_once():
+    r = np.random.default_rng(15)
+    for many, k, scores in ((700, 5, 1 << 20), (90, 30, 1000), (7, 30, 1)):
+        m, q = r.normal(size=(many, 4)).round(1), r.normal(size=(40, 4)).round(1)
+        asked = bounded.Asked(list(range(40)), q, k)
+        top, reach = {}, asked.reach.copy()
+        before, bounded.SCORES = bounded.SCORES, scores
+        for a in range(0, many, 300):  # in no order of their numbers
+            bounded.together(asked, np.arange(many)[::-1][a : a + 300], m[::-1][a : a + 300], reach, top)
+        bounded.SCORES = before
+        for i in range(40):
+            s = np.round(m @ q[i], 6)
+            by = np.lexsort((np.arange(many), -s))[:k]
+            assert top[i, 0][1].tolist() == by.tolist() and np.allclose(top[i, 0][0], s[by])
